@@ -51,15 +51,16 @@ def slots_bitmap(keys: DataFrame, bits: int) -> np.ndarray:
             part = hit[i : i + 64]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32), pa.int32()), pa.array([zlib.compress(packed[x].tobytes(), 1) for x in part], pa.binary())], ["block", "bytes"])
 
-    def merged(key, batches):
-        out = None
+    def merged(batches):
+        own: dict[int, np.ndarray] = {}
         for b in batches:
-            for x in b.column("bytes"):
+            for k, x in zip(b.column("block").to_pylist(), b.column("bytes"), strict=True):
                 y = np.frombuffer(zlib.decompress(x.as_py()), np.uint8)
-                out = y.copy() if out is None else out | y
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["block", "bytes"])
+                own[k] = own[k] | y if k in own else y
+        for k, y in own.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([y.tobytes()], pa.binary())], ["block", "bytes"])
 
-    blocks = keys.mapInArrow(touched, "block int, bytes binary").groupBy("block").applyInArrow(merged, "block int, bytes binary")
+    blocks = keys.mapInArrow(touched, "block int, bytes binary").repartition(8, "block").mapInArrow(merged, "block int, bytes binary")
     out = np.zeros((max(bits // BLOCK, 1), min(width, bits // 8)), np.uint8)
     for r in blocks.toLocalIterator():
         out[r.block] = np.frombuffer(r.bytes, np.uint8)
