@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, media, mixing, substrings, urls, warc
+from . import chat, decontaminate, extract, media, mixing, substrings, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op4_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = media.store_texts(table(spark, sf_dir, "documents"))
     return media.with_features(media.load(spark, at)).drop("error")
@@ -52,4 +56,4 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), labels).select("page_id", "host", "path", "rule", "verdict", "share")
 
 
-QUERIES = {"op2_substrings": op2_substrings, "op3_mixing": op3_mixing, "op5_media": op5_media, "op6_warc": op6_warc, "op8_chat": op8_chat, "op9_decontaminate": op9_decontaminate, "op10_urls": op10_urls}
+QUERIES = {"op2_substrings": op2_substrings, "op3_mixing": op3_mixing, "op4_extract": op4_extract, "op5_media": op5_media, "op6_warc": op6_warc, "op8_chat": op8_chat, "op9_decontaminate": op9_decontaminate, "op10_urls": op10_urls}
