@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, extract, media, mixing, substrings, urls, warc
+from . import chat, decontaminate, extract, jaccard, media, mixing, quality, substrings, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(table(spark, sf_dir, "documents"))
+
+
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.size("removed").cast("long").alias("n_intervals"))
@@ -35,6 +39,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.load(spark, at).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -56,4 +66,4 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), labels).select("page_id", "host", "path", "rule", "verdict", "share")
 
 
-QUERIES = {"op2_substrings": op2_substrings, "op3_mixing": op3_mixing, "op4_extract": op4_extract, "op5_media": op5_media, "op6_warc": op6_warc, "op8_chat": op8_chat, "op9_decontaminate": op9_decontaminate, "op10_urls": op10_urls}
+QUERIES = {"op1_jaccard": op1_jaccard, "op2_substrings": op2_substrings, "op3_mixing": op3_mixing, "op4_extract": op4_extract, "op5_media": op5_media, "op6_warc": op6_warc, "op7_quality": op7_quality, "op8_chat": op8_chat, "op9_decontaminate": op9_decontaminate, "op10_urls": op10_urls}

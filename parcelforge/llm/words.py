@@ -72,7 +72,7 @@ _VALUES = {seed: _byte_values(seed) for seed in (1, 2)}
 
 @dataclass
 class Piece:
-    """Words of consecutive texts: ``starts``/``ends`` are byte places in ``data``; text ``i`` has the words ``offsets[i]:offsets[i + 1]``."""
+    """Words of consecutive texts: ``starts``/``ends`` are byte places in ``data``; text ``i`` has the words ``offsets[i]:offsets[i + 1]`` and bytes ``bounds[i]:bounds[i + 1]``."""
 
     first: int
     data: np.ndarray
@@ -80,6 +80,7 @@ class Piece:
     ends: np.ndarray
     offsets: np.ndarray
     fold: np.ndarray
+    bounds: np.ndarray
 
     def __len__(self) -> int:
         return len(self.offsets) - 1
@@ -145,7 +146,7 @@ def _piece(first: int, data: np.ndarray, at: np.ndarray, separators: np.ndarray,
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
-        return Piece(first, data, none, none, np.zeros(len(at), np.int64), fold)
+        return Piece(first, data, none, none, np.zeros(len(at), np.int64), fold, at)
     blank = separators[fold[data]]
     before, after = np.empty(n, bool), np.empty(n, bool)
     before[0], before[1:] = True, blank[:-1]
@@ -154,4 +155,4 @@ def _piece(first: int, data: np.ndarray, at: np.ndarray, separators: np.ndarray,
     before[edges] = True
     after[edges - 1] = True
     starts, ends = np.flatnonzero(~blank & before), np.flatnonzero(~blank & after) + 1
-    return Piece(first, data, starts, ends, np.searchsorted(starts, at), fold)
+    return Piece(first, data, starts, ends, np.searchsorted(starts, at), fold, at)
