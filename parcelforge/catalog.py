@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import office
+from .plans import office, scalars
 
-QUERIES = {**office.query.queries}
-ORACLE = {**office.query.oracle}
+_PARTS = (office, scalars)
+QUERIES = {k: v for p in _PARTS for k, v in p.query.queries.items()}
+ORACLE = {k: v for p in _PARTS for k, v in p.query.oracle.items()}
