@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import engine, office, scalars
+from .plans import bundles, engine, office, scalars
 
-_PARTS = (office, scalars, engine)
+_PARTS = (office, scalars, engine, bundles)
 QUERIES = {k: v for p in _PARTS for k, v in p.query.queries.items()}
 ORACLE = {k: v for p in _PARTS for k, v in p.query.oracle.items()}

@@ -45,7 +45,8 @@ SHINGLE, PERCENT = 4, 85
 SLOTS, SLOT_BLOCK = 1 << 21, 1 << 16
 #: Bits of the bitmap that picks the sets to verify.
 BITS = 1 << 23
-BITMAP = 64
+#: Bytes of a node's bitmap, and in the last round, which few nodes reach.
+BITMAP, WIDE = 64, 256
 FLUSH = 1 << 20
 #: Nodes of a token group that meet in one task.
 CHUNK = 4096
@@ -84,10 +85,11 @@ def _nodes(h: np.ndarray, t: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _bitmaps(h: np.ndarray, t: np.ndarray, n: int) -> np.ndarray:
-    own = np.zeros((n, BITMAP * 8), bool)
-    own[t, (h >> _U(20)) & _U(BITMAP * 8 - 1)] = True
-    return np.packbits(own, axis=1, bitorder="little")
+def _bitmaps(h: np.ndarray, t: np.ndarray, n: int, width: int) -> pa.Array:
+    own = np.zeros((n, width * 8), bool)
+    own[t, (h >> _U(20)) & _U(width * 8 - 1)] = True
+    packed = np.packbits(own, axis=1, bitorder="little")
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), n, [None, pa.py_buffer(packed.tobytes())]).cast(pa.binary())
 
 
 def _summaries(rows: DataFrame, n: int) -> DataFrame:
@@ -106,16 +108,15 @@ def _summaries(rows: DataFrame, n: int) -> DataFrame:
                 for a in range(0, len(p), 4096):
                     z = min(a + 4096, len(p))
                     lo, hi = np.searchsorted(t, [a, z])
-                    bits = _bitmaps(h[lo:hi], t[lo:hi] - a, z - a)
-                    flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITMAP), z - a, [None, pa.py_buffer(bits.tobytes())]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([docs.slice(p.first + a, z - a), pa.array(_nodes(h[lo:hi], t[lo:hi] - a, sizes[a:z])), pa.array(sizes[a:z].astype(np.int32)), flat, pa.array(np.zeros(z - a, bool))], names)
+                    bits, wide = (_bitmaps(h[lo:hi], t[lo:hi] - a, z - a, w) for w in (BITMAP, WIDE))
+                    yield pa.RecordBatch.from_arrays([docs.slice(p.first + a, z - a), pa.array(_nodes(h[lo:hi], t[lo:hi] - a, sizes[a:z])), pa.array(sizes[a:z].astype(np.int32)), bits, wide, pa.array(np.zeros(z - a, bool))], names)
         if counters.any():
             blocks = counters.reshape(-1, SLOT_BLOCK)
             for k in range(len(blocks)):
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([k], pa.int64()), pa.nulls(1, pa.int32()), pa.array([zlib.compress(blocks[k].tobytes(), 1)], pa.binary()), pa.array([True])], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([k], pa.int64()), pa.nulls(1, pa.int32()), pa.array([zlib.compress(blocks[k].tobytes(), 1)], pa.binary()), pa.nulls(1, pa.binary()), pa.array([True])], names)
 
-    names = ["doc", "node", "n", "bitmap", "sketch"]
-    return rows.mapInArrow(of, "doc long, node long, n int, bitmap binary, sketch boolean")
+    names = ["doc", "node", "n", "bitmap", "wide", "sketch"]
+    return rows.mapInArrow(of, "doc long, node long, n int, bitmap binary, wide binary, sketch boolean")
 
 
 def _sketch(summaries: DataFrame) -> np.ndarray:
@@ -131,8 +132,9 @@ def _sketch(summaries: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([np.minimum(y, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())], ["node", "bitmap"])
 
     out = np.zeros((SLOTS // SLOT_BLOCK, SLOT_BLOCK), np.uint32)
-    for r in summaries.filter("sketch").select("node", "bitmap").repartition(8, "node").mapInArrow(add, "node long, bitmap binary").toLocalIterator():
-        out[r.node] = np.frombuffer(r.bitmap, np.uint32)
+    got = summaries.filter("sketch").select("node", "bitmap").repartition(8, "node").mapInArrow(add, "node long, bitmap binary").toArrow()
+    for k, x in zip(got["node"].to_pylist(), got["bitmap"].to_pylist(), strict=True):
+        out[k] = np.frombuffer(x, np.uint32)
     return out.ravel()
 
 
@@ -323,12 +325,12 @@ def _proposals(members: DataFrame, percent: int, best: bool) -> DataFrame:
         for batch in batches:
             rows = [batch.column(k).to_numpy() for k in range(5)]
             col = batch.column(5)
-            at = np.frombuffer(col.buffers()[1], np.int32, 1, 4 * col.offset)[0] if len(col) else 0
-            rows.append(np.frombuffer(col.buffers()[2], np.uint8, len(col) * BITMAP, at).reshape(-1, BITMAP).copy().view(_U) if len(col) else np.zeros((0, BITMAP // 8), _U))
+            if not len(col):
+                continue
+            at = np.frombuffer(col.buffers()[1], np.int32, len(col) + 1, 4 * col.offset)
+            rows.append(np.frombuffer(col.buffers()[2], np.uint8, at[-1] - at[0], at[0]).reshape(len(col), -1).copy().view(_U))
             if left is not None:
                 rows = [np.concatenate(x) for x in zip(left, rows, strict=True)]
-            if not len(rows[0]):
-                continue
             token, cell = rows[0], rows[1]
             whole = len(token) - int(((token == token[-1]) & (cell == cell[-1])).sum())
             left = [x[whole:] for x in rows]
@@ -405,9 +407,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     prefix = total * (100 - percent) / 100
     buckets = max(128, 1 << int(prefix / FLUSH * 2).bit_length())
     tokens = stored(_token_groups(rows, n, percent, sketch, buckets), "token-groups")
-    features = stored(summary.filter("n > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")), "nodes")
+    features = stored(summary.filter("n > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.first("wide").alias("wide")), "nodes")
 
-    members = tokens.join(features.drop("doc").hint("merge"), "node")
+    members = tokens.join(features.select("node", "n", "bitmap").hint("merge"), "node")
     links, roots = None, None
     for step in range(3):
         last = step == 2
@@ -428,6 +430,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
             pairs = found.select("a", "b").distinct()
         else:
             best = found.groupBy("a").agg(F.max_by("b", F.struct("like", "b")).alias("b"))
+            # nodes without a promising partner in another component are done, unless they are in a group that was dealt out in parts
+            best = stored(best, "partners")
+            kept = best.select(F.col("a").alias("k_node")).unionByName(tokens.filter(F.col("many") > CHUNK).select(F.col("node").alias("k_node"))).distinct()
+            alive = features.join(kept, F.col("node") == F.col("k_node"), "left_semi").select("node", "n", F.col("wide" if step else "bitmap").alias("bitmap"))
+            members = tokens.join(alive.hint("merge"), "node")
             pairs = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = stored(pairs, "proposals")
         if pairs.isEmpty():

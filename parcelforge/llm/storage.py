@@ -62,8 +62,9 @@ def slots_bitmap(keys: DataFrame, bits: int) -> np.ndarray:
 
     blocks = keys.mapInArrow(touched, "block int, bytes binary").repartition(8, "block").mapInArrow(merged, "block int, bytes binary")
     out = np.zeros((max(bits // BLOCK, 1), min(width, bits // 8)), np.uint8)
-    for r in blocks.toLocalIterator():
-        out[r.block] = np.frombuffer(r.bytes, np.uint8)
+    got = blocks.toArrow()  # one job; bits / 8 bytes in all
+    for k, x in zip(got["block"].to_pylist(), got["bytes"].to_pylist(), strict=True):
+        out[k] = np.frombuffer(x, np.uint8)
     return out.ravel()
 
 
