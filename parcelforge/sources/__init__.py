@@ -1 +1 @@
-
+"""Sources and sinks: files in, exports out."""
