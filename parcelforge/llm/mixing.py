@@ -32,6 +32,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
+def hash_of(column: str, seed: int) -> Column:
+    """32 bits of an MD5, which other engines can compute too."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(column).cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+
+
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), total: float = 1.5, most: float = 2.0) -> DataFrame:
     """One row per source: ``source, source_docs, source_size, target``. The windows run over one row per source."""
     per = sized.groupBy("source").agg(F.count(F.lit(1)).alias("source_docs"), F.sum("size").alias("source_size"))
@@ -57,16 +63,16 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     per = source_targets(sized, weights, total, most).withColumnRenamed("source", "own")
     rows = sized.join(per, F.col("source").eqNullSafe(F.col("own"))).drop("own")
     rows = rows.withColumns({
-        "class": F.floor(F.log2(F.col("size") + 1) * 2).cast("int"),
-        "salt": F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.ceil(F.sqrt("source_docs") / 8)).cast("int"),
+        "class": F.length(F.bin("size")),
+        "salt": (hash_of("doc_id", seed) % F.ceil(F.sqrt("source_docs") / 8)).cast("int"),
     })
     block = ["source", "class", "salt"]
     counts = rows.groupBy(block).agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("class", "salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select(*(F.col(c).alias(f"b_{c}") for c in block), before.alias("start"))
-    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(block).orderBy("size", F.xxhash64("doc_id", F.lit(seed)), "doc_id")))
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(block).orderBy("size", hash_of("doc_id", seed), "doc_id")))
     placed = placed.join(starts, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("class") == F.col("b_class")) & (F.col("salt") == F.col("b_salt")))
-    offset = F.pmod(F.xxhash64("source", F.lit(seed + 1)), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    offset = hash_of("source", seed + 1) / F.lit(float(1 << 32))
     each = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(most))).otherwise(0.0)
     at = F.col("start") + F.col("place")
     copies = (F.floor(at * each + offset) - F.floor((at - 1) * each + offset)).cast("long")
