@@ -25,6 +25,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the least id stays; rows without an id stay, repeats of a row are one document."""
+    docs = docs.select(COLUMNS)
     kept = jaccard.groups(docs).filter("component_id = doc_id").select(F.col("doc_id").alias("kept_id")).distinct()
     named = docs.join(kept.hint("merge"), F.col("doc_id") == F.col("kept_id"), "left_semi")
     order = Window.partitionBy("doc_id", "hash").orderBy("source", "lang")

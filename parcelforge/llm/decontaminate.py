@@ -180,5 +180,7 @@ def _mark_by_join(docs: DataFrame, found: DataFrame, keep: Sequence[str], text_c
     spans = places.groupBy("row", "span").agg(F.min("start").alias("start"), F.max("end").alias("end")).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"), F.sum(F.col("end") - F.col("start")).alias("n_hit"))
     ids = hits.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     counts = cut.filter(F.col("length").isNull()).select("row", F.col("n").alias("n_words"))
-    out = rows.drop("__text").withColumnRenamed("__row", "row").join(counts, "row").join(spans, "row", "left").join(ids, "row", "left")
-    return out.select(*keep, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"), F.coalesce("items", F.array().cast("array<long>")).alias("items"))
+    found = counts.join(spans, "row", "left").join(ids, "row", "left").select(F.col("row").alias("__r"), *(F.col(c).alias(f"__{c}") for c in ("n_words", "n_hit", "spans", "items")))
+    out = rows.join(found, F.col("__row") == F.col("__r"))
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c[2:])
+    return out.select(*keep, F.col("__n_words").alias("n_words"), F.coalesce("__n_hit", F.lit(0)).cast("long").alias("n_hit"), none("__spans", "array<struct<start:int,end:int>>"), none("__items", "array<long>"))

@@ -64,7 +64,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = sized.join(per, F.col("source").eqNullSafe(F.col("own"))).drop("own")
     rows = rows.withColumns({
         "class": F.length(F.bin("size")),
-        "salt": (hash_of("doc_id", seed) % F.ceil(F.sqrt("source_docs") / 8)).cast("int"),
+        "salt": (hash_of("doc_id", seed) % F.ceil(F.sqrt("source_docs") / 4)).cast("int"),
     })
     block = ["source", "class", "salt"]
     counts = rows.groupBy(block).agg(F.count(F.lit(1)).alias("n"))

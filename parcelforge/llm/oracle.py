@@ -44,8 +44,8 @@ c AS (SELECT *, before + cap / w * rest <= t AS capped FROM o),
 l AS (SELECT *, (t - sum(CASE WHEN capped THEN cap ELSE 0 END) OVER ()) / sum(CASE WHEN NOT capped THEN w END) OVER () AS level FROM c),
 g AS (SELECT source, docs, source_size, CASE WHEN capped THEN cap ELSE least(level * w, cap) END AS target FROM l),
 p AS (SELECT s.*, docs, source_size, target, CASE WHEN source_size > 0 THEN least(target / source_size, 2.0::DOUBLE) ELSE 0 END AS each, {_hash("coalesce(s.source, '')", 18)} / 4294967296.0::DOUBLE AS u,
-  row_number() OVER (PARTITION BY s.source ORDER BY length(bin(size)), {_hash("doc_id", 17)} % CAST(ceil(sqrt(docs) / 8) AS BIGINT), size, {_hash("doc_id", 17)}, doc_id) AS at FROM s JOIN g ON s.source IS NOT DISTINCT FROM g.source),
-k AS (SELECT *, CAST(floor(at * each + u) - floor((at - 1) * each + u) AS BIGINT) AS copies FROM p)
+  row_number() OVER (PARTITION BY s.source ORDER BY length(bin(size)), {_hash("doc_id", 17)} % CAST(ceil(sqrt(docs) / 4) AS BIGINT), size, {_hash("doc_id", 17)}, doc_id) AS pos FROM s JOIN g ON s.source IS NOT DISTINCT FROM g.source),
+k AS (SELECT *, CAST(floor(pos * each + u) - floor((pos - 1) * each + u) AS BIGINT) AS copies FROM p)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM k
 """
 

@@ -288,7 +288,8 @@ def dedup(docs: DataFrame, keep: Sequence[str] = ("doc_id",), id_col: str = "doc
     later = stored(_later_windows(rows, window, bitmap, hot, buckets), "later-windows")
 
     whole = docs.select(*keep, ids.alias("__doc"), key.alias("__row"), text.alias("__text"))
-    whole = whole.join(later.hint("merge"), F.col("__row") == F.col("row"), "left").select(*keep, "__doc", "__text", "blob")
+    spans = later.select(F.col("row").alias("__later"), F.col("blob").alias("__blob")).hint("merge")
+    whole = whole.join(spans, F.col("__row") == F.col("__later"), "left").select(*keep, "__doc", "__text", "__blob")
     schema = T.StructType([*whole.schema.fields[:-3], *T.StructType.fromDDL(OUT).fields])
     names, spans_type = schema.names, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 

@@ -42,7 +42,7 @@ def items(spark, docs):
 def test_against_brute_force(spark, limit):
     docs = fixtures.documents(spark)
     bench = items(spark, docs)
-    out = decontaminate.mark(docs, bench, keep=["doc_id", "size"], broadcast_limit=limit).collect()
+    out = decontaminate.mark(docs, bench, keep=["doc_id", "size", "row", "hash"], broadcast_limit=limit).collect()
     want = brute_force([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], [tuple(r) for r in bench.collect()])
     assert sorted((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in out) == want
     assert any(x[2] for x in want) and all(sum(s.end - s.start for s in r.spans) == r.n_hit for r in out)

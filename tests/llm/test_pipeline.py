@@ -34,7 +34,8 @@ def test_stages(spark, tmp_path):
     want = {i for i, _, c in test_jaccard.brute_force(pairs(docs)) if i == c}
     assert {i for i, _ in pairs(one)} == want and len(pairs(one)) == len(set(pairs(docs.filter(F.col("doc_id").isin(*want)))))
     cut = P.without_repeats(spark, one, at)
-    kept = {(i, t) for i, n, gone, t in test_substrings.brute_force(pairs(one)) if gone and gone < n} | {(i, t) for i, t in pairs(one) if (i, 0) in {(i, g) for i, _, g, _ in test_substrings.brute_force(pairs(one))}}
+    before = pairs(one)
+    kept = {(i, t if gone else whole) for (_, whole), (i, n, gone, t) in zip(before, test_substrings.by_row(before), strict=True) if not gone or gone < n}
     assert set(pairs(cut)) == kept and cut.columns == P.COLUMNS
     clean = P.without_benchmark(spark, cut, at)
     hit = {i for i, _, n, _ in test_decontaminate.brute_force(pairs(cut), [tuple(r) for r in spark.read.parquet(f"{at}/benchmark.parquet").select("item_id", "text").collect()]) if n}

@@ -6,7 +6,7 @@ import pytest
 from parcelforge.llm import substrings
 
 
-def brute_force(rows):
+def by_row(rows):
     words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
     first = {}
     for (i, _), w in zip(rows, words, strict=True):
@@ -20,7 +20,11 @@ def brute_force(rows):
             if first[tuple(w[k : k + 50])] < i:
                 gone[k : k + 50] = [True] * 50
         out.append((i, len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g)))
-    return sorted(out)
+    return out
+
+
+def brute_force(rows):
+    return sorted(by_row(rows))
 
 
 @pytest.mark.parametrize("hot", [256, 1, 5])
