@@ -28,11 +28,11 @@ def _boxes(spark: SparkSession, d: str) -> DataFrame:
     return t.withColumns({"x1": F.col("x0") + 0.1, "y1": F.col("y0") + 0.1})
 
 
-@query("jn15_overlapping_tokens", f"WITH {BOX}, j AS (SELECT a.id AS id_a, b.id AS id_b, greatest(CAST(0 AS DOUBLE), least(a.x0, b.x0) + 0.1 - greatest(a.x0, b.x0)) * greatest(CAST(0 AS DOUBLE), least(a.y0, b.y0) + 0.1 - greatest(a.y0, b.y0)) AS i FROM b a JOIN b ON a.page = b.page AND a.side = 'O' AND b.side = 'F') SELECT id_a, id_b, round(i / (0.02 - i), 3) AS iou FROM j WHERE i / (0.02 - i) > 0.3001".replace("+ 0.1 -", "+ CAST(0.1 AS DOUBLE) -").replace("(0.02 - i)", "(CAST(0.02 AS DOUBLE) - i)"))
+@query("jn15_overlapping_tokens", f"WITH {BOX}, j AS (SELECT a.id AS id_a, b.id AS id_b, greatest(CAST(0 AS DOUBLE), least(a.x0, b.x0) + 0.1 - greatest(a.x0, b.x0)) * greatest(CAST(0 AS DOUBLE), least(a.y0, b.y0) + 0.1 - greatest(a.y0, b.y0)) AS i FROM b a JOIN b ON a.page = b.page AND a.side = 'O' AND b.side = 'F') SELECT id_a, id_b, round(i / (0.02 - i), 6) AS iou FROM j WHERE i / (0.02 - i) > 0.3001".replace("+ 0.1 -", "+ CAST(0.1 AS DOUBLE) -").replace("(0.02 - i)", "(CAST(0.02 AS DOUBLE) - i)"))
 def jn15(spark: SparkSession, d: str) -> DataFrame:
     b = _boxes(spark, d)
     out = docmap.overlapping(b.filter("side = 'O'"), b.filter("side = 'F'"))
-    return out.filter("iou > 0.3001").select("id_a", "id_b", F.round("iou", 3).alias("iou"))
+    return out.filter("iou > 0.3001").select("id_a", "id_b", F.round("iou", 6).alias("iou"))
 
 
 @query("jn16_tokens_in_cells", f"WITH {BOX}, c AS (SELECT p.i AS page, r.i AS row, q.i AS col, q.i / CAST(4 AS DOUBLE) AS cx0, r.i / CAST(4 AS DOUBLE) AS cy0 FROM range(40) p(i), range(4) r(i), range(4) q(i)) SELECT c.page, c.row, c.col, count(*) AS n FROM c JOIN b ON b.page = c.page AND x0 + 0.05 >= cx0 AND x0 + 0.05 <= cx0 + 0.25 AND y0 + 0.05 >= cy0 AND y0 + 0.05 <= cy0 + 0.25 GROUP BY 1, 2, 3".replace("+ 0.05", "+ CAST(0.05013 AS DOUBLE)").replace("+ 0.25", "+ CAST(0.25 AS DOUBLE)"))
