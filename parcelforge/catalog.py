@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import bundles, engine, mapping, office, scalars
+from .plans import bundles, engine, extras, mapping, office, scalars
 
-_PARTS = (office, scalars, engine, bundles, mapping)
+_PARTS = (office, scalars, engine, bundles, mapping, extras)
 QUERIES = {k: v for p in _PARTS for k, v in p.query.queries.items()}
 ORACLE = {k: v for p in _PARTS for k, v in p.query.oracle.items()}

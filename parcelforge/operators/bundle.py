@@ -12,13 +12,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..enums import CHECK_STATUSES
 from ..functions import dates, identifiers, names, shares
 from ..functions.names import EXACT_ENOUGH, THRESHOLD
+from .reads import free_text
 
 _PARCEL = "struct<khasra_number:string,khata_number:string,survey_number:string,village:string,tehsil:string,district:string,state:string,area:double>"
 _OWNER = "struct<name:string,relation_type:string,relation_name:string,share:struct<num:bigint,den:bigint>>"
@@ -121,6 +122,11 @@ def _key(name: Column) -> Column:
     return F.lower(F.trim(name))
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """The same rows behind a generator: the optimizer neither merges projections nor pushes filters through it, so expressions are not copied into each other."""
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("r")).select("r.*")
+
+
 def prepared(cases: DataFrame) -> DataFrame:
     """Cases with folded names, ordered snapshots, links, owner diff, death links and heirs."""
     empty = lambda n: F.coalesce(F.col(n), F.from_json(F.lit("[]"), dict(_fields())[n]))
@@ -141,18 +147,18 @@ def prepared(cases: DataFrame) -> DataFrame:
         F.flatten(F.transform(k.documents, lambda d: F.concat(_fold(d["executants"]), _fold(d["beneficiaries"])))),
         _fold(k.deaths), _fold(k.heirs_given),
     )))
-    rows = rows.withColumn("__names", everyone).withColumn("__links", _links("__names"))
+    rows = _settled(_settled(rows).withColumn("__names", everyone).withColumn("__links", _links("__names")))
     n = F.size(k.snapshots)
     rows = rows.withColumns({"__previous": F.get(k.snapshots, F.lit(0)), "__current": F.when(n > 1, F.get(k.snapshots, n - 1))})
     none = _owners(F.lit(None).cast(f"array<{_OWNER}>"))
     rows = rows.withColumns({"__before": F.coalesce(k.previous["owners"], none), "__after": F.coalesce(k.current["owners"], none)})
-    rows = rows.withColumn("__diff", k.compare(k.before, k.after))
+    rows = _settled(_settled(rows).withColumn("__diff", k.compare(k.before, k.after)))
     share_of = lambda o: F.coalesce(o["share"]["num"].cast("double") / o["share"]["den"], F.lit(-1.0))
     moved = F.exists(k.diff["kept"], lambda p: share_of(F.get(k.before, p["i"])) != share_of(F.get(k.after, p["j"])))
     both = k.previous.isNotNull() & k.current.isNotNull()
     changed = F.when(both, (F.size(k.diff["gone"]) > 0) | (F.size(k.diff["left"]) > 0) | moved).otherwise(F.exists(k.mutations, lambda m: F.size(m["new_owners"]) > 0))
     rows = rows.withColumns({"__changed": changed, "__death_links": F.transform(k.deaths, lambda d: F.struct(d.alias("death"), k.best(d["f"], k.before).alias("match")))})
-    return rows.withColumn("__all_heirs", _all_heirs(k))
+    return _settled(_settled(rows).withColumn("__all_heirs", _all_heirs(k)))
 
 
 def _all_heirs(k: Case) -> Column:
@@ -425,10 +431,10 @@ def validate(cases: DataFrame, risk_points: dict[str, float] | None = None, disa
     rows = prepared(cases)
     k = Case()
     parts = [build(k) for name, code, build in REGISTRY if f"SUCCESSION_{code}" not in disabled]
-    rows = rows.withColumn("checks", F.concat(*parts))
+    rows = _settled(rows.withColumn("checks", F.concat(*parts)))
     points, weight = _table(RISK_POINTS | (risk_points or {})), _table(MULTIPLIER)
     scored = F.transform("checks", lambda c: F.struct(c["rule"].alias("rule"), c["rule_code"].alias("rule_code"), c["status"].alias("status"), F.round(F.coalesce(F.try_element_at(points, c["rule_code"]), F.lit(20.0)) * F.try_element_at(weight, c["status"]), 2).alias("points")))
-    rows = rows.withColumn("contributions", F.filter(scored, lambda c: c["points"] > 0))
+    rows = _settled(rows.withColumn("contributions", F.filter(scored, lambda c: c["points"] > 0)))
     rows = rows.withColumn("risk_score", F.round(F.least(F.lit(100.0), F.aggregate("contributions", F.lit(0.0), lambda s, c: s + c["points"])), 2))
     level = None
     for least, name in BANDS:
@@ -439,7 +445,8 @@ def validate(cases: DataFrame, risk_points: dict[str, float] | None = None, disa
     actions = F.create_map(*(x for a, b in ACTIONS.items() for x in (F.lit(a), F.lit(b))))
     rows = rows.withColumns({"risk_level": level.otherwise("low"), "outcome": F.coalesce(F.try_element_at(outcomes, F.get(rank, (worst - 1).cast("int"))), F.lit("validated"))})
     kind = F.when((F.size(k.snapshots) == 0) & (F.size(k.mutations) == 0), "insufficient_documents").when(~k.changed, "no_transition_detected").when(F.size(_recorded(k)) > 0, "owner_death_succession").otherwise("ownership_transition")
-    return rows.select("case_id", "parcel_key", "checks", "risk_score", "risk_level", "outcome", F.try_element_at(actions, F.col("outcome")).alias("recommended_action"), kind.alias("event_type"), (F.size(_recorded(k)) > 0).alias("death_verified"), k.heirs.alias("heirs"), "contributions", timeline(k).alias("timeline"))
+    rows = _settled(rows)
+    return _settled(rows.select("case_id", "parcel_key", "checks", "risk_score", "risk_level", "outcome", F.try_element_at(actions, F.col("outcome")).alias("recommended_action"), kind.alias("event_type"), (F.size(_recorded(k)) > 0).alias("death_verified"), k.heirs.alias("heirs"), "contributions", timeline(k).alias("timeline")))
 
 
 def ownership_events(reports: DataFrame) -> DataFrame:
@@ -462,3 +469,49 @@ def status_counts(reports: DataFrame) -> DataFrame:
 def summary(reports: DataFrame) -> DataFrame:
     """Totals of the case register; the average risk of no case is 0."""
     return reports.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("outcome") != "validated").alias("open"), F.count_if("death_verified").alias("deaths"), F.coalesce(F.round(F.avg("risk_score"), 2), F.lit(0.0)).alias("avg_risk"))
+
+
+SEVERITY = {"fail": "error", "review_required": "warning", "warning": "warning", "pass": "info", "not_applicable": "info"}
+
+
+def sorted_checks(reports: DataFrame) -> DataFrame:
+    """Checks in reading order: worst status, most points, then rule."""
+    rank = F.array(*(F.lit(s) for s in CHECK_STATUSES))
+    points, weight = _table(RISK_POINTS), _table(MULTIPLIER)
+    rows = reports.select("case_id", F.explode("checks").alias("c")).select("case_id", "c.*")
+    rows = rows.withColumns({"rank": F.array_position(rank, F.col("status")), "points": F.round(F.coalesce(F.try_element_at(points, F.col("rule_code")), F.lit(20.0)) * F.try_element_at(weight, F.col("status")), 2)})
+    order = Window.partitionBy("case_id").orderBy(F.col("rank").desc(), F.col("points").desc(), "rule", F.col("match_score").asc_nulls_first())
+    return rows.withColumn("place", F.row_number().over(order)).drop("rank")
+
+
+def as_findings(reports: DataFrame) -> DataFrame:
+    """Checks that are not clear, in the shape of record findings."""
+    severity = F.create_map(*(x for k, v in SEVERITY.items() for x in (F.lit(k), F.lit(v))))
+    c = reports.select("case_id", "parcel_key", F.explode("checks").alias("c")).filter(~F.col("c.status").isin("pass", "not_applicable"))
+    return c.select("case_id", "parcel_key", F.col("c.rule_code").alias("rule_code"), F.try_element_at(severity, F.col("c.status")).alias("severity"), F.concat(F.lit("$.succession.checks["), F.col("c.rule"), F.lit("]")).alias("json_path"))
+
+
+def summary_sentence(reports: DataFrame) -> DataFrame:
+    """``case_id, summary``: what the checks found, in a few words."""
+    n = F.size("heirs")
+    heirs = F.when(n > 1, F.concat(n.cast("string"), F.lit(" potential heirs are named."))).when(n == 1, F.concat(F.lit("One potential heir is named: "), F.get("heirs", F.lit(0))["name"], F.lit(".")))
+    death = F.when(F.col("death_verified"), "A recorded owner has died.")
+    end = F.when(F.col("outcome") == "validated", "The documents account for the transfer.").when(F.col("outcome") == "inconsistent", "The documents contradict each other; the revenue authority must review them.").otherwise("The documents do not establish the transfer; a review is required.")
+    told = F.concat_ws(" ", F.lit("Ownership changed."), death, heirs, end)
+    text = F.when(F.col("event_type") == "insufficient_documents", "There are too few documents to assess a transfer.").when(F.col("event_type") == "no_transition_detected", "The records show no change of ownership.").otherwise(told)
+    return reports.select("case_id", text.alias("summary"))
+
+
+def case_filter(columns, *, q: str | None = None, open_only: bool = False, min_risk: float | None = None, **equal) -> Column:
+    """Conjunctive filters of the case list."""
+    out = F.lit(True)
+    if q:
+        out = out & free_text(q, [c for c in ("case_id", "parcel_key", "village", "district") if c in set(columns)])
+    if open_only:
+        out = out & F.col("outcome").isin("review_required", "inconsistent", "incomplete")
+    if min_risk is not None:
+        out = out & (F.col("risk_score") >= min_risk)
+    for k, v in equal.items():
+        if v is not None:
+            out = out & (F.col(k) == v)
+    return out

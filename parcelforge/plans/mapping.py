@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..operators import docmap
 from ..sources import exports, files
+from ..session import shared_folder
 from ..streaming import audit
 from .registry import Registry
 from .views import AS_OF, EVENTS, PARCELS, as_of, parcels, review_events, time_text
@@ -263,7 +264,7 @@ def _as_stream(spark: SparkSession, d: str) -> DataFrame:
 def _drained(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """All that a stream gives for the data that is there."""
     spark = stream.sparkSession
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", tempfile.mkdtemp(prefix="stream-")).trigger(availableNow=True).start()
+    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
 
