@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from ..enums import CHECK_STATUSES
 from ..functions import dates, identifiers, names, shares
 from ..functions.names import EXACT_ENOUGH, THRESHOLD
+from .plan import settled
 from .reads import free_text
 
 _PARCEL = "struct<khasra_number:string,khata_number:string,survey_number:string,village:string,tehsil:string,district:string,state:string,area:double>"
@@ -122,11 +123,6 @@ def _key(name: Column) -> Column:
     return F.lower(F.trim(name))
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """The same rows behind a generator: the optimizer neither merges projections nor pushes filters through it, so expressions are not copied into each other."""
-    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("r")).select("r.*")
-
-
 def prepared(cases: DataFrame) -> DataFrame:
     """Cases with folded names, ordered snapshots, links, owner diff, death links and heirs."""
     empty = lambda n: F.coalesce(F.col(n), F.from_json(F.lit("[]"), dict(_fields())[n]))
@@ -147,18 +143,18 @@ def prepared(cases: DataFrame) -> DataFrame:
         F.flatten(F.transform(k.documents, lambda d: F.concat(_fold(d["executants"]), _fold(d["beneficiaries"])))),
         _fold(k.deaths), _fold(k.heirs_given),
     )))
-    rows = _settled(_settled(rows).withColumn("__names", everyone).withColumn("__links", _links("__names")))
+    rows = settled(settled(rows).withColumn("__names", everyone).withColumn("__links", _links("__names")))
     n = F.size(k.snapshots)
     rows = rows.withColumns({"__previous": F.get(k.snapshots, F.lit(0)), "__current": F.when(n > 1, F.get(k.snapshots, n - 1))})
     none = _owners(F.lit(None).cast(f"array<{_OWNER}>"))
     rows = rows.withColumns({"__before": F.coalesce(k.previous["owners"], none), "__after": F.coalesce(k.current["owners"], none)})
-    rows = _settled(_settled(rows).withColumn("__diff", k.compare(k.before, k.after)))
+    rows = settled(settled(rows).withColumn("__diff", k.compare(k.before, k.after)))
     share_of = lambda o: F.coalesce(o["share"]["num"].cast("double") / o["share"]["den"], F.lit(-1.0))
     moved = F.exists(k.diff["kept"], lambda p: share_of(F.get(k.before, p["i"])) != share_of(F.get(k.after, p["j"])))
     both = k.previous.isNotNull() & k.current.isNotNull()
     changed = F.when(both, (F.size(k.diff["gone"]) > 0) | (F.size(k.diff["left"]) > 0) | moved).otherwise(F.exists(k.mutations, lambda m: F.size(m["new_owners"]) > 0))
     rows = rows.withColumns({"__changed": changed, "__death_links": F.transform(k.deaths, lambda d: F.struct(d.alias("death"), k.best(d["f"], k.before).alias("match")))})
-    return _settled(_settled(rows).withColumn("__all_heirs", _all_heirs(k)))
+    return settled(settled(rows).withColumn("__all_heirs", _all_heirs(k)))
 
 
 def _all_heirs(k: Case) -> Column:
@@ -431,10 +427,10 @@ def validate(cases: DataFrame, risk_points: dict[str, float] | None = None, disa
     rows = prepared(cases)
     k = Case()
     parts = [build(k) for name, code, build in REGISTRY if f"SUCCESSION_{code}" not in disabled]
-    rows = _settled(rows.withColumn("checks", F.concat(*parts)))
+    rows = settled(rows.withColumn("checks", F.concat(*parts)))
     points, weight = _table(RISK_POINTS | (risk_points or {})), _table(MULTIPLIER)
     scored = F.transform("checks", lambda c: F.struct(c["rule"].alias("rule"), c["rule_code"].alias("rule_code"), c["status"].alias("status"), F.round(F.coalesce(F.try_element_at(points, c["rule_code"]), F.lit(20.0)) * F.try_element_at(weight, c["status"]), 2).alias("points")))
-    rows = _settled(rows.withColumn("contributions", F.filter(scored, lambda c: c["points"] > 0)))
+    rows = settled(rows.withColumn("contributions", F.filter(scored, lambda c: c["points"] > 0)))
     rows = rows.withColumn("risk_score", F.round(F.least(F.lit(100.0), F.aggregate("contributions", F.lit(0.0), lambda s, c: s + c["points"])), 2))
     level = None
     for least, name in BANDS:
@@ -445,8 +441,8 @@ def validate(cases: DataFrame, risk_points: dict[str, float] | None = None, disa
     actions = F.create_map(*(x for a, b in ACTIONS.items() for x in (F.lit(a), F.lit(b))))
     rows = rows.withColumns({"risk_level": level.otherwise("low"), "outcome": F.coalesce(F.try_element_at(outcomes, F.get(rank, (worst - 1).cast("int"))), F.lit("validated"))})
     kind = F.when((F.size(k.snapshots) == 0) & (F.size(k.mutations) == 0), "insufficient_documents").when(~k.changed, "no_transition_detected").when(F.size(_recorded(k)) > 0, "owner_death_succession").otherwise("ownership_transition")
-    rows = _settled(rows)
-    return _settled(rows.select("case_id", "parcel_key", "checks", "risk_score", "risk_level", "outcome", F.try_element_at(actions, F.col("outcome")).alias("recommended_action"), kind.alias("event_type"), (F.size(_recorded(k)) > 0).alias("death_verified"), k.heirs.alias("heirs"), "contributions", timeline(k).alias("timeline")))
+    rows = settled(rows)
+    return settled(rows.select("case_id", "parcel_key", "checks", "risk_score", "risk_level", "outcome", F.try_element_at(actions, F.col("outcome")).alias("recommended_action"), kind.alias("event_type"), (F.size(_recorded(k)) > 0).alias("death_verified"), k.heirs.alias("heirs"), "contributions", timeline(k).alias("timeline")))
 
 
 def ownership_events(reports: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .plan import settled
+
 # WGS84, source tolerance multipliers, thresholds.
 A, E2 = 6378137.0, 0.0066943799901413165
 SOURCE_MULTIPLIER = {"drone_survey": 0.6, "dgps_survey": 0.6, "ets_survey": 0.8, "cadastral_shapefile": 1.0, "bhu_naksha": 1.0, "mock": 1.0, "unknown": 1.5}
@@ -33,7 +35,10 @@ def _q(lat: Column) -> Column:
 def ring_area(ring: Column) -> Column:
     """Square metres inside a closed ring, whatever its direction."""
     n = F.size(ring)
-    step = lambda i: F.radians(F.get(ring, i + 1)["lon"] - F.get(ring, i)["lon"]) * (_q(F.get(ring, i)["lat"]) + _q(F.get(ring, i + 1)["lat"]))
+    lon = lambda i: F.get(ring, i)["lon"]
+    before = lambda i: F.when(i == 0, n - 2).otherwise(i - 1)
+    # sum of dlon (q_i + q_i+1), regrouped so that each vertex' q is computed once
+    step = lambda i: F.radians(lon(i + 1) - lon(before(i))) * _q(F.get(ring, i)["lat"])
     total = F.aggregate(F.sequence(F.lit(0), n - 2), F.lit(0.0), lambda s, i: s + step(i))
     return F.when(n >= 4, F.abs(total) * A * A / 4)
 
@@ -244,9 +249,10 @@ def discrepancies(records: DataFrame, geometries: DataFrame, findings: DataFrame
         rows = rows.join(per, F.col("parcel_key") == F.col("f_key"), "left")
     else:
         rows = rows.withColumn("fractions", F.lit(None).cast("array<double>"))
+    rows = settled(rows)
     rel = relative_delta(F.col("textual_area"), F.col("geometric_area"))
     tol = F.when(F.col("available"), tolerance(F.col("source"))).otherwise(SURVEY_TOLERANCE)
-    rows = rows.withColumn("relative_delta", rel).withColumn("band", band(F.col("relative_delta"), tol))
+    rows = settled(rows.withColumn("relative_delta", rel)).withColumn("band", band(F.col("relative_delta"), tol))
     penalty = F.coalesce(topology_penalty(F.col("fractions")), F.lit(0.0))
     rows = rows.withColumns({"mismatch_score": total_mismatch(mismatch_score(F.col("relative_delta")), penalty), "confidence_score": confidence(F.col("ocr"), F.col("llm"), F.col("integrity"), agreement(F.col("relative_delta")), F.col("available"))})
     act = action(F.col("ocr"), F.col("llm"), F.col("band"), F.col("confidence_score"), F.coalesce(F.size("fractions") > 0, F.lit(False)))
