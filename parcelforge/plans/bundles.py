@@ -127,10 +127,19 @@ def rd6(spark: SparkSession, d: str) -> DataFrame:
     return bundle.history(bundle.ownership_events(reports(spark)), "key")
 
 
-@query("sx0b_heir_merge", "SELECT conv_id, role AS heir, min(turn) AS first_seen, count(*) AS mentions FROM conversations GROUP BY 1, 2")
+_DIFF = _rows((c, 0, 0, 1) if c == "not_updated" else (c, 0, 0, 0) if c == "empty" else (c, 1, 1, 0) for c, *_ in EXPECTED)
+_HEIRS = _rows((c, {"sole_heir": 1, "approximate": 1, "chain": 0, "empty": 0}.get(c, 3)) for c, *_ in EXPECTED)
+
+
+@query("jn11_owner_diff", f"SELECT * FROM (VALUES {_DIFF}) t(case_id, departed, arrived, retained)")
+def jn11(spark: SparkSession, d: str) -> DataFrame:
+    rows = bundle.prepared(spark.createDataFrame(cases(), bundle.CASE))
+    return rows.select("case_id", F.size("__diff.gone").alias("departed"), F.size("__diff.left").alias("arrived"), F.size("__diff.kept").alias("retained"))
+
+
+@query("sx0b_heir_merge", f"SELECT * FROM (VALUES {_HEIRS}) t(case_id, heirs)")
 def sx0b(spark: SparkSession, d: str) -> DataFrame:
-    t = spark.read.parquet(f"{d}/conversations.parquet")
-    return t.groupBy("conv_id", F.lower(F.trim("role")).alias("heir")).agg(F.min("turn").alias("first_seen"), F.count(F.lit(1)).alias("mentions"))
+    return reports(spark).select("case_id", F.size("heirs").alias("heirs"))
 
 
 @query("jn12_identifier_intersection", "SELECT a.l_orderkey AS left_key, count(*) AS shared FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_linestatus = 'O') a JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_linestatus = 'F') b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey = b.l_suppkey GROUP BY 1")
