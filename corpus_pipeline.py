@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from parcelforge.llm import decontaminate, jaccard, mixing, quality, substrings
 from parcelforge.llm.storage import stored
 
+#: Near copies share this much of their shingles of so many words.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -26,7 +28,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the least id stays; rows without an id stay, repeats of a row are one document."""
     docs = docs.select(COLUMNS)
-    kept = jaccard.groups(docs).filter("component_id = doc_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = jaccard.groups(docs, n=NEAR_WORDS, percent=NEAR_PERCENT).filter("component_id = doc_id").select(F.col("doc_id").alias("kept_id")).distinct()
     named = docs.join(kept.hint("merge"), F.col("doc_id") == F.col("kept_id"), "left_semi")
     order = Window.partitionBy("doc_id", "hash").orderBy("source", "lang")
     named = named.withColumn("hash", F.xxhash64("text")).withColumn("nth", F.row_number().over(order)).filter("nth = 1")

@@ -49,7 +49,7 @@ BITS = 1 << 23
 BITMAP, WIDE = 64, 256
 FLUSH = 1 << 20
 #: Nodes of a token group that meet in one task.
-CHUNK = 4096
+CHUNK = 1024
 LEAF, FAN, SMALL = 32, 8, 32
 
 _U = np.uint64

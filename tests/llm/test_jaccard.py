@@ -9,21 +9,21 @@ from parcelforge.llm import graphs, jaccard
 A_TO_Z = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 
 
-def shingles(text):
+def shingles(text, n=4):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(A_TO_Z))
-    return frozenset(tuple(w[i : i + 4]) for i in range(len(w) - 3)) if len(w) >= 4 else frozenset([tuple(w)] if w else [])
+    return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
 
-def brute_force(rows):
+def brute_force(rows, n=4, percent=85):
     """(id, set size, least reachable id) of every row."""
-    sets, near = [shingles(t) for _, t in rows], defaultdict(set)
+    sets, near = [shingles(t, n) for _, t in rows], defaultdict(set)
     where = defaultdict(list)
     for k, s in enumerate(sets):
         for g in s:
             where[g].append(k)
     for k, s in enumerate(sets):
-        for j, n in Counter(j for g in s for j in where[g]).items():
-            if 100 * n >= 85 * (len(s) + len(sets[j]) - n):
+        for j, m in Counter(j for g in s for j in where[g]).items():
+            if 100 * m >= percent * (len(s) + len(sets[j]) - m):
                 near[k].add(j)
     out = []
     for k, (i, _) in enumerate(rows):

@@ -31,7 +31,7 @@ def test_stages(spark, tmp_path):
     assert good.columns == P.COLUMNS
     assert good.filter("doc_id >= 200").count() == 0 and good.filter("doc_id between 9 and 100").count() >= 50
     one = P.one_of_group(spark, docs, at)
-    want = {i for i, _, c in test_jaccard.brute_force(pairs(docs)) if i == c}
+    want = {i for i, _, c in test_jaccard.brute_force(pairs(docs), P.NEAR_WORDS, P.NEAR_PERCENT) if i == c}
     assert {i for i, _ in pairs(one)} == want and len(pairs(one)) == len(set(pairs(docs.filter(F.col("doc_id").isin(*want)))))
     cut = P.without_repeats(spark, one, at)
     before = pairs(one)
