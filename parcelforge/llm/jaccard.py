@@ -17,8 +17,8 @@ Two documents link when 100 * intersection >= percent * union of their sets of
    verified on the exact sets, and components follow after each round.  So a group
    of k near copies costs about k verifications, not k * k / 2.
 
-Groups of more than ``CHUNK`` nodes are salted; in the last round only those that
-still span several components are paired chunk by chunk.
+Groups of more than ``CHUNK`` nodes are salted; in the last round, which runs whenever
+there are such groups, only those that still span several components are paired chunk by chunk.
 
 Cases: A-Z are lower-cased; texts of fewer words than ``n`` have one shingle, the whole
 sequence; null and word-less texts have no shingle and link with nothing; rows that
@@ -410,7 +410,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     features = stored(summary.filter("n > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.first("wide").alias("wide")), "nodes")
 
     members = tokens.join(features.select("node", "n", "bitmap").hint("merge"), "node")
-    links, roots = None, None
+    links, roots, in_parts = None, None, None
     for step in range(3):
         last = step == 2
         now = members.withColumn("root", F.col("node")) if roots is None else members.join(roots, "node", "left").withColumn("root", F.coalesce("root", F.col("node")))
@@ -438,7 +438,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
             pairs = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = stored(pairs, "proposals")
         if pairs.isEmpty():
-            break
+            # groups dealt out in parts were compared within the parts only: the last round has yet to pair the parts
+            if in_parts is None:
+                in_parts = not tokens.filter(F.col("many") > CHUNK).isEmpty()
+            if last or not in_parts:
+                break
+            continue
         new = stored(_verified(pairs, rows, n, percent), "links")
         links = new if links is None else links.unionByName(new)
         roots = stored(components(links), "roots")

@@ -2,7 +2,9 @@ import re
 from collections import Counter, defaultdict
 
 import fixtures
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from parcelforge.llm import graphs, jaccard
 
@@ -56,3 +58,16 @@ def test_components_of_chains_and_stars(spark):
     star = [(100, i) for i in range(101, 140)]
     got = {r.node: r.root for r in graphs.components(spark.createDataFrame(chain + star + [(200, 200)], "a long, b long")).collect()}
     assert got == {i: 1 for i in range(1, 61)} | {i: 100 for i in range(100, 140)}
+
+
+def test_link_across_parts_only(spark, monkeypatch):
+    """The only link lies across the parts of its token groups in rounds 0 and 1, and nothing else is proposed."""
+    monkeypatch.setattr(jaccard, "CHUNK", 1)
+    texts = [f"{' '.join(f't{s}x{i}' for i in range(16))} {end}{s}" for s in range(32) for end in "ab"]
+    node = [int(x) for p in jaccard.pieces(pa.array(texts), jaccard.BLANKS, jaccard.LOWER) for x in jaccard._nodes(*jaccard.piece_sets(p, 4))]
+    parts = spark.createDataFrame(list(enumerate(node)), "i int, node long").select("i", *(F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)).alias(f"r{r}") for r in (0, 1)))
+    part = {r.i: (r.r0, r.r1) for r in parts.collect()}
+    k = next(k for k in range(0, len(texts), 2) if all(x != y for x, y in zip(part[k], part[k + 1], strict=True)))
+    rows = [(1, texts[k]), (2, texts[k + 1]), (3, "quite another text of eight words or so")]
+    got = sorted(map(tuple, jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == brute_force(rows) == [(1, 14, 1), (2, 14, 1), (3, 5, 3)]
