@@ -5,8 +5,9 @@ footers, sidebars, notices, adverts, forms, scripts and comments are set aside b
 tag, role, visibility and class words.  Each remaining block gives points for its
 length and commas to its ancestors, less with each level; a container's points are
 discounted by its link density.  The best container wins (its enclosing article, if
-there is one), and siblings that score well too, paragraphs and headings beside it are kept.
-If nothing is left, the class words are disregarded.
+there is one), and siblings that score a fifth of it, paragraphs, headings, and divs and
+sections with few links beside it are kept; when all siblings are, the parent is the container and
+its siblings are judged in turn.  If nothing is left, the class words are disregarded.
 
 Text: character references are decoded, white space inside a block becomes one
 space, blocks are joined in page order by an empty line; nothing else is dropped.
@@ -187,6 +188,15 @@ def _points(text: str, linked: int) -> float:
     return own * (1 - linked / n)
 
 
+def _belongs(tag: str, size: int, linked: int) -> bool:
+    """Whether an element beside the article's container is text of the article, by link density and text."""
+    if tag in HEADINGS:
+        return linked < 0.25 * size
+    if tag in PASSIVE or tag in ("div", "section"):
+        return linked < 0.25 * size and size >= 80 or tag in ("p", "div", "section") and not linked
+    return False
+
+
 def main_blocks(source: str) -> list[str]:
     """The blocks of a page's main text."""
     page = _Page(source)
@@ -226,14 +236,17 @@ def _chosen(page: _Page, classes: bool) -> list[str]:
     while up > 0 and tag[up] != "article":
         up = parent[up]
     best = up if up > 0 else best
+    bar = 0.2 * total[best]
     kept = [(best, page.last[best])]
-    if best and tag[best] != "article":
-        for i in range(parent[best] + 1, page.last[parent[best]] + 1):
-            if parent[i] == parent[best] and i != best and not gone[i] and size[i]:
-                near = density(i) < 0.25 and (tag[i] in PASSIVE and size[i] >= 80 or tag[i] in HEADINGS)
-                short = tag[i] == "p" and not linked[i]
-                if near or short or total[i] >= max(10.0, 0.2 * total[best]):
-                    kept.append((i, page.last[i]))
+    while best and tag[best] != "article":
+        up = parent[best]
+        beside = [i for i in range(up + 1, page.last[up] + 1) if parent[i] == up and i != best and not gone[i] and size[i]]
+        own = [i for i in beside if _belongs(tag[i], size[i], linked[i]) or total[i] >= bar]
+        if len(own) < len(beside) or density(up) >= 0.25:
+            kept += [(i, page.last[i]) for i in own]
+            break
+        best = up  # all of the parent is text of the article
+        kept = [(best, page.last[best])]
     kept.sort()
     menu = [False] * n
     for i in range(1, n):  # lists of links inside the container are menus

@@ -23,6 +23,21 @@ def test_page(name):
     assert main_blocks(source) == want
 
 
+LONG, SHORT = "word, " * 16 + "word " * 100, "Some more text, of a hundred characters or so, " + "with words " * 10
+SECTIONS = {
+    "beside": (f"<main><div><p>{LONG}</p></div><div><p>{SHORT}</p></div></main>", [LONG, SHORT]),
+    "short ones": (f"<main><section><h2>A</h2><p>{LONG}</p></section><section><h2>B</h2><p>Short.</p></section></main>", ["A", LONG, "B", "Short."]),
+    "in wrappers": (f"<main><div><div><p>{LONG}</p></div></div><div><div><p>{SHORT}</p></div></div></main>", [LONG, SHORT]),
+    "but no links": (f"<main><div><p>{LONG}</p></div><div><p>{SHORT}</p></div><div><a href=x>More to read</a> <a href=y>Next page</a></div></main>", [LONG, SHORT]),
+}
+
+
+@pytest.mark.parametrize("name", SECTIONS)
+def test_sections_side_by_side(name):
+    source, want = SECTIONS[name]
+    assert main_blocks(source) == [" ".join(x.split()) for x in want]
+
+
 def test_deep_and_broken_markup():
     assert main_blocks("<div>" * 20_000 + "x" + "</div>" * 20_000) == ["x"]
     assert main_blocks("<p>a</b></i></p></div></article>b <<< 3 < 4 <") != []
