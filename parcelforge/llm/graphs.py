@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import drop, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,7 +13,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternating large and small stars; each step aggregates minima with map-side
     combine and joins them back by key, so a node of any degree is no group in one
-    task.  Steps are cut by tables in the shared folder; they end when all edges form stars.
+    task (a hub's rows in that join are split by Spark's skew handling).  Steps are cut by tables in the
+    shared folder; they end when all edges form stars.  Links with a null end are ignored.
     """
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = stored(edges, "edges")
@@ -21,11 +22,13 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
         large = both.join(least, F.col("u") == F.col("c")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        large = stored(large, "edges")
+        large, past = stored(large, "edges"), edges
+        drop(past)
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "c")
         small = large.join(least, F.col("u") == F.col("c"))
         small = small.select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
         edges = stored(small, "edges")
+        drop(large)
         roots = edges.select(F.col("v").alias("r"), F.lit(1).alias("is_root")).distinct()
         ends = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).join(roots, F.col("u") == F.col("r"), "left")
         if ends.filter("n > 1 or is_root is not null").isEmpty():  # every node has one root, and no root has one

@@ -4,20 +4,46 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import shared_folder
 
 
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the application ends."""
+    at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path, files = _hadoop(spark, at)
+    files.deleteOnExit(path)
+    return at
+
+
+def _hadoop(spark: SparkSession, at: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    at = temporary(spark, name)
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._stored_at = at
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete tables of ``stored`` that no later step reads."""
+    for t in tables:
+        if t is not None:
+            path, files = _hadoop(t.sparkSession, t._stored_at)
+            files.delete(path, True)
 
 
 #: Bits in one block of a bitmap.
@@ -59,6 +85,17 @@ def slots_bitmap(keys: DataFrame, bits: int) -> np.ndarray:
     return out.ravel()
 
 
+def keyed_in(keys: DataFrame, bits: int = 1 << 26) -> Callable[[Column], Column]:
+    """A test of 64-bit key columns against a fixed-size bitmap of ``keys``: true for all of them, and for some others."""
+    sent = keys.sparkSession.sparkContext.broadcast(slots_bitmap(keys, bits))
+
+    @F.pandas_udf("boolean")
+    def test(key: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(sent.value, key.to_numpy().view(np.uint64)))
+
+    return test
+
+
 def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     slot = keys & np.uint64(len(bitmap) * 8 - 1)
     return (bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
