@@ -5,16 +5,20 @@ footers, sidebars, notices, adverts, forms, scripts and comments are set aside b
 tag, role, visibility and class words.  Each remaining block gives points for its
 length and commas to its ancestors, less with each level; a container's points are
 discounted by its link density.  The best container wins (its enclosing article, if
-there is one), and siblings that score a fifth of it, paragraphs, headings, and divs and
-sections with few links beside it are kept; when all siblings are, the parent is the container and
+there is one), and siblings that score a fifth of it, paragraphs, headings, and divs,
+sections and articles with few links beside it are kept (beside an article, only articles); when all siblings are, the parent is the container and
 its siblings are judged in turn.  If nothing is left, the class words are disregarded.
 
+Lists of links count as menus only before the container's first other text; after it they are references and stay.
+
 Text: character references are decoded, white space inside a block becomes one
 space, blocks are joined in page order by an empty line; nothing else is dropped.
 
 Cases: null, empty or text-less html gives the empty string; plain text is one block;
-unclosed, misnested and very deep markup is accepted (no recursion); pages are read
-whole; other columns are passed on if asked for.  One pass, no shuffle.
+unclosed, misnested and very deep markup is accepted (no recursion; time grows in proportion to a page's length); a tag
+without an end goes up to the next ``>``, whatever its quotes, or to the end of the page; pages are read
+whole; of equally good containers the last one counts; repeated rows and null ids are judged row by row;
+an empty table gives no rows; other columns are passed on if asked for, whatever their names.  One pass, no shuffle.
 """
 
 from __future__ import annotations
@@ -28,8 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)", re.S)
-_ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_MARKUP = re.compile(r"<!--|<(?=[A-Za-z]|/[A-Za-z])|<[!?/]")
+_NAME = re.compile(r"/?([A-Za-z][^\s/>]*+)")
+#: Attributes up to the end of a tag. A quote opens a value only after an equals sign; nothing is tried twice.
+_ATTRS = re.compile(r"(?>[^>=]++|=\s*+(?>\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+(?=>)")
+_ATTR = re.compile(r"([^\s=/>]++)(?:\s*+=\s*+(?>\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+")
 _WORD = re.compile(r"[a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
@@ -61,107 +68,125 @@ class _Page:
         self.tag, self.parent, self.certain, self.by_class = ["#root"], [-1], [False], [False]
         self.blocks: list[tuple[int, str, int, int]] = []  # owner, text, characters in links, links
         self._open, self._text, self._linked, self._links = [0], [], 0, 0
-        self._in_link = 0
+        self._places: dict[str, list[int]] = {}  # places in the stack of open elements, by tag
+        self._solid = [0]  # places of those that are not inline
         self._parse(source)
         n = len(self.tag)
         self.last = list(range(n))
         for i in range(n - 1, 0, -1):
             self.last[self.parent[i]] = max(self.last[self.parent[i]], self.last[i])
 
+    def _top(self, tags) -> int:
+        """Greatest place of an open element with one of the tags, or 0."""
+        return max((self._places[t][-1] for t in tags if self._places.get(t)), default=0)
+
     def _flush(self) -> None:
         if self._text:
             text = " ".join("".join(self._text).split())
             if text:
-                owner = next(i for i in reversed(self._open) if self.tag[i] not in INLINE)
-                self.blocks.append((owner, text, min(self._linked, len(text)), self._links))
+                self.blocks.append((self._open[self._solid[-1]], text, min(self._linked, len(text)), self._links))
         self._text, self._linked, self._links = [], 0, 0
 
     def _add(self, text: str) -> None:
         if text:
             text = entities.unescape(text) if "&" in text else text
             self._text.append(text)
-            if self._in_link:
+            if self._places.get("a"):
                 self._linked += len(" ".join(text.split()))
 
+    def _push(self, node: int) -> None:
+        tag = self.tag[node]
+        self._places.setdefault(tag, []).append(len(self._open))
+        if tag not in INLINE:
+            self._solid.append(len(self._open))
+        self._open.append(node)
+
     def _pop(self, to: int) -> None:
         """Close open elements from the end, down to place ``to`` of the stack."""
-        for i in self._open[to:]:
-            if self.tag[i] == "a":
-                self._in_link -= 1
-        if any(self.tag[i] not in INLINE for i in self._open[to:]):
+        if self._solid[-1] >= to:
             self._flush()
-        del self._open[to:]
+        while len(self._open) > to:
+            tag = self.tag[self._open.pop()]
+            self._places[tag].pop()
+            if tag not in INLINE:
+                self._solid.pop()
 
     def _close(self, tags, limits) -> None:
-        for k in range(len(self._open) - 1, 0, -1):
-            t = self.tag[self._open[k]]
-            if t in tags:
-                self._pop(k)
-                return
-            if t in limits:
-                return
+        at = self._top(tags)
+        if at and at > self._top(limits):
+            self._pop(at)
 
     def _parse(self, source: str) -> None:
-        at, size = 0, len(source)
-        open_tags: dict[str, int] = {}
+        at, size, quoted = 0, len(source), True
         while at < size:
-            m = _TOKEN.search(source, at)
+            m = _MARKUP.search(source, at)
             if m is None:
                 self._add(source[at:])
                 break
             self._add(source[at : m.start()])
-            at, tag = m.end(), m["tag"]
-            if tag is None:
-                continue
-            tag = tag.lower()
-            if m["end"]:
-                if tag == "br":
-                    self._text.append(" ")
-                elif tag in open_tags:
-                    for k in range(len(self._open) - 1, 0, -1):
-                        if self.tag[self._open[k]] == tag:
-                            self._pop(k)
-                            break
-                        if tag in INLINE and self.tag[self._open[k]] not in INLINE:
-                            break
-                continue
-            if tag in ("br", "hr", "wbr", "img"):
-                if tag == "br":
-                    self._text.append(" ")
-                elif tag == "hr":
-                    self._close({"p"}, {"table", "td", "th", "button"})
-                    self._flush()
-                continue
-            if tag in ENDS_PARAGRAPH and "p" in open_tags:
-                self._close({"p"}, {"table", "td", "th", "button", "caption", "object"})
-            if tag in CLOSES:
-                self._close(*CLOSES[tag])
-            if tag == "a" and self._in_link:
-                self._close({"a"}, {"table", "td", "th"})
-            if tag not in INLINE:
-                self._flush()
-            elif tag == "a":
-                self._links += 1
-            attrs = m["attrs"]
-            closed = tag in VOID or attrs.endswith("/") and tag in ("svg", "path", "use")
-            node = self._node(tag, attrs)
-            open_tags[tag] = 1
-            if closed:
+            at = m.end()
+            if m[0] != "<":
+                end = source.find("-->" if m[0] == "<!--" else ">", at)
+                at = size if end < 0 else end + (3 if m[0] == "<!--" else 1)
                 continue
-            if tag in RAW:
-                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(source, at)
-                at = end.end() if end else size
-                continue
-            self._open.append(node)
-            if tag == "a":
-                self._in_link += 1
+            name = _NAME.match(source, at)
+            at = name.end()
+            rest = _ATTRS.match(source, at) if quoted else None
+            if rest is None:  # quotes do not match up from here on
+                quoted = False
+                end = source.find(">", at)
+                end = size if end < 0 else end
+            else:
+                end = rest.end()
+            attrs, ending, tag = source[at:end], name[0][0] == "/", name[1].lower()
+            at = end + 1
+            if ending:
+                self._end(tag)
+            else:
+                at = self._start(tag, attrs, source, at)
         self._pop(1)
         self._flush()
 
+    def _end(self, tag: str) -> None:
+        if tag == "br":
+            self._text.append(" ")
+            return
+        at = self._top((tag,))
+        if at and (tag not in INLINE or self._solid[-1] < at):
+            self._pop(at)
+
+    def _start(self, tag: str, attrs: str, source: str, at: int) -> int:
+        """Handle a start tag; gives the place to go on from."""
+        if tag in ("br", "wbr", "img"):
+            if tag == "br":
+                self._text.append(" ")
+            return at
+        if tag in ENDS_PARAGRAPH:
+            self._close(("p",), ("table", "td", "th", "button", "caption", "object"))
+        if tag == "hr":
+            self._flush()
+            return at
+        if tag in CLOSES:
+            self._close(*CLOSES[tag])
+        if tag == "a":
+            self._close(("a",), ("table", "td", "th"))
+        if tag not in INLINE:
+            self._flush()
+        elif tag == "a":
+            self._links += 1
+        node = self._node(tag, attrs)
+        if tag in VOID or attrs.endswith("/") and tag in ("svg", "path", "use"):
+            return at
+        if tag in RAW:
+            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(source, at)
+            return end.end() if end else len(source)
+        self._push(node)
+        return at
+
     def _node(self, tag: str, attrs: str) -> int:
         parent = self._open[-1]
         certain, by_class = tag in DROPPED, False
-        if tag == "header" and not any(self.tag[i] in ("article", "main") for i in self._open):
+        if tag == "header" and not self._top(("article", "main")):
             certain = True
         if attrs and not certain and not attrs.isspace() and tag not in ("html", "body"):
             a = _attributes(attrs)
@@ -192,8 +217,8 @@ def _belongs(tag: str, size: int, linked: int) -> bool:
     """Whether an element beside the article's container is text of the article, by link density and text."""
     if tag in HEADINGS:
         return linked < 0.25 * size
-    if tag in PASSIVE or tag in ("div", "section"):
-        return linked < 0.25 * size and size >= 80 or tag in ("p", "div", "section") and not linked
+    if tag in PASSIVE or tag in ("div", "section", "article"):
+        return linked < 0.25 * size and size >= 80 or tag in ("p", "div", "section", "article") and not linked
     return False
 
 
@@ -212,13 +237,16 @@ def _chosen(page: _Page, classes: bool) -> list[str]:
     if not blocks:
         return []
     size, linked, links, score = [0] * n, [0] * n, [0] * n, [0.0] * n
+    holder, children = list(range(n)), [[] for _ in range(n)]
+    for i in range(1, n):
+        children[parent[i]].append(i)
+        if tag[i] in PASSIVE:
+            holder[i] = holder[parent[i]]
     for owner, text, in_links, n_links in blocks:
         size[owner] += len(text)
         linked[owner] += in_links
         links[owner] += n_links
-        at = owner
-        while tag[at] in PASSIVE:
-            at = parent[at]
+        at = holder[owner]
         points = _points(text, in_links)
         for share in SHARES:
             score[at] += points * share
@@ -237,23 +265,29 @@ def _chosen(page: _Page, classes: bool) -> list[str]:
         up = parent[up]
     best = up if up > 0 else best
     bar = 0.2 * total[best]
-    kept = [(best, page.last[best])]
-    while best and tag[best] != "article":
+    kept = [best]
+    while best:
         up = parent[best]
-        beside = [i for i in range(up + 1, page.last[up] + 1) if parent[i] == up and i != best and not gone[i] and size[i]]
+        alone = tag[best] == "article"
+        beside = [i for i in children[up] if i != best and not gone[i] and size[i] and (not alone or tag[i] == "article")]
         own = [i for i in beside if _belongs(tag[i], size[i], linked[i]) or total[i] >= bar]
-        if len(own) < len(beside) or density(up) >= 0.25:
-            kept += [(i, page.last[i]) for i in own]
+        if alone or len(own) < len(beside) or density(up) >= 0.25:
+            kept += own
             break
         best = up  # all of the parent is text of the article
-        kept = [(best, page.last[best])]
-    kept.sort()
-    menu = [False] * n
-    for i in range(1, n):  # lists of links inside the container are menus
-        menu[i] = menu[parent[i]] or (i != best and tag[i] in ("ul", "ol", "div", "section", "table", "p") and links[i] >= 3 and density(i) > 0.66)
-    out = []
+        kept = [best]
+    inside = [0] * (n + 1)
+    for i in kept:
+        inside[i] += 1
+        inside[page.last[i] + 1] -= 1
+    menu, top = [False] * n, set(kept)
+    for i in range(1, n):
+        inside[i] += inside[i - 1]
+        menu[i] = menu[parent[i]] or (i not in top and tag[i] in ("ul", "ol", "div", "section", "table", "p") and links[i] >= 3 and density(i) > 0.66)
+    out, begun = [], False
     for owner, text, _, _ in blocks:
-        if any(a <= owner <= z for a, z in kept) and not menu[owner]:
+        if inside[owner] and (begun or not menu[owner]):  # lists of links before any other text are menus
+            begun = True
             out.append(text)
     return out
 
