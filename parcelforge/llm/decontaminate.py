@@ -4,16 +4,19 @@ A test window is ``WINDOW`` consecutive words of an item (an item of fewer words
 window).  Its fingerprint is the least ``GRAM``-gram hash inside it; documents keep
 the least ``GRAM``-gram hash of each sliding window likewise, so every shared span of
 ``WINDOW`` words has a shared fingerprint (windows shorter than ``WINDOW`` are their own
-fingerprints).  Hits are extended: the whole window's hash is compared, and the
-union of matching windows gives the hit words.
+fingerprints).  A hit is extended from its fingerprint to the whole window: the rolling hash
+of the ``WINDOW`` words around it is compared, which takes constant time a window where a
+comparison word by word would repeat itself for each item that has the fingerprint.
+The union of matching windows is the extended hit.
 
 Test fingerprints of at most ``broadcast_limit`` windows are broadcast, and
 documents are judged in one scan without a shuffle.  Beyond that, document windows pass
 a bitmap of fixed size, and join the test windows by (fingerprint, hash).
 
 Cases: null or word-less text has no words and no hits; null or word-less items have no
-windows; an empty benchmark hits nothing; repeated documents are judged alike, repeated
-items by their ids; texts are read whole; other columns are passed on if asked for.
+windows; items with a null id hit like others and are one item, listed last as null; an empty benchmark
+hits nothing; repeated documents and null document ids are judged row by row, repeated
+items count once by their ids; texts are read whole; other columns are passed on if asked for.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,7 +61,6 @@ def test_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
 
     def of(batches):
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
             for p in pieces(b.column(1), NOT_ALNUM, LOWER):
                 words, counts = p.word_hashes(), np.diff(p.offsets)
                 rows = []
@@ -65,11 +68,11 @@ def test_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
                     start, text = windows(p.offsets, length)
                     own = (counts[text] >= WINDOW) if length == WINDOW else (counts[text] == length)
                     start, text = start[own], text[own]
-                    rows.append((ids[p.first + text], np.full(len(start), length), _fingerprints(words, length)[start], ngram_hashes(words, length)[start]))
+                    rows.append((b.column(0).take(pa.array(p.first + text)), np.full(len(start), length), _fingerprints(words, length)[start], ngram_hashes(words, length)[start]))
                 for i, n, f, h in rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int64)), pa.array(n.astype(np.int32)), pa.array(f.view(np.int64)), pa.array(h.view(np.int64))], ["item_id", "length", "fingerprint", "hash"])
+                    yield pa.RecordBatch.from_arrays([i, pa.array(n.astype(np.int32)), pa.array(f.view(np.int64)), pa.array(h.view(np.int64))], ["item_id", "length", "fingerprint", "hash"])
 
-    return items.select(F.col(id_col).cast("long").alias("item_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter(F.col("item_id").isNotNull()).mapInArrow(of, "item_id long, length int, fingerprint long, hash long")
+    return items.select(F.col(id_col).cast("long").alias("item_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(of, "item_id long, length int, fingerprint long, hash long")
 
 
 def _covered(piece: Piece, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -87,7 +90,12 @@ class _Index:
     """The broadcast form of the test windows: sorted hashes, with their items in rows."""
 
     def __init__(self, table: pa.Table):
-        hashes, self.ids = table["hash"].to_numpy().view(np.uint64), table["item_id"].to_numpy()
+        hashes = table["hash"].to_numpy().view(np.uint64)
+        names = pc.unique(table["item_id"].combine_chunks()).to_pylist()
+        self.names = sorted((x for x in names if x is not None)) + [None] * (None in names)
+        known = table["item_id"].is_valid().to_numpy()
+        self.ids = np.full(len(hashes), len(self.names) - 1)  # places in ``names``, the null id last
+        self.ids[known] = np.searchsorted(np.array([x for x in self.names if x is not None], np.int64), table["item_id"].drop_null().to_numpy())
         order = np.lexsort((self.ids, hashes))
         self.ids, hashes = self.ids[order], hashes[order]
         self.hashes, first = np.unique(hashes, return_index=True)
@@ -125,7 +133,7 @@ def _judged(batch: pa.RecordBatch, column: int, index: _Index) -> list[pa.Array]
                 own = flags[p.offsets[t] : p.offsets[t + 1]]
                 n_hit[p.first + t], spans[p.first + t] = own.sum(), _runs(own)
                 rows = np.unique(at[text == t])
-                items[p.first + t] = np.unique(np.concatenate([index.ids[index.rows[r] : index.rows[r + 1]] for r in rows])).tolist()
+                items[p.first + t] = [index.names[k] for k in np.unique(np.concatenate([index.ids[index.rows[r] : index.rows[r + 1]] for r in rows]))]
     return [pa.array(n_words), pa.array(n_hit), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(items, pa.list_(pa.int64()))]
 
 
@@ -178,7 +186,7 @@ def _mark_by_join(docs: DataFrame, found: DataFrame, keep: Sequence[str], text_c
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     places = places.withColumn("new", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0)).withColumn("span", F.sum("new").over(order))
     spans = places.groupBy("row", "span").agg(F.min("start").alias("start"), F.max("end").alias("end")).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"), F.sum(F.col("end") - F.col("start")).alias("n_hit"))
-    ids = hits.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    ids = hits.groupBy("row").agg(F.transform(F.array_sort(F.collect_set(F.struct(F.col("item_id").isNull().alias("unnamed"), "item_id"))), lambda x: x["item_id"]).alias("items"))
     counts = cut.filter(F.col("length").isNull()).select("row", F.col("n").alias("n_words"))
     found = counts.join(spans, "row", "left").join(ids, "row", "left").select(F.col("row").alias("__r"), *(F.col(c).alias(f"__{c}") for c in ("n_words", "n_hit", "spans", "items")))
     out = rows.join(found, F.col("__row") == F.col("__r"))
