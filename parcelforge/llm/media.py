@@ -14,7 +14,6 @@ writes no archive and reads no rows; other columns are ignored.
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource
 
 from .archives import BATCH, ArchiveWriter, RangeReader
-from ..session import shared_folder
+from .storage import temporary
 from .words import string_bytes
 
 SAMPLES, PAD = 576, 255
@@ -135,7 +134,7 @@ def store_texts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id"
     """Write the texts of every row as media archives; gives the directory."""
     spark = docs.sparkSession
     spark.dataSource.register(MediaSource)
-    path = path or f"{shared_folder(spark)}/media-{uuid.uuid4().hex}"
+    path = path or temporary(spark, "media")
     docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).write.format("media_archive").mode("append").save(path)
     return path
 

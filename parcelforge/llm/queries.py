@@ -31,7 +31,9 @@ def op4_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = media.store_texts(table(spark, sf_dir, "documents"))
-    return media.with_features(media.load(spark, at)).drop("error")
+    read = media.with_features(media.load(spark, at))
+    whole = F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("boolean")).otherwise(F.lit(True))  # a damaged member fails the query
+    return read.filter(whole).drop("error")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
