@@ -13,9 +13,14 @@ block nor a source's list of blocks grows faster than sqrt(n), and a source with
 third of all rows is spread like any other.  Ordering by size class stratifies
 the sample: a source's words come nearer to its target than with a random order.
 
-Cases: null text has no words and null source is a source of its own; words of a
-source without words have target 0; repeated rows count as often as they occur;
-an empty table gives no rows; other columns are not touched.
+Targets take one row of some sixty bytes per source through one sorted window, which spills to disk;
+nothing per document passes through it.
+
+Cases: null text has no words and null source is a source of its own; a
+source without words has target 0; repeated rows and repeated ids count as often as they occur, each row
+for itself, and those of one id and size class share a block; null ids are spread by their texts;
+ties of size are ordered by a hash of the id, the id, then the text's hash; very long texts are one document;
+an empty table gives no rows; other columns are not touched, whatever their names.
 """
 
 from __future__ import annotations
@@ -59,18 +64,18 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), tot
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), total: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies, taken`` for every row of ``docs``."""
-    sized = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
+    sized = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).alias("spread")), "sizes")
     per = source_targets(sized, weights, total, most).withColumnRenamed("source", "own")
     rows = sized.join(per, F.col("source").eqNullSafe(F.col("own"))).drop("own")
     rows = rows.withColumns({
         "class": F.length(F.bin("size")),
-        "salt": (hash_of("doc_id", seed) % F.ceil(F.sqrt("source_docs") / 4)).cast("int"),
+        "salt": (F.coalesce(F.pmod("spread", F.lit(1 << 32)), hash_of("doc_id", seed)) % F.ceil(F.sqrt("source_docs") / 4)).cast("int"),
     })
     block = ["source", "class", "salt"]
     counts = rows.groupBy(block).agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("class", "salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select(*(F.col(c).alias(f"b_{c}") for c in block), before.alias("start"))
-    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(block).orderBy("size", hash_of("doc_id", seed), "doc_id")))
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(block).orderBy("size", hash_of("doc_id", seed), "doc_id", "spread")))
     placed = placed.join(starts, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("class") == F.col("b_class")) & (F.col("salt") == F.col("b_salt")))
     offset = hash_of("source", seed + 1) / F.lit(float(1 << 32))
     each = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(most))).otherwise(0.0)

@@ -45,6 +45,16 @@ def test_words_taken_come_near_the_targets(spark):
     assert all(abs(r.taken - r.target) <= 0.02 * r.target for r in per)
 
 
+def test_null_and_repeated_ids_count_row_by_row(spark):
+    rows = [(None, "w " * (i % 9 + 1), "a") for i in range(120)] + [(7, "w w w", "a")] * 30 + [(i, "w " * 5, "b") for i in range(300, 340)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"salt": F.lit(1), "class": F.lit("x"), "place": F.lit(0), "spread": F.lit(3)})
+    out = mixing.mix_sources(docs).collect()
+    assert len(out) == len(rows) and sorted(map(str, out)) == sorted(map(str, mixing.mix_sources(docs.repartition(5)).collect()))
+    for s in "ab":
+        own = [r for r in out if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 9
+
+
 def test_empty_table_and_empty_texts(spark):
     assert mixing.mix_sources(fixtures.empty(spark)).count() == 0
     out = mixing.mix_sources(spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")).collect()
