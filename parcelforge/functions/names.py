@@ -24,11 +24,24 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+#: Devanagari letters with a dot below: how composition writes them. All others that end in the dot are written apart.
+_DOTTED = {"\N{DEVANAGARI LETTER NA}": "\N{DEVANAGARI LETTER NNNA}", "\N{DEVANAGARI LETTER RA}": "\N{DEVANAGARI LETTER RRA}", "\N{DEVANAGARI LETTER LLA}": "\N{DEVANAGARI LETTER LLLA}"}
+
+
+def composed(text: Column) -> Column:
+    """Compatibility composition of Devanagari dots and of full-width forms, with built-ins, so that it also serves inside arrays. ``nfkc`` does all scripts."""
+    apart = {c: unicodedata.normalize("NFKC", c) for c in map(chr, range(0x0958, 0x0960))}
+    for a, b in (*apart.items(), *((a + "\N{DEVANAGARI SIGN NUKTA}", b) for a, b in _DOTTED.items())):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    wide = "".join(map(chr, range(0xFF01, 0xFF5F)))
+    return F.translate(text, wide + "\u3000", unicodedata.normalize("NFKC", wide) + " ")
+
+
 def normalized(raw: Column) -> Column:
-    """Name without relation clause, punctuation and titles, lower case. Apply ``nfkc`` before for decomposed text."""
-    t = F.concat(F.lit(" "), F.regexp_replace(ascii_digits(F.coalesce(raw, F.lit(""))), r"\s+", " "), F.lit(" "))
+    """Name without relation clause, punctuation and titles, lower case."""
+    t = F.concat(F.lit(" "), F.regexp_replace(ascii_digits(composed(F.coalesce(raw, F.lit("")))), r"\s+", " "), F.lit(" "))
     t = F.regexp_replace(t, r"(?iU) (?:" + "|".join(RELATIONS) + r") .*$", " ")
-    t = F.lower(F.regexp_replace(t, r"[.,\-_/\\()\[\]{}:;'\"`~!?*+|<>]+", " "))
+    t = F.lower(F.regexp_replace(t, r"[\p{P}\p{S}]+", " "))
     words = F.filter(F.split(F.trim(t), r"\s+"), lambda w: (w != "") & ~w.isin(*HONORIFICS))
     return F.array_join(words, " ")
 
@@ -107,6 +120,17 @@ def with_similarity(pairs: DataFrame, a: str, b: str, name: str = "score") -> Da
     return rows.join(scored, ["__a", "__b"]).drop("__a", "__b")
 
 
+def best_owners(sought: DataFrame, owners: DataFrame, document: str, threshold: float = THRESHOLD) -> DataFrame:
+    """``id, score, matched``: the best score of each sought name (``id, name``) among the other owners of its document.
+
+    Candidates meet by document only, and each distinct pair of names is scored once.
+    """
+    a = sought.select("id", F.col(document).alias("__d"), F.col("name").alias("__name"))
+    b = owners.select(F.col("id").alias("__other"), F.col(document).alias("__e"), F.col("name").alias("__owner"))
+    scored = with_similarity(a.join(b, (F.col("__d") == F.col("__e")) & (F.col("id") != F.col("__other"))), "__name", "__owner")
+    return scored.groupBy("id").agg(F.max("score").alias("score")).withColumn("matched", F.col("score") >= threshold)
+
+
 def is_match(score: Column, threshold: float = THRESHOLD) -> Column:
     return score >= threshold
 

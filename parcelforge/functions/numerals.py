@@ -12,7 +12,8 @@ LOOKALIKES = {"0": "OoQD", "1": "lI|!", "2": "Zz", "5": "Ss", "6": "bG", "7": "T
 SCRIPTS = {s: s for s in ("Latin", "Devanagari", "Bengali", "Gurmukhi", "Gujarati", "Oriya", "Tamil", "Telugu", "Kannada", "Malayalam", "Arabic")}
 
 _FOREIGN = "".join(chr(ord(z) + i) for z in ZEROS.values() for i in range(10))
-_SEPARATORS = r"[-‐-―−/\\|.।·:]+"
+#: Marks between the numbers of a group: any dash, the minus sign, slashes, bars, colons, the danda and the middle dot; full stops too when there are several.
+_MARK = r"\p{Pd}\u2212/\\|:\u0964\u00B7"
 NUMBER = "decimal(24,10)"
 
 
@@ -46,9 +47,9 @@ def int_of(text: Column, repair: bool = False) -> Column:
 def components(text: Column, repair: bool = False) -> Column:
     """Numbers of a component group such as 0-80-05; a lone decimal is one number."""
     clean = numeric_text(text, repair)
-    single = ~clean.rlike(r"[-‐-―−/\\|।·:]") & (F.size(F.split(clean, r"\.")) <= 2)
+    single = ~clean.rlike(f"[{_MARK}]") & (F.size(F.split(clean, r"\.")) <= 2)
     one = decimal_of(clean)
-    pieces = F.transform(F.filter(F.split(clean, _SEPARATORS), lambda p: F.trim(p) != ""), lambda p: F.regexp_replace(p, r"[^0-9.\-]", "").try_cast(NUMBER))
+    pieces = F.transform(F.filter(F.split(clean, f"[{_MARK}.]+"), lambda p: F.trim(p) != ""), lambda p: F.regexp_replace(p, r"[^0-9.\-]", "").try_cast(NUMBER))
     many = F.filter(pieces, lambda p: p.isNotNull())
     none = F.array().cast(f"array<{NUMBER}>")
     return F.when(clean.isNull() | (clean == ""), none).when(single, F.when(one.isNull(), none).otherwise(F.array(one))).otherwise(many)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..enums import MINUTES_SAVED, PRIORITIES, SEVERITIES
+from .geo import bounds
 from .reads import is_open, is_overdue, traffic_light
 
 
@@ -119,4 +120,48 @@ def outliers(rows: DataFrame, group: str, rate: str, threshold: float = 2.5, lea
 
 
 def weighted_mean(value: str, weight: Column) -> Column:
-    return F.try_divide(F.sum(F.col(value) * weight), F.sum(weight))
+    """Sum of value times weight over the weights' sum; decimals are summed exactly."""
+    return F.try_divide(F.sum(F.col(value) * weight).cast("double"), F.sum(weight).cast("double"))
+
+
+def medians(rows: DataFrame, key: str, value: str, places: int = 4) -> DataFrame:
+    """``key, median_<value>``. Equal values of a key are counted first, with map-side combine, so what meets per key is one entry per distinct value."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("__n"))
+    mid = counts.groupBy(F.col(key).alias("__key")).agg(F.round(F.percentile(value, F.lit(0.5), F.col("__n")), places).alias(f"median_{value}"))
+    return rows.select(key).distinct().join(mid, F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
+
+
+def reference_numbers(rows: DataFrame, prefix: str, form: str = "CASE/2001/%04d") -> DataFrame:
+    """``prefix, reference``: the next number of each series, one above those in use."""
+    return rows.groupBy(F.col(prefix).alias("prefix")).agg(F.format_string(form, F.count(F.lit(1)) + 1).alias("reference"))
+
+
+def area_sums(parts: DataFrame, key: str, area: str, cultivable: Column) -> DataFrame:
+    """``key, total, cultivable, other``: exact sums of parts, 0 where there are none of a kind."""
+    of = lambda c: F.coalesce(F.sum(F.when(c, F.col(area))), F.lit(0)).cast("double")
+    return parts.groupBy(key).agg(F.sum(area).cast("double").alias("total"), of(cultivable).alias("cultivable"), of(~cultivable).alias("other"))
+
+
+def document_means(parcels: DataFrame) -> DataFrame:
+    """``document_id, confidence, area``: mean confidence of a document's records and their area."""
+    exact = F.col("confidence").cast("decimal(10,3)")
+    return parcels.groupBy("document_id").agg(F.try_divide(F.sum(exact).cast("double"), F.count(exact).cast("double")).alias("confidence"), F.sum("area").cast("double").alias("area"))
+
+
+def token_usage(calls: DataFrame, key: str) -> DataFrame:
+    """``key, characters, cached, hit_ratio`` of calls with ``used`` and ``cached`` sizes."""
+    used, cached = F.sum("used"), F.sum("cached")
+    return calls.groupBy(key).agg(used.alias("characters"), cached.alias("cached"), F.round(F.try_divide(cached, used), 6).alias("hit_ratio"))
+
+
+def set_counts(rows: DataFrame, key: str, value: Column, left: Column) -> DataFrame:
+    """``key, n_union, n_shared, n_only``: distinct values of the left rows against the others'; counted per (key, value) first, so no set is gathered."""
+    sides = rows.groupBy(key, value.alias("__v")).agg(F.max(F.when(left, 1).otherwise(0)).alias("a"), F.max(F.when(left, 0).otherwise(1)).alias("b"))
+    return sides.groupBy(key).agg(F.count("__v").alias("n_union"), count_if((F.col("a") == 1) & (F.col("b") == 1)).alias("n_shared"), count_if((F.col("a") == 1) & (F.col("b") == 0)).alias("n_only"))
+
+
+def map_bounds(shapes: DataFrame, key: str, ring: str = "ring") -> DataFrame:
+    """``key, west, east, south, north`` over all corners of the rings; each ring is reduced where it is read."""
+    box = bounds(F.col(ring))
+    rows = shapes.filter(F.col(ring).isNotNull()).select(key, box.alias("b"))
+    return rows.groupBy(key).agg(F.min("b.west").alias("west"), F.max("b.east").alias("east"), F.min("b.south").alias("south"), F.max("b.north").alias("north"))

@@ -455,6 +455,33 @@ def history(events: DataFrame, parcel_key: str, limit: int = 200) -> DataFrame:
     return events.filter(F.col("parcel_key") == parcel_key).orderBy(F.col("event_date").asc_nulls_last(), "sequence", "case_id").limit(limit)
 
 
+def shared_identifiers(rows: DataFrame, case: str, side: Column, value: str) -> DataFrame:
+    """``case, shared``: how many distinct identifiers both sides of a case name; cases that share none go."""
+    sides = rows.groupBy(case, F.col(value).alias("__v")).agg(F.bool_or(side).alias("a"), F.bool_or(~side).alias("b"))
+    return sides.filter("a and b").groupBy(case).agg(F.count(F.lit(1)).alias("shared"))
+
+
+def death_conflicts(deaths: DataFrame, case: str, person: str, date: str) -> DataFrame:
+    """``case, conflicts``: pairs of records of one person's death that differ in date.
+
+    Counted from the records per (case, person, date), so pairs are never formed.
+    """
+    per = deaths.filter(F.col(date).isNotNull()).groupBy(case, person, date).agg(F.count(F.lit(1)).alias("n"))
+    of = per.groupBy(case, person).agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).cast("long").alias("c"))
+    return of.filter("c > 0").groupBy(case).agg(F.sum("c").alias("conflicts"))
+
+
+def events_in_window(cases: DataFrame, events: DataFrame, case: str, since: str, until: Column, event_case: str, date: str) -> DataFrame:
+    """``case, events``: events of a case whose date is unknown or lies from ``since`` to ``until``."""
+    inside = F.col(date).isNull() | ((F.col(date) >= F.col(since)) & (F.col(date) <= until))
+    return cases.join(events, (F.col(event_case) == F.col(case)) & inside).groupBy(case).agg(F.count(F.lit(1)).alias("events"))
+
+
+def explained(reports: DataFrame) -> DataFrame:
+    """``case_id, rule, rule_code, status, points``: what each check adds to a case's risk, before the cap of 100."""
+    return reports.select("case_id", F.explode("contributions").alias("c")).select("case_id", "c.*")
+
+
 def status_counts(reports: DataFrame) -> DataFrame:
     """Checks by status over all reports, zero-filled."""
     counts = reports.select(F.explode("checks").alias("c")).groupBy(F.col("c.status").alias("__s")).agg(F.count(F.lit(1)).alias("n"))

@@ -310,6 +310,11 @@ def text_confidence(found: Column, kind: Column) -> Column:
 # Paths into JSON
 
 
+def without_computed(record: Column, *fields: str) -> Column:
+    """A record without the fields that are computed anew on reading."""
+    return record.dropFields(*fields)
+
+
 def read_path(json: Column, path: Column | str) -> Column:
     """The value at a path as text, null where the path leads nowhere."""
     return F.get_json_object(json, path)

@@ -240,10 +240,13 @@ def action(ocr: Column, llm: Column, band_: Column, score: Column, material: Col
 
 
 def discrepancies(records: DataFrame, geometries: DataFrame, findings: DataFrame | None = None) -> DataFrame:
-    """Reports of ``parcel_key, textual_area, ocr, llm, integrity`` against ``parcel_key, ring, source``; a miss is a valid outcome."""
-    g = geometries.groupBy(F.col("parcel_key").alias("g_key")).agg(F.first("ring").alias("ring"), F.first("source").alias("source"))
+    """Reports of ``parcel_key, textual_area, ocr, llm, integrity`` against ``parcel_key, ring, source``; a miss is a valid outcome.
+
+    Rings are measured where they are read; of several of a key that of the most exact source counts, then the smallest.
+    """
+    measured = settled(geometries.select(F.col("parcel_key").alias("g_key"), tolerance(F.col("source")).alias("tol"), ring_area(F.col("ring")).alias("geometric_area")))
+    g = measured.groupBy("g_key").agg(F.min(F.struct("tol", "geometric_area")).alias("g")).select("g_key", "g.tol", "g.geometric_area")
     rows = records.join(g, F.col("parcel_key") == F.col("g_key"), "left").withColumn("available", F.col("g_key").isNotNull())
-    rows = rows.withColumn("geometric_area", F.when(F.col("available"), ring_area(F.col("ring"))))
     if findings is not None:
         per = findings.filter(is_material(F.col("area"), F.col("fraction"))).groupBy(F.col("parcel_key").alias("f_key")).agg(F.collect_list("fraction").alias("fractions"))
         rows = rows.join(per, F.col("parcel_key") == F.col("f_key"), "left")
@@ -251,7 +254,7 @@ def discrepancies(records: DataFrame, geometries: DataFrame, findings: DataFrame
         rows = rows.withColumn("fractions", F.lit(None).cast("array<double>"))
     rows = settled(rows)
     rel = relative_delta(F.col("textual_area"), F.col("geometric_area"))
-    tol = F.when(F.col("available"), tolerance(F.col("source"))).otherwise(SURVEY_TOLERANCE)
+    tol = F.coalesce("tol", F.lit(SURVEY_TOLERANCE))
     rows = settled(rows.withColumn("relative_delta", rel)).withColumn("band", band(F.col("relative_delta"), tol))
     penalty = F.coalesce(topology_penalty(F.col("fractions")), F.lit(0.0))
     rows = rows.withColumns({"mismatch_score": total_mismatch(mismatch_score(F.col("relative_delta")), penalty), "confidence_score": confidence(F.col("ocr"), F.col("llm"), F.col("integrity"), agreement(F.col("relative_delta")), F.col("available"))})

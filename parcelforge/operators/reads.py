@@ -10,7 +10,7 @@ from collections.abc import Iterable
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..enums import OPEN_STATUSES, PRIORITIES
@@ -57,6 +57,15 @@ def parcel_filter(columns: Iterable[str], now: Column | None = None, *, q: str |
     return reduce(and_, out, F.lit(True))
 
 
+#: Columns of a record in lists.
+SUMMARY = ("id", "state", "district", "village", "khata_number", "survey_number", "review_status", "priority", "mismatch", "confidence")
+
+
+def summary_rows(parcels: DataFrame) -> DataFrame:
+    """Records as lists show them; the other columns are pruned from the scan."""
+    return parcels.select(*SUMMARY)
+
+
 def page(df: DataFrame, sort: str, *, descending: bool = True, limit: int = 50, offset: int = 0, tie: str = "id") -> DataFrame:
     """A page in total order. Nulls are least, as in Spark's default."""
     key = F.col(sort).desc() if descending else F.col(sort).asc()
@@ -105,6 +114,56 @@ def audit(events: DataFrame, parcels: DataFrame, *, reviewer: str | None = None,
     return events.join(own, F.col("parcel_id") == F.col("p_id")).drop("p_id")
 
 
+def with_document(parcels: DataFrame, documents: DataFrame) -> DataFrame:
+    """Records with the name of their document (``id, document_name``); null without one."""
+    own = documents.select(F.col("id").alias("__document"), "document_name")
+    return parcels.join(own, F.col("document_id") == F.col("__document"), "left").drop("__document")
+
+
+def with_event(parcels: DataFrame, events: DataFrame, action: str) -> DataFrame:
+    """Records that have an event of this kind, once each."""
+    return parcels.join(events.filter(F.col("action") == action).select(F.col("parcel_id").alias("__parcel")), F.col("id") == F.col("__parcel"), "left_semi")
+
+
+def with_geometry(parcels: DataFrame, shapes: DataFrame, key: str = "id") -> DataFrame:
+    """Records with the columns of their shape (``key`` and others) and ``missing``; a miss is a valid outcome."""
+    own = shapes.withColumnRenamed(key, "__shape")
+    return parcels.join(own, F.col(key) == F.col("__shape"), "left").withColumn("missing", F.col("__shape").isNull()).drop("__shape")
+
+
+def without(rows: DataFrame, known: DataFrame, keys: dict[str, str]) -> DataFrame:
+    """Rows that refer to nothing known: ``keys`` maps columns of ``rows`` to columns of ``known``."""
+    own = known.select(*(F.col(b).alias(f"__{b}") for b in keys.values())).distinct()
+    return rows.join(own, reduce(and_, (F.col(a) == F.col(f"__{b}") for a, b in keys.items())), "left_anti")
+
+
+def newest_first(events: DataFrame, limit: int = 200, time: str = "created_at", tie: str = "id") -> DataFrame:
+    """The last events; a top-k, not a sort of the table."""
+    return events.orderBy(F.col(time).desc(), tie).limit(limit)
+
+
+def numbered(rows: DataFrame, key: str, order: Iterable[Column | str], name: str = "place", first: int = 1) -> DataFrame:
+    """Rows with their place within their key: event trails, timelines, issue and snapshot orders."""
+    return rows.withColumn(name, (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1 + first).cast("long"))
+
+
+def followed(rows: DataFrame, key: str, order: str, value: str, name: str) -> DataFrame:
+    """Rows with the value of the next row of their key; the last of each key goes."""
+    return rows.withColumn(name, F.lead(value).over(Window.partitionBy(key).orderBy(order))).filter(F.col(name).isNotNull())
+
+
+def latest(rows: DataFrame, key: str, date: str, value: Column, ties: Iterable[Column | str]) -> DataFrame:
+    """``key, latest, winner``: the last date of each key and the value of its row; of equal dates the first in order of ``ties`` wins."""
+    return rows.groupBy(key).agg(F.max(date).alias("latest"), F.max_by(value, F.struct(date, *ties)).alias("winner"))
+
+
+def in_order(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """``key, n, all, distinct``: the values of each key in order, and each once at its first place."""
+    own = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("__rows"))
+    values = F.transform("__rows", lambda x: x[value])
+    return own.select(key, F.size("__rows").cast("long").alias("n"), values.alias("all"), F.array_distinct(values).alias("distinct"))
+
+
 def traffic_light() -> Column:
     """red, green or yellow, as the summary counts them."""
     red = F.coalesce(F.col("action") == "reject_re_scan", F.lit(False)) | F.coalesce(F.col("severity") == "critical", F.lit(False)) | F.coalesce(F.col("mismatch") >= 50, F.lit(False))

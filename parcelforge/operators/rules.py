@@ -314,6 +314,24 @@ def validate(records: DataFrame, policy: Policy = DEFAULT, today: Column | None
     return records.select("parcel_key", F.explode(issues(policy, today)).alias("i")).select("parcel_key", "i.*")
 
 
+# The two sums over tables of parts, for registers that keep them flat: the same conditions, without gathering a record's parts
+
+
+def area_sums(parts: DataFrame, parcels: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
+    """``id, code, delta`` of parcels (``id, area``) whose parts (``parcel_id, area``) do not add up to them; sums have map-side combine."""
+    t = policy.of("AREA_SUM_MISMATCH")
+    sums = parts.groupBy("parcel_id").agg(F.sum("area").alias("total"))
+    over = F.col("total") > F.col("area")
+    bad = sums.join(parcels, F.col("id") == F.col("parcel_id")).filter(over | ~approximately(F.col("total"), F.col("area"), t.absolute or 1.0, t.relative or 0.005))
+    return bad.select("id", F.when(over, "AREA_SUM_EXCEEDS_TOTAL").otherwise("AREA_SUM_MISMATCH").alias("code"), (F.col("total") - F.col("area")).cast("double").alias("delta"))
+
+
+def share_sums(owners: DataFrame, key: str, common: int) -> DataFrame:
+    """``key, num, code`` of shares ``num, den`` whose denominators all divide ``common``: exact integer sums in units of 1 / common."""
+    own = owners.groupBy(key).agg(F.sum((F.col("num") * F.lit(common) / F.col("den")).cast("long")).alias("num"))
+    return own.select(key, "num", F.when(F.col("num") > common, "SHARE_SUM_EXCEEDS_UNITY").when(F.col("num") < common, "SHARE_SUM_NOT_UNITY").alias("code"))
+
+
 def integrity(found: Column) -> Column:
     """1 less the penalty of each finding times its confidence, not below 0, to four places."""
     weight = F.create_map(*(x for s, w in SEVERITY_PENALTY.items() for x in (F.lit(s), F.lit(w))))

@@ -144,21 +144,17 @@ def sx0b(spark: SparkSession, d: str) -> DataFrame:
 
 @query("jn12_identifier_intersection", "SELECT a.l_orderkey AS left_key, count(*) AS shared FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_linestatus = 'O') a JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_linestatus = 'F') b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey = b.l_suppkey GROUP BY 1")
 def jn12(spark: SparkSession, d: str) -> DataFrame:
-    t = spark.read.parquet(f"{d}/lineitem.parquet")
-    s = t.groupBy("l_orderkey").agg(F.collect_set(F.when(F.col("l_linestatus") == "O", F.col("l_suppkey"))).alias("a"), F.collect_set(F.when(F.col("l_linestatus") == "F", F.col("l_suppkey"))).alias("b"))
-    return s.select(F.col("l_orderkey").alias("left_key"), F.size(F.array_intersect("a", "b")).cast("long").alias("shared")).filter("shared > 0")
+    t = spark.read.parquet(f"{d}/lineitem.parquet").filter("l_linestatus in ('O', 'F')")
+    return bundle.shared_identifiers(t, "l_orderkey", F.col("l_linestatus") == "O", "l_suppkey").withColumnRenamed("l_orderkey", "left_key")
 
 
 @query("jn13_death_conflicts", "SELECT a.l_orderkey AS k, count(*) AS conflicts FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey % 10 = b.l_partkey % 10 AND a.l_shipdate < b.l_shipdate GROUP BY 1")
 def jn13(spark: SparkSession, d: str) -> DataFrame:
-    t = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", (F.col("l_partkey") % 10).alias("person"), "l_shipdate")
-    o = t.select(F.col("l_orderkey").alias("k"), F.col("person").alias("p"), F.col("l_shipdate").alias("s"))
-    j = t.join(o, (F.col("l_orderkey") == F.col("k")) & (F.col("person") == F.col("p")) & (F.col("l_shipdate") < F.col("s")))
-    return j.groupBy("k").agg(F.count(F.lit(1)).alias("conflicts"))
+    t = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("k"), (F.col("l_partkey") % 10).alias("person"), "l_shipdate")
+    return bundle.death_conflicts(t, "k", "person", "l_shipdate")
 
 
 @query("jn18_event_in_window", "SELECT o_orderkey, count(*) AS events FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND (l_shipdate IS NULL OR (l_shipdate >= o_orderdate AND l_shipdate <= o_orderdate + INTERVAL 365 DAY)) GROUP BY 1")
 def jn18(spark: SparkSession, d: str) -> DataFrame:
     o, li = spark.read.parquet(f"{d}/orders.parquet"), spark.read.parquet(f"{d}/lineitem.parquet")
-    inside = F.col("l_shipdate").isNull() | ((F.col("l_shipdate") >= F.col("o_orderdate")) & (F.col("l_shipdate") <= F.col("o_orderdate") + F.expr("INTERVAL 365 DAYS")))
-    return o.join(li, (F.col("l_orderkey") == F.col("o_orderkey")) & inside).groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("events"))
+    return bundle.events_in_window(o, li, "o_orderkey", "o_orderdate", F.col("o_orderdate") + F.expr("INTERVAL 365 DAYS"), "l_orderkey", "l_shipdate")

@@ -9,7 +9,6 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.units import approximately
 from ..operators import findings, geo, rules
 from .registry import Registry
 from .views import PARCELS, SUBS, parcels, sub_divisions
@@ -133,20 +132,14 @@ def wf12(spark: SparkSession, d: str) -> DataFrame:
 
 @query("vr3_area_sum", f"WITH {PARCELS}, {SUBS}, s AS (SELECT parcel_id, sum(area) AS total FROM sub_divisions GROUP BY 1), j AS (SELECT p.id, s.total, p.area FROM s JOIN parcels p ON p.id = s.parcel_id) SELECT id, CASE WHEN total > area THEN 'AREA_SUM_EXCEEDS_TOTAL' ELSE 'AREA_SUM_MISMATCH' END AS code, CAST(total - area AS DOUBLE) AS delta FROM j WHERE total > area OR NOT (CAST(abs(total - area) AS DOUBLE) <= 1 OR CAST(abs(total - area) AS DOUBLE) / CAST(area AS DOUBLE) <= 0.005)")
 def vr3(spark: SparkSession, d: str) -> DataFrame:
-    s = sub_divisions(spark, d).groupBy("parcel_id").agg(F.sum("area").alias("total"))
-    j = s.join(parcels(spark, d).select("id", "area"), F.col("id") == F.col("parcel_id"))
-    over = F.col("total") > F.col("area")
-    bad = j.filter(over | ~approximately(F.col("total"), F.col("area"), 1.0, 0.005))
-    return bad.select("id", F.when(over, "AREA_SUM_EXCEEDS_TOTAL").otherwise("AREA_SUM_MISMATCH").alias("code"), (F.col("total") - F.col("area")).cast("double").alias("delta"))
+    p = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").cast("decimal(18,4)").alias("area"))
+    return rules.area_sums(sub_divisions(spark, d).select("parcel_id", "area"), p)
 
 
 @query("vr8_share_sums", "SELECT l_orderkey, CAST(sum(l_linenumber) AS BIGINT) AS num, CASE WHEN sum(l_linenumber) > 24 THEN 'SHARE_SUM_EXCEEDS_UNITY' WHEN sum(l_linenumber) < 24 THEN 'SHARE_SUM_NOT_UNITY' END AS code FROM lineitem GROUP BY 1")
 def vr8(spark: SparkSession, d: str) -> DataFrame:
-    from ..functions import shares
-
-    t = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey").agg(F.collect_list(shares.ratio(F.col("l_linenumber"), F.lit(24))).alias("s"))
-    t = t.withColumn("t", shares.total(F.col("s"))).select("l_orderkey", (F.col("t.num") * F.try_divide(F.lit(24), F.col("t.den"))).cast("bigint").alias("num"), F.col("t.num").alias("n"), F.col("t.den").alias("d"))
-    return t.select("l_orderkey", "num", F.when(F.col("n") > F.col("d"), "SHARE_SUM_EXCEEDS_UNITY").when(F.col("n") < F.col("d"), "SHARE_SUM_NOT_UNITY").alias("code"))
+    t = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", F.col("l_linenumber").alias("num"), F.lit(24).alias("den"))
+    return rules.share_sums(t, "l_orderkey", 24)
 
 
 @query("vr11_orphan_references", f"WITH {SUBS} SELECT s.parcel_id, s.number, s.part, s.supplier FROM sub_divisions s WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = s.parcel_id AND o.o_custkey % 50 <> s.part % 50)")
@@ -280,11 +273,14 @@ def ge7(spark: SparkSession, d: str) -> DataFrame:
     return geo.discrepancies(records_, shapes).select(F.col("parcel_key").cast("bigint").alias("o_orderkey"), "band", "geometry_matched")
 
 
-@query("jn14_neighbours", "WITH b AS (SELECT o_orderkey AS k, 73 + o_orderkey % 400 * 0.01 AS x, 18 + o_orderkey % 300 * 0.01 AS y FROM orders WHERE o_orderkey < 3000) SELECT p.k AS a, q.k AS b FROM b p JOIN b q ON p.k <> q.k AND abs(p.x - q.x) < 0.012 AND abs(p.y - q.y) < 0.012".replace("0.012", "0.0121"))
+# Boxes on a lattice of 4,000 columns and as many rows as the table needs: each touches its eight neighbours at any size of the table
+
+
+@query("jn14_neighbours", "WITH b AS (SELECT o_orderkey AS k, o_orderkey % 4000 AS i FROM orders), s AS (SELECT x.i AS di, y.i AS dj FROM range(-1, 2) x(i), range(-1, 2) y(i) WHERE x.i <> 0 OR y.i <> 0) SELECT p.k AS a, q.k AS b FROM b p, s, b q WHERE q.k = p.k + di + 4000 * dj AND p.i + di BETWEEN 0 AND 3999")
 def jn14(spark: SparkSession, d: str) -> DataFrame:
-    o = spark.read.parquet(f"{d}/orders.parquet").filter("o_orderkey < 3000")
-    boxes = o.select(F.col("o_orderkey").alias("parcel_key"), F.expr(_square(LON, LAT, "CAST(0.012 AS DOUBLE)")).alias("ring"))
-    return geo.neighbours(boxes).select("a", "b")
+    ring = _square("CAST(68 + o_orderkey % 4000 * 0.001 AS DOUBLE)", "CAST(8 + o_orderkey div 4000 * 0.001 AS DOUBLE)", "CAST(0.0012 AS DOUBLE)")
+    boxes = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("parcel_key"), F.expr(ring).alias("ring"))
+    return geo.neighbours(boxes, cell=0.003).select("a", "b")
 
 
 @query("ge8_topology", "SELECT * FROM (VALUES ('a', 'b', 'overlap'), ('b', 'a', 'overlap'), ('a', 'd', 'sliver_gap'), ('d', 'a', 'sliver_gap')) t(parcel_key, counterpart, kind)")

@@ -19,13 +19,13 @@ from .views import AS_OF, EVENTS, PARCELS, as_of, parcels, review_events, time_t
 query = Registry()
 T = "'%Y-%m-%d %H:%M:%S'"
 
-# Boxes by key arithmetic: 40 pages, boxes of a tenth of the page
-BOX = "b AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey % 40 AS page, (l_partkey % 900) / CAST(1000 AS DOUBLE) AS x0, (l_suppkey * 7 % 900) / CAST(1000 AS DOUBLE) AS y0, l_linestatus AS side FROM lineitem WHERE l_orderkey < 600)"
+# Boxes by key arithmetic: a page an order, boxes of a tenth of the page
+BOX = "b AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS page, (l_partkey % 900) / CAST(1000 AS DOUBLE) AS x0, (l_suppkey * 7 % 900) / CAST(1000 AS DOUBLE) AS y0, l_linestatus AS side FROM lineitem)"
 
 
 def _boxes(spark: SparkSession, d: str) -> DataFrame:
-    t = spark.read.parquet(f"{d}/lineitem.parquet").filter("l_orderkey < 600")
-    t = t.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_orderkey") % 40).alias("page"), ((F.col("l_partkey") % 900) / F.lit(1000.0)).alias("x0"), ((F.col("l_suppkey") * 7 % 900) / F.lit(1000.0)).alias("y0"), F.col("l_linestatus").alias("side"))
+    t = spark.read.parquet(f"{d}/lineitem.parquet")
+    t = t.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("page"), ((F.col("l_partkey") % 900) / F.lit(1000.0)).alias("x0"), ((F.col("l_suppkey") * 7 % 900) / F.lit(1000.0)).alias("y0"), F.col("l_linestatus").alias("side"))
     return t.withColumns({"x1": F.col("x0") + 0.1, "y1": F.col("y0") + 0.1})
 
 
@@ -36,9 +36,9 @@ def jn15(spark: SparkSession, d: str) -> DataFrame:
     return out.filter("iou > 0.3001").select("id_a", "id_b", F.round("iou", 6).alias("iou"))
 
 
-@query("jn16_tokens_in_cells", f"WITH {BOX}, c AS (SELECT p.i AS page, r.i AS row, q.i AS col, q.i / CAST(4 AS DOUBLE) AS cx0, r.i / CAST(4 AS DOUBLE) AS cy0 FROM range(40) p(i), range(4) r(i), range(4) q(i)) SELECT c.page, c.row, c.col, count(*) AS n FROM c JOIN b ON b.page = c.page AND x0 + 0.05 >= cx0 AND x0 + 0.05 <= cx0 + 0.25 AND y0 + 0.05 >= cy0 AND y0 + 0.05 <= cy0 + 0.25 GROUP BY 1, 2, 3".replace("+ 0.05", "+ CAST(0.05013 AS DOUBLE)").replace("+ 0.25", "+ CAST(0.25 AS DOUBLE)"))
+@query("jn16_tokens_in_cells", f"WITH {BOX}, c AS (SELECT p.i AS page, r.i AS row, q.i AS col, q.i / CAST(4 AS DOUBLE) AS cx0, r.i / CAST(4 AS DOUBLE) AS cy0 FROM (SELECT DISTINCT page FROM b) p(i), range(4) r(i), range(4) q(i)) SELECT c.page, c.row, c.col, count(*) AS n FROM c JOIN b ON b.page = c.page AND x0 + 0.05 >= cx0 AND x0 + 0.05 <= cx0 + 0.25 AND y0 + 0.05 >= cy0 AND y0 + 0.05 <= cy0 + 0.25 GROUP BY 1, 2, 3".replace("+ 0.05", "+ CAST(0.05013 AS DOUBLE)").replace("+ 0.25", "+ CAST(0.25 AS DOUBLE)"))
 def jn16(spark: SparkSession, d: str) -> DataFrame:
-    cells = spark.range(40).select(F.col("id").alias("page")).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(3)).cast("array<bigint>"))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(3)).cast("array<bigint>")))
+    cells = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("page")).distinct().withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(3)).cast("array<bigint>"))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(3)).cast("array<bigint>")))
     cells = cells.withColumns({"x0": F.col("col") / 4.0, "y0": F.col("row") / 4.0}).withColumns({"x1": F.col("x0") + 0.25, "y1": F.col("y0") + 0.25})
     shift = 0.00013
     t = _boxes(spark, d).select("page", F.lit("w").alias("text"), F.lit(1.0).alias("confidence"), (F.col("x0") + shift).alias("x0"), (F.col("y0") + shift).alias("y0"), (F.col("x0") + shift + 0.1).alias("x1"), (F.col("y0") + shift + 0.1).alias("y1"))
@@ -89,11 +89,10 @@ def jn17(spark: SparkSession, d: str) -> DataFrame:
     return docmap.attach_boxes(prov, ln).select("path", F.col("box.y0").alias("y0"))
 
 
-@query("jn10_best_owner", "WITH w AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS a FROM part), s AS (SELECT x.a AS needle, y.a AS candidate, round(jaro_winkler_similarity(x.a, y.a), 4) AS score FROM w x, w y WHERE x.a <> y.a), b AS (SELECT needle, max(score) AS score FROM s GROUP BY 1) SELECT needle, score, score >= 0.7 AS matched FROM b")
+@query("jn10_best_owner", "WITH w AS (SELECT p_partkey AS id, p_partkey // 10 AS document, split_part(p_name, ' ', 1) AS name FROM part), s AS (SELECT x.id, round(jaro_winkler_similarity(x.name, y.name), 4) AS score FROM w x JOIN w y ON x.document = y.document AND x.id <> y.id), b AS (SELECT id, max(score) AS score FROM s GROUP BY 1) SELECT id, score, score >= 0.88 AS matched FROM b")
 def jn10(spark: SparkSession, d: str) -> DataFrame:
-    w = spark.read.parquet(f"{d}/part.parquet").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("needle")).distinct().withColumn("k", F.lit(1))
-    pairs = w.join(w.withColumnRenamed("needle", "candidate"), "k").filter("needle <> candidate").withColumn("score", names.folded_similarity("needle", "candidate"))  # one vocabulary of a few words
-    return pairs.groupBy("needle").agg(F.max("score").alias("score")).withColumn("matched", F.col("score") >= 0.7)
+    w = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"), F.floor(F.col("p_partkey") / 10).alias("document"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("name"))
+    return names.best_owners(w, w, "document").select("id", "score", "matched")
 
 
 WIRES = [
@@ -168,7 +167,7 @@ def sc39(spark: SparkSession, d: str) -> DataFrame:
 @query("sc40_drop_computed", "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events")
 def sc40(spark: SparkSession, d: str) -> DataFrame:
     t = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.from_json("props", "k int").withField("computed", F.lit(1)).alias("p"))
-    return t.select("event_id", F.col("p").dropFields("computed").alias("p")).select("event_id", "p.k")
+    return t.select("event_id", docmap.without_computed(F.col("p"), "computed").alias("p")).select("event_id", "p.*")
 
 
 # Sources and sinks
@@ -201,10 +200,9 @@ def io12(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", "state", "district", "village", "khata_number", "survey_number", "area_sq_metre", "confidence", "review_status")
 
 
-@query("io11_csv_lines", f"WITH {PARCELS} SELECT concat(id, ',', state, ',', coalesce(assigned_to, ''), ',', CASE WHEN has_geometry THEN 'True' ELSE 'False' END) AS line FROM parcels WHERE id % 50 = 0")
+@query("io11_csv_lines", f"WITH {PARCELS} SELECT concat(id, ',', state, ',', coalesce(assigned_to, ''), ',', CASE WHEN has_geometry THEN 'True' ELSE 'False' END) AS line FROM parcels")
 def io11(spark: SparkSession, d: str) -> DataFrame:
-    p = parcels(spark, d).filter("id % 50 = 0")
-    return p.select(F.concat_ws(",", F.col("id").cast("string"), "state", F.coalesce("assigned_to", F.lit("")), F.initcap(F.col("has_geometry").cast("string"))).alias("line"))
+    return exports.csv_lines(parcels(spark, d).select("id", "state", "assigned_to", "has_geometry"))
 
 
 @query("io14_artifact_json", "SELECT concat('{\"event_id\":', event_id, ',\"user_id\":', user_id, '}') AS json FROM events")
@@ -218,10 +216,10 @@ def io16(spark: SparkSession, d: str) -> DataFrame:
     return t.select("id", exports.share_text(F.col("s"), F.col("raw")).alias("out"))
 
 
-@query("io17_geojson", f"WITH {PARCELS}, m AS (SELECT * FROM parcels WHERE id < 500) SELECT CAST(least(count(CASE WHEN has_geometry THEN 1 END), 100) AS INT) AS returned, count(*) AS total_matching FROM m")
+@query("io17_geojson", f"WITH {PARCELS}, m AS (SELECT * FROM parcels) SELECT CAST(least(count(CASE WHEN has_geometry THEN 1 END), 100) AS INT) AS returned, count(*) AS total_matching FROM m")
 def io17(spark: SparkSession, d: str) -> DataFrame:
     x = F.col("id").cast("double")
-    p = parcels(spark, d).filter("id < 500").withColumn("ring", F.when(F.col("has_geometry"), F.array(F.struct(x.alias("lon"), x.alias("lat")))))
+    p = parcels(spark, d).withColumn("ring", F.when(F.col("has_geometry"), F.array(F.struct(x.alias("lon"), x.alias("lat")))))
     return exports.feature_collection(p, ("id", "state"), 100).select("returned", "total_matching")
 
 
@@ -241,8 +239,9 @@ def io13(spark: SparkSession, d: str) -> DataFrame:
 
 @query("io7_ingest_rows", "SELECT conv_id AS document, turn AS parcel, length(text) AS n FROM conversations")
 def io7(spark: SparkSession, d: str) -> DataFrame:
-    t = spark.read.parquet(f"{d}/conversations.parquet").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("parcels"))
-    return t.select(F.col("conv_id").alias("document"), F.explode("parcels").alias("p")).select("document", F.col("p.turn").alias("parcel"), F.length("p.text").cast("long").alias("n"))
+    t = spark.read.parquet(f"{d}/conversations.parquet").groupBy(F.col("conv_id").alias("document")).agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("parcels"))
+    _, rows = files.ingested(t)
+    return rows.select("document", F.col("turn").alias("parcel"), F.length("text").cast("long").alias("n"))
 
 
 # Streams

@@ -14,7 +14,7 @@ query = Registry()
 OPEN = "review_status IN ('pending','in_review','escalated')"
 NOW, ENOW = f"TIMESTAMP '{AS_OF}'", f"TIMESTAMP '{EVENTS_AS_OF}'"
 T = "'%Y-%m-%d %H:%M:%S'"
-SUMMARY = ("id", "state", "district", "village", "khata_number", "survey_number", "review_status", "priority", "mismatch", "confidence")
+SUMMARY = reads.SUMMARY
 S = ", ".join(SUMMARY)
 
 
@@ -73,7 +73,7 @@ LIGHT = "CASE WHEN action = 'reject_re_scan' OR severity = 'critical' OR mismatc
 
 @query("fl10_summary_projection", f"WITH {PARCELS} SELECT {S} FROM parcels")
 def fl10(spark: SparkSession, d: str) -> DataFrame:
-    return parcels(spark, d).select(*SUMMARY)
+    return reads.summary_rows(parcels(spark, d))
 
 
 @query("fl11_traffic_light", f"WITH {PARCELS} SELECT id, {LIGHT} AS light FROM parcels")
@@ -103,20 +103,19 @@ def jn2(spark: SparkSession, d: str) -> DataFrame:
 
 @query("jn3_parcel_document", f"WITH {PARCELS} SELECT p.id, p.document_id, c.c_name AS document_name FROM parcels p LEFT JOIN customer c ON p.document_id = c.c_custkey")
 def jn3(spark: SparkSession, d: str) -> DataFrame:
-    docs = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.col("c_name").alias("document_name"))
-    return parcels(spark, d).join(docs, F.col("document_id") == F.col("c_custkey"), "left").select("id", "document_id", "document_name")
+    docs = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("document_name"))
+    return reads.with_document(parcels(spark, d), docs).select("id", "document_id", "document_name")
 
 
 @query("jn4_case_events", "SELECT conv_id, count(*) AS n, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
 def jn4(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.read.parquet(f"{d}/conversations.parquet").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("turns"))
-    return rows.select("conv_id", F.size("turns").cast("long").alias("n"), F.array_join("turns.role", ",").alias("roles"))
+    rows = reads.in_order(spark.read.parquet(f"{d}/conversations.parquet"), "conv_id", "turn", "role")
+    return rows.select("conv_id", "n", F.array_join("all", ",").alias("roles"))
 
 
 @query("jn5_parcels_with_events", f"WITH {PARCELS}, {EVENTS} SELECT id, state FROM parcels WHERE id IN (SELECT parcel_id FROM review_events WHERE action = 'flagged')")
 def jn5(spark: SparkSession, d: str) -> DataFrame:
-    flagged = review_events(spark, d).filter("action = 'flagged'").select(F.col("parcel_id").alias("e_parcel"))
-    return parcels(spark, d).join(flagged, F.col("id") == F.col("e_parcel"), "left_semi").select("id", "state")
+    return reads.with_event(parcels(spark, d), review_events(spark, d), "flagged").select("id", "state")
 
 
 @query("jn6_first_match", f"WITH {PARCELS}, {SUBS}, f AS (SELECT parcel_id, min((number, part, supplier, area)) AS m FROM sub_divisions GROUP BY 1) SELECT id, f.m[2] AS first_part, CAST(f.m[4] AS DOUBLE) AS first_area FROM parcels LEFT JOIN f ON id = parcel_id".replace("f.m[2]", "struct_extract_at(f.m, 2)").replace("f.m[4]", "struct_extract_at(f.m, 4)"))
@@ -128,8 +127,8 @@ def jn6(spark: SparkSession, d: str) -> DataFrame:
 
 @query("jn7_geometry_lookup", f"WITH {PARCELS}, g AS (SELECT o_orderkey AS gid, o_orderkey * 2 AS geom FROM orders WHERE o_orderkey % 6 <> 0) SELECT id, geom, geom IS NULL AS missing FROM parcels LEFT JOIN g ON id = gid")
 def jn7(spark: SparkSession, d: str) -> DataFrame:
-    g = spark.read.parquet(f"{d}/orders.parquet").filter("o_orderkey % 6 <> 0").select(F.col("o_orderkey").alias("gid"), (F.col("o_orderkey") * 2).alias("geom"))
-    return parcels(spark, d).join(g, F.col("id") == F.col("gid"), "left").select("id", "geom", F.col("geom").isNull().alias("missing"))
+    g = spark.read.parquet(f"{d}/orders.parquet").filter("o_orderkey % 6 <> 0").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") * 2).alias("geom"))
+    return reads.with_geometry(parcels(spark, d), g).select("id", "geom", "missing")
 
 
 # Aggregates
@@ -166,7 +165,7 @@ def ag3(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ag4_median", f"WITH {PARCELS} SELECT state, round(median(confidence), 4) AS median_confidence FROM parcels GROUP BY state")
 def ag4(spark: SparkSession, d: str) -> DataFrame:
-    return parcels(spark, d).groupBy("state").agg(F.round(F.median("confidence"), 4).alias("median_confidence"))
+    return analytics.medians(parcels(spark, d), "state", "confidence")
 
 
 @query("ag5_district_rollup", f"WITH {PARCELS} SELECT state, district, count(*) AS total, CAST({FLAGGED} AS BIGINT) AS flagged, CAST(sum(CASE WHEN review_status = 'approved' THEN 1 ELSE 0 END) AS BIGINT) AS approved, CAST(sum(CASE WHEN review_status = 'pending' THEN 1 ELSE 0 END) AS BIGINT) AS pending, CAST(sum(CASE WHEN sla_due_at < {NOW} AND review_status NOT IN ('approved','rejected') THEN 1 ELSE 0 END) AS BIGINT) AS overdue, {AVG_C} AS avg_confidence, {AVG_M} AS avg_mismatch, {AREA} AS total_area_hectares, round(sum(CASE WHEN review_status = 'approved' THEN 1 ELSE 0 END) / count(*) * 100, 1) AS completion_rate FROM parcels GROUP BY state, district ORDER BY total DESC, state NULLS FIRST, district NULLS FIRST LIMIT 50")
@@ -213,10 +212,9 @@ def ag11(spark: SparkSession, d: str) -> DataFrame:
     return reads.total(p.filter(reads.parcel_filter(p.columns, open_only=True, min_mismatch=10)))
 
 
-@query("ag13_reference_number", "SELECT o_orderpriority AS prefix, concat('CASE/2001/', lpad(CAST(count(*) + 1 AS VARCHAR), 4, '0')) AS reference FROM orders WHERE o_orderkey < 4000 GROUP BY 1")
+@query("ag13_reference_number", "SELECT o_orderpriority AS prefix, printf('CASE/2001/%04d', count(*) + 1) AS reference FROM orders GROUP BY 1")
 def ag13(spark: SparkSession, d: str) -> DataFrame:
-    o = spark.read.parquet(f"{d}/orders.parquet").filter("o_orderkey < 4000")
-    return o.groupBy(F.col("o_orderpriority").alias("prefix")).agg(F.format_string("CASE/2001/%04d", F.count(F.lit(1)) + 1).alias("reference"))
+    return analytics.reference_numbers(spark.read.parquet(f"{d}/orders.parquet"), "o_orderpriority")
 
 
 @query("ag14_integrity", f"WITH {EVENTS}, {ISSUES} SELECT rule_code, count(*) AS n, round(greatest(0.0, 1.0 - sum(CASE severity WHEN 'info' THEN CAST(0 AS DECIMAL(6,2)) WHEN 'warning' THEN CAST(0.04 AS DECIMAL(6,2)) WHEN 'error' THEN CAST(0.15 AS DECIMAL(6,2)) ELSE CAST(0.40 AS DECIMAL(6,2)) END) / 100), 4) AS integrity FROM issues GROUP BY 1".replace("round(greatest(0.0, 1.0 - sum(", "CAST(greatest(0, 1 - CAST(sum(").replace("END) / 100), 4) AS", "END) AS DOUBLE) / 100) AS DOUBLE) AS"))
@@ -234,7 +232,7 @@ def ag14(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ag15_area_sums", f"WITH {SUBS} SELECT parcel_id, CAST(sum(area) AS DOUBLE) AS total, CAST(coalesce(sum(CASE WHEN kind = 'sale' THEN area END), 0) AS DOUBLE) AS cultivable, CAST(coalesce(sum(CASE WHEN kind <> 'sale' THEN area END), 0) AS DOUBLE) AS other FROM sub_divisions GROUP BY 1")
 def ag15(spark: SparkSession, d: str) -> DataFrame:
-    return sub_divisions(spark, d).groupBy("parcel_id").agg(F.sum("area").cast("double").alias("total"), F.coalesce(F.sum(F.when(F.col("kind") == "sale", F.col("area"))), F.lit(0)).cast("double").alias("cultivable"), F.coalesce(F.sum(F.when(F.col("kind") != "sale", F.col("area"))), F.lit(0)).cast("double").alias("other"))
+    return analytics.area_sums(sub_divisions(spark, d), "parcel_id", "area", F.col("kind") == "sale")
 
 
 @query("ag16_rate_outliers", f"WITH {SUBS}, w AS (SELECT *, avg(rate) OVER g AS m, stddev_pop(rate) OVER g AS s, count(*) OVER g AS c FROM sub_divisions WINDOW g AS (PARTITION BY parcel_id)) SELECT parcel_id, number, part, supplier, c AS siblings, round((rate - m) / s, 3) AS z FROM w WHERE c >= 3 AND s > 1e-9 * abs(m) AND abs((rate - m) / s) >= 2")
@@ -247,25 +245,24 @@ def ag16(spark: SparkSession, d: str) -> DataFrame:
 def ag17(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet").withColumn("exact", F.col("value").cast("decimal(12,2)"))
     w = F.greatest(F.lit(1), F.col("user_id"))
-    return e.groupBy("event_type").agg(F.round(F.sum(F.col("exact") * w).cast("double") / F.sum(w).cast("double"), 6).alias("mean"))
+    return e.groupBy("event_type").agg(F.round(analytics.weighted_mean("exact", w), 6).alias("mean"))
 
 
 @query("ag18_document_means", f"WITH {PARCELS} SELECT document_id, CAST(sum(CAST(confidence AS DECIMAL(10,3))) AS DOUBLE) / CAST(count(confidence) AS DOUBLE) AS confidence, CAST(sum(area) AS DOUBLE) AS area FROM parcels GROUP BY 1")
 def ag18(spark: SparkSession, d: str) -> DataFrame:
-    return parcels(spark, d).groupBy("document_id").agg(F.try_divide(F.sum(F.col("confidence").cast("decimal(10,3)")).cast("double"), F.count("confidence").cast("double")).alias("confidence"), F.sum("area").cast("double").alias("area"))
+    return analytics.document_means(parcels(spark, d))
 
 
 @query("ag19_token_usage", "SELECT role, CAST(sum(length(text)) AS BIGINT) AS characters, CAST(sum(CASE WHEN turn % 2 = 0 THEN length(text) ELSE 0 END) AS BIGINT) AS cached, round(sum(CASE WHEN turn % 2 = 0 THEN length(text) ELSE 0 END) / sum(length(text)), 6) AS hit_ratio FROM conversations GROUP BY role")
 def ag19(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.read.parquet(f"{d}/conversations.parquet").select("role", F.length("text").alias("n"), F.when(F.col("turn") % 2 == 0, F.length("text")).otherwise(0).alias("c"))
-    return rows.groupBy("role").agg(F.sum("n").alias("characters"), F.sum("c").alias("cached"), F.round(F.sum("c") / F.sum("n"), 6).alias("hit_ratio"))
+    rows = spark.read.parquet(f"{d}/conversations.parquet").select("role", F.length("text").alias("used"), F.when(F.col("turn") % 2 == 0, F.length("text")).otherwise(0).alias("cached"))
+    return analytics.token_usage(rows, "role")
 
 
 @query("ag21_map_bounds", f"WITH {PARCELS} SELECT state, min(id % 360 - 180) AS west, max(id % 360 - 180) AS east, min(id % 180 - 90) AS south, max(id % 180 - 90) AS north FROM parcels WHERE has_geometry GROUP BY 1")
 def ag21(spark: SparkSession, d: str) -> DataFrame:
     p = parcels(spark, d).filter("has_geometry").select("state", F.array(F.struct((F.col("id") % 360 - 180).alias("lon"), (F.col("id") % 180 - 90).alias("lat"))).alias("ring"))
-    v = p.select("state", F.explode("ring").alias("v"))
-    return v.groupBy("state").agg(F.min("v.lon").alias("west"), F.max("v.lon").alias("east"), F.min("v.lat").alias("south"), F.max("v.lat").alias("north"))
+    return analytics.map_bounds(p, "state")
 
 
 # Sorts, pages, windows
@@ -296,21 +293,19 @@ def rd2(spark: SparkSession, d: str) -> DataFrame:
 
 @query("rd3_audit_order", f"WITH {EVENTS} SELECT id, reviewer, action FROM review_events ORDER BY created_at DESC, id LIMIT 200")
 def rd3(spark: SparkSession, d: str) -> DataFrame:
-    return review_events(spark, d).orderBy(F.col("created_at").desc(), "id").limit(200).select("id", "reviewer", "action")
+    return reads.newest_first(review_events(spark, d)).select("id", "reviewer", "action")
 
 
 @query("rd4_event_trail", f"WITH {EVENTS} SELECT id, parcel_id, row_number() OVER (PARTITION BY parcel_id ORDER BY created_at, id) AS step FROM review_events")
 def rd4(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    return review_events(spark, d).select("id", "parcel_id", F.row_number().over(Window.partitionBy("parcel_id").orderBy("created_at", "id")).cast("long").alias("step"))
+    return reads.numbered(review_events(spark, d), "parcel_id", ("created_at", "id"), "step").select("id", "parcel_id", "step")
 
 
 @query("rd7_geojson_counts", f"WITH {PARCELS}, m AS (SELECT * FROM parcels WHERE state = 'AMERICA') SELECT count(*) AS total_matching, least(count(CASE WHEN has_geometry THEN 1 END), 200) AS returned, count(*) - least(count(CASE WHEN has_geometry THEN 1 END), 200) AS without_geometry FROM m")
 def rd7(spark: SparkSession, d: str) -> DataFrame:
-    m = parcels(spark, d).filter("state = 'AMERICA'")
-    n, g = F.count(F.lit(1)), F.least(F.count_if("has_geometry"), F.lit(200))
-    return m.agg(n.alias("total_matching"), g.alias("returned"), (n - g).alias("without_geometry"))
+    from ..sources.exports import geojson_counts
+
+    return geojson_counts(parcels(spark, d).filter("state = 'AMERICA'"), 200)
 
 
 @query("rd10_out_of_sequence", f"WITH {SUBS}, o AS (SELECT *, lag(entry_date) OVER (PARTITION BY parcel_id ORDER BY number, part, supplier, entry_date) AS before FROM sub_divisions) SELECT parcel_id, number, part, supplier, strftime(entry_date, '%Y-%m-%d') AS entry_date, strftime(before, '%Y-%m-%d') AS previous FROM o WHERE entry_date < before")
@@ -338,43 +333,35 @@ def rd12(spark: SparkSession, d: str) -> DataFrame:
 
 @query("rd13_snapshot_pairs", "WITH o AS (SELECT conv_id, turn, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role FROM conversations) SELECT conv_id, turn, role, next_role FROM o WHERE next_role IS NOT NULL")
 def rd13(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "role", F.lead("role").over(w).alias("next_role")).filter("next_role is not null")
+    return reads.followed(spark.read.parquet(f"{d}/conversations.parquet"), "conv_id", "turn", "role", "next_role").select("conv_id", "turn", "role", "next_role")
 
 
 @query("rd14_issue_order", f"WITH {EVENTS}, r AS (SELECT id, parcel_id, CASE k % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS rank, value FROM review_events) SELECT id, parcel_id, row_number() OVER (PARTITION BY parcel_id ORDER BY rank DESC, value DESC, id) AS place FROM r")
 def rd14(spark: SparkSession, d: str) -> DataFrame:
-    e = review_events(spark, d).groupBy("parcel_id").agg(F.array_sort(F.collect_list(F.struct((-(F.col("k") % 4)).alias("rank"), (-F.col("value")).alias("value"), "id"))).alias("issues"))
-    return e.select("parcel_id", F.posexplode("issues").alias("pos", "i")).select("parcel_id", F.col("i.id").alias("id"), (F.col("pos") + 1).cast("long").alias("place"))
+    worst = F.coalesce(F.col("k") % 4, F.lit(3)).desc()
+    return reads.numbered(review_events(spark, d), "parcel_id", (worst, F.col("value").desc_nulls_first(), "id")).select("parcel_id", "id", "place")
 
 
 @query("rd16_snapshot_order", f"WITH {SUBS} SELECT parcel_id, number, part, supplier, row_number() OVER (PARTITION BY parcel_id ORDER BY CASE WHEN kind = 'succession' THEN 0 ELSE 1 END, entry_date NULLS LAST, number, part, supplier) AS place FROM sub_divisions")
 def rd16(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("parcel_id").orderBy(F.when(F.col("kind") == "succession", 0).otherwise(1), F.col("entry_date").asc_nulls_last(), "number", "part", "supplier")
-    return sub_divisions(spark, d).select("parcel_id", "number", "part", "supplier", F.row_number().over(w).cast("long").alias("place"))
+    order = (F.when(F.col("kind") == "succession", 0).otherwise(1), F.col("entry_date").asc_nulls_last(), "number", "part", "supplier")
+    return reads.numbered(sub_divisions(spark, d), "parcel_id", order).select("parcel_id", "number", "part", "supplier", "place")
 
 
 @query("rd17_timeline_sequence", f"WITH {EVENTS} SELECT id, row_number() OVER (PARTITION BY parcel_id ORDER BY created_at, id) - 1 AS sequence FROM review_events")
 def rd17(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    return review_events(spark, d).select("id", (F.row_number().over(Window.partitionBy("parcel_id").orderBy("created_at", "id")) - 1).cast("long").alias("sequence"))
+    return reads.numbered(review_events(spark, d), "parcel_id", ("created_at", "id"), "sequence", first=0).select("id", "sequence")
 
 
 @query("rd18_latest_mutation", f"WITH {SUBS} SELECT parcel_id, strftime(max(entry_date), '%Y-%m-%d') AS latest, arg_max(part * 1000 + supplier, (entry_date, -number, -part, -supplier)) AS winner FROM sub_divisions GROUP BY 1")
 def rd18(spark: SparkSession, d: str) -> DataFrame:
-    order = F.struct("entry_date", -F.col("number"), -F.col("part"), -F.col("supplier"))
-    return sub_divisions(spark, d).groupBy("parcel_id").agg(F.date_format(F.max("entry_date"), "yyyy-MM-dd").alias("latest"), F.max_by(F.col("part") * 1000 + F.col("supplier"), order).alias("winner"))
+    out = reads.latest(sub_divisions(spark, d), "parcel_id", "entry_date", F.col("part") * 1000 + F.col("supplier"), (-F.col(c) for c in ("number", "part", "supplier")))
+    return out.withColumn("latest", F.date_format("latest", "yyyy-MM-dd"))
 
 
 @query("rd22_set_operations", f"WITH {SUBS}, a AS (SELECT DISTINCT parcel_id, part % 20 AS x FROM sub_divisions WHERE kind = 'sale'), b AS (SELECT DISTINCT parcel_id, part % 20 AS x FROM sub_divisions WHERE kind <> 'sale'), k AS (SELECT DISTINCT parcel_id FROM sub_divisions) SELECT k.parcel_id, (SELECT count(*) FROM (SELECT x FROM a WHERE a.parcel_id = k.parcel_id UNION SELECT x FROM b WHERE b.parcel_id = k.parcel_id)) AS n_union, (SELECT count(*) FROM a JOIN b USING (parcel_id, x) WHERE a.parcel_id = k.parcel_id) AS n_shared, (SELECT count(*) FROM a WHERE a.parcel_id = k.parcel_id AND x NOT IN (SELECT x FROM b WHERE b.parcel_id = k.parcel_id)) AS n_only FROM k")
 def rd22(spark: SparkSession, d: str) -> DataFrame:
-    s = sub_divisions(spark, d).groupBy("parcel_id").agg(F.collect_set(F.when(F.col("kind") == "sale", F.col("part") % 20)).alias("a"), F.collect_set(F.when(F.col("kind") != "sale", F.col("part") % 20)).alias("b"))
-    return s.select("parcel_id", F.size(F.array_union("a", "b")).cast("long").alias("n_union"), F.size(F.array_intersect("a", "b")).cast("long").alias("n_shared"), F.size(F.array_except("a", "b")).cast("long").alias("n_only"))
+    return analytics.set_counts(sub_divisions(spark, d), "parcel_id", F.col("part") % 20, F.col("kind") == "sale")
 
 
 # Triage and workflow

@@ -34,10 +34,11 @@ def sc1(spark: SparkSession, d: str) -> DataFrame:
     return _rows(spark, DIGITS).select("id", numerals.ascii_digits(F.col("raw")).alias("out"))
 
 
-@query("sc1_ascii_digits_table", "SELECT doc_id, length(text) AS n, regexp_replace(substr(text, 1, 40), '[0-9]', '#', 'g') AS masked FROM documents")
+@query("sc1_ascii_digits_table", "SELECT doc_id, length(text) AS n, sha256(regexp_replace(translate(text, '०१२३४५६७८९', '0123456789'), '[0-9]', '#', 'g')) AS masked_sha256 FROM documents")
 def sc1b(spark: SparkSession, d: str) -> DataFrame:
     t = spark.read.parquet(f"{d}/documents.parquet")
-    return t.select("doc_id", F.length(numerals.ascii_digits(F.col("text"))).cast("long").alias("n"), F.regexp_replace(F.substring(numerals.ascii_digits(F.col("text")), 1, 40), "[0-9]", "#").alias("masked"))
+    out = numerals.ascii_digits(F.col("text"))
+    return t.select("doc_id", F.length(out).cast("long").alias("n"), F.sha2(F.regexp_replace(out, "[0-9]", "#"), 256).alias("masked_sha256"))
 
 
 @query("sc2_scripts", "SELECT doc_id, CAST(length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) AS BIGINT) AS ascii_latin, 'Latin' AS dominant FROM documents")
@@ -141,10 +142,13 @@ def sc17(spark: SparkSession, d: str) -> DataFrame:
     return t.select("id", "s.num", "s.den")
 
 
-@query("sc18_rational_snap", "WITH t AS (SELECT o_orderkey, 1 + o_orderkey % 12 AS den, o_orderkey % (1 + o_orderkey % 12) AS num FROM orders) SELECT o_orderkey, num // greatest(gcd(num, den), 1) AS num, den // greatest(gcd(num, den), 1) AS den FROM t WHERE den NOT IN (11)")
+_DENS = f"[{', '.join(map(str, shares.DENOMINATORS))}]"
+
+
+@query("sc18_rational_snap", f"WITH t AS (SELECT o_orderkey, CAST(round((o_orderkey % (1 + o_orderkey % 12)) * 10000 / CAST(1 + o_orderkey % 12 AS DOUBLE)) AS BIGINT) AS x FROM orders), f AS (SELECT o_orderkey, x, list_filter({_DENS}, lambda d: abs((x * d + 5000) // 10000 * 10000 - x * d) * 2 <= d)[1] AS d FROM t), r AS (SELECT o_orderkey, CASE WHEN d IS NULL THEN x ELSE (x * d + 5000) // 10000 END AS n, coalesce(d, 10000) AS d FROM f) SELECT o_orderkey, n // greatest(gcd(n, d), 1) AS num, d // greatest(gcd(n, d), 1) AS den FROM r")
 def sc18(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
-    t = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", (1 + k % 12).alias("den")).filter("den <> 11").withColumn("num", F.col("o_orderkey") % F.col("den"))
+    t = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", (1 + k % 12).alias("den")).withColumn("num", F.col("o_orderkey") % F.col("den"))
     t = t.withColumn("s", shares.snapped(F.round(F.col("num") * 10000 / F.col("den")).cast("bigint"), F.lit(4)))
     return t.select("o_orderkey", "s.num", "s.den")
 

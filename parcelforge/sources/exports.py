@@ -37,8 +37,18 @@ def csv_line(values) -> str:
     return ",".join(map(one, values)) + "\n"
 
 
+def csv_lines(df: DataFrame) -> DataFrame:
+    """``line`` of every row, quoted as ``csv_line`` does, on the executors."""
+    def text(c: str) -> Column:
+        kind = df.schema[c].dataType.typeName()
+        own = F.when(F.col(c), "True").when(~F.col(c), "False") if kind == "boolean" else F.col(c).cast("string")
+        return F.coalesce(F.when(own.rlike(r'[,"\r\n]'), F.concat(F.lit('"'), F.replace(own, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(own), F.lit(""))
+
+    return df.select(F.concat_ws(",", *(text(c) for c in df.columns)).alias("line"))
+
+
 def csv_stream(df: DataFrame) -> Iterator[bytes]:
-    """The export as bytes, a row at a time; the byte order mark lets spreadsheets read the names."""
+    """The export as bytes for one download, a row at a time through the driver; the byte order mark lets spreadsheets read the names. Large exports go to ``write_csv``."""
     yield (BOM + csv_line(df.columns)).encode()
     for row in df.toLocalIterator(prefetchPartitions=True):
         yield csv_line(row).encode()
@@ -64,6 +74,25 @@ def feature_collection(parcels: DataFrame, properties: tuple[str, ...], limit: i
     return row.select(F.to_json(out).alias("collection"), F.size("features").alias("returned"), "total_matching")
 
 
+def geojson_counts(parcels: DataFrame, limit: int) -> DataFrame:
+    """``total_matching, returned, without_geometry`` of a collection of at most ``limit`` shapes, without building it."""
+    n, g = F.count(F.lit(1)), F.least(F.count_if("has_geometry"), F.lit(limit))
+    return parcels.agg(n.alias("total_matching"), g.alias("returned"), (n - g).alias("without_geometry"))
+
+
+def escaped(text: Column) -> Column:
+    """Text for HTML."""
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+def report_facts(columns: tuple[str, ...]) -> Column:
+    """The facts section of a record's verification report as HTML, for whole tables; null values are empty."""
+    parts = [F.concat(F.lit(f"<dt>{html.escape(c)}</dt><dd>"), escaped(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit("</dd>")) for c in columns]
+    return F.concat(F.lit("<dl>"), *parts, F.lit("</dl>"))
+
+
 def artifact_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
 

@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 from ..operators.rules import REGISTRY, Policy, Tolerance
 
 
+def scan(spark: SparkSession, path: str, columns: tuple[str, ...], condition: Column | None = None) -> DataFrame:
+    """Columns of a Parquet table under a condition; both reach the scan."""
+    rows = spark.read.parquet(path)
+    return (rows if condition is None else rows.filter(condition)).select(*columns)
+
+
+def ingested(artifacts: DataFrame, document: str = "document", parcels: str = "parcels") -> tuple[DataFrame, DataFrame]:
+    """Document rows (all columns but the parcels, and ``n_parcels``) and parcel rows (``document, parcel`` and the parcel's fields) of artifacts with an array of parcels."""
+    rows = artifacts.select(*(c for c in artifacts.columns if c != parcels), F.coalesce(F.size(parcels), F.lit(0)).alias("n_parcels"))
+    return rows, artifacts.select(document, F.posexplode(parcels).alias("parcel", "p")).select(document, "parcel", "p.*")
+
+
 def documents(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """Files as rows ``path, length, modificationTime, content, sha256, document_id``."""
     rows = spark.read.format("binaryFile").options(**options).load(path)
