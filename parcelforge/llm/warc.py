@@ -1,24 +1,25 @@
 """WARC archives with revisit resolution.
 
-Headers (id, payload digest, payload size) are taken by Spark functions.  Digests of
+Headers (id, url, payload digest, payload size) are taken by Spark functions and stored.  Digests of
 payloads of at least ``LEAST`` bytes that occur more than once are aggregated to
-their original, the record with the greatest id (map-side combine, so a payload of a
-third of all pages is no hot group); the rest of the pages never meet another.  Each
-page then becomes a response, or a revisit that has fresh headers, names the
-original and leaves the payload out.  Archives (one gzip member a record) are
+their original, the record with the greatest id (map-side combine), and headers are joined
+with the originals by (digest, salt), so a payload of a third of all pages is no hot group.
+Headers of revisits are records already: fresh headers that name the original, and no
+payload.  Pages whose key is not in a fixed-size bitmap of the revisits' keys are responses where they are
+read; of the others only those that the bitmap holds by chance are joined with
+their headers.  So payloads are not shuffled.  Archives (one gzip member a record) are
 written and read by the data source ``warc_archive``, by byte ranges.
 
 Cases: null html is an empty payload, null url an empty target; equal rows with the
-greatest id are all responses; a null id is the least, and its record is a response if all are null;
-an empty table writes no archive; control characters in urls are percent-encoded in headers;
-other columns are ignored.
+greatest id are all responses, equal rows of a lesser id all revisits; a null id is the least, and its record is a response if all are null;
+very long payloads are one record; an empty table writes no archive; control characters in urls are percent-encoded in headers;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -28,8 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource
 
 from .archives import BATCH, ArchiveWriter, RangeReader
-from ..session import shared_folder
-from .storage import stored
+from .storage import keyed_in, stored, temporary
 
 #: Bytes from which equal payloads are stored once.
 LEAST = 1000
@@ -41,10 +41,15 @@ URN = "urn:x-page:"
 SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary, error string"
 
 
-def headers(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """``page_id, digest, payload_bytes`` of every page."""
+#: Parts into which the pages of one digest are dealt when they meet their original.
+SALTS = 32
+
+
+def headers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``page_id, url, digest, payload_bytes, key, payload`` of every page; ``key`` stands for id and digest."""
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    return pages.select(F.col(id_col).cast("long").alias("page_id"), F.sha1(payload).alias("digest"), F.length(payload).cast("long").alias("payload_bytes"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.sha1(payload).alias("digest"), F.length(payload).cast("long").alias("payload_bytes"), payload.alias("payload"))
+    return rows.withColumn("key", F.xxhash64("page_id", "digest"))
 
 
 def originals(heads: DataFrame, least: int = LEAST) -> DataFrame:
@@ -54,13 +59,22 @@ def originals(heads: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def resolved(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST) -> DataFrame:
-    """Pages with ``record_type`` and ``refers_to``; payloads of revisits are dropped before anything is written."""
-    first = stored(originals(headers(pages, id_col, html_col), least), "warc-originals")
-    payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"))
-    rows = rows.withColumns({"digest": F.sha1("payload"), "payload_bytes": F.length("payload").cast("long")}).join(first, F.col("digest") == F.col("o_digest"), "left")
-    revisit = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
-    return rows.select("page_id", "url", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("original")).alias("refers_to"), "digest", "payload_bytes", F.when(~revisit, F.col("payload")).alias("payload"))
+    """Records ``page_id, url, record_type, refers_to, digest, payload_bytes, payload``; revisits have no payload."""
+    whole = headers(pages, id_col, url_col, html_col)
+    heads = stored(whole.drop("payload"), "warc-headers")
+    first = originals(heads, least).withColumn("o_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = heads.join(first, (F.col("digest") == F.col("o_digest")) & (F.pmod(F.xxhash64("page_id"), F.lit(SALTS)) == F.col("o_salt")))
+    revisits = stored(met.filter(~F.col("page_id").eqNullSafe(F.col("original"))).select("page_id", "url", "digest", "payload_bytes", "key", "original"), "warc-revisits")
+    perhaps = keyed_in(revisits.select("key"))
+    doubtful = heads.filter(perhaps("key")).join(revisits.select(F.col("key").alias("r_key")), F.col("key") == F.col("r_key"), "left_anti").select(F.col("key").alias("d_key")).distinct()
+    doubtful = stored(doubtful, "warc-doubtful")
+    response = lambda rows: rows.select("page_id", "url", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), "digest", "payload_bytes", "payload")
+    out = response(whole.filter(~perhaps("key")))
+    out = out.unionByName(revisits.select("page_id", "url", F.lit("revisit").alias("record_type"), F.col("original").alias("refers_to"), "digest", "payload_bytes", F.lit(None).cast("binary").alias("payload")))
+    if doubtful.isEmpty():
+        return out
+    chosen = keyed_in(doubtful.select("d_key"))
+    return out.unionByName(response(whole.filter(perhaps("key")).filter(chosen("key")).join(doubtful.hint("merge"), F.col("key") == F.col("d_key"), "left_semi")))
 
 
 def _record(page, url: str, kind: str, refers, digest: str, size: int, payload: bytes | None) -> bytes:
@@ -145,7 +159,7 @@ def write_pages(pages: DataFrame, path: str | None = None, **columns) -> str:
     """Write every page as a WARC record; gives the directory."""
     spark = pages.sparkSession
     spark.dataSource.register(WarcSource)
-    path = path or f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    path = path or temporary(spark, "warc")
     resolved(pages, **columns).write.format("warc_archive").mode("append").save(path)
     return path
 

@@ -4,6 +4,7 @@ from pathlib import Path
 
 import fixtures
 import pytest
+from pyspark.sql import functions as F
 
 from parcelforge.llm import archives, media, warc
 
@@ -16,7 +17,7 @@ def test_media_round_trip(spark):
         b = (r.text or "").encode()
         p = b + b"\xff" * (max(576, -(-len(b) // 576) * 576) - len(b))
         want.append((r.doc_id, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:])))
-    assert sorted((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in out) == sorted(want)
+    assert sorted(((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in out), key=repr) == sorted(want, key=repr)
     by_text = {}
     for r in out:
         assert r.error is None and by_text.setdefault(r.payload_sha256, (r.media_sha256, r.feature)) == (r.media_sha256, r.feature)
@@ -89,6 +90,17 @@ def test_warc_resolution(spark):
         assert r.payload == (None if r.record_type == "revisit" else html[r.page_id])
 
 
+def test_warc_repeated_rows_clashing_names_and_chance_hits(spark, monkeypatch):
+    """Equal rows share a type; columns named as those used inside; a bitmap so small that all keys are in it."""
+    rows = pages(spark).unionByName(pages(spark)).withColumns({"digest": F.lit("d"), "key": F.lit(1), "payload": F.lit("p"), "original": F.lit(0)})
+    got = sorted((str(r.page_id), r.record_type, r.refers_to) for r in warc.load(spark, warc.write_pages(rows)).collect())
+    monkeypatch.setattr(warc, "keyed_in", lambda keys: lambda key: F.lit(True))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    again = sorted((str(r.page_id), r.record_type, r.refers_to) for r in warc.load(spark, warc.write_pages(rows)).collect())
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == again and len(got) == 22 and [x[1] for x in got if x[0] == "3"] == ["response", "response"] and [x[1:] for x in got if x[0] == "1"] == [("revisit", 3)] * 2
+
+
 def test_warc_headers_cannot_be_injected():
     data = warc._record(1, "http://a/\r\nWARC-Type: revisit", "response", None, hashlib.sha1(b"p").hexdigest(), 1, b"p")
     assert warc.parse_record(data)["record_type"] == "response"
