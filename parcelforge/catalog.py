@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import bundles, engine, extras, mapping, office, register, scalars
+from .plans import bundles, engine, extras, mapping, office, register, scalars, transfers
 
-_PARTS = (office, scalars, engine, register, bundles, mapping, extras)
+_PARTS = (office, scalars, engine, register, bundles, transfers, mapping, extras)
 QUERIES = {k: v for p in _PARTS for k, v in p.query.queries.items()}
 ORACLE = {k: v for p in _PARTS for k, v in p.query.oracle.items()}

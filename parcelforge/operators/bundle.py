@@ -73,6 +73,7 @@ class Case:
         self.before, self.after = c("__before"), c("__after")
         self.diff, self.changed, self.links = c("__diff"), c("__changed"), c("__links")
         self.death_links, self.heirs = c("__death_links"), c("__all_heirs")
+        self.takers, self.left_out = c("__takers"), c("__left_out")
 
     def score(self, a: Column, b: Column) -> Column:
         return F.try_element_at(self.links, F.concat(a, F.lit("|"), b))
@@ -154,22 +155,28 @@ def prepared(cases: DataFrame) -> DataFrame:
     both = k.previous.isNotNull() & k.current.isNotNull()
     changed = F.when(both, (F.size(k.diff["gone"]) > 0) | (F.size(k.diff["left"]) > 0) | moved).otherwise(F.exists(k.mutations, lambda m: F.size(m["new_owners"]) > 0))
     rows = rows.withColumns({"__changed": changed, "__death_links": F.transform(k.deaths, lambda d: F.struct(d.alias("death"), k.best(d["f"], k.before).alias("match")))})
-    return settled(settled(rows).withColumn("__all_heirs", _all_heirs(k)))
+    rows = settled(settled(rows).withColumn("__found_heirs", _found_heirs(k)))
+    rows = settled(rows.withColumns({"__all_heirs": _merged_heirs(F.col("__found_heirs")), "__takers": F.when(F.size(k.after) > 0, _fold(k.after)).otherwise(F.flatten(F.transform(k.mutations, lambda m: _fold(m["new_owners"]))))}))
+    return settled(rows.withColumn("__left_out", F.filter(k.heirs, lambda h: ~k.among(h["f"], k.takers))))
 
 
-def _all_heirs(k: Case) -> Column:
-    """Heirs given, heirs by stated relation to a deceased, and executants of connected deeds; merged by name, gaps filled in this order."""
+def _found_heirs(k: Case) -> Column:
+    """Heirs given, heirs by stated relation to a deceased, and executants of connected deeds, in this order."""
     dead = _fold(k.deaths)
     one = lambda name, f, relation, share: F.struct(name.alias("name"), f.alias("f"), F.coalesce(relation, F.lit("unknown")).alias("relation"), share.alias("share"))
     related = lambda owners: F.transform(F.filter(owners, lambda o: o["relation_type"].isin(*INHERITING) & (o["rf"] != "") & k.among(o["rf"], dead)), lambda o: one(o["name"], o["f"], o["relation_type"], F.lit(None).cast("struct<num:bigint,den:bigint>")))
     known = F.concat(dead, _fold(k.before), _fold(k.after))
     deeds = F.filter(k.documents, lambda d: d["document_type"].isin(*EXCLUSIVE) & k.meet(F.concat(_fold(d["executants"]), _fold(d["beneficiaries"])), known))
-    found = F.concat(
+    return F.concat(
         F.transform(k.heirs_given, lambda h: one(h["name"], h["f"], h["relation"], h["share"])),
         F.flatten(F.transform(k.snapshots, lambda s: related(s["owners"]))),
         F.flatten(F.transform(k.mutations, lambda m: related(m["new_owners"]))),
         F.flatten(F.transform(deeds, lambda d: F.transform(d["executants"], lambda e: one(e["name"], e["f"], e["relation_type"], F.lit(None).cast("struct<num:bigint,den:bigint>"))))),
     )
+
+
+def _merged_heirs(found: Column) -> Column:
+    """One heir per name; the first that states it fills a gap."""
     keys = F.array_distinct(F.filter(F.transform(found, lambda h: _key(h["name"])), lambda x: x != ""))
 
     def merged(key: Column) -> Column:
@@ -313,8 +320,7 @@ def _s8(k: Case) -> Column:
 
 @rule("EXCLUSIVE_TRANSFER_EVIDENCE", "EXCLUSIVE_TRANSFER_UNSUPPORTED")
 def _s9(k: Case) -> Column:
-    takers = F.when(F.size(k.after) > 0, _fold(k.after)).otherwise(F.flatten(F.transform(k.mutations, lambda m: _fold(m["new_owners"]))))
-    left_out = F.filter(k.heirs, lambda h: ~k.among(h["f"], takers))
+    takers, left_out = k.takers, k.left_out
     parties = lambda d: F.concat(_fold(d["beneficiaries"]), _fold(d["executants"]))
     deeds = F.filter(k.documents, lambda d: d["document_type"].isin(*EXCLUSIVE) & (k.meet(parties(d), takers) | k.meet(parties(d), _fold(left_out))))
     covered = F.forall(left_out, lambda h: F.exists(deeds, lambda d: k.among(h["f"], parties(d))))
@@ -389,6 +395,124 @@ def _s15(k: Case) -> Column:
     return _one("NAME_MATCH_QUALITY", "NAME_MATCH_APPROXIMATE", F.when(F.size(loose) > 0, "warning").otherwise("pass"), F.array_min(loose))
 
 
+#: What a check says when its status is not clear. Statuses that a rule does not give are left out.
+MESSAGES = {
+    "OWNER_IDENTITY_MATCH": {"fail": "A deceased person is not among the previously recorded owners.", "review_required": "No previous owners are recorded to compare the deceased with."},
+    "TRANSITION_AFTER_DEATH": {"fail": "Ownership moved before the recorded death.", "review_required": "The order of death and transfer cannot be told, as dates are missing.", "warning": "A deceased owner is still recorded."},
+    "PARCEL_MATCH": {"fail": "The previous and the current record describe different parcels.", "review_required": "The previous and the current record share no parcel identifier.", "warning": "The current record describes a part of the previous parcel."},
+    "MUTATION_PREDECESSOR_MATCH": {"fail": "A mutation moves the land from someone who is no recorded owner.", "warning": "A mutation names no previous owner."},
+    "MUTATION_PARCEL_MATCH": {"fail": "A mutation concerns another parcel.", "review_required": "A mutation shares no parcel identifier with the record.", "warning": "A mutation names no parcel, or a part of it."},
+    "SHARE_SUM_CONSISTENCY": {"fail": "Recorded shares exceed the whole.", "warning": "Recorded shares do not add up to the whole, or are not stated."},
+    "AREA_CONSISTENCY": {"fail": "The area grew with the transfer.", "warning": "The area shrank with the transfer."},
+    "HEIRS_IDENTIFIED": {"warning": "No heir of the deceased is identified."},
+    "SUCCESSION_EVIDENCE": {"review_required": "Nothing supports the transfer.", "warning": "The mutation behind the transfer is not sanctioned."},
+    "EXCLUSIVE_TRANSFER_EVIDENCE": {"review_required": "Some heirs received nothing, and no deed explains it.", "warning": "A deed explains why some, but not all, of the left-out heirs received nothing."},
+    "TRANSITION_CHAIN_COMPLETE": {"review_required": "No document explains a change between two records."},
+    "DEATH_RECORD_PRESENT": {"warning": "An inheritance is claimed without a death record."},
+    "MUTATION_RECORD_PRESENT": {"warning": "The transfer has no mutation record."},
+    "DOCUMENT_CONSISTENCY": {"fail": "Documents contradict each other."},
+    "DOCUMENT_LEGIBILITY": {"warning": "A document is not fully legible."},
+    "NAME_MATCH_QUALITY": {"warning": "Names were matched approximately."},
+}
+
+
+def _joined(items: Column, of: Callable[[Column], Column]) -> Column:
+    return F.array_join(F.transform(items, of), ", ")
+
+
+def _identified(parcel: Column) -> Column:
+    """The identifiers that a parcel states, as text."""
+    return F.concat_ws(", ", *(F.when(F.coalesce(parcel[f], F.lit("")) != "", F.concat(F.lit(f"{f.removesuffix('_number')} "), parcel[f])) for f in IDENTIFIERS))
+
+
+def _date_text(d: Column) -> Column:
+    return d.cast("string")
+
+
+def evidence(k: Case) -> dict[str, tuple[Column, Column, Column]]:
+    """Per rule: the labels of the documents it reads, what they say, and what that is held against."""
+    none = F.array().cast("array<string>")
+    shots = F.transform(k.snapshots, lambda s: F.coalesce(s["label"], F.lit("")))
+    first, last = F.slice(shots, 1, 1), F.when(F.size(shots) > 1, F.slice(shots, -1, 1)).otherwise(none)
+    dead = F.transform(k.deaths, lambda d: F.concat(F.lit("death of "), F.coalesce(d["person"], F.lit(""))))
+    moves = F.transform(k.mutations, lambda m: F.concat(F.lit("mutation "), F.coalesce(m["number"], F.lit(""))))
+    deeds = F.transform(k.documents, lambda d: F.coalesce(d["label"], d["document_type"]))
+    names_of = lambda owners: _joined(owners, lambda o: F.coalesce(o["name"], F.lit("")))
+    before, after, heirs = names_of(k.before), names_of(k.after), _joined(k.heirs, lambda h: h["name"])
+    died = _joined(k.deaths, lambda d: F.coalesce(d["person"], F.lit("")))
+    share = lambda o: F.coalesce(F.concat(o["share"]["num"].cast("string"), F.lit("/"), o["share"]["den"].cast("string")), F.lit("?"))
+    text, unknown = F.lit, F.lit(None).cast("string")
+    from_, to = F.flatten(F.transform(k.mutations, lambda m: m["previous_owners"])), F.flatten(F.transform(k.mutations, lambda m: m["new_owners"]))
+    all_ = F.concat(shots, dead, moves, deeds)
+    return {
+        "OWNER_IDENTITY_MATCH": (F.concat(dead, first), died, before),
+        "TRANSITION_AFTER_DEATH": (F.concat(dead, moves, last), _date_text(F.array_min(F.transform(k.mutations, lambda m: m["effective"]))), _date_text(F.array_max(F.transform(k.deaths, lambda d: d["date_of_death"])))),
+        "PARCEL_MATCH": (F.concat(first, last), _identified(k.current["parcel"]), _identified(k.previous["parcel"])),
+        "MUTATION_PREDECESSOR_MATCH": (F.concat(moves, first), names_of(from_), before),
+        "MUTATION_PARCEL_MATCH": (F.concat(moves, first), F.array_join(F.transform(k.mutations, lambda m: _identified(m["parcel"])), "; "), _identified(F.coalesce(k.previous, k.current)["parcel"])),
+        "SHARE_SUM_CONSISTENCY": (F.concat(last, moves), _joined(F.when(F.size(k.after) > 0, k.after).otherwise(to), share), text("1")),
+        "AREA_CONSISTENCY": (F.concat(first, last, moves), k.current["parcel"]["area"].cast("string"), k.previous["parcel"]["area"].cast("string")),
+        "HEIRS_IDENTIFIED": (dead, heirs, died),
+        "SUCCESSION_EVIDENCE": (F.concat(moves, deeds), _joined(k.mutations, lambda m: F.coalesce(m["status"], F.lit("unknown"))), text("sanctioned")),
+        "EXCLUSIVE_TRANSFER_EVIDENCE": (F.concat(last, moves, deeds), F.when(F.size(k.after) > 0, after).otherwise(names_of(to)), heirs),
+        "TRANSITION_CHAIN_COMPLETE": (F.concat(shots, moves, deeds), after, before),
+        "DEATH_RECORD_PRESENT": (dead, F.size(k.deaths).cast("string"), text("1")),
+        "MUTATION_RECORD_PRESENT": (moves, F.size(k.mutations).cast("string"), text("1")),
+        "DOCUMENT_CONSISTENCY": (all_, names_of(to), after),
+        "DOCUMENT_LEGIBILITY": (all_, unknown, unknown),
+        "NAME_MATCH_QUALITY": (F.concat(dead, moves), unknown, F.lit(str(EXACT_ENOUGH))),
+    }
+
+
+def _with_evidence(rows: DataFrame, k: Case) -> DataFrame:
+    """Rows whose checks have message, documents, observed and expected; clear ones have no message."""
+    told = F.create_map(*(x for rule_, by in MESSAGES.items() for status, m in by.items() for x in (F.lit(f"{rule_}|{status}"), F.lit(m))))
+    shown = F.create_map(*(x for rule_, (docs, seen, held) in evidence(k).items() for x in (F.lit(rule_), F.struct(docs.alias("documents"), seen.alias("observed"), held.alias("expected")))))
+
+    def one(c: Column) -> Column:
+        e = F.try_element_at("__shown", c["rule"])
+        return F.struct(c["rule"].alias("rule"), c["rule_code"].alias("rule_code"), c["status"].alias("status"), c["match_score"].alias("match_score"), F.try_element_at("__told", F.concat(c["rule"], F.lit("|"), c["status"])).alias("message"), e["documents"].alias("documents"), e["observed"].alias("observed"), e["expected"].alias("expected"))
+
+    rows = settled(rows.withColumns({"__shown": shown, "__told": told}))  # once a case, not once a check
+    return settled(rows.withColumn("checks", F.transform("checks", one)).drop("__shown", "__told"))
+
+
+def issues(reports: DataFrame) -> DataFrame:
+    """``case_id, issues``: the messages of checks that are not clear, worst status first and in the registry's order, each once."""
+    rank = F.array(*(F.lit(s) for s in CHECK_STATUSES))
+    marked = F.transform("checks", lambda c, i: F.struct((-F.array_position(rank, c["status"])).alias("rank"), i.alias("i"), c["message"].alias("message")))
+    return reports.select("case_id", F.array_distinct(F.filter(F.transform(F.array_sort(marked), lambda x: x["message"]), lambda m: m.isNotNull())).alias("issues"))
+
+
+def report_rows(reports: DataFrame) -> DataFrame:
+    """Reports flattened to one row a case, as the register keeps them: counts, sums and the worst sentences instead of arrays."""
+    n = lambda status: F.size(F.filter("checks", lambda c: c["status"] == status)).alias(f"n_{status}")
+    rows = reports.select("case_id", "parcel_key", "event_type", "outcome", "recommended_action", "risk_level", "risk_score", "death_verified", F.size("heirs").alias("heirs"), F.size("timeline").alias("events"), *(n(s) for s in CHECK_STATUSES))
+    told = issues(reports).select(F.col("case_id").alias("__case"), "issues")
+    return rows.join(told, F.col("case_id") == F.col("__case")).drop("__case")
+
+
+def replaced_events(stored: DataFrame, reports: DataFrame) -> DataFrame:
+    """The events table after a revalidation: cases with a new report have its events only, the others keep theirs."""
+    fresh = ownership_events(reports)
+    kept = stored.join(reports.select(F.col("case_id").alias("__case")), F.col("case_id") == F.col("__case"), "left_anti")
+    return kept.select(*fresh.columns).unionByName(fresh)
+
+
+def assembled(register: DataFrame, documents: DataFrame) -> DataFrame:
+    """Cases from register rows ``parcel_key, document_id, snapshot`` and uploaded bundles ``case_id, parcel_key, document_ids`` and CASE's arrays.
+
+    Register snapshots come first, all are ordered again by role, date and place, and ``document_ids`` lists the distinct ids of both, sorted.
+    """
+    own = register.groupBy(F.col("parcel_key").alias("__key")).agg(F.array_sort(F.collect_list(F.struct("document_id", "snapshot"))).alias("__rows"))  # a parcel has a few snapshots
+    joined = documents.join(own, F.col("parcel_key") == F.col("__key"), "left")
+    from_register = F.coalesce(F.transform("__rows", lambda r: r["snapshot"]), F.slice("snapshots", 1, 0))
+    ids = F.coalesce(F.transform("__rows", lambda r: r["document_id"]), F.array().cast("array<string>"))
+    every = F.transform(F.concat(from_register, F.coalesce("snapshots", F.slice(from_register, 1, 0))), lambda s, i: F.struct(F.when(s["document_type"] == "updated_jamabandi", 1).otherwise(0).alias("role"), F.when(s["as_of"].isNull(), 1).otherwise(0).alias("undated"), s["as_of"].alias("as_of"), i.alias("i"), s.alias("s")))
+    ordered = F.transform(F.array_sort(every, lambda a, b: F.when(a["role"] != b["role"], a["role"] - b["role"]).when(a["undated"] != b["undated"], a["undated"] - b["undated"]).when(a["as_of"] < b["as_of"], -1).when(a["as_of"] > b["as_of"], 1).otherwise(a["i"] - b["i"])), lambda x: x["s"])
+    return joined.withColumns({"snapshots": ordered, "document_ids": F.array_sort(F.array_distinct(F.concat(ids, F.coalesce("document_ids", F.array().cast("array<string>")))))}).drop("__key", "__rows")
+
+
 def _fields() -> list[tuple[str, str]]:
     out, depth, part = [], 0, ""
     for ch in CASE + ",":
@@ -428,6 +552,7 @@ def validate(cases: DataFrame, risk_points: dict[str, float] | None = None, disa
     k = Case()
     parts = [build(k) for name, code, build in REGISTRY if f"SUCCESSION_{code}" not in disabled]
     rows = settled(rows.withColumn("checks", F.concat(*parts)))
+    rows = _with_evidence(rows, k)
     points, weight = _table(RISK_POINTS | (risk_points or {})), _table(MULTIPLIER)
     scored = F.transform("checks", lambda c: F.struct(c["rule"].alias("rule"), c["rule_code"].alias("rule_code"), c["status"].alias("status"), F.round(F.coalesce(F.try_element_at(points, c["rule_code"]), F.lit(20.0)) * F.try_element_at(weight, c["status"]), 2).alias("points")))
     rows = settled(rows.withColumn("contributions", F.filter(scored, lambda c: c["points"] > 0)))
