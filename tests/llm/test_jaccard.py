@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -16,8 +17,8 @@ def shingles(text, n=4):
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
 
-def brute_force(rows, n=4, percent=85):
-    """(id, set size, least reachable id) of every row."""
+def linked(rows, n=4, percent=85):
+    """Set size and reachable rows of every row."""
     sets, near = [shingles(t, n) for _, t in rows], defaultdict(set)
     where = defaultdict(list)
     for k, s in enumerate(sets):
@@ -28,22 +29,28 @@ def brute_force(rows, n=4, percent=85):
             if 100 * m >= percent * (len(s) + len(sets[j]) - m):
                 near[k].add(j)
     out = []
-    for k, (i, _) in enumerate(rows):
+    for k in range(len(rows)):
         seen, todo = {k}, [k]
         while todo:
             for j in near[todo.pop()] - seen:
                 seen.add(j)
                 todo.append(j)
-        out.append((i, len(sets[k]), min(rows[j][0] for j in seen)))
-    return sorted(out)
+        out.append((len(sets[k]), seen))
+    return out
+
+
+def brute_force(rows, n=4, percent=85):
+    """(id, set size, least reachable id) of every row."""
+    least = lambda ids: min((i for i in ids if i is not None), default=None)
+    return sorted(((i, size, least(rows[j][0] for j in seen)) for (i, _), (size, seen) in zip(rows, linked(rows, n, percent), strict=True)), key=repr)
 
 
 @pytest.mark.parametrize(("small", "leaf", "chunk"), [(32, 32, 4096), (2, 2, 4096), (3, 2, 5)])
 def test_against_brute_force(spark, monkeypatch, small, leaf, chunk):
-    for name, value in (("SMALL", small), ("LEAF", leaf), ("CHUNK", chunk)):
+    for name, value in (("SMALL", small), ("LARGE", small), ("LEAF", leaf), ("CHUNK", chunk)):
         monkeypatch.setattr(jaccard, name, value)
     docs = fixtures.documents(spark)
-    got = sorted(map(tuple, jaccard.groups(docs).collect()))
+    got = sorted(map(tuple, jaccard.groups(docs).collect()), key=repr)
     assert got == brute_force([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
 
 
@@ -71,3 +78,39 @@ def test_link_across_parts_only(spark, monkeypatch):
     rows = [(1, texts[k]), (2, texts[k + 1]), (3, "quite another text of eight words or so")]
     got = sorted(map(tuple, jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
     assert got == brute_force(rows) == [(1, 14, 1), (2, 14, 1), (3, 5, 3)]
+
+
+def test_no_link_is_lost_in_salted_groups(spark, monkeypatch):
+    """Forty pairs that differ in the last of 200 words, every token group dealt out node by node."""
+    monkeypatch.setattr(jaccard, "CHUNK", 1)
+    rows = [(2 * s + k, " ".join(f"t{s}x{i}" for i in range(199)) + f" {end}{s}") for s in range(40) for k, end in enumerate("ab")]
+    got = sorted(map(tuple, jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == brute_force(rows) == sorted(((i, 197, i - i % 2) for i, _ in rows), key=repr)
+
+
+def test_family_just_below_the_limit(spark, monkeypatch):
+    """Ninety texts of one template, most pairs a little too different, some linked: groups over LARGE are verified where they meet."""
+    monkeypatch.setattr(jaccard, "SMALL", 8)
+    monkeypatch.setattr(jaccard, "LARGE", 8)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(90):
+        own = list(base)
+        for k in rng.sample(range(120), 1 + i % 3):
+            own[k] = f"v{rng.randrange(20)}"
+        rows.append((i, " ".join(own)))
+    got = sorted(map(tuple, jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    want = brute_force(rows)
+    assert got == want and 1 < len({c for _, _, c in want}) < 90
+
+
+def test_sets_of_all_tiers(spark, monkeypatch):
+    """Near copies whose sets lie on both sides of each border between bitmap lengths."""
+    monkeypatch.setattr(jaccard, "TIERS", ((8, 20), (16, 60), (32, 1 << 62)))
+    rows = []
+    for n in (10, 18, 21, 23, 40, 58, 61, 66, 200):
+        for k in range(4):
+            rows.append((len(rows), " ".join(f"n{n}x{i}" for i in range(n - k)) + (f" end{k}" if k % 2 else "")))
+    got = sorted(map(tuple, jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == brute_force(rows)
