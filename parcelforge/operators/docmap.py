@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import areas, dates, numerals, shares, vocabulary
+from .plan import settled
 
 # Overlap of equal reads, and what agreement does to confidence.
 IOU, AGREE, DISAGREE, LEAST_CONFIDENCE, DEFAULT_CONFIDENCE, LINE_MATCH = 0.30, 1.10, 0.85, 0.30, 0.95, 72.0
@@ -59,6 +60,12 @@ def _texts_agree(a: str, b: str) -> bool:
     return squeeze(a) == squeeze(b)
 
 
+def engine_status(runs: DataFrame) -> DataFrame:
+    """``page, engines, failed, status`` of reading runs ``page, engine, ok``: failed when no engine read the page, degraded when some did not, else whole."""
+    out = runs.groupBy("page").agg(F.count(F.lit(1)).alias("engines"), F.count_if(~F.coalesce("ok", F.lit(False))).alias("failed"))
+    return out.withColumn("status", F.when(F.col("failed") == F.col("engines"), "failed").when(F.col("failed") > 0, "degraded").otherwise("whole"))
+
+
 def reconcile(tokens: DataFrame) -> DataFrame:
     """Tokens of several engines as one set: overlapping reads are merged, others kept.
 
@@ -188,6 +195,23 @@ def read_wire(rows: DataFrame, json: str = "json") -> DataFrame:
     return rows.withColumn("wire", parsed).withColumn("corrupt", F.col("wire._corrupt_record").isNotNull() | F.col("wire").isNull())
 
 
+def repaired(json: Column) -> Column:
+    """JSON as models often wrap it: what lies outside the outermost braces goes, and so do commas before a closing bracket."""
+    inner = F.regexp_extract(json, r"(?s)(\{.*\})", 1)
+    return F.nullif(F.regexp_replace(inner, r",\s*([}\]])", "$1"), F.lit(""))
+
+
+def validated(rows: DataFrame, schema: str, json: str = "json") -> DataFrame:
+    """Rows with ``record`` (null if unreadable) and ``state``: valid, repaired or rejected. A second reading follows a repair, and none after that."""
+    read = lambda c: F.from_json(c, schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = settled(rows.withColumn("__first", read(F.col(json))))
+    good = F.col("__first").isNotNull() & F.col("__first._bad").isNull()
+    rows = settled(rows.withColumn("__second", F.when(~good, read(repaired(F.col(json))))))
+    again = F.col("__second").isNotNull() & F.col("__second._bad").isNull()
+    record = F.when(good, F.col("__first")).when(again, F.col("__second")).dropFields("_bad")
+    return rows.withColumns({"record": record, "state": F.when(good, "valid").when(again, "repaired").otherwise("rejected")}).drop("__first", "__second")
+
+
 def owners(parcels: DataFrame) -> DataFrame:
     """One row per owner of ``document, parcel, p`` rows: nameless rows are dropped with a warning, equal-share markers leave the share open."""
     o = parcels.select("document", "parcel", F.posexplode("p.owners").alias("i", "o"))

@@ -65,6 +65,20 @@ def latest_corrections(corrections: DataFrame) -> DataFrame:
     return corrections.groupBy("parcel_id", "field_path").agg(F.max_by("value", F.struct("created_at", "id")).alias("value"), F.count(F.lit(1)).alias("corrections"))
 
 
+def corrected(parcels: DataFrame, corrections: DataFrame, paths: dict[str, str], rules: Column) -> DataFrame:
+    """Parcels with their latest corrections written, ``correction_count`` raised by all of them, and ``issue_count`` of the rules run again on the new values.
+
+    ``paths`` maps field paths to columns; values are texts, cast to the column's type (null if they do not fit). ``rules`` counts findings of a row.
+    """
+    last = latest_corrections(corrections)
+    per = last.groupBy(F.col("parcel_id").alias("__parcel")).agg(F.sum("corrections").alias("__n"), *(F.max(F.when(F.col("field_path") == p, F.struct("value"))).alias(f"__{c}") for p, c in paths.items()))
+    rows = parcels.join(per, F.col("id") == F.col("__parcel"), "left")
+    for c in paths.values():
+        rows = rows.withColumn(c, F.when(F.col(f"__{c}").isNotNull(), F.col(f"__{c}.value").try_cast(parcels.schema[c].dataType)).otherwise(F.col(c)))
+    rows = rows.withColumn("correction_count", (F.col("correction_count") + F.coalesce("__n", F.lit(0))).cast("int"))
+    return rows.withColumn("issue_count", F.when(F.col("__parcel").isNotNull(), rules).otherwise(F.col("issue_count"))).drop("__parcel", "__n", *(f"__{c}" for c in paths.values()))
+
+
 def delete_cascade(documents: DataFrame, parcels: DataFrame, events: DataFrame, cases: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Tables without the documents ``gone`` (id): their parcels and events go, cases lose the reference."""
     ids = gone.select(F.col("id").alias("gone_id"))

@@ -60,6 +60,19 @@ def dm1(spark: SparkSession, d: str) -> DataFrame:
     return docmap.kept_tokens(tokens(spark)).groupBy("engine").agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
+@query("dm2_engine_status", "SELECT user_id AS page, count(*) AS engines, count(CASE WHEN value <= 50 THEN 1 END) AS failed, CASE WHEN count(*) = count(CASE WHEN value <= 50 THEN 1 END) THEN 'failed' WHEN count(CASE WHEN value <= 50 THEN 1 END) > 0 THEN 'degraded' ELSE 'whole' END AS status FROM events GROUP BY 1")
+def dm2(spark: SparkSession, d: str) -> DataFrame:
+    return docmap.engine_status(spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("page"), F.col("event_type").alias("engine"), (F.col("value") > 50).alias("ok")))
+
+
+@query("dm9_validate_and_repair", "SELECT event_id, CASE event_id % 5 WHEN 4 THEN NULL ELSE CAST(json_extract(props, '$.k') AS INT) END AS k, CASE event_id % 5 WHEN 0 THEN 'valid' WHEN 4 THEN 'rejected' ELSE 'repaired' END AS state FROM events")
+def dm9(spark: SparkSession, d: str) -> DataFrame:
+    n, p = F.col("event_id") % 5, F.col("props")
+    text = F.when(n == 0, p).when(n == 1, F.concat(F.lit("```json\n"), p, F.lit("\n```"))).when(n == 2, F.concat(F.lit("Here it is: "), p)).when(n == 3, F.concat(F.substring(p, F.lit(1), F.length(p) - 1), F.lit(", }"))).otherwise(F.substring(p, F.lit(1), F.length(p) - 1))
+    out = docmap.validated(spark.read.parquet(f"{d}/events.parquet").select("event_id", text.alias("json")), "k int")
+    return out.select("event_id", "record.k", "state")
+
+
 @query("dm3_reconcile", "SELECT text, engine, CAST(c AS DOUBLE) AS confidence FROM (VALUES ('Survey', 'ensemble', 0.99), ('No', 'easy', 0.8), ('12S', 'ensemble', 0.6375), ('Ramesh', 'easy', 0.6), ('extra', 'tess', 0.9)) t(text, engine, c)")
 def dm3(spark: SparkSession, d: str) -> DataFrame:
     return docmap.reconcile(docmap.kept_tokens(tokens(spark))).select("text", "engine", "confidence")

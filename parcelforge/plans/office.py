@@ -424,6 +424,17 @@ def wf5(spark: SparkSession, d: str) -> DataFrame:
     return workflow.latest_corrections(e.select("id", "parcel_id", "created_at", F.concat(F.lit("$.f"), (F.col("k") % 3).cast("string")).alias("field_path"), F.col("k").alias("value")))
 
 
+@query("wf5_corrections_applied", f"WITH {PARCELS}, {EVENTS}, c AS (SELECT parcel_id, CASE k % 3 WHEN 0 THEN 'area' WHEN 1 THEN 'village' ELSE 'other' END AS field, k, created_at, id FROM review_events WHERE action = 'corrected'), l AS (SELECT parcel_id, field, arg_max(k, (created_at, id)) AS k, count(*) AS n FROM c GROUP BY 1, 2), p AS (SELECT parcel_id, sum(n) AS n, max(CASE WHEN field = 'area' THEN k END) AS area, max(CASE WHEN field = 'village' THEN k END) AS village FROM l GROUP BY 1), j AS (SELECT parcels.id, parcels.issue_count, correction_count + coalesce(n, 0) AS correction_count, n IS NOT NULL AS touched, CASE WHEN p.area IS NOT NULL THEN CASE WHEN p.area % 2 = 0 THEN CAST(p.area - 20 AS DECIMAL(18,4)) END ELSE parcels.area END AS area, coalesce('village ' || CAST(p.village AS VARCHAR), parcels.village) AS village FROM parcels LEFT JOIN p ON p.parcel_id = parcels.id) SELECT id, CAST(area AS DOUBLE) AS area, village, CAST(correction_count AS INT) AS correction_count, CASE WHEN touched THEN CASE WHEN area IS NULL OR area <= 0 THEN 1 ELSE 0 END ELSE issue_count END AS issue_count FROM j")
+def wf5b(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("k")
+    path = F.when(k % 3 == 0, "$.area").when(k % 3 == 1, "$.village").otherwise("$.other")
+    value = F.when(k % 3 == 1, F.concat(F.lit("village "), k.cast("string"))).when((k % 3 == 0) & (k % 2 == 1), "unreadable").otherwise((k - 20).cast("string"))
+    e = review_events(spark, d).filter("action = 'corrected'").select("id", "parcel_id", "created_at", path.alias("field_path"), value.alias("value"))
+    found = F.when(F.col("area").isNull() | (F.col("area") <= 0), 1).otherwise(0)  # the two area rules
+    out = workflow.corrected(parcels(spark, d).select("id", "area", "village", "correction_count", "issue_count"), e, {"$.area": "area", "$.village": "village"}, found)
+    return out.select("id", F.col("area").cast("double").alias("area"), "village", "correction_count", "issue_count")
+
+
 @query("wf6_refresh", f"WITH {PARCELS}, s AS (SELECT id, created_at, issue_count, severity, {SCORE} AS score FROM parcels), b AS (SELECT *, {BAND} AS band FROM s) SELECT id, issue_count, severity, score, band, strftime(created_at + to_hours(CASE band WHEN 'critical' THEN 24 WHEN 'high' THEN 72 WHEN 'normal' THEN 168 ELSE 336 END), {T}) AS due FROM b")
 def wf6(spark: SparkSession, d: str) -> DataFrame:
     p = parcels(spark, d).withColumn("score", triage.score()).withColumn("band", triage.band(F.col("score")))
