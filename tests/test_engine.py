@@ -105,3 +105,29 @@ def test_geojson_round_trip(spark, tmp_path):
     (tmp_path / "x.json").write_text(row.collection)
     back = files.geojson(spark, str(tmp_path / "x.json")).collect()
     assert [(r.parcel_key, len(r.ring)) for r in back] == [("k1", 4)] and json.loads(row.collection)["without_geometry"] == 1
+
+
+def test_messages_cover_every_status_that_is_not_clear(spark):
+    rows = bundle.validate(spark.createDataFrame(bundles.cases(), bundle.CASE)).select("case_id", F.explode("checks").alias("c")).select("case_id", "c.*").collect()
+    assert all((r.message is None) == (r.status in ("pass", "not_applicable")) for r in rows)
+    one = next(r for r in rows if r.case_id == "wrong_deceased" and r.rule == "OWNER_IDENTITY_MATCH")
+    assert (one.observed, one.expected, list(one.documents)) == ("Mahesh Kulkarni", "Ramesh Sharma", ["death of Mahesh Kulkarni", "old"])
+
+
+def test_events_of_revalidated_cases_are_replaced(spark):
+    reports = bundle.validate(spark.createDataFrame(bundles.cases()[:2], bundle.CASE))
+    fresh = bundle.ownership_events(reports)
+    stored = spark.createDataFrame([("base", "key", "other", None, None, False, None, 0), ("elsewhere", "key", "other", None, None, False, None, 7)], fresh.schema)
+    out = bundle.replaced_events(stored, reports).collect()
+    assert [r.sequence for r in out if r.case_id == "elsewhere"] == [7]
+    assert sorted(r.sequence for r in out if r.case_id == "base") == list(range(sum(r.case_id == "base" for r in fresh.collect())))
+
+
+def test_assembly_puts_register_snapshots_first(spark):
+    base = bundles.cases()[0]
+    documents = spark.createDataFrame([base], bundle.CASE).withColumn("document_ids", F.array(F.lit("d9"), F.lit("d1")))
+    register = documents.select("parcel_key", F.lit("d1").alias("document_id"), F.get("snapshots", F.lit(0)).withField("label", F.lit("register")).alias("snapshot"))
+    r = bundle.assembled(register, documents).first()
+    assert [s.label for s in r.snapshots] == ["register", "old", "new"] and list(r.document_ids) == ["d1", "d9"] and r.case_id == "base"
+    alone = bundle.assembled(register.filter("false"), documents).first()
+    assert [s.label for s in alone.snapshots] == ["old", "new"] and list(alone.document_ids) == ["d1", "d9"]
