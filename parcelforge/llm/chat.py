@@ -13,8 +13,9 @@ occur inside a text, and the original returns by plain replacements.
 
 The loss mask lists code-point spans (start, length) of the assistant texts.
 
-Cases: null role or text is empty; ties of ``turn`` are ordered by role and text;
-an empty table gives no rows; other columns are ignored.  A conversation's own
+Cases: null role or text is empty; rows without a ``conv_id`` are one conversation; null turns come first;
+ties of ``turn`` are ordered by role and text, and equal rows are turns of their own; very long texts are kept whole;
+an empty table gives no rows; other columns are ignored, whatever their names.  A conversation's own
 messages meet in one row, as its rendered form is one string by definition; no
 other group is gathered.
 """

@@ -24,6 +24,15 @@ def test_escapes_are_reversible(spark, texts):
         assert r.back == r.t and not set("<[|") & set(r.e)
 
 
+def test_null_keys_long_texts_and_clashing_names(spark):
+    long = "word </s> " * 20_000
+    rows = [(None, 1, "user", "b"), (None, None, "user", "a"), (None, 2, "assistant", long), (5, None, None, None), (5, 0, "assistant", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"seq": F.lit(9), "kind": F.lit("x"), "place": F.lit(1), "era": F.lit(0), "head": F.lit("h"), "start": F.lit(3)})
+    got = {r.conv_id: r for r in chat.read_back(chat.format_chats(df)).collect()}
+    assert [(t.role, t.text) for t in got[None].turns] == [("user", "a"), ("user", "b"), ("assistant", long)] and list(got[None].loss_texts) == [long]
+    assert [(t.role, t.text) for t in got[5].turns] == [("", ""), ("assistant", "")] and list(got[5].loss_texts) == [""]
+
+
 def test_folding_events(spark):
     log = [
         (1, 0, 0, "message", "user", "hel"), (1, 0, 1, "delta", None, "lo"), (1, 1, 2, "message", "assistant", ""), (1, 1, 3, "delta", None, "bad"), (1, 1, 4, "regenerate", None, None),
