@@ -13,14 +13,15 @@ place.  Steps, each over all documents:
    choice of ``hot``, are broadcast with their first document, so no task gets all
    occurrences of a frequent passage.
 3. All other windows with repeated anchors are dealt out by hash, in packed blocks;
-   windows of later documents are sent back, merged into maximal intervals per document,
-   and joined to the texts.
+   windows of later documents are sent back, and merged into maximal intervals per document.
+   Documents that got intervals set a bitmap of fixed size; only texts in it are
+   joined with their intervals, all others pass through where they are read.
 
 Hashes have 64 bits: with n candidate windows about n * n / 2**65 unequal pairs
 would be taken for equal.
 
-Cases: null text has no words; texts shorter than a window are kept whole; a null id
-comes after all others; rows that repeat an id are judged one by one, and an equal id is not
+Cases: null text has no words; texts shorter than a window are kept whole; null ids
+come after all others and are equal; rows that repeat an id are judged one by one, and an equal id is not
 a smaller one; an empty table gives no rows; other columns are passed on if asked for.
 """
 
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import in_bitmap, slots_bitmap, stored
+from .storage import drop, in_bitmap, slots_bitmap, stored
 from .words import Piece, ngram_hashes, pieces, windows
 
 WINDOW, GRAM = 50, 4
@@ -286,13 +287,24 @@ def dedup(docs: DataFrame, keep: Sequence[str] = ("doc_id",), id_col: str = "doc
     hot = spark.sparkContext.broadcast(hot)
     buckets = max(128, 1 << int(total * window // 2 // FLUSH).bit_length())
     later = stored(_later_windows(rows, window, bitmap, hot, buckets), "later-windows")
+    touched = spark.sparkContext.broadcast(slots_bitmap(later.select("row"), BITS))
+    drop(anchors)
 
-    whole = docs.select(*keep, ids.alias("__doc"), key.alias("__row"), text.alias("__text"))
-    spans = later.select(F.col("row").alias("__later"), F.col("blob").alias("__blob")).hint("merge")
-    whole = whole.join(spans, F.col("__row") == F.col("__later"), "left").select(*keep, "__doc", "__text", "__blob")
+    whole = docs.select(*keep, key.alias("__row"), ids.alias("__doc"), text.alias("__text"))
     schema = T.StructType([*whole.schema.fields[:-3], *T.StructType.fromDDL(OUT).fields])
     names, spans_type = schema.names, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
+    def picked(batches, inside: bool):
+        for b in batches:
+            own = in_bitmap(touched.value, b.column(b.num_columns - (3 if inside else 4)).to_numpy().view(np.uint64))
+            yield b if own.all() == inside and own.any() == inside else b.filter(pa.array(own == inside))
+
+    def untouched(batches):
+        yield from remove(picked(batches, False))
+
+    def candidates(batches):
+        yield from picked(batches, True)
+
     def remove(batches):
         for b in batches:
             ids, blobs = b.column(b.num_columns - 3).to_numpy(), b.column(b.num_columns - 1)
@@ -326,6 +338,10 @@ def dedup(docs: DataFrame, keep: Sequence[str] = ("doc_id",), id_col: str = "doc
                     spans[p.first + t] = [{"start": int(x), "end": int(y)} for x, y in zip(edge[::2], edge[1::2], strict=True)]
             if n:
                 left = pa.concat_arrays(texts).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(np.concatenate(n)), pa.array(np.concatenate(gone_n)), pa.array(spans, spans_type), left], names=names)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-4], pa.array(np.concatenate(n)), pa.array(np.concatenate(gone_n)), pa.array(spans, spans_type), left], names=names)
 
-    return whole.mapInArrow(remove, schema)
+    alone = whole.withColumn("__blob", F.lit(None).cast("binary")).mapInArrow(untouched, schema)
+    parts = max(8, buckets // 2)  # grows with the windows, so a task's share of the texts does not
+    spans = later.select(F.col("row").alias("__later"), F.col("blob").alias("__blob")).repartition(parts, "__later").hint("merge")
+    with_spans = whole.mapInArrow(candidates, whole.schema).repartition(parts, "__row").join(spans, F.col("__row") == F.col("__later"), "left").drop("__later")
+    return alone.unionByName(with_spans.mapInArrow(remove, schema))

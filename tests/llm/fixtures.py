@@ -21,7 +21,8 @@ def texts(seed: int = 3) -> list[tuple]:
     passage = " ".join(r.choice(vocabulary) for _ in range(55))
     rows += [(60 + i, " ".join(r.choice(vocabulary) for _ in range(40 + 5 * i)) + "  " + passage + "\n" + r.choice(vocabulary)) for i in range(12)]  # a shared passage
     rows += [(80, " ".join(r.choice(vocabulary) for _ in range(20_000))), (81, passage), (81, passage), (81, "another text of that id")]
-    return [(i, t, "en", ["a", "b", "c", None, "a"][i % 5], len(t or "")) for i, t in rows]
+    rows += [(None, passage + " and more"), (None, " ".join(base)), (None, None)]  # null ids
+    return [(i, t, "en", ["a", "b", "c", None, "a"][(i or 0) % 5], len(t or "")) for i, t in rows]
 
 
 def documents(spark, seed: int = 3):
