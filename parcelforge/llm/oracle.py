@@ -118,4 +118,28 @@ def _op10(rare: int = 5, strength: float = 20.0, similar: float = 2.0, limit: fl
     return f"WITH {', '.join(steps)} SELECT w.page_id, w.host, w.path, w.rule, coalesce(w.action, CASE WHEN r.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict FROM w LEFT JOIN r ON {on} AND w.rule IS NULL"
 
 
-SQL: dict[str, str] = {"op1_jaccard": OP1, "op2_substrings": OP2, "op3_mixing": OP3, "op6_warc": OP6, "op8_chat": OP8, "op9_decontaminate": OP9, "op10_urls": _op10()}
+#: Unsigned crc32 of a text of code points below U+0100, as SQL over its bytes.
+_CRC_TABLE = "list_transform(range(256), lambda c: list_reduce(list_concat([c], range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))"
+
+
+def _crc32(text: str, table: str = "t") -> str:
+    units = f"flatten(list_transform(string_split({text}, ''), lambda c: CASE WHEN c = '' THEN [] WHEN ord(c) < 128 THEN [ord(c)] ELSE [192 + (ord(c) >> 6), 128 + (ord(c) & 63)] END))"
+    return f"xor(list_reduce(list_concat([4294967295], list_transform({units}, lambda c: c::BIGINT)), lambda a, b: xor(a >> 8, {table}[(xor(a, b) & 255) + 1])), 4294967295)"
+
+
+OP12 = f"""
+WITH RECURSIVE t AS (SELECT {_CRC_TABLE} AS t),
+r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), '{_UP}', '{_LOW}') AS run FROM documents),
+h AS (SELECT run, {_crc32("concat(id, ':', run)")} AS h FROM r, t WHERE length(run) >= 7),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN concat(left(run, h % length(run)), substr(run, h % length(run) + 2)) ELSE run END AS word FROM h),
+v AS (SELECT word, count(*) AS n FROM w WHERE length(word) >= 7 GROUP BY 1 HAVING count(*) >= 2),
+d AS (SELECT word, n, i, concat(left(word, i - 1), substr(word, i + 1)) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT a.word, b.word AS near, b.n AS near_n FROM d a JOIN d b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+  UNION SELECT d.word, v.word, v.n FROM d JOIN v ON d.less = v.word UNION SELECT v.word, d.word, d.n FROM d JOIN v ON d.less = v.word),
+b AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM p GROUP BY 1),
+j AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * v.n THEN near END AS form, CASE WHEN near_n >= 10 * v.n THEN near_n END AS form_n FROM v LEFT JOIN b USING (word)),
+s(word, place, step) AS (SELECT word, word, 0 FROM j UNION ALL SELECT s.word, j.form, step + 1 FROM s JOIN j ON j.word = s.place WHERE j.form IS NOT NULL)
+SELECT j.word, form, x.root, n, n_near, form_n FROM j JOIN (SELECT word, arg_max(place, step) AS root FROM s GROUP BY 1) x USING (word)
+"""
+
+SQL: dict[str, str] = {"op1_jaccard": OP1, "op2_substrings": OP2, "op3_mixing": OP3, "op6_warc": OP6, "op8_chat": OP8, "op9_decontaminate": OP9, "op10_urls": _op10(), "op12_spelling": OP12}
