@@ -142,4 +142,19 @@ s(word, place, step) AS (SELECT word, word, 0 FROM j UNION ALL SELECT s.word, j.
 SELECT j.word, form, x.root, n, n_near, form_n FROM j JOIN (SELECT word, arg_max(place, step) AS root FROM s GROUP BY 1) x USING (word)
 """
 
-SQL: dict[str, str] = {"op1_jaccard": OP1, "op2_substrings": OP2, "op3_mixing": OP3, "op6_warc": OP6, "op8_chat": OP8, "op9_decontaminate": OP9, "op10_urls": _op10(), "op12_spelling": OP12}
+OP13 = f"""
+WITH t AS (SELECT {_CRC_TABLE} AS t),
+o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+k AS (SELECT c, n, c - c % 100 AS base, {_crc32("coalesce(CAST(c AS VARCHAR), '')")} % 6 AS h FROM (SELECT c, count(*) AS n FROM o GROUP BY 1), t),
+m AS (SELECT k.c, k.n, k.base, k.h, least(h, coalesce(b.n, 0)) AS m FROM k LEFT JOIN (SELECT c, n FROM k) b ON b.c = k.base),
+x AS (SELECT m.c, o.i + 1 AS d, role, text FROM m JOIN o ON o.c = m.base AND o.i < m.h UNION ALL SELECT o.c, m.m + o.i - m.h + 1, role, text FROM o JOIN m ON o.c IS NOT DISTINCT FROM m.c WHERE o.i >= m.h),
+y AS (SELECT c, d, length(text) AS chars, md5(string_agg(md5(concat(length(role), ':', role, text)), '') OVER (PARTITION BY c ORDER BY d)) AS node FROM x),
+z AS (SELECT c, d, chars, node, coalesce(lag(node) OVER (PARTITION BY c ORDER BY d), '') AS parent, max(d) OVER (PARTITION BY c) AS len FROM y UNION ALL SELECT m.c, 0, 0, '', NULL, m + greatest(n - h, 0) FROM m),
+e AS (SELECT node, min(c) AS conv_id, max(d) AS depth, max(parent) AS parent, count(*) AS n_convs, max(chars) AS chars, sha256(coalesce(string_agg(CASE WHEN d = len THEN CAST(c AS VARCHAR) END, ',' ORDER BY c), '')) AS ends_sha256 FROM z GROUP BY 1),
+f AS (SELECT parent, count(*) AS n FROM e WHERE parent IS NOT NULL GROUP BY 1),
+g AS (SELECT e.*, coalesce(f.n, 0) AS n_children FROM e LEFT JOIN f ON f.parent = e.node),
+s AS (SELECT z.node, CAST(sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves, CAST(sum((n_convs - 1) * g.chars) AS BIGINT) AS saved_tokens FROM g JOIN z ON z.c = g.conv_id AND z.d <= g.depth GROUP BY 1)
+SELECT g.conv_id, g.depth, p.conv_id AS parent_conv_id, g.n_convs, g.n_children, n_leaves, saved_tokens, g.ends_sha256 FROM g JOIN s USING (node) LEFT JOIN e p ON p.node = g.parent
+"""
+
+SQL: dict[str, str] = {"op1_jaccard": OP1, "op2_substrings": OP2, "op3_mixing": OP3, "op6_warc": OP6, "op8_chat": OP8, "op9_decontaminate": OP9, "op10_urls": _op10(), "op12_spelling": OP12, "op13_trie": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, extract, jaccard, media, mixing, quality, spelling, substrings, urls, warc
+from . import chat, decontaminate, extract, jaccard, media, mixing, quality, spelling, substrings, tries, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,4 +72,8 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
 
 
-QUERIES = {"op1_jaccard": op1_jaccard, "op2_substrings": op2_substrings, "op3_mixing": op3_mixing, "op4_extract": op4_extract, "op5_media": op5_media, "op6_warc": op6_warc, "op7_quality": op7_quality, "op8_chat": op8_chat, "op9_decontaminate": op9_decontaminate, "op10_urls": op10_urls, "op12_spelling": op12_spelling}
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {"op1_jaccard": op1_jaccard, "op2_substrings": op2_substrings, "op3_mixing": op3_mixing, "op4_extract": op4_extract, "op5_media": op5_media, "op6_warc": op6_warc, "op7_quality": op7_quality, "op8_chat": op8_chat, "op9_decontaminate": op9_decontaminate, "op10_urls": op10_urls, "op12_spelling": op12_spelling, "op13_trie": op13_trie}
