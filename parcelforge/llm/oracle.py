@@ -118,6 +118,17 @@ def _op10(rare: int = 5, strength: float = 20.0, similar: float = 2.0, limit: fl
     return f"WITH {', '.join(steps)} SELECT w.page_id, w.host, w.path, w.rule, coalesce(w.action, CASE WHEN r.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict FROM w LEFT JOIN r ON {on} AND w.rule IS NULL"
 
 
+OP11 = """
+WITH w AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+p AS (SELECT doc_id, unnest(range(1, octet_length(b) + 1)) AS i, unnest(list_transform(range(1, octet_length(b) + 1), lambda i: hex(b[i:i]))) AS byte, unnest(list_transform(range(1, octet_length(b) + 1), lambda i: CASE WHEN i + 99 <= octet_length(b) THEN md5(b[i:i + 99]) END)) AS h FROM w),
+f AS (SELECT h, min((doc_id, i)) AS first FROM p WHERE h IS NOT NULL GROUP BY 1),
+m AS (SELECT p.doc_id, p.i, byte, coalesce((p.doc_id, p.i) > f.first, false) AS again FROM p LEFT JOIN f ON f.h = p.h),
+g AS (SELECT doc_id, i, byte, max(CASE WHEN again THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS 99 PRECEDING) = 1 AS gone FROM m),
+t AS (SELECT *, CASE WHEN gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) THEN 1 ELSE 0 END AS starts FROM g),
+o AS (SELECT doc_id, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_removed, CAST(sum(starts) AS BIGINT) AS n_spans, sha256(unhex(coalesce(string_agg(CASE WHEN NOT gone THEN byte END, '' ORDER BY i), ''))) AS kept_sha256 FROM t GROUP BY 1)
+SELECT w.doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM w LEFT JOIN o USING (doc_id)
+"""
+
 #: Unsigned crc32 of a text of code points below U+0100, as SQL over its bytes.
 _CRC_TABLE = "list_transform(range(256), lambda c: list_reduce(list_concat([c], range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))"
 
@@ -157,4 +168,4 @@ s AS (SELECT z.node, CAST(sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS BIG
 SELECT g.conv_id, g.depth, p.conv_id AS parent_conv_id, g.n_convs, g.n_children, n_leaves, saved_tokens, g.ends_sha256 FROM g JOIN s USING (node) LEFT JOIN e p ON p.node = g.parent
 """
 
-SQL: dict[str, str] = {"op1_jaccard": OP1, "op2_substrings": OP2, "op3_mixing": OP3, "op6_warc": OP6, "op8_chat": OP8, "op9_decontaminate": OP9, "op10_urls": _op10(), "op12_spelling": OP12, "op13_trie": OP13}
+SQL: dict[str, str] = {"op1_jaccard": OP1, "op2_substrings": OP2, "op3_mixing": OP3, "op6_warc": OP6, "op8_chat": OP8, "op9_decontaminate": OP9, "op10_urls": _op10(), "op11_suffixes": OP11, "op12_spelling": OP12, "op13_trie": OP13}

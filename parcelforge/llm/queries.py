@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, extract, jaccard, media, mixing, quality, spelling, substrings, tries, urls, warc
+from . import chat, decontaminate, extract, jaccard, media, mixing, quality, spelling, substrings, suffixes, tries, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,11 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), labels).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
 
@@ -76,4 +81,4 @@ def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {"op1_jaccard": op1_jaccard, "op2_substrings": op2_substrings, "op3_mixing": op3_mixing, "op4_extract": op4_extract, "op5_media": op5_media, "op6_warc": op6_warc, "op7_quality": op7_quality, "op8_chat": op8_chat, "op9_decontaminate": op9_decontaminate, "op10_urls": op10_urls, "op12_spelling": op12_spelling, "op13_trie": op13_trie}
+QUERIES = {"op1_jaccard": op1_jaccard, "op2_substrings": op2_substrings, "op3_mixing": op3_mixing, "op4_extract": op4_extract, "op5_media": op5_media, "op6_warc": op6_warc, "op7_quality": op7_quality, "op8_chat": op8_chat, "op9_decontaminate": op9_decontaminate, "op10_urls": op10_urls, "op11_suffixes": op11_suffixes, "op12_spelling": op12_spelling, "op13_trie": op13_trie}

@@ -10,7 +10,7 @@ COLUMNS = {
     "op5": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature", "op6": "page_id payload_bytes payload_digest record_type refers_to",
     "op7": "doc_id held_out score predicted", "op8": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars", "op9": "doc_id n_words n_hit n_items items_sha256 contaminated",
     "op10": "page_id host path rule verdict",
-    "op12": "word form root n n_near form_n", "op13": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256",
+    "op11": "doc_id n_bytes n_removed n_spans kept_sha256", "op12": "word form root n n_near form_n", "op13": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256",
 }
 
 
