@@ -125,18 +125,21 @@ def sx_register_reports(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("case_id", "risk_score", "risk_level", "outcome", "event_type", "death_verified", "heirs", "events", F.size("issues").alias("issues"))
 
 
-_BUNDLE = """concat('{"case_id":"', o_orderkey, '","documents":[{"document_type":"RoR","as_of":"01/04/2015","land":{"khasra":" ', o_orderkey % 100, ' ","area":"', o_orderkey % 50, '","area_unit":"', CASE o_orderkey % 3 WHEN 0 THEN 'Hectare' WHEN 1 THEN 'are' ELSE 'bigha' END, '"},"owners":[{"name":"Owner ', o_custkey, '","share":"1/', 1 + o_orderkey % 4, '"},"Second"]},
+_BUNDLE = """concat('{', CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN concat('"case_id":"', o_orderkey % 7, '",') ELSE concat('"case_id":"', o_orderkey, '","parcel_key":"p', o_orderkey % 5, '",') END, '"documents":[{"document_type":"RoR","as_of":"01/04/2015","land":{"khasra":" ', o_orderkey % 100, ' ","area":"', o_orderkey % 50, '","area_unit":"', CASE o_orderkey % 3 WHEN 0 THEN 'Hectare' WHEN 1 THEN 'are' ELSE 'bigha' END, '"},"owners":[{"name":"Owner ', o_custkey, '","share":"1/', 1 + o_orderkey % 4, '"},"Second"]},
 {"document_type":"new-jamabandi","revenue_year":"2019-20","owners":["Heir"]},{"document_type":"Death Certificate","deceased":"Owner ', o_custkey, '","date_of_death":"5 March 2020"},{"document_type":"Death Certificate","date_of_death":"5 March 2020"},
 {"document_type":"ferfar","number":"M', o_orderkey, '","status":"manjur","type":"varsa","order_date":"2021-02-01","entry_date":"', CASE WHEN o_orderkey % 2 = 0 THEN '01/01/2021' ELSE '01/03/2021' END, '","previous_owner":"Owner ', o_custkey, '","new_owners":["Heir",{"name":"  "}]},
 {"document_type":"legal heir","deceased":"Owner ', o_custkey, '","heirs":[{"name":"Heir","share":"0.5"},{"share":"1/2"}]},{"document_type":"tax bill","date":"junk","label":"T"},"text"]}')"""
 
 
-@query("sx24_document_readers", "SELECT CAST(o_orderkey AS VARCHAR) AS case_id, 2 AS snapshots, CAST(o_orderkey % 100 AS VARCHAR) AS khasra, CASE o_orderkey % 3 WHEN 0 THEN o_orderkey % 50 * CAST(10000 AS DOUBLE) WHEN 1 THEN o_orderkey % 50 * CAST(100 AS DOUBLE) END AS area, concat('Owner ', o_custkey, ', Second') AS owners, 1 + o_orderkey % 4 AS den, '2019-01-01' AS inferred, 1 AS deaths, '2020-03-05' AS died, concat('M', o_orderkey, ' inheritance sanctioned') AS mutation, CASE WHEN o_orderkey % 2 = 0 THEN '2021-01-01' END AS entry_date, 1 AS new_owners, 1 AS heirs, CAST(2 AS BIGINT) AS heir_den, 'other T' AS supporting, CAST(4 + o_orderkey % 2 + CASE WHEN o_orderkey % 3 = 2 THEN 1 ELSE 0 END AS INT) AS warnings FROM orders")
+# A third of the bundles has no case id, a third shares seven ids
+
+
+@query("sx24_document_readers", "SELECT CASE o_orderkey % 3 WHEN 0 THEN 'case' WHEN 1 THEN CAST(o_orderkey % 7 AS VARCHAR) ELSE CAST(o_orderkey AS VARCHAR) END AS case_id, CASE WHEN o_orderkey % 3 = 2 THEN concat('p', o_orderkey % 5) END AS parcel_key, 2 AS snapshots, CAST(o_orderkey % 100 AS VARCHAR) AS khasra, CASE o_orderkey % 3 WHEN 0 THEN o_orderkey % 50 * CAST(10000 AS DOUBLE) WHEN 1 THEN o_orderkey % 50 * CAST(100 AS DOUBLE) END AS area, concat('Owner ', o_custkey, ', Second') AS owners, 1 + o_orderkey % 4 AS den, '2019-01-01' AS inferred, 1 AS deaths, '2020-03-05' AS died, concat('M', o_orderkey, ' inheritance sanctioned') AS mutation, CASE WHEN o_orderkey % 2 = 0 THEN '2021-01-01' END AS entry_date, 1 AS new_owners, 1 AS heirs, CAST(2 AS BIGINT) AS heir_den, 'other T' AS supporting, CAST(4 + o_orderkey % 2 + CASE WHEN o_orderkey % 3 = 2 THEN 1 ELSE 0 END AS INT) AS warnings FROM orders")
 def sx24(spark: SparkSession, d: str) -> DataFrame:
     c = readers.normalize_cases(table(spark, d, "orders").select(F.expr(_BUNDLE).alias("json")))
     s, m, x = F.get("snapshots", F.lit(0)), F.get("mutations", F.lit(0)), F.get("documents", F.lit(0))
     return c.select(
-        "case_id", F.size("snapshots").alias("snapshots"), s["parcel"]["khasra_number"].alias("khasra"), s["parcel"]["area"].alias("area"), F.array_join(F.transform(s["owners"], lambda o: o["name"]), ", ").alias("owners"), F.get(s["owners"], F.lit(0))["share"]["den"].alias("den"),
+        "case_id", "parcel_key", F.size("snapshots").alias("snapshots"), s["parcel"]["khasra_number"].alias("khasra"), s["parcel"]["area"].alias("area"), F.array_join(F.transform(s["owners"], lambda o: o["name"]), ", ").alias("owners"), F.get(s["owners"], F.lit(0))["share"]["den"].alias("den"),
         F.get("snapshots", F.lit(1))["as_of"].cast("string").alias("inferred"), F.size("deaths").alias("deaths"), F.get("deaths", F.lit(0))["date_of_death"].cast("string").alias("died"), F.concat_ws(" ", m["number"], m["mutation_type"], m["status"]).alias("mutation"), m["entry_date"].cast("string").alias("entry_date"),
         F.size(m["new_owners"]).alias("new_owners"), F.size("heirs").alias("heirs"), F.get("heirs", F.lit(0))["share"]["den"].alias("heir_den"), F.concat_ws(" ", x["document_type"], x["label"]).alias("supporting"), F.size("warnings").alias("warnings"),
     )
