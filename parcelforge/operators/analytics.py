@@ -8,8 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..enums import MINUTES_SAVED, PRIORITIES, SEVERITIES
+from ..session import shared_folder
 from .geo import bounds
 from .reads import is_open, is_overdue, traffic_light
+from .shapes import of_ring
+
+#: Bins of one round of a selection.
+BINS = 4096
 
 
 def mean(value: Column | str, places: int) -> Column:
@@ -24,21 +29,32 @@ def count_if(condition: Column) -> Column:
 
 
 def summary(parcels: DataFrame, now: Column, minutes: float = MINUTES_SAVED) -> DataFrame:
+    """One row of dashboard figures: sums by district and village, which are then counted, and the exact median."""
     light = traffic_light()
-    first = parcels.agg(
-        F.count(F.lit(1)).alias("total_parcels"),
-        count_if(light == "green").alias("auto_validated"),
-        count_if(light == "red").alias("flagged"),
-        mean(F.col("confidence").cast("decimal(10,3)"), 4).alias("avg_confidence"),
-        mean(F.col("mismatch").cast("decimal(10,3)"), 2).alias("avg_mismatch"),
-        F.round(F.median("confidence"), 4).alias("median_confidence"),
-        F.round(F.coalesce(F.sum("area"), F.lit(0)).cast("double") / 10_000, 3).alias("total_area_hectares"),
+    confidence, mismatch = F.col("confidence").cast("decimal(10,3)"), F.col("mismatch").cast("decimal(10,3)")
+    counts = {
+        "total_parcels": F.count(F.lit(1)),
+        "auto_validated": count_if(light == "green"),
+        "flagged": count_if(light == "red"),
+        "overdue_count": count_if(is_overdue(now)),
+        "unassigned_count": count_if(F.col("assigned_to").isNull() & (F.col("review_status") == "pending")),
+        "corrections_applied": count_if(F.col("correction_count") > 0),
+    }
+    sums = {"c": F.sum(confidence), "c_n": F.count(confidence), "m": F.sum(mismatch), "m_n": F.count(mismatch), "area_sum": F.sum("area")}
+    places = parcels.groupBy("district", "village").agg(*(x.alias(n) for n, x in (counts | sums).items()))
+    total = lambda n: F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(n)
+    ratio = lambda a, b, digits: F.round(F.try_divide(F.sum(a).cast("double"), F.sum(b).cast("double")), digits)
+    first = places.agg(
+        *(total(n) for n in ("total_parcels", "auto_validated", "flagged")),
+        ratio("c", "c_n", 4).alias("avg_confidence"),
+        ratio("m", "m_n", 2).alias("avg_mismatch"),
+        F.round(F.coalesce(F.sum("area_sum"), F.lit(0)).cast("double") / 10_000, 3).alias("total_area_hectares"),
         F.countDistinct("district").alias("districts_covered"),
         F.countDistinct("village").alias("villages_covered"),
-        count_if(is_overdue(now)).alias("overdue_count"),
-        count_if(F.col("assigned_to").isNull() & (F.col("review_status") == "pending")).alias("unassigned_count"),
-        count_if(F.col("correction_count") > 0).alias("corrections_applied"),
+        *(total(n) for n in ("overdue_count", "unassigned_count", "corrections_applied")),
     )
+    whole = medians(parcels.select(F.lit(0).alias("__all"), "confidence"), "__all", "confidence")
+    first = first.join(whole.select("median_confidence"), F.lit(True), "left")  # one row each
     green, all_ = F.col("auto_validated"), F.col("total_parcels")
     return first.withColumns({
         "needs_review": F.greatest(all_ - green - F.col("flagged"), F.lit(0)),
@@ -124,11 +140,45 @@ def weighted_mean(value: str, weight: Column) -> Column:
     return F.try_divide(F.sum(F.col(value) * weight).cast("double"), F.sum(weight).cast("double"))
 
 
-def medians(rows: DataFrame, key: str, value: str, places: int = 4) -> DataFrame:
-    """``key, median_<value>``. Equal values of a key are counted first, with map-side combine, so what meets per key is one entry per distinct value."""
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("__n"))
-    mid = counts.groupBy(F.col(key).alias("__key")).agg(F.round(F.percentile(value, F.lit(0.5), F.col("__n")), places).alias(f"median_{value}"))
-    return rows.select(key).distinct().join(mid, F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
+def _selected(counts: DataFrame, key: str, value: str) -> DataFrame:
+    """``__key, __lo, __hi``: both middle values of each key of ``key, value, __n``, by ever narrower histograms.
+
+    Each round cuts the range that holds a wanted rank into BINS bins, whose counts are summed with map-side
+    combine, and keeps the bin of the rank; a key needs BINS rows in a task, whatever its values. The range shrinks
+    by BINS a round at least, or ends at one value, so a few rounds do for numbers of 64 bits.
+    """
+    c = counts.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"), F.col("__n").alias("n"))
+    total = c.groupBy("k").agg(F.sum("n").alias("n"), F.min("v").alias("a"), F.max("v").alias("z"))
+    ranks = F.array(F.struct(F.lit(0).alias("w"), F.floor((F.col("n") - 1) / 2).alias("r")), F.struct(F.lit(1).alias("w"), F.floor(F.col("n") / 2).alias("r")))
+    wanted = total.select(F.col("k").alias("x_k"), F.explode(ranks).alias("x"), "a", "z").select("x_k", "x.w", "x.r", "a", "z").checkpoint()
+    order = Window.partitionBy("x_k", "w").orderBy("bin")
+    while not wanted.filter("a < z").isEmpty():
+        open_ = wanted.filter("a < z")
+        rows = c.join(open_, F.col("k").eqNullSafe(F.col("x_k")) & F.col("v").between(F.col("a"), F.col("z")))
+        half = F.col("z") / 2 - F.col("a") / 2  # does not overflow
+        at = F.floor((F.col("v") / 2 - F.col("a") / 2) / half * BINS)
+        at = F.when(half > 0, F.least(at, F.lit(BINS - 1))).otherwise(F.when(F.col("v") > F.col("a"), 1).otherwise(0))  # neighbours
+        bins = rows.groupBy("x_k", "w", "r", at.cast("int").alias("bin")).agg(F.sum("n").alias("n"), F.min("v").alias("a"), F.max("v").alias("z"))
+        bins = bins.withColumn("before", F.sum("n").over(order) - F.col("n")).filter((F.col("before") <= F.col("r")) & (F.col("r") < F.col("before") + F.col("n")))
+        wanted = wanted.filter("a = z").unionByName(bins.select("x_k", "w", (F.col("r") - F.col("before")).alias("r"), "a", "z")).checkpoint()
+    return wanted.groupBy(F.col("x_k").alias("__key")).agg(F.min("a").alias("__lo"), F.max("a").alias("__hi"))
+
+
+def medians(rows: DataFrame, key: str, value: str, places: int = 4, most: int = 1_000_000) -> DataFrame:
+    """``key, median_<value>``, exact at any size.
+
+    Equal values of a key are counted first, with map-side combine. Up to ``most`` different values of all keys together are sorted as
+    they are, more by selection over histograms, so that no group is gathered in one task.
+    """
+    shared_folder(rows.sparkSession)
+    counts = rows.groupBy(key, value).agg(F.count(F.lit(1)).alias("__n")).checkpoint()
+    keys = counts.select(key).distinct()
+    known = counts.filter(F.col(value).isNotNull())
+    if known.count() <= most:
+        mid = known.groupBy(F.col(key).alias("__key")).agg(F.percentile(value, F.lit(0.5), F.col("__n")).alias("__m"))
+    else:
+        mid = _selected(known, key, value).select("__key", ((F.col("__lo") + F.col("__hi")) / 2).alias("__m"))
+    return keys.join(mid, F.col(key).eqNullSafe(F.col("__key")), "left").select(key, F.round("__m", places).alias(f"median_{value}"))
 
 
 def reference_numbers(rows: DataFrame, prefix: str, form: str = "CASE/2001/%04d") -> DataFrame:
@@ -162,6 +212,6 @@ def set_counts(rows: DataFrame, key: str, value: Column, left: Column) -> DataFr
 
 def map_bounds(shapes: DataFrame, key: str, ring: str = "ring") -> DataFrame:
     """``key, west, east, south, north`` over all corners of the rings; each ring is reduced where it is read."""
-    box = bounds(F.col(ring))
+    box = bounds(of_ring(F.col(ring)))
     rows = shapes.filter(F.col(ring).isNotNull()).select(key, box.alias("b"))
     return rows.groupBy(key).agg(F.min("b.west").alias("west"), F.max("b.east").alias("east"), F.min("b.south").alias("south"), F.max("b.north").alias("north"))

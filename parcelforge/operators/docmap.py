@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import areas, dates, numerals, shares, vocabulary
+from ..session import shared_folder
 from .plan import settled
 
 # Overlap of equal reads, and what agreement does to confidence.
@@ -137,7 +138,7 @@ def markdown(cells: DataFrame) -> DataFrame:
     rows = rows.select("page", "row", F.concat(F.lit("| "), F.array_join("c.t", " | "), F.lit(" |")).alias("line"), F.size("c").alias("n"))
     pages = rows.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("row", "line", "n"))).alias("r"))
     rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.get("r", F.lit(0))["n"]))
-    return pages.select("page", F.array_join(F.concat(F.slice("r.line", 1, 1), F.array(rule), F.slice("r.line", 2, 1 << 20)), "\n").alias("table"))
+    return pages.select("page", F.array_join(F.concat(F.slice("r.line", 1, 1), F.array(rule), F.slice("r.line", 2, F.size("r"))), "\n").alias("table"))
 
 
 def partial_ratio(a: str, b: str) -> float:
@@ -163,32 +164,62 @@ def partial_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([partial_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=float)
 
 
+def _bigrams(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """``keys, n, gram, times``: the pairs of neighbouring characters of a text, and its length ``n``."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1)))
+    grams = rows.select(*keys, F.length(text).alias("n"), F.explode(F.transform(places, lambda i: F.substring(F.col(text), i, F.lit(2)))).alias("gram"))
+    return grams.groupBy(*keys, "n", "gram").agg(F.count(F.lit(1)).alias("times"))
+
+
+def line_candidates(told: DataFrame, lines_: DataFrame, least: float = LINE_MATCH) -> DataFrame:
+    """``document, path, page, line, bound`` of the pairs whose partial ratio can reach ``least``.
+
+    A ratio of M matches in n characters has at most 2 (n - M) + 1 runs of matches, so at least
+    3 M - 2 n - 1 pairs of neighbours are common to both texts: with s common ones M is at most
+    (s + 2 n + 1) / 3.  Only texts of one and of four characters can reach it without a common pair; they meet all texts of
+    their document.
+    """
+    left, right = _bigrams(told, ["document", "path"], "raw_text"), _bigrams(lines_, ["document", "page", "line"], "line_text")
+    right = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns))
+    both = left.join(right, (F.col("document") == F.col("r_document")) & (F.col("gram") == F.col("r_gram")))
+    n = F.least("n", "r_n")
+    both = both.groupBy("document", "path", F.col("r_page").alias("page"), F.col("r_line").alias("line"), n.alias("n")).agg(F.sum(F.least("times", "r_times")).alias("s"))
+    bound = F.least(F.lit(1.0), F.floor((F.col("s") + 2 * F.col("n") + 1) / 3) / F.col("n")) * 100
+    pairs = both.filter(~F.col("n").isin(1, 4)).withColumn("bound", bound).filter(F.col("bound") >= least).select("document", "path", "page", "line", "bound")
+    short = lambda c: F.length(c).isin(1, 4)
+    texts = lines_.select(F.col("document").alias("r_document"), "page", "line", F.length("line_text").alias("r_n"))
+    few = lambda a, b: a.select("document", "path", F.length("raw_text").alias("n")).join(b, F.col("document") == F.col("r_document")).filter(F.least("n", "r_n").isin(1, 4))
+    some = few(told.filter(short("raw_text")), texts).unionByName(few(told.filter(~short("raw_text")), texts.filter(F.col("r_n").isin(1, 4))))
+    return pairs.unionByName(some.select("document", "path", "page", "line", F.lit(100.0).alias("bound")))
+
+
 def attach_boxes(provenance: DataFrame, page_lines: DataFrame) -> DataFrame:
-    """``document, path, raw_text`` with the box of the first best-matching line of the document, if it reaches LINE_MATCH."""
-    ln = page_lines.select(F.col("document").alias("d"), "page", "line", F.col("text").alias("line_text"), F.struct("x0", "y0", "x1", "y1").alias("box"))
-    told = provenance.filter(F.trim(F.coalesce("raw_text", F.lit(""))) != "")
-    scored = told.join(ln, (F.col("document") == F.col("d")) & (F.trim("line_text") != "")).withColumn("score", partial_ratio_udf("raw_text", "line_text"))
-    best = scored.groupBy(F.col("document").alias("b_document"), F.col("path").alias("b_path")).agg(F.max_by(F.struct("box", "score"), F.struct("score", F.struct((-F.crc32(F.col("page").cast("binary"))).alias("p"), (-F.col("line")).alias("l")))).alias("hit"))
+    """``document, path, raw_text`` with the box of the first best-matching line (by page and line) of the document, if it reaches LINE_MATCH.
+
+    Each text is measured against the line of greatest bound first; then only against lines whose bound is no less than
+    what that one reached.  ``score`` is null where no line can reach LINE_MATCH; paths are unique in a document.
+    """
+    lines_ = page_lines.select("document", "page", "line", F.col("text").alias("line_text"), F.struct("x0", "y0", "x1", "y1").alias("box")).filter(F.trim(F.coalesce("line_text", F.lit(""))) != "")
+    told = provenance.filter(F.trim(F.coalesce("raw_text", F.lit(""))) != "").select("document", "path", "raw_text")
+    shared_folder(provenance.sparkSession)
+    pairs = line_candidates(told, lines_).checkpoint()
+
+    def measured(some: DataFrame) -> DataFrame:
+        score = partial_ratio_udf("raw_text", "line_text")
+        return some.select("document", "path", "page", "line").join(told, ["document", "path"]).join(lines_, ["document", "page", "line"]).select("document", "path", "page", "line", "box", score.alias("score"))
+
+    place = F.struct((-F.col("bound")).alias("b"), "page", "line")
+    first = pairs.groupBy("document", "path").agg(F.min(place).alias("p")).select("document", "path", F.col("p.page").alias("page"), F.col("p.line").alias("line"))
+    first = measured(first).checkpoint()
+    reached = first.select(F.col("document").alias("f_document"), F.col("path").alias("f_path"), F.col("page").alias("f_page"), F.col("line").alias("f_line"), F.greatest("score", F.lit(LINE_MATCH)).alias("reached"))
+    left = pairs.join(reached, (F.col("document") == F.col("f_document")) & (F.col("path") == F.col("f_path")))
+    left = left.filter((F.col("bound") >= F.col("reached")) & ((F.col("page") != F.col("f_page")) | (F.col("line") != F.col("f_line"))))
+    hits = first.unionByName(measured(left))
+    best = hits.groupBy(F.col("document").alias("b_document"), F.col("path").alias("b_path")).agg(F.min_by(F.struct("box", "score"), F.struct((-F.col("score")).alias("s"), "page", "line")).alias("hit"))
     out = provenance.join(best, (F.col("document") == F.col("b_document")) & (F.col("path") == F.col("b_path")), "left")
     return out.select(*provenance.columns, F.when(F.col("hit.score") >= LINE_MATCH, F.col("hit.box")).alias("box"), F.col("hit.score").alias("score"))
 
 
-# Wire JSON
-
-_W_AREA = "struct<raw_text:string," + ",".join(f"{u}:string" for u in ("hectare", "are", "sq_metre", "acre", "guntha", "kanal", "marla", "bigha", "biswa", "biswansi")) + ">"
-_W_PERSON = "struct<raw_name:string,transliterated:string,relation_raw:string,relation_name:string>"
-WIRE = (
-    "detected_record_format string, parcels array<struct<survey_number:string,khata_number:string,khasra_numbers:array<string>,total_area:" + _W_AREA + ","
-    "jurisdiction:struct<state:string,district:string,tehsil:string,village:string>,"
-    "sub_divisions:array<struct<sub_division_number:string,area:" + _W_AREA + ",assessment_amount:string,owner_serial_numbers:array<string>>>,"
-    "classified_areas:array<struct<raw_label:string,area:" + _W_AREA + ">>,"
-    "owners:array<struct<serial_number:string,name:" + _W_PERSON + ",tenure_raw:string,share:struct<raw_text:string,numerator:string,denominator:string>>>,"
-    "mutations:array<struct<mutation_number:string,type_raw:string,status_raw:string,entry_date_raw:string,order_date_raw:string,to_parties:array<" + _W_PERSON + ">,area_transacted:" + _W_AREA + ">>,"
-    "encumbrances:array<struct<type_raw:string,status_raw:string,holder_name:string,discharged_on_raw:string>>>>, "
-    "field_confidences array<struct<field_path:string,confidence:double,reason:string>>"
-)
-
-
 def read_wire(rows: DataFrame, json: str = "json") -> DataFrame:
     """``document, wire, corrupt``: the transcription as a struct; text that does not parse is set apart, not fatal."""
     parsed = F.from_json(F.col(json), f"{WIRE}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})

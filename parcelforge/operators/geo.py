@@ -1,6 +1,6 @@
 """Cadastral geometry: geodesic area, comparison with the stated area, confidence, topology.
 
-Rings are ARRAY<STRUCT<lon, lat>>.  Areas are exact on the authalic sphere of WGS84
+Rings are ARRAY<STRUCT<lon, lat>>, shapes are polygons of rings (``shapes``).  Areas are exact on the authalic sphere of WGS84
 between vertices at constant-bearing steps; against a geodesic library small
 parcels differ by less than a part in a million.  Neighbours are found by an equi join on grid cells, never by a
 cross join; exact overlap runs in an Arrow UDF over candidate pairs only.
@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import shapes
 from .plan import settled
 
 # WGS84, source tolerance multipliers, thresholds.
@@ -56,132 +58,79 @@ def ring_perimeter(ring: Column) -> Column:
     return F.when(F.size(ring) >= 2, F.aggregate(F.sequence(F.lit(0), F.size(ring) - 2), F.lit(0.0), lambda s, i: s + step(i)))
 
 
-def _cross(a, b, c) -> float:
-    return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+def area(parts: Column) -> Column:
+    """Square metres of a shape: outer rings less holes."""
+    return shapes.measured(parts, ring_area)
 
 
-def _segments_cross(p, q, r, s) -> bool:
-    return (_cross(p, q, r) > 0) != (_cross(p, q, s) > 0) and (_cross(r, s, p) > 0) != (_cross(r, s, q) > 0)
+def perimeter(parts: Column) -> Column:
+    """Metres along all rings."""
+    return shapes.summed(parts, ring_perimeter)
 
 
-def invalid_reason(points: list[tuple[float, float]]) -> str | None:
-    if len(points) < 4 or points[0] != points[-1]:
-        return "not_closed"
-    edges = list(zip(points, points[1:], strict=False))
-    for i in range(len(edges)):
-        for j in range(i + 2, len(edges) - (i == 0)):
-            if _segments_cross(*edges[i], *edges[j]):
-                return "self_intersection"
-    flat = abs(sum(_cross((0, 0), a, b) for a, b in zip(points, points[1:], strict=False))) < 1e-18
-    return "degenerate" if flat else None
-
-
-@F.pandas_udf(T.StringType())
-def validity(rings: pd.Series) -> pd.Series:
-    """Null for a valid ring, else why not."""
-    return rings.map(lambda r: None if r is None else invalid_reason([(p["lon"], p["lat"]) for p in r]))
-
-
-def _crossings(points, x: float) -> list[float]:
-    out = []
-    for (x1, y1), (x2, y2) in zip(points, points[1:], strict=False):
-        if (x1 <= x < x2) or (x2 <= x < x1):
-            out.append(y1 + (y2 - y1) * (x - x1) / (x2 - x1))
-    return sorted(out)
-
-
-def intersection_area(p: list[tuple[float, float]], q: list[tuple[float, float]]) -> float:
-    """Area shared by two simple rings: slabs between all vertices and crossings, in which edges do not meet, are trapezoids."""
-    xs = {x for x, _ in p} | {x for x, _ in q}
-    for (a, b) in zip(p, p[1:], strict=False):
-        for (c, d) in zip(q, q[1:], strict=False):
-            den = (b[0] - a[0]) * (d[1] - c[1]) - (b[1] - a[1]) * (d[0] - c[0])
-            if den:
-                t = ((c[0] - a[0]) * (d[1] - c[1]) - (c[1] - a[1]) * (d[0] - c[0])) / den
-                if 0 <= t <= 1:
-                    xs.add(a[0] + t * (b[0] - a[0]))
-    low, high = max(min(x for x, _ in r) for r in (p, q)), min(max(x for x, _ in r) for r in (p, q))
-    cuts = sorted(x for x in xs | {low, high} if low <= x <= high)
-    total = 0.0
-    for x1, x2 in zip(cuts, cuts[1:], strict=False):
-        ys, zs = _crossings(p, (x1 + x2) / 2), _crossings(q, (x1 + x2) / 2)
-        length = sum(max(0.0, min(b, d) - max(a, c)) for a, b in zip(ys[::2], ys[1::2], strict=False) for c, d in zip(zs[::2], zs[1::2], strict=False))
-        total += length * (x2 - x1)
-    return total
-
-
-def _local(ring, lon0: float, lat0: float) -> list[tuple[float, float]]:
-    s2 = math.sin(math.radians(lat0)) ** 2
+def _scale(lat: float) -> np.ndarray:
+    """Metres a degree of longitude and latitude."""
+    s2 = math.sin(math.radians(lat)) ** 2
     w = 1 - E2 * s2
-    kx, ky = math.radians(1) * A / math.sqrt(w) * math.cos(math.radians(lat0)), math.radians(1) * A * (1 - E2) / w**1.5
-    return [((p["lon"] - lon0) * kx, (p["lat"] - lat0) * ky) for p in ring]
-
-
-def _distance(pt, ring) -> float:
-    best = math.inf
-    for (x1, y1), (x2, y2) in zip(ring, ring[1:], strict=False):
-        dx, dy = x2 - x1, y2 - y1
-        t = 0.0 if not dx and not dy else max(0.0, min(1.0, ((pt[0] - x1) * dx + (pt[1] - y1) * dy) / (dx * dx + dy * dy)))
-        best = min(best, math.hypot(pt[0] - x1 - t * dx, pt[1] - y1 - t * dy))
-    return best
+    return math.radians(1) * A * np.array([math.cos(math.radians(lat)) / math.sqrt(w), (1 - E2) / w**1.5])
 
 
-def _sliver(p, q, reach: float = 0.5, step: float = 0.5) -> float:
-    """Area of the strip within ``reach`` outside p that lies within ``reach`` of q, along p's boundary."""
-    total = 0.0
-    for (x1, y1), (x2, y2) in zip(p, p[1:], strict=False):
-        length = math.hypot(x2 - x1, y2 - y1)
-        n = max(1, math.ceil(length / step))
-        for k in range(n):
-            t = (k + 0.5) / n
-            d = _distance((x1 + t * (x2 - x1), y1 + t * (y2 - y1)), q)
-            total += length / n * max(0.0, min(reach, 2 * reach - d))
-    return total
+def intersection_area(p: list[tuple[float, float]], q: list[tuple[float, float]]) -> float:
+    """Planar area shared by two rings."""
+    return shapes.shared_area([[np.array(p, float)]], [[np.array(q, float)]])
 
 
 _TOPOLOGY = T.StructType([T.StructField("kind", T.StringType()), T.StructField("area", T.DoubleType()), T.StructField("fraction", T.DoubleType())])
 
 
-@F.pandas_udf(_TOPOLOGY)
-def topology(subject: pd.Series, neighbour: pd.Series) -> pd.DataFrame:
-    """overlap, sliver_gap or null of two rings, with area and fraction of the subject, in a local projection."""
+@F.arrow_udf(_TOPOLOGY)
+def topology(subject: pa.Array, neighbour: pa.Array) -> pa.Array:
+    """overlap, sliver_gap or null of two shapes, with area and fraction of the subject, in a local projection."""
     out = []
-    for r, s in zip(subject, neighbour, strict=True):
-        lon0, lat0 = sum(p["lon"] for p in r) / len(r), sum(p["lat"] for p in r) / len(r)
-        p, q = _local(r, lon0, lat0), _local(s, lon0, lat0)
-        own = abs(sum(_cross((0, 0), a, b) for a, b in zip(p, p[1:], strict=False))) / 2
-        shared = intersection_area(p, q)
-        kind, area = ("overlap", shared) if shared > 1e-9 else ("sliver_gap", _sliver(p, q))
-        out.append((kind, round(area, 4), round(area / own, 6)) if own and area > 1e-9 else (None, None, None))
-    return pd.DataFrame(out, columns=["kind", "area", "fraction"])
-
-
-def bounds(ring: Column) -> Column:
-    lon, lat = F.transform(ring, lambda p: p["lon"]), F.transform(ring, lambda p: p["lat"])
+    for r, s in zip(subject.to_pylist(), neighbour.to_pylist(), strict=True):
+        p, q = shapes.points(r), shapes.points(s)
+        at = np.concatenate([x for part in p for x in part]).mean(0)
+        p, q = ([[(x - at) * _scale(at[1]) for x in part] for part in shape] for shape in (p, q))
+        own, shared = shapes.planar_area(p), shapes.shared_area(p, q)
+        kind, size = ("overlap", shared) if shared > 1e-9 else ("sliver_gap", shapes.strip_area(p, q))
+        out.append({"kind": kind, "area": round(size, 4), "fraction": round(size / own, 6)} if own and size > 1e-9 else {})
+    return pa.array(out, pa.struct([("kind", pa.string()), ("area", pa.float64()), ("fraction", pa.float64())]))
+
+
+def bounds(parts: Column) -> Column:
+    points = F.flatten(F.flatten(parts))
+    lon, lat = F.transform(points, lambda p: p["lon"]), F.transform(points, lambda p: p["lat"])
     return F.struct(F.array_min(lon).alias("west"), F.array_max(lon).alias("east"), F.array_min(lat).alias("south"), F.array_max(lat).alias("north"))
 
 
+def with_parts(parcels: DataFrame) -> DataFrame:
+    """Tables of a single ``ring`` a row get it as ``parts``."""
+    return parcels if "parts" in parcels.columns else parcels.withColumn("parts", shapes.of_ring(F.col("ring")))
+
+
 def neighbours(parcels: DataFrame, cell: float = 0.01, margin: float = 1e-5) -> DataFrame:
-    """Ordered pairs ``a, b, ring_a, ring_b`` of parcels (parcel_key, ring) whose boxes touch.
+    """Ordered pairs ``a, b, parts_a, parts_b`` of parcels (``parcel_key`` and ``parts`` or ``ring``) whose boxes touch.
 
     Each box is put into the grid cells it covers; a pair is taken in one cell only, that
     of the greater of both lower corners, so no distinct is needed.
     """
-    rows = parcels.select("parcel_key", "ring", bounds(F.col("ring")).alias("box"))
+    rows = with_parts(parcels).select("parcel_key", "parts", bounds(F.col("parts")).alias("box"))
     at = lambda c: F.floor(c / cell)
     rows = rows.withColumns({"x": F.explode(F.sequence(at(F.col("box.west") - margin), at(F.col("box.east") + margin)))}).withColumn("y", F.explode(F.sequence(at(F.col("box.south") - margin), at(F.col("box.north") + margin))))
-    other = rows.select(F.col("parcel_key").alias("b"), F.col("ring").alias("ring_b"), F.col("box").alias("box_b"), F.col("x").alias("x_b"), F.col("y").alias("y_b"))
+    other = rows.select(F.col("parcel_key").alias("b"), F.col("parts").alias("parts_b"), F.col("box").alias("box_b"), F.col("x").alias("x_b"), F.col("y").alias("y_b"))
     touch = (F.col("box.west") <= F.col("box_b.east") + margin) & (F.col("box_b.west") <= F.col("box.east") + margin) & (F.col("box.south") <= F.col("box_b.north") + margin) & (F.col("box_b.south") <= F.col("box.north") + margin)
     home = (F.col("x") == at(F.greatest("box.west", "box_b.west") - margin)) & (F.col("y") == at(F.greatest("box.south", "box_b.south") - margin))
     joined = rows.join(other, (F.col("x") == F.col("x_b")) & (F.col("y") == F.col("y_b")) & (F.col("parcel_key") != F.col("b")) & touch & home)
-    return joined.select(F.col("parcel_key").alias("a"), "b", F.col("ring").alias("ring_a"), "ring_b")
+    return joined.select(F.col("parcel_key").alias("a"), "b", F.col("parts").alias("parts_a"), "parts_b")
 
 
 def topology_findings(parcels: DataFrame) -> DataFrame:
-    """``parcel_key, counterpart, kind, area, fraction`` of overlaps and slivers between valid rings."""
-    valid = parcels.withColumn("__why", validity("ring")).filter("__why is null").select("parcel_key", "ring")
-    found = neighbours(valid).withColumn("t", topology("ring_a", "ring_b")).filter("t.kind is not null")
-    return found.select(F.col("a").alias("parcel_key"), F.col("b").alias("counterpart"), "t.*")
+    """``parcel_key, counterpart, kind, area, fraction`` of overlaps and slivers between valid shapes, and of invalid shapes (self_intersection, no counterpart)."""
+    rows = settled(with_parts(parcels).select("parcel_key", "parts", shapes.validity(F.col("parts")).alias("why")))
+    found = neighbours(rows.filter("why is null and size(parts) > 0")).withColumn("t", topology("parts_a", "parts_b")).filter("t.kind is not null")
+    found = found.select(F.col("a").alias("parcel_key"), F.col("b").alias("counterpart"), "t.*")
+    wrong = rows.filter("why is not null").select("parcel_key", F.lit(None).cast("string").alias("counterpart"), F.lit("self_intersection").alias("kind"), F.lit(0.0).alias("area"), F.lit(0.0).alias("fraction"))
+    return found.unionByName(wrong)
 
 
 def is_material(area: Column, fraction: Column) -> Column:
@@ -240,11 +189,13 @@ def action(ocr: Column, llm: Column, band_: Column, score: Column, material: Col
 
 
 def discrepancies(records: DataFrame, geometries: DataFrame, findings: DataFrame | None = None) -> DataFrame:
-    """Reports of ``parcel_key, textual_area, ocr, llm, integrity`` against ``parcel_key, ring, source``; a miss is a valid outcome.
+    """Reports of ``parcel_key, textual_area, ocr, llm, integrity`` against ``parcel_key, parts`` or ``ring``, ``source``; a miss is a valid outcome.
 
-    Rings are measured where they are read; of several of a key that of the most exact source counts, then the smallest.
+    Shapes are measured where they are read; invalid ones are matched but have no area.  Of several
+    of a key that of the most exact source counts, then the smallest.
     """
-    measured = settled(geometries.select(F.col("parcel_key").alias("g_key"), tolerance(F.col("source")).alias("tol"), ring_area(F.col("ring")).alias("geometric_area")))
+    shaped = with_parts(geometries)
+    measured = settled(shaped.select(F.col("parcel_key").alias("g_key"), tolerance(F.col("source")).alias("tol"), F.when(shapes.validity(F.col("parts")).isNull(), area(F.col("parts"))).alias("geometric_area")))
     g = measured.groupBy("g_key").agg(F.min(F.struct("tol", "geometric_area")).alias("g")).select("g_key", "g.tol", "g.geometric_area")
     rows = records.join(g, F.col("parcel_key") == F.col("g_key"), "left").withColumn("available", F.col("g_key").isNotNull())
     if findings is not None:

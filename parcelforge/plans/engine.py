@@ -9,7 +9,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import findings, geo, rules
+from ..operators import findings, geo, rules, shapes
 from .registry import Registry
 from .views import PARCELS, SUBS, parcels, sub_divisions
 
@@ -204,10 +204,53 @@ def ge1(spark: SparkSession, d: str) -> DataFrame:
     return squares(spark, d).select("o_orderkey", F.round(geo.ring_area(F.col("ring")), 1).alias("area"))
 
 
-@query("ge1_validity", "SELECT * FROM (VALUES (0, NULL), (1, 'self_intersection'), (2, 'not_closed'), (3, 'degenerate')) t(id, reason)")
+# A parcel of two squares, the first with a square hole of half its width; which of them it has is decided by its number
+
+
+def _shape(k: str = "o_orderkey") -> str:
+    hole = _square(f"{LON} + {W} / 4", f"{LAT} + {W} / 4", f"{W} / 2")
+    first, second = _square(LON, LAT, W), _square(f"{LON} + {W} * 2", LAT, f"{W} / 2")
+    return f"CASE {k} % 4 WHEN 0 THEN array(array({first})) WHEN 1 THEN array(array({first}, {hole})) WHEN 2 THEN array(array({first}), array({second})) ELSE array(array({first}, {hole}), array({second})) END"
+
+
+def shaped(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.expr(_shape()).alias("parts"))
+
+
+def _box_sql(lat: str, w: str) -> str:
+    return f"abs(radians({w}) * (2 * {_q_sql(lat)} - 2 * {_q_sql(f'({lat} + {w})')})) * CAST({geo.A * geo.A!r} AS DOUBLE) / 4"
+
+
+_HOLE, _SECOND = _box_sql(f"({LAT} + {W} / 4)", f"({W} / 2)"), _box_sql(LAT, f"({W} / 2)")
+SHAPE_SQL = f"({AREA_SQL} - CASE WHEN o_orderkey % 4 IN (1, 3) THEN {_HOLE} ELSE CAST(0 AS DOUBLE) END + CASE WHEN o_orderkey % 4 >= 2 THEN {_SECOND} ELSE CAST(0 AS DOUBLE) END)"
+
+
+@query("ge1_shape_area", f"SELECT o_orderkey, round({SHAPE_SQL}, 0) AS area, 5 * (1 + CASE WHEN o_orderkey % 4 >= 2 THEN 1 ELSE 0 END) AS vertices FROM orders")
+def ge1c(spark: SparkSession, d: str) -> DataFrame:
+    return shaped(spark, d).select("o_orderkey", F.round(geo.area(F.col("parts")), 0).alias("area"), shapes.vertices(F.col("parts")).alias("vertices"))
+
+
+def _spoiled() -> str:
+    """The shapes above, every eighth of them spoiled in one of seven ways."""
+    p = lambda x, y: f"named_struct('lon', {LON} + {W} * {x}, 'lat', {LAT} + {W} * {y})"
+    ring = lambda *at: f"array({', '.join(p(x, y) for x, y in at)})"
+    whole = ring((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))
+    kinds = [
+        f"array(array({ring((0, 0), (1, 1), (1, 0), (0, 1), (0, 0))}))",  # a bow tie
+        f"array(array({ring((0, 0), (1, 0), (1, 1), (0, 1))}))",
+        f"array(array({ring((0, 0), (1, 1), (2, 2), (0, 0))}))",
+        f"array(array({whole}, {ring((2, 2), (3, 2), (3, 3), (2, 2))}))",  # a hole beside it
+        f"array(array({whole}, {ring((0.5, 0.5), (1.5, 0.5), (1.5, 0.75), (0.5, 0.5))}))",  # a hole across its edge
+        f"array(array({whole}), array({ring((0.25, 0.25), (0.5, 0.25), (0.5, 0.5), (0.25, 0.25))}))",  # a part inside a part
+        f"array(array({whole}, {ring((0.25, 0.25), (0.75, 0.25), (0.75, 0.75), (0.25, 0.75), (0.25, 0.25))}), array({ring((0.375, 0.375), (0.5, 0.375), (0.5, 0.5), (0.375, 0.375))}))",  # an island in the hole
+    ]
+    return "CASE o_orderkey % 8 " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(kinds)) + f" ELSE {_shape('(o_orderkey div 8)')} END"
+
+
+@query("ge1_validity", "SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN 'self_intersection' WHEN 1 THEN 'not_closed' WHEN 2 THEN 'degenerate' WHEN 3 THEN 'hole_outside' WHEN 4 THEN 'self_intersection' WHEN 5 THEN 'nested' END AS reason FROM orders")
 def ge1b(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(0, [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)]), (1, [(0.0, 0.0), (1.0, 1.0), (1.0, 0.0), (0.0, 1.0), (0.0, 0.0)]), (2, [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]), (3, [(0.0, 0.0), (1.0, 1.0), (2.0, 2.0), (0.0, 0.0)])]
-    return spark.createDataFrame(rows, f"id int, ring {geo.RING}").select("id", geo.validity("ring").alias("reason"))
+    rows = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.expr(_spoiled()).alias("parts"))
+    return rows.select("o_orderkey", shapes.validity(F.col("parts")).alias("reason"))
 
 
 COMPARED = f"c AS (SELECT id, CAST(area AS DOUBLE) AS t, CASE WHEN id % 9 = 0 THEN NULL ELSE CAST(area AS DOUBLE) * (1 + (id % 31 - 15) / CAST(100 AS DOUBLE)) END AS g, CASE id % 4 WHEN 0 THEN 'drone_survey' WHEN 1 THEN 'ets_survey' WHEN 2 THEN 'bhu_naksha' ELSE 'unknown' END AS source FROM parcels), r AS (SELECT *, CASE WHEN g IS NULL THEN NULL ELSE abs(t - g) / g END AS rel, CASE source WHEN 'drone_survey' THEN CAST(0.6 AS DOUBLE) WHEN 'ets_survey' THEN CAST(0.8 AS DOUBLE) WHEN 'bhu_naksha' THEN CAST(1.0 AS DOUBLE) ELSE CAST(1.5 AS DOUBLE) END * CAST(0.005 AS DOUBLE) AS tol FROM c)"
@@ -227,10 +270,13 @@ def ge2(spark: SparkSession, d: str) -> DataFrame:
     return _compared(spark, d).select("id", geo.band(rel, F.col("tol")).alias("band"), F.round(F.when(rel.isNull(), 0.0).otherwise(F.least(F.lit(100.0), rel / geo.SEVERE * 100)), 1).alias("score"), F.round(F.when(rel.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), 1 - rel / geo.SEVERE)), 3).alias("agreement"))
 
 
-@query("ge3_source_tolerance", "SELECT * FROM (VALUES ('drone_survey', CAST(0.003 AS DOUBLE)), ('ets_survey', CAST(0.004 AS DOUBLE)), ('bhu_naksha', CAST(0.005 AS DOUBLE)), ('other', CAST(0.005 AS DOUBLE)), ('unknown', CAST(0.0075 AS DOUBLE))) t(source, tolerance)")
+_SOURCES = "CASE o_orderkey % 5 WHEN 0 THEN 'drone_survey' WHEN 1 THEN 'ets_survey' WHEN 2 THEN 'bhu_naksha' WHEN 3 THEN o_orderpriority ELSE 'unknown' END"
+
+
+@query("ge3_source_tolerance", f"SELECT {_SOURCES} AS source, CASE o_orderkey % 5 WHEN 0 THEN CAST(0.003 AS DOUBLE) WHEN 1 THEN CAST(0.004 AS DOUBLE) WHEN 4 THEN CAST(0.0075 AS DOUBLE) ELSE CAST(0.005 AS DOUBLE) END AS tolerance, count(*) AS n FROM orders GROUP BY ALL")
 def ge3(spark: SparkSession, d: str) -> DataFrame:
-    t = spark.createDataFrame([(x,) for x in ("drone_survey", "ets_survey", "bhu_naksha", "other", "unknown")], "source string")
-    return t.select("source", F.round(geo.tolerance(F.col("source")), 6).alias("tolerance"))
+    t = spark.read.parquet(f"{d}/orders.parquet").select(F.expr(_SOURCES).alias("source"))
+    return t.groupBy("source").agg(F.count(F.lit(1)).alias("n")).select("source", F.round(geo.tolerance(F.col("source")), 6).alias("tolerance"), "n")
 
 
 CONF = "k AS (SELECT o_orderkey AS id, CAST(o_orderkey * 7 % 100 AS DOUBLE) / 100 AS a, CAST(o_orderkey * 11 % 100 AS DOUBLE) / 100 AS b, CAST(o_orderkey * 13 % 100 AS DOUBLE) / 100 AS c, CAST(o_orderkey * 17 % 100 AS DOUBLE) / 100 AS g, o_orderkey % 3 <> 0 AS ok FROM orders), m AS (SELECT *, a * 0.25 + b * 0.25 + c * 0.25 + g * 0.25 AS mean, CASE WHEN ok THEN least(a, b, c, g) ELSE least(a, b, c) END AS low FROM k), h AS (SELECT *, CASE WHEN low < 0.35 THEN least(mean, low) ELSE mean END AS held FROM m)".replace("0.25", "CAST(0.25 AS DOUBLE)").replace("< 0.35", "< CAST(0.35 AS DOUBLE)")
@@ -263,14 +309,19 @@ def ge6(spark: SparkSession, d: str) -> DataFrame:
     return t.select("id", geo.action(F.col("a"), F.col("b"), F.col("band"), F.col("score"), F.col("id") % 10 == 0).alias("action"))
 
 
-@query("ge7_discrepancy_report", f"SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'undetermined' WHEN o_orderkey % 4 = 1 THEN 'exact' WHEN o_orderkey % 4 = 2 THEN 'severe' ELSE 'minor' END AS band, o_orderkey % 4 <> 0 AS geometry_matched FROM orders")
+# The stated area is that of a plane square of as many degrees, times a factor by number; every fourth parcel has no shape
+_STATED = f"{W} * {W} * CAST(11700000000 AS DOUBLE) * (CAST(85 AS DOUBLE) + o_orderkey % 29) / CAST(100 AS DOUBLE)"
+_GE7 = f"WITH m AS (SELECT o_orderkey, {_STATED} AS t, CASE WHEN o_orderkey % 4 <> 0 THEN {AREA_SQL} END AS g FROM orders), r AS (SELECT *, abs(t - g) / g AS rel FROM m)"
+
+
+@query("ge7_discrepancy_report", f"{_GE7} SELECT o_orderkey, g IS NOT NULL AS geometry_matched, round(g, 1) AS area, CASE WHEN rel IS NULL THEN 'undetermined' WHEN rel <= 0.001 THEN 'exact' WHEN rel <= 0.005 THEN 'within_survey_tolerance' WHEN rel <= 0.02 THEN 'minor' WHEN rel <= 0.1 THEN 'material' ELSE 'severe' END AS band, CASE WHEN rel IS NULL THEN CAST(0 AS DOUBLE) ELSE round(least(CAST(100 AS DOUBLE), rel / CAST(0.1 AS DOUBLE) * 100), 2) END AS mismatch, CASE WHEN rel > CAST(0.02 AS DOUBLE) THEN 'field_verification' WHEN rel <= CAST(0.005 AS DOUBLE) THEN 'auto_approve' ELSE 'review_queue' END AS action FROM r")
 def ge7(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("o_orderkey").cast("string").alias("parcel_key")
     s = squares(spark, d)
-    k = F.col("o_orderkey") % 4
-    stated = geo.ring_area(F.col("ring")) * F.when(k == 2, 1.15).when(k == 3, 1.012).otherwise(1.0)
-    records_ = s.select(F.col("o_orderkey").cast("string").alias("parcel_key"), stated.alias("textual_area"), F.lit(0.95).alias("ocr"), F.lit(0.95).alias("llm"), F.lit(1.0).alias("integrity"))
-    shapes = s.filter(k != 0).select(F.col("o_orderkey").cast("string").alias("parcel_key"), "ring", F.lit("cadastral_shapefile").alias("source"))
-    return geo.discrepancies(records_, shapes).select(F.col("parcel_key").cast("bigint").alias("o_orderkey"), "band", "geometry_matched")
+    records_ = s.select(key, F.expr(_STATED).alias("textual_area"), F.lit(0.95).alias("ocr"), F.lit(0.95).alias("llm"), F.lit(1.0).alias("integrity"))
+    shapes_ = s.filter("o_orderkey % 4 <> 0").select(key, "ring", F.lit("cadastral_shapefile").alias("source"))
+    out = geo.discrepancies(records_, shapes_)
+    return out.select(F.col("parcel_key").cast("bigint").alias("o_orderkey"), "geometry_matched", F.round("geometric_area", 1).alias("area"), "band", F.col("mismatch_score").alias("mismatch"), F.col("recommended_action").alias("action"))
 
 
 # Boxes on a lattice of 4,000 columns and as many rows as the table needs: each touches its eight neighbours at any size of the table
@@ -283,13 +334,18 @@ def jn14(spark: SparkSession, d: str) -> DataFrame:
     return geo.neighbours(boxes, cell=0.003).select("a", "b")
 
 
-@query("ge8_topology", "SELECT * FROM (VALUES ('a', 'b', 'overlap'), ('b', 'a', 'overlap'), ('a', 'd', 'sliver_gap'), ('d', 'a', 'sliver_gap')) t(parcel_key, counterpart, kind)")
-def ge8(spark: SparkSession, d: str) -> DataFrame:
-    def box(x, y, w=0.00076):
-        return [(x, y), (x + w, y), (x + w, y + w), (x, y + w), (x, y)]
+# Rows of squares a fifth wider than their distance, so that each overlaps its two neighbours by a sixth; every fifth has a hole
+# of two fifths of its width with an island of a tenth of its width in it, every seventh is a bow tie
 
-    rows = [("a", box(73.9, 18.5)), ("b", box(73.9 + 0.00038, 18.5)), ("c", box(73.91, 18.51)), ("d", box(73.9 - 0.00076 - 0.000003, 18.5))]
-    return geo.topology_findings(spark.createDataFrame(rows, f"parcel_key string, ring {geo.RING}")).select("parcel_key", "counterpart", "kind")
+
+@query("ge8_topology", "WITH b AS (SELECT o_orderkey AS k, o_orderkey % 7 <> 0 AS valid, CASE WHEN o_orderkey % 5 = 0 THEN CAST(0.85 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS own FROM orders) SELECT CAST(p.k AS VARCHAR) AS parcel_key, CAST(q.k AS VARCHAR) AS counterpart, 'overlap' AS kind, round(1 / CAST(6 AS DOUBLE) / p.own, 3) AS fraction FROM b p, (VALUES (-1), (1)) s(step), b q WHERE q.k = p.k + step AND p.k // 1000 = q.k // 1000 AND p.valid AND q.valid UNION ALL SELECT CAST(k AS VARCHAR), NULL, 'self_intersection', CAST(0 AS DOUBLE) FROM b WHERE NOT valid")
+def ge8(spark: SparkSession, d: str) -> DataFrame:
+    lon, lat, w = "(CAST(68 AS DOUBLE) + o_orderkey % 1000 * CAST(0.001 AS DOUBLE))", "(CAST(8 AS DOUBLE) + o_orderkey div 1000 % 14000 * CAST(0.002 AS DOUBLE))", "CAST(0.0012 AS DOUBLE)"
+    part = lambda at, size: _square(f"{lon} + {w} * {at}", f"{lat} + {w} * {at}", f"{w} * {size}")
+    tie = f"transform(array(0, 2, 1, 3, 0), i -> element_at({part(0, 1)}, i + 1))"
+    shape = f"CASE WHEN o_orderkey % 7 = 0 THEN array(array({tie})) WHEN o_orderkey % 5 = 0 THEN array(array({part(0, 1)}, {part(0.3, 0.4)}), array({part(0.45, 0.1)})) ELSE array(array({part(0, 1)})) END"
+    lattice = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("parcel_key"), F.expr(shape).alias("parts"))
+    return geo.topology_findings(lattice).select("parcel_key", "counterpart", "kind", F.round("fraction", 3).alias("fraction"))
 
 
 @query("rd10_chain_breaks", f"WITH {SUBS}, o AS (SELECT parcel_id, entry_date, lag(entry_date) OVER (PARTITION BY parcel_id ORDER BY number, part, supplier, entry_date) AS before FROM sub_divisions) SELECT parcel_id, count(*) AS breaks FROM o WHERE entry_date < before GROUP BY 1")

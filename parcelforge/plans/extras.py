@@ -13,7 +13,7 @@ from ..operators import bundle, reads, rules, triage
 from ..session import shared_folder
 from ..sources import exports, files
 from .bundles import EXPECTED, reports
-from .engine import records
+from .engine import records, shaped
 from .office import BAND, SCORE
 from .registry import Registry
 from .views import AS_OF, EVENTS, PARCELS, SUBS, as_of, parcels, review_events, sub_divisions
@@ -136,13 +136,17 @@ def io1(spark: SparkSession, d: str) -> DataFrame:
     return files.scan(spark, f"{d}/orders.parquet", ("o_custkey",), F.col("o_totalprice") > 100000).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_custkey").alias("customers"))
 
 
-@query("io4_geojson", "SELECT * FROM (VALUES ('k1', 4, 'drone_survey')) t(parcel_key, points, source)")
+@query("io4_geojson", "SELECT CASE WHEN o_orderkey % 10 <> 9 THEN CAST(o_orderkey AS VARCHAR) END AS parcel_key, CASE WHEN o_orderkey % 9 <> 8 THEN CASE o_orderkey % 4 WHEN 0 THEN '5' WHEN 1 THEN '5 5' WHEN 2 THEN '5|5' ELSE '5 5|5' END END AS rings, CASE WHEN o_orderkey % 3 = 0 THEN 'drone_survey' ELSE 'unknown' END AS source, CASE WHEN o_orderkey % 9 = 8 THEN 'not_a_polygon' END AS reason FROM orders WHERE o_orderkey % 10 <> 9")
 def io4(spark: SparkSession, d: str) -> DataFrame:
-    ring = [[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 0.0]]
-    body = {"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"parcel_key": "k1", "source": "drone_survey"}, "geometry": {"type": "Polygon", "coordinates": [ring]}}, {"type": "Feature", "properties": {}, "geometry": {"type": "Polygon", "coordinates": [ring]}}]}
+    """Every shape is written as a GeoJSON feature and read back; some have no key, some are points."""
+    known = F.when(F.col("o_orderkey") % 10 != 9, F.col("o_orderkey").cast("string"))
+    properties = F.struct(known.alias("parcel_key"), F.when(F.col("o_orderkey") % 3 == 0, "drone_survey").alias("source"))
+    point = F.concat(F.lit('{"type":"Feature","geometry":{"type":"Point","coordinates":[1.5,2.5]},"properties":'), F.to_json(properties), F.lit("}"))
+    text = F.when(F.col("o_orderkey") % 9 == 8, point).otherwise(exports.feature(F.col("parts"), properties))
     at = f"{shared_folder(spark)}/geojson-{uuid.uuid4().hex}"
-    spark.createDataFrame([(json.dumps(body),)], "value string").coalesce(1).write.text(at)
-    return files.geojson(spark, at).select("parcel_key", F.size("ring").alias("points"), "source")
+    shaped(spark, d).select(text.alias("value")).write.text(at)
+    rings = F.transform("parts", lambda part: F.array_join(F.transform(part, lambda r: F.size(r).cast("string")), " "))
+    return files.geojson(spark, at, lines=True).select("parcel_key", F.array_join(rings, "|").alias("rings"), "source", "reason")
 
 
 @query("io5_policy", "SELECT * FROM (VALUES ('AREA_SUM_MISMATCH', CAST(2 AS DOUBLE), CAST(0.005 AS DOUBLE)), ('SHARE_MISSING', CAST(1 AS DOUBLE), CAST(0.005 AS DOUBLE))) t(code, absolute, relative)")

@@ -95,11 +95,19 @@ def sc42(spark: SparkSession, d: str) -> DataFrame:
     return docmap.markdown(spark.createDataFrame([("p", 0, 0, "a"), ("p", 0, 1, "b"), ("p", 1, 0, "1"), ("p", 1, 1, "x|y")], "page string, row int, col int, text string"))
 
 
-@query("jn17_attach_boxes", "SELECT * FROM (VALUES ('$.a', 0.1), ('$.b', NULL), ('$.c', NULL)) t(path, y0)".replace("0.1)", "CAST(0.1 AS DOUBLE))"))
+# Lines of the documents' texts; told is the start of one of a document's lines, with its letters or spoiled beyond recognition
+LINES = "t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents), ln AS (SELECT doc_id, unnest(range(0, len(lines))) AS line, unnest(lines) AS text FROM t), told AS (SELECT doc_id, path, substr(lines[1 + (doc_id * 7 + path) % len(lines)], 1, 20 + path) AS raw FROM t, (VALUES (1), (2)) p(path) UNION ALL SELECT doc_id, 3, '#~^#~^#~^' FROM t)"
+
+
+@query("jn17_attach_boxes", f"WITH {LINES}, m AS (SELECT told.doc_id, path, min(line) AS line FROM told JOIN ln ON ln.doc_id = told.doc_id AND (contains(ln.text, raw) OR contains(raw, ln.text)) WHERE trim(raw) <> '' AND trim(ln.text) <> '' GROUP BY 1, 2) SELECT told.doc_id AS document, CAST(told.path AS BIGINT) AS path, CAST(m.line AS DOUBLE) AS y0 FROM told LEFT JOIN m ON m.doc_id = told.doc_id AND m.path = told.path")
 def jn17(spark: SparkSession, d: str) -> DataFrame:
-    prov = spark.createDataFrame([("d", "$.a", "Ramesh Sharma"), ("d", "$.b", "Zzzzqq"), ("d", "$.c", None)], "document string, path string, raw_text string")
-    ln = spark.createDataFrame([("d", "p", 0, "Owner: Ramesh Sharrna s/o Hari", 0.0, 0.1, 1.0, 0.2), ("d", "p", 1, "Village Angol", 0.0, 0.3, 1.0, 0.4)], "document string, page string, line int, text string, x0 double, y0 double, x1 double, y1 double")
-    return docmap.attach_boxes(prov, ln).select("path", F.col("box.y0").alias("y0"))
+    t = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("document"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    ln = t.select("document", F.lit(0).alias("page"), F.posexplode("lines").alias("line", "text"))
+    ln = ln.withColumns({"x0": F.lit(0.0), "y0": F.col("line").cast("double"), "x1": F.lit(1.0), "y1": F.col("line") + 1.0})
+    path = F.explode(F.array(*(F.lit(k).cast("long") for k in (1, 2, 3)))).alias("path")
+    raw = F.substring(F.get("lines", ((F.col("document") * 7 + F.col("path")) % F.size("lines")).cast("int")), F.lit(1), (20 + F.col("path")).cast("int"))
+    told = t.select("document", "lines", path).select("document", "path", F.when(F.col("path") == 3, "#~^#~^#~^").otherwise(raw).alias("raw_text"))
+    return docmap.attach_boxes(told, ln).select("document", "path", F.col("box.y0").alias("y0"))
 
 
 @query("jn10_best_owner", "WITH w AS (SELECT p_partkey AS id, p_partkey // 10 AS document, split_part(p_name, ' ', 1) AS name FROM part), s AS (SELECT x.id, round(jaro_winkler_similarity(x.name, y.name), 4) AS score FROM w x JOIN w y ON x.document = y.document AND x.id <> y.id), b AS (SELECT id, max(score) AS score FROM s GROUP BY 1) SELECT id, score, score >= 0.88 AS matched FROM b")

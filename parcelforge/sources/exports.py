@@ -8,6 +8,9 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from ..operators import shapes
+from ..operators.geo import with_parts
+
 BOM = "﻿"
 PARCEL_COLUMNS = ("id", "state", "district", "village", "khata_number", "survey_number", "area_sq_metre", "area_hectare", "confidence", "mismatch", "action", "review_status", "priority", "assigned_to", "sla_due_at", "issue_count", "severity", "correction_count", "created_at")
 
@@ -59,19 +62,20 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True, emptyValue="", nullValue="")
 
 
-def feature(ring: Column, properties: Column) -> Column:
-    points = F.transform(ring, lambda p: F.array(p["lon"], p["lat"]))
-    return F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), F.array(points).alias("coordinates")).alias("geometry"), properties.alias("properties"))
+def feature(parts: Column, properties: Column) -> Column:
+    """A GeoJSON feature as JSON text."""
+    return F.concat(F.lit('{"type":"Feature","geometry":'), shapes.to_geojson(parts), F.lit(',"properties":'), F.to_json(properties), F.lit("}"))
 
 
 def feature_collection(parcels: DataFrame, properties: tuple[str, ...], limit: int = 2000) -> DataFrame:
-    """One row: ``collection`` JSON of at most ``limit`` shapes, with the numbers of matching and returned parcels."""
-    shapes = parcels.filter("ring is not null").orderBy("id").limit(limit).select(feature(F.col("ring"), F.struct(*properties)).alias("f"))
-    body = shapes.agg(F.collect_list("f").alias("features"))  # bounded by the limit
+    """One row: ``collection`` JSON of at most ``limit`` shapes (``parts`` or ``ring``), with the numbers of matching and returned parcels."""
+    shown = with_parts(parcels).filter("size(parts) > 0").orderBy("id").limit(limit).select(feature(F.col("parts"), F.struct(*properties)).alias("f"))
+    body = shown.agg(F.collect_list("f").alias("features"))  # bounded by the limit
     counts = parcels.agg(F.count(F.lit(1)).alias("total_matching"))
     row = body.join(counts)
-    out = F.struct(F.lit("FeatureCollection").alias("type"), "features", "total_matching", F.size("features").alias("returned"), (F.col("total_matching") - F.size("features")).alias("without_geometry"))
-    return row.select(F.to_json(out).alias("collection"), F.size("features").alias("returned"), "total_matching")
+    n = F.size("features")
+    out = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join("features", ","), F.lit('],"total_matching":'), F.col("total_matching").cast("string"), F.lit(',"returned":'), n.cast("string"), F.lit(',"without_geometry":'), (F.col("total_matching") - n).cast("string"), F.lit("}"))
+    return row.select(out.alias("collection"), n.alias("returned"), "total_matching")
 
 
 def geojson_counts(parcels: DataFrame, limit: int) -> DataFrame:

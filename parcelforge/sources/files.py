@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import shapes
 from ..operators.rules import REGISTRY, Policy, Tolerance
 
 
@@ -28,12 +29,21 @@ def documents(spark: SparkSession, path: str, **options: str) -> DataFrame:
     return rows.withColumn("sha256", F.sha2("content", 256)).withColumn("document_id", F.substring("sha256", 1, 32))
 
 
-def geojson(spark: SparkSession, path: str) -> DataFrame:
-    """``parcel_key, ring, source`` of the polygons of a FeatureCollection; features without a key are skipped."""
-    schema = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:array<array<array<double>>>>>>"
-    f = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("features").alias("f"))
-    ring = F.transform(F.get("f.geometry.coordinates", F.lit(0)), lambda p: F.struct(F.get(p, F.lit(0)).alias("lon"), F.get(p, F.lit(1)).alias("lat")))
-    return f.select(F.try_element_at("f.properties", F.lit("parcel_key")).alias("parcel_key"), ring.alias("ring"), F.coalesce(F.try_element_at("f.properties", F.lit("source")), F.lit("unknown")).alias("source")).filter("parcel_key is not null")
+def geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """``parcel_key, parts, source, reason`` of the features of FeatureCollections, or of one feature a line, which splits well.
+
+    Features without a key are skipped.  Polygons and MultiPolygons keep all parts and holes; other
+    geometries, and those that cannot be read, have no parts and a reason.
+    """
+    feature = "properties:map<string,string>,geometry:struct<type:string,coordinates:string>"
+    if lines:
+        f = spark.read.schema(feature.replace(":map", " map", 1).replace("geometry:", "geometry ", 1)).json(path).select(F.struct("properties", "geometry").alias("f"))
+    else:
+        f = spark.read.schema(f"features array<struct<{feature}>>").json(path, multiLine=True).select(F.explode("features").alias("f"))
+    kind = F.col("f.geometry.type")
+    rows = f.select(F.try_element_at("f.properties", F.lit("parcel_key")).alias("parcel_key"), shapes.from_geojson(kind, F.col("f.geometry.coordinates")).alias("parts"), F.coalesce(F.try_element_at("f.properties", F.lit("source")), F.lit("unknown")).alias("source"), kind.alias("kind"))
+    why = F.when(F.coalesce(~F.col("kind").isin("Polygon", "MultiPolygon"), F.lit(True)), "not_a_polygon").when(F.col("parts").isNull(), "unreadable")
+    return rows.filter("parcel_key is not null").select("parcel_key", "parts", "source", why.alias("reason"))
 
 
 def policy(text: str, extra_codes: tuple[str, ...] = ()) -> Policy:

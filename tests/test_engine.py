@@ -104,7 +104,7 @@ def test_geojson_round_trip(spark, tmp_path):
     row = exports.feature_collection(p, ("parcel_key",)).first()
     (tmp_path / "x.json").write_text(row.collection)
     back = files.geojson(spark, str(tmp_path / "x.json")).collect()
-    assert [(r.parcel_key, len(r.ring)) for r in back] == [("k1", 4)] and json.loads(row.collection)["without_geometry"] == 1
+    assert [(r.parcel_key, len(r.parts[0][0])) for r in back] == [("k1", 4)] and json.loads(row.collection)["without_geometry"] == 1
 
 
 def test_messages_cover_every_status_that_is_not_clear(spark):
