@@ -1,8 +1,8 @@
 """Document mapping: tokens to lines and cells, wire JSON to typed records, provenance to boxes.
 
-Containment and overlap joins are equi joins on grid cells of a page.  The two
-order-dependent steps (pairing reads of two engines, clustering lines) work on one page at a time in
-grouped Arrow maps; a page holds hundreds of tokens.
+Containment and overlap joins are equi joins on grid cells of a page; reads of several engines are
+paired in rounds over their overlaps.  Clustering lines, whose order matters, works on one page at
+a time in a grouped map; a page holds hundreds of tokens.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,9 +56,9 @@ def overlapping(left: DataFrame, right: DataFrame, cell: float = 0.1) -> DataFra
     return j.withColumn("iou", iou("a_", "b_")).filter("iou > 0").select(F.col("a_id").alias("id_a"), F.col("b_id").alias("id_b"), "iou")
 
 
-def _texts_agree(a: str, b: str) -> bool:
-    squeeze = lambda t: "".join(t.split()).casefold()
-    return squeeze(a) == squeeze(b)
+def _squeezed(text: Column) -> Column:
+    """Without white space and case."""
+    return F.replace(F.lower(F.regexp_replace(text, r"\s+", "")), F.lit("ß"), F.lit("ss"))
 
 
 def engine_status(runs: DataFrame) -> DataFrame:
@@ -67,38 +67,54 @@ def engine_status(runs: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("failed") == F.col("engines"), "failed").when(F.col("failed") > 0, "degraded").otherwise("whole"))
 
 
-def reconcile(tokens: DataFrame) -> DataFrame:
+def greedy_pairs(edges: DataFrame) -> DataFrame:
+    """``a, b`` of the sequential choice: each ``a`` in order of ``a_at`` takes the free ``b`` of greatest ``score``, the first by ``b_at`` of equals.
+
+    ``edges``: ``a, b, a_at, b_at, score``. In rounds: an edge is taken when ``b`` is the best of its ``a``'s free partners and
+    no earlier unpaired ``a`` has ``b`` among its own, since then no earlier choice can take it. The first
+    unpaired ``a`` of every connected group is paired in each round, all groups at once; what meets in a task are the edges of one box.
+    """
+    shared_folder(edges.sparkSession)
+    left, pairs = edges.checkpoint(), None
+    by_a, by_b = Window.partitionBy("a").orderBy(F.desc("score"), "b_at"), Window.partitionBy("b").orderBy("a_at")
+    while True:
+        ranked = left.withColumns({"best": F.row_number().over(by_a), "turn": F.row_number().over(by_b)})
+        taken = ranked.filter("best = 1 and turn = 1").select("a", "b").checkpoint()
+        if taken.isEmpty():
+            break
+        pairs = taken if pairs is None else pairs.unionByName(taken)
+        left = left.join(taken.select("a"), "a", "left_anti").join(taken.select("b"), "b", "left_anti").checkpoint()
+    return edges.select("a", "b").limit(0) if pairs is None else pairs
+
+
+def reconcile(tokens: DataFrame, cell: float = 0.05) -> DataFrame:
     """Tokens of several engines as one set: overlapping reads are merged, others kept.
 
-    The engine with most tokens leads; each of its tokens takes the free token of greatest overlap above IOU.
+    The engine with most tokens on a page leads (the first of equals); each of its tokens, in order, takes the free token
+    of greatest overlap above IOU, of equals that of the engine with more tokens, then the first. Order on a page is by ``seq`` if
+    the tokens have it, else by height, place, engine and text.
     """
-    def page(rows: pd.DataFrame) -> pd.DataFrame:
-        groups = sorted((g for _, g in rows.groupby("engine", sort=False)), key=len, reverse=True)
-        if len(groups) < 2:
-            return rows
-        others, used, out = [r for g in groups[1:] for r in g.to_dict("records")], set(), []
-        for t in groups[0].to_dict("records"):
-            best, at = IOU, None
-            for k, o in enumerate(others):
-                if k in used:
-                    continue
-                w = max(0.0, min(t["x1"], o["x1"]) - max(t["x0"], o["x0"]))
-                h = max(0.0, min(t["y1"], o["y1"]) - max(t["y0"], o["y0"]))
-                union = (t["x1"] - t["x0"]) * (t["y1"] - t["y0"]) + (o["x1"] - o["x0"]) * (o["y1"] - o["y0"]) - w * h
-                if union > 0 and w * h / union > best:
-                    best, at = w * h / union, k
-            if at is None:
-                out.append(t)
-                continue
-            used.add(at)
-            o = others[at]
-            lead = t if t["confidence"] >= o["confidence"] else o
-            factor = AGREE if _texts_agree(t["text"], o["text"]) else DISAGREE
-            out.append({**lead, "x0": min(t["x0"], o["x0"]), "y0": min(t["y0"], o["y0"]), "x1": max(t["x1"], o["x1"]), "y1": max(t["y1"], o["y1"]), "confidence": round(min(1.0, lead["confidence"] * factor), 4), "engine": "ensemble"})
-        out += [o for k, o in enumerate(others) if k not in used]
-        return pd.DataFrame(out, columns=rows.columns)
-
-    return tokens.groupBy("page").applyInPandas(page, tokens.schema)
+    names = tokens.columns
+    order = ["seq"] if "seq" in names else ["y0", "x0", "x1", "y1", "engine", "text", "confidence"]
+    rows = tokens.withColumn("__n", F.row_number().over(Window.partitionBy("page").orderBy(*order)))
+    engines = rows.groupBy(F.col("page").alias("e_page"), F.col("engine").alias("e_engine")).agg(F.count(F.lit(1)).alias("n"), F.min("__n").alias("first"))
+    engines = engines.withColumn("__rank", F.row_number().over(Window.partitionBy("e_page").orderBy(F.desc("n"), "first"))).drop("n", "first")
+    shared_folder(tokens.sparkSession)
+    rows = rows.join(engines, F.col("page").eqNullSafe(F.col("e_page")) & F.col("engine").eqNullSafe(F.col("e_engine"))).drop("e_page", "e_engine")
+    rows = rows.withColumn("id", F.struct("page", "__rank", "__n")).checkpoint()
+    base, others = rows.filter("__rank = 1"), rows.filter("__rank > 1")
+    met = overlapping(base, others, cell).filter(F.col("iou") > IOU)
+    edges = met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("id_a.__n").alias("a_at"), F.struct(F.col("id_b.__rank").alias("r"), F.col("id_b.__n").alias("n")).alias("b_at"), F.col("iou").alias("score"))
+    pairs = greedy_pairs(edges)
+    o = others.select(F.col("id").alias("o_id"), F.struct(*names).alias("o"))
+    joined = base.select("id", F.struct(*names).alias("t")).join(pairs, F.col("id") == F.col("a"), "left").join(o, F.col("b") == F.col("o_id"), "left")
+    t, x = (lambda n: F.col(f"t.{n}")), (lambda n: F.col(f"o.{n}"))
+    lead = F.when(t("confidence") >= x("confidence"), F.col("t")).otherwise(F.col("o"))
+    factor = F.when(_squeezed(t("text")) == _squeezed(x("text")), AGREE).otherwise(DISAGREE)
+    merged = {"x0": F.least(t("x0"), x("x0")), "y0": F.least(t("y0"), x("y0")), "x1": F.greatest(t("x1"), x("x1")), "y1": F.greatest(t("y1"), x("y1")), "confidence": F.round(F.least(F.lit(1.0), lead["confidence"] * factor), 4), "engine": F.lit("ensemble")}
+    alone = F.col("o_id").isNull()
+    out = joined.select(*(F.when(alone, t(n)).otherwise(merged.get(n, lead[n])).alias(n) for n in names))
+    return out.unionByName(others.join(pairs.select(F.col("b").alias("p_b")), F.col("id") == F.col("p_b"), "left_anti").select(names))
 
 
 def lines(tokens: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
@@ -73,8 +73,33 @@ def dm9(spark: SparkSession, d: str) -> DataFrame:
     return out.select("event_id", "record.k", "state")
 
 
-@query("dm3_reconcile", "SELECT text, engine, CAST(c AS DOUBLE) AS confidence FROM (VALUES ('Survey', 'ensemble', 0.99), ('No', 'easy', 0.8), ('12S', 'ensemble', 0.6375), ('Ramesh', 'easy', 0.6), ('extra', 'tess', 0.9)) t(text, engine, c)")
+# Lines of an order as tokens of a page, read by two engines; SQL folds the leading engine's tokens in order, each with its partners from best to worst
+_DM3 = """
+WITH b AS (SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_linestatus, l_returnflag) AS seq, l_linestatus || l_returnflag AS engine, CAST(l_partkey % 4 AS VARCHAR) AS text, (l_partkey % 60) / CAST(1000 AS DOUBLE) AS x0, (l_suppkey * 7 % 60) / CAST(1000 AS DOUBLE) AS y0, (l_quantity + 50) / CAST(100 AS DOUBLE) AS confidence FROM lineitem),
+e AS (SELECT page, engine, row_number() OVER (PARTITION BY page ORDER BY count(*) DESC, min(seq)) AS rank FROM b GROUP BY 1, 2),
+t AS (SELECT b.*, rank, rank * 100 + seq AS place FROM b JOIN e USING (page, engine)),
+k AS (SELECT *, x0 + CAST(0.1 AS DOUBLE) AS x1, y0 + CAST(0.1 AS DOUBLE) AS y1 FROM t),
+h AS (SELECT a.page, a.seq AS a, o.place AS o, greatest(CAST(0 AS DOUBLE), least(a.x1, o.x1) - greatest(a.x0, o.x0)) * greatest(CAST(0 AS DOUBLE), least(a.y1, o.y1) - greatest(a.y0, o.y0)) AS i, (a.x1 - a.x0) * (a.y1 - a.y0) + (o.x1 - o.x0) * (o.y1 - o.y0) AS total FROM k a JOIN k o ON a.page = o.page AND a.rank = 1 AND o.rank > 1),
+c AS (SELECT page, a, list(o ORDER BY i / (total - i) DESC, o) AS os FROM h WHERE i / (total - i) > CAST(0.3 AS DOUBLE) GROUP BY 1, 2),
+f AS (SELECT page, list(a ORDER BY a) AS firsts, list_reduce(list_prepend([]::BIGINT[], list(os ORDER BY a)), lambda taken, os: list_append(taken, coalesce(list_filter(os, lambda x: NOT list_contains(taken, x))[1], -1))) AS taken FROM c GROUP BY 1),
+p AS (SELECT page, unnest(firsts) AS a, unnest(taken) AS o FROM f),
+m AS (SELECT t.page, t.seq, o.seq AS o_seq, t.text AS t_text, o.text AS o_text, t.confidence AS tc, o.confidence AS oc, t.engine FROM t LEFT JOIN p ON p.page = t.page AND p.a = t.seq LEFT JOIN t o ON o.page = t.page AND o.place = p.o WHERE t.rank = 1)
+SELECT page, CASE WHEN o_seq IS NULL OR tc >= oc THEN seq ELSE o_seq END AS seq, CASE WHEN o_seq IS NULL THEN engine ELSE 'ensemble' END AS engine, CASE WHEN o_seq IS NULL THEN round(tc, 4) ELSE round(least(CAST(1 AS DOUBLE), greatest(tc, oc) * CASE WHEN t_text = o_text THEN CAST(1.1 AS DOUBLE) ELSE CAST(0.85 AS DOUBLE) END), 4) END AS confidence FROM m
+UNION ALL SELECT page, seq, engine, round(confidence, 4) FROM t WHERE rank > 1 AND (page, place) NOT IN (SELECT page, o FROM p)
+"""
+
+
+@query("dm3_reconcile", _DM3)
 def dm3(spark: SparkSession, d: str) -> DataFrame:
+    t = spark.read.parquet(f"{d}/lineitem.parquet")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_linestatus", "l_returnflag")
+    t = t.select(F.col("l_orderkey").alias("page"), F.row_number().over(order).cast("long").alias("seq"), F.concat("l_linestatus", "l_returnflag").alias("engine"), (F.col("l_partkey") % 4).cast("string").alias("text"), ((F.col("l_partkey") % 60) / F.lit(1000.0)).alias("x0"), ((F.col("l_suppkey") * 7 % 60) / F.lit(1000.0)).alias("y0"), ((F.col("l_quantity") + 50) / F.lit(100.0)).alias("confidence"))
+    t = t.withColumns({"x1": F.col("x0") + 0.1, "y1": F.col("y0") + 0.1})
+    return docmap.reconcile(t).select("page", "seq", "engine", F.round("confidence", 4).alias("confidence"))
+
+
+@query("dm3_literal", "SELECT text, engine, CAST(c AS DOUBLE) AS confidence FROM (VALUES ('Survey', 'ensemble', 0.99), ('No', 'easy', 0.8), ('12S', 'ensemble', 0.6375), ('Ramesh', 'easy', 0.6), ('extra', 'tess', 0.9)) t(text, engine, c)")
+def dm3b(spark: SparkSession, d: str) -> DataFrame:
     return docmap.reconcile(docmap.kept_tokens(tokens(spark))).select("text", "engine", "confidence")
 
 

@@ -65,3 +65,42 @@ def test_few_pairs_are_measured(spark, monkeypatch):
     monkeypatch.setattr(docmap, "partial_ratio_udf", counted)
     assert all(r.box for r in docmap.attach_boxes(df, ln).collect())
     assert 100 <= count.value < 0.05 * 100 * 300
+
+
+def test_pairs_in_rounds_equal_the_sequential_loop(spark):
+    r = random.Random(5)
+    rows = []
+    for page in range(30):
+        for seq in range(r.choice([0, 1, 40, 60])):
+            x, y, w, h = r.randrange(0, 20) / 50, r.randrange(0, 20) / 50, r.choice([0.04, 0.1, 0.16]), r.choice([0.04, 0.1])
+            rows.append((f"p{page}", r.choice(["a", "A ", "b"]), x, y, x + w, y + h, r.randrange(1, 100) / 100, r.choice(["e1", "e1", "e2", "e3"]), seq))
+    schema = docmap.TOKEN + ", seq int"
+
+    def overlap(t, o):
+        w, h = max(0.0, min(t[4], o[4]) - max(t[2], o[2])), max(0.0, min(t[5], o[5]) - max(t[3], o[3]))
+        return w * h / ((t[4] - t[2]) * (t[5] - t[3]) + (o[4] - o[2]) * (o[5] - o[3]) - w * h)
+
+    want = []
+    for page in {x[0] for x in rows}:
+        groups = {}
+        for t in (x for x in rows if x[0] == page):
+            groups.setdefault(t[7], []).append(t)
+        base, *others = sorted(groups.values(), key=len, reverse=True)
+        others, used = [t for g in others for t in g], set()
+        for t in base:
+            best, at = docmap.IOU, None
+            for k, o in enumerate(others):
+                if k not in used and overlap(t, o) > best:
+                    best, at = overlap(t, o), k
+            if at is None:
+                want.append(t)
+                continue
+            used.add(at)
+            o = others[at]
+            lead = t if t[6] >= o[6] else o
+            same = t[1].strip().lower() == o[1].strip().lower()
+            want.append((page, lead[1], min(t[2], o[2]), min(t[3], o[3]), max(t[4], o[4]), max(t[5], o[5]), round(min(1.0, lead[6] * (1.1 if same else 0.85)), 4), "ensemble", lead[8]))
+        want += [o for k, o in enumerate(others) if k not in used]
+    got = docmap.reconcile(spark.createDataFrame(rows, schema).repartition(4)).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and sum(x[7] == "ensemble" for x in want) > 50
+    assert docmap.reconcile(spark.createDataFrame([], schema)).count() == 0
