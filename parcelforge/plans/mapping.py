@@ -8,11 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..enums import ROLES, STATUSES
 from ..functions import names
 from ..operators import docmap
 from ..sources import exports, files
 from ..session import shared_folder
-from ..streaming import audit
+from ..streaming import audit, review
 from .registry import Registry
 from .views import AS_OF, EVENTS, PARCELS, as_of, parcels, review_events, time_text
 
@@ -322,3 +323,40 @@ def st2(spark: SparkSession, d: str) -> DataFrame:
 @query("st3_sla_breaches", f"WITH {PARCELS} SELECT id, priority FROM parcels WHERE sla_due_at < TIMESTAMP '{AS_OF}' AND review_status IN ('pending','in_review','escalated')")
 def st3(spark: SparkSession, d: str) -> DataFrame:
     return audit.breaches(parcels(spark, d), as_of()).select("id", "priority")
+
+
+# Requests are the events of a user in order of time; what lies within the watermark's delay of the last event still waits
+_WF7 = f"""
+WITH RECURSIVE r AS (SELECT user_id AS p, event_id AS id, ts AS moment, list_extract(['pending','in_review','approved','rejected','escalated'], CAST(event_id % 5 AS INT) + 1) AS target, list_extract(['auditor','operator','reviewer','admin'], CAST(event_id % 4 AS INT) + 1) AS role, list_extract([336, 168, 72, 24], CAST(user_id % 4 AS INT) + 1) AS hours FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY moment, id) AS n, min(moment) OVER (PARTITION BY p) + to_hours(hours) AS due, (SELECT max(moment) FROM r) - INTERVAL 3600500 MILLISECOND AS until FROM r),
+s(p, n, id, moment, due, until, was, target, reason, status) AS (
+  SELECT p, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS TIMESTAMP), due, until, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), 'pending' FROM o WHERE n = 1 AND moment <= until
+  UNION ALL
+  SELECT o.p, o.n, o.id, o.moment, o.due, o.until, s.status, o.target, c.reason, CASE WHEN c.reason IS NULL THEN o.target ELSE s.status END
+  FROM s JOIN o ON o.p = s.p AND o.n = s.n + 1 AND o.moment <= o.until,
+  LATERAL (SELECT CASE WHEN s.status = o.target THEN 'already there' WHEN NOT ((s.status = 'pending' AND o.target IN ('in_review','approved','rejected','escalated')) OR (s.status = 'in_review' AND o.target IN ('pending','approved','rejected','escalated')) OR (s.status = 'escalated' AND o.target IN ('in_review','approved','rejected')) OR (s.status IN ('approved','rejected') AND o.target = 'in_review')) THEN 'not allowed' WHEN s.status IN ('approved','rejected') AND o.role NOT IN ('reviewer','admin') THEN 'needs a reviewer' END AS reason) c),
+b AS (SELECT p, due, arg_max(status, n) AS status FROM s WHERE due <= until AND (n = 0 OR moment < due) GROUP BY 1, 2)
+SELECT p AS parcel_id, id, 'request' AS kind, was, target, reason, status AS review_status, strftime(moment, {T}) AS "at" FROM s WHERE n > 0
+UNION ALL SELECT p, NULL, 'breach', status, NULL, NULL, status, strftime(due, {T}) FROM b WHERE status IN ('pending','in_review','escalated')
+"""
+
+
+@query("st4_review_stream", _WF7)
+def st4(spark: SparkSession, d: str) -> DataFrame:
+    """The adjudication stream, drained."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    pick = lambda key, *values: F.get(F.array(*(F.lit(v) for v in values)), (F.col(key) % len(values)).cast("int"))
+    rows = e.select(F.col("user_id").alias("parcel_id"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("at"), pick("event_id", *STATUSES).alias("target"), F.lit("me").alias("actor"), pick("event_id", *ROLES).alias("role"), pick("user_id", "low", "normal", "high", "critical").alias("priority"))
+    out = _drained(review.reviewed(rows, "3600.5 seconds"), f"st4_{uuid.uuid4().hex}", "append")
+    return out.select("parcel_id", "id", "kind", "was", "target", "reason", "review_status", time_text("at").alias("at"))
+
+
+@query("st5_stream_dedup", "SELECT source, count(DISTINCT md5(coalesce(text, ''))) AS n FROM documents GROUP BY 1")
+def st5(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as a stream: one row of each content of a source."""
+    schema = spark.read.parquet(f"{d}/documents.parquet").schema
+    docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(d)
+    docs = docs.select("source", F.md5(F.concat_ws("|", F.coalesce("source", F.lit("")), F.md5(F.coalesce("text", F.lit(""))))).alias("sha256"), F.timestamp_seconds(1_700_000_000 + F.col("doc_id") % 1000).alias("ingested_at"))
+    out = _drained(audit.first_of_content(docs), f"st5_{uuid.uuid4().hex}", "append")
+    return out.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
