@@ -5,9 +5,10 @@
    not shuffled.  Anchors are counted with map-side combine.
 2. Runs of windows with one repeated anchor become fragments, of at most ``CHUNK`` windows, dealt
    out by anchor.  An equal fragment that the same task saw at an earlier place is a
-   repeat whole, and is not shuffled.  A ``hot`` anchor (more than ``hot`` places) would be a hot
-   key: its windows are counted by their own hashes, the repeated ones are fragments
-   of their own, dealt out by that hash, and copies from many tasks are merged by salt first.
+   repeat whole, and is not shuffled.  Anchors with more than ``hot`` fragments would be hot keys: their
+   equal fragments from all tasks are merged first, dealt out by fragment; where more than
+   ``hot`` different ones remain (the edges of a passage that many texts share), they are split into single
+   windows, and those that occur twice are dealt out by their own hash, merged by salt.
 3. Each bucket of fragments, some MB, gets a suffix array by two-stage sorting: only suffixes
    smaller than their successors are sorted directly; scanning the buckets of first bytes
    from the least on then induces all others in order.  Adjacent common prefixes of at
@@ -16,7 +17,7 @@
 
 Scale: a bucket of anchors holds at most ``hot`` fragments an anchor, whatever the input.  Bitmaps of repeated
 anchors, hot anchors and touched texts have 16 to 32 bits a key, at most ``MOST_BITS``
-(16 MB); with more than 8 million keys they let more windows and texts into the shuffle, with the same result.
+(8 MB); with more than 4 million keys they let more windows and texts into the shuffle, with the same result.
 Texts longer than ``PART`` bytes are read in overlapping parts.  The array compares bytes; hashes of 64 bits
 only choose buckets, but two fragments whose anchor and fragment hash are both equal (128 bits) are taken for equal.
 
@@ -35,23 +36,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import drop, in_bitmap, slots_bitmap, stored
+from .storage import drop, in_bitmap, keyed_in, slots_bitmap, stored
 from .words import _BYTE_POWERS, _VALUES, mix, string_bytes
 
 LENGTH, GRAM = 100, 32
 #: Windows in one fragment.
 CHUNK = 64
-#: Places from which an anchor is hot.
+#: Fragments from which an anchor is hot.
 HOT = 1024
-#: Parts in which equal fragments of hot anchors are merged first.
+#: Parts in which equal windows of hot anchors are merged first.
 SALTS = 256
-MOST_BITS = 1 << 27
+MOST_BITS = 1 << 26
 #: Bytes of text handled at once, bytes of fragments in one block of a task, and in one suffix array.
-PART, FLUSH, BUCKET = 1 << 20, 1 << 25, 1 << 22
+PART, FLUSH, BUCKET = 1 << 18, 1 << 22, 1 << 20
 LAST = (1 << 63) - 1
 
 OUT = "n_bytes long, n_removed long, removed array<struct<start:int,end:int>>, kept binary"
-_FRAGMENTS = "key long, kind long, hot boolean, doc long, row long, start int, n int, bytes binary"
+_FRAGMENTS = "key long, kind long, doc long, row long, start int, n int, bytes binary"
 _SPANS = "doc long, row long, lo int, hi int"
 _U = np.uint64
 
@@ -172,22 +173,6 @@ def _spread(starts: np.ndarray, n: np.ndarray, step: int) -> tuple[np.ndarray, n
     return starts[of] + nth * step, np.minimum(step, n[of] - nth * step), of
 
 
-def _hot_windows(rows: DataFrame, length: int, repeated, hot) -> DataFrame:
-    """``key, n``: places of the windows of hot anchors, by the windows' hashes."""
-
-    def count(batches):
-        def found():
-            for b in batches:
-                for p in _parts(b.column(0), length):
-                    at, n, anchors = _runs(p, repeated.value)
-                    own = in_bitmap(hot.value, anchors)
-                    yield p.hashes(_spread(at[own], n[own], 1)[0], length)
-
-        yield from _tally(found())
-
-    return _tallied(rows.select("text").mapInArrow(count, "key long, n long"))
-
-
 def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ranges of ``data`` one after the other, and their offsets."""
     offsets = np.concatenate([[0], np.cumsum(sizes)])
@@ -201,46 +186,44 @@ def _earliest(order: np.ndarray, same: np.ndarray, doc: np.ndarray, start: np.nd
     return first, (d > d[first]) | (s > s[first])
 
 
-def _fragments(rows: DataFrame, length: int, repeated, hot, hot_windows) -> DataFrame:
+def _collapsed(key, kind, doc, row, start, n, data, places, sizes) -> Iterator[pa.RecordBatch]:
+    """Fragments, whose bytes are ``sizes`` of ``data`` from ``places``: equal ones later than another become ranges without bytes."""
+    order = np.lexsort((row, start, doc, kind, key))
+    same = np.concatenate([[False], (key[order][1:] == key[order][:-1]) & (kind[order][1:] == kind[order][:-1])])
+    _, later = _earliest(order, same, doc, start)
+    again = same & ~later & np.concatenate([[False], row[order][1:] == row[order][:-1]])  # equal rows
+    gone = order[later]
+    if len(gone):  # neighbours in a text become one
+        g = gone[np.lexsort((start[gone], row[gone], doc[gone]))]
+        new = np.concatenate([[True], (doc[g][1:] != doc[g][:-1]) | (row[g][1:] != row[g][:-1]) | (start[g][1:] > start[g][:-1] + n[g][:-1])])
+        at = np.flatnonzero(new)
+        lo, hi = start[g][at], np.maximum.reduceat(start[g] + n[g], at)
+        zero = np.zeros(len(at), np.int64)
+        yield _batch(zero, zero, doc[g][at], row[g][at], lo, hi - lo, pa.nulls(len(at), pa.binary()))
+    keep = np.sort(order[~later & ~again])
+    yield _batch(key[keep].view(np.int64), kind[keep].view(np.int64), doc[keep], row[keep], start[keep], n[keep], _blobs(data, places[keep], sizes[keep]))
+
+
+def _fragments(rows: DataFrame, length: int, repeated) -> DataFrame:
     """Fragments of all candidate windows; those without bytes repeat an earlier one of the same task."""
 
     def cut(batches):
         some, size = [], 0
 
         def flush():
-            key, kind, is_hot, doc, row, start, n = (np.concatenate([x[k] for x in some]) for k in range(7))
-            data, offsets = np.concatenate([x[7] for x in some]), np.concatenate([[0], np.cumsum(n + length - 1)])
-            order = np.lexsort((row, start, doc, kind, key))
-            same = np.concatenate([[False], (key[order][1:] == key[order][:-1]) & (kind[order][1:] == kind[order][:-1])])
-            first, later = _earliest(order, same, doc, start)
-            again = same & ~later & np.concatenate([[False], row[order][1:] == row[order][:-1]])  # equal rows
-            gone = np.sort(order[later])
-            if len(gone):  # neighbours in a text become one
-                g = gone[np.lexsort((start[gone], row[gone], doc[gone]))]
-                new = np.concatenate([[True], (doc[g][1:] != doc[g][:-1]) | (row[g][1:] != row[g][:-1]) | (start[g][1:] > start[g][:-1] + n[g][:-1])])
-                at = np.flatnonzero(new)
-                lo, hi = start[g][at], np.maximum.reduceat(start[g] + n[g], at)
-                zero = np.zeros(len(at), np.int64)
-                yield _batch(zero, zero, zero.astype(bool), doc[g][at], row[g][at], lo, hi - lo, pa.nulls(len(at), pa.binary()))
-            keep = np.sort(order[~later & ~again])
-            sizes = np.diff(offsets)[keep]
-            out, to = _gather(data, offsets[keep], sizes)
-            yield _batch(key[keep].view(np.int64), kind[keep].view(np.int64), is_hot[keep], doc[keep], row[keep], start[keep], n[keep], pa.Array.from_buffers(pa.binary(), len(keep), [None, pa.py_buffer(to.astype(np.int32).tobytes()), pa.py_buffer(out.tobytes())]))
+            columns = [np.concatenate([x[k] for x in some]) for k in range(6)]
+            sizes = columns[5] + length - 1
+            return _collapsed(*columns, np.concatenate([x[6] for x in some]), np.cumsum(sizes) - sizes, sizes)
 
         for b in batches:
             docs, keys = b.column(1).to_numpy(), b.column(2).to_numpy()
             for p in _parts(b.column(0), length):
                 at, n, key = _runs(p, repeated.value)
-                warm = ~in_bitmap(hot.value, key)
-                w_at, w_n, of = _spread(at[warm], n[warm], CHUNK)
-                h_at, h_n, _ = _spread(at[~warm], n[~warm], 1)
-                h_key = p.hashes(h_at, length)
-                own = in_bitmap(hot_windows.value, h_key)
-                at, n, key = np.concatenate([w_at, h_at[own]]), np.concatenate([w_n, h_n[own]]), np.concatenate([key[warm][of], h_key[own]])
+                at, n, of = _spread(at, n, CHUNK)
                 if len(at):
                     text = np.searchsorted(p.bounds, at, "right") - 1
                     data, _ = _gather(p.data, at, n + length - 1)
-                    some.append((key, p.hashes(at, n + length - 1), np.arange(len(at)) >= len(w_at), docs[p.text[text]], keys[p.text[text]], at - p.bounds[text] + p.shift, n, data))
+                    some.append((key[of], p.hashes(at, n + length - 1), docs[p.text[text]], keys[p.text[text]], at - p.bounds[text] + p.shift, n, data))
                     size += len(data)
                     if size >= FLUSH:
                         yield from flush()
@@ -251,24 +234,75 @@ def _fragments(rows: DataFrame, length: int, repeated, hot, hot_windows) -> Data
     return rows.select("text", "doc", "row").mapInArrow(cut, _FRAGMENTS)
 
 
-def _batch(key, kind, hot, doc, row, start, n, blobs) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(kind), pa.array(hot), pa.array(doc), pa.array(row), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), blobs], ["key", "kind", "hot", "doc", "row", "start", "n", "bytes"])
+def _blobs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    out, to = _gather(data, starts, sizes)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(to.astype(np.int32).tobytes()), pa.py_buffer(out.tobytes())])
+
 
+def _batch(key, kind, doc, row, start, n, blobs) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(kind), pa.array(doc), pa.array(row), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), blobs], ["key", "kind", "doc", "row", "start", "n", "bytes"])
 
-def _merged(batches):
-    """Of sorted fragments, those later than an equal one lose their bytes; the first is carried from batch to batch."""
-    last = None
-    for b in batches:
-        key, kind, doc, start = (b.column(b.schema.get_field_index(x)).to_numpy() for x in ("key", "kind", "doc", "start"))
-        if last is not None:
-            key, kind, doc, start = (np.concatenate([[x], y]) for x, y in zip(last, (key, kind, doc, start), strict=True))
-        same = np.concatenate([[False], (key[1:] == key[:-1]) & (kind[1:] == kind[:-1])])
-        first, later = _earliest(np.arange(len(key)), same, doc, start)
-        skip = int(last is not None)
-        if len(key):
-            last = tuple(x[first[-1]] for x in (key, kind, doc, start))
-        blobs = b.column(b.num_columns - 1)
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.compute.if_else(pa.array(later[skip:]), pa.scalar(None, blobs.type), blobs)], names=b.schema.names)
+
+def _merged(fragments: DataFrame, *by: str) -> DataFrame:
+    """Equal fragments dealt out by ``by``: those later than another lose their bytes."""
+
+    def merge(batches):
+        last = None  # the first of the group that the last batch ended in
+        for b in batches:
+            key, kind, doc, start = (b.column(b.schema.get_field_index(x)).to_numpy() for x in ("key", "kind", "doc", "start"))
+            if last is not None:
+                key, kind, doc, start = (np.concatenate([[x], y]) for x, y in zip(last, (key, kind, doc, start), strict=True))
+            if len(key):
+                same = np.concatenate([[False], (key[1:] == key[:-1]) & (kind[1:] == kind[:-1])])
+                first, later = _earliest(np.arange(len(key)), same, doc, start)
+                skip = int(last is not None)
+                last = tuple(x[first[-1]] for x in (key, kind, doc, start))
+                blobs = b.column(b.num_columns - 1)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.compute.if_else(pa.array(later[skip:]), pa.scalar(None, blobs.type), blobs)], names=b.schema.names)
+
+    dealt = fragments.repartition(*by).sortWithinPartitions("key", "kind", "doc", "start", "row").select(*(x.split(" ")[0] for x in _FRAGMENTS.split(", ")))
+    return dealt.mapInArrow(merge, _FRAGMENTS)
+
+
+def _windows_of(b: pa.RecordBatch, length: int):
+    """The bytes of a batch of fragments, the places of all their windows, their fragments, and the windows' hashes."""
+    data, offsets = string_bytes(b.column(b.schema.get_field_index("bytes")))
+    n = b.column(b.schema.get_field_index("n")).to_numpy().astype(np.int64)
+    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    at, _, of = _spread(offsets[:-1], n, 1)
+    part = _Part(data, np.zeros(1, np.int64), offsets[[0, -1]], 0, length)
+    return data, at, of, at - offsets[of], part.hashes(at, length)
+
+
+def _split(fragments: DataFrame, often: DataFrame, length: int) -> DataFrame:
+    """Single windows of fragments, as fragments of their own dealt out by their hash; those that occur once are left out.
+
+    Some thousand fragments of an anchor (``often``: ``key, n``) meet first, so that their many equal windows leave them once.
+    """
+
+    def count(batches):
+        yield from _tally(_windows_of(b, length)[4] for b in batches if b.num_rows)
+
+    several = stored(_tallied(fragments.mapInArrow(count, "key long, n long")).filter("n > 1"), "hot-windows")
+    wanted = _bitmap(several.select("key"))
+    drop(several)
+
+    def split(batches):
+        for b in batches:
+            if b.num_rows:
+                data, at, of, nth, hashes = _windows_of(b, length)
+                own = in_bitmap(wanted.value, hashes)
+                at, of, nth, key = at[own], of[own], nth[own], hashes[own]
+                doc, row, start = (b.column(b.schema.get_field_index(x)).to_numpy()[of] for x in ("doc", "row", "start"))
+                one = np.ones(len(at), np.int64)
+                yield from _collapsed(key, key, doc, row, start + nth, one, data, at, one * length)
+
+    near = fragments.join(often.select(F.col("key").alias("o_key"), F.col("n").alias("o_n")), F.col("key") == F.col("o_key"), "left")
+    near = near.withColumn("salt", F.pmod(F.xxhash64("kind"), F.greatest(F.lit(1), F.expr("coalesce(o_n, 1) div 4096"))))
+    near = near.repartition("key", "salt").sortWithinPartitions("key").select(*fragments.columns)
+    ready = stored(near.mapInArrow(split, _FRAGMENTS), "split-windows")
+    salted = ready.filter("bytes is not null").withColumn("salt", F.pmod(F.xxhash64("doc", "row"), F.lit(SALTS)))
+    return _merged(salted, "key", "salt").unionByName(ready.filter("bytes is null"))
 
 
 def suffix_order(t: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
@@ -298,7 +332,7 @@ def suffix_order(t: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
         direct = np.concatenate([[n - 1], direct])
     padded = np.concatenate([t, np.zeros(depth, t.dtype)])
     rows = np.lib.stride_tricks.sliding_window_view(padded, depth)
-    order, step = [], 1 << 19
+    order, step = [], 1 << 17
     if len(direct) <= step:
         order = direct[np.argsort(np.ascontiguousarray(rows[direct]).view(f"S{depth}").ravel(), kind="stable")]
     else:  # by first bytes, so that few prefixes are copied at once
@@ -431,10 +465,13 @@ def _array_repeats(carriers: DataFrame, length: int) -> DataFrame:
     return dealt.repartition(max(8, buckets // 4), "bucket").sortWithinPartitions("bucket").mapInArrow(repeats, _SPANS)
 
 
+def _bits(n: int) -> int:
+    """Bits of a bitmap: 16 to 32 a key, MOST_BITS at most."""
+    return min(MOST_BITS, max(1 << 16, 1 << (16 * n).bit_length()))
+
+
 def _bitmap(keys: DataFrame):
-    """A broadcast bitmap of 16 to 32 bits a key, MOST_BITS at most."""
-    bits = min(MOST_BITS, max(1 << 16, 1 << (16 * keys.count()).bit_length()))
-    return keys.sparkSession.sparkContext.broadcast(slots_bitmap(keys, bits))
+    return keys.sparkSession.sparkContext.broadcast(slots_bitmap(keys, _bits(keys.count())))
 
 
 def _cut(column: pa.Array, spans: pa.Array, length: int) -> list[pa.Array]:
@@ -474,25 +511,25 @@ def dedup(docs: DataFrame, keep: Sequence[str] = ("doc_id",), id_col: str = "doc
     ids, text = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(text.alias("text"), ids.alias("doc"), F.xxhash64(text).alias("row"))
 
-    places = stored(_anchor_places(rows, length).filter("n > 1"), "anchors")
-    repeated, often = _bitmap(places.select("key")), places.filter(F.col("n") > hot)
-    hot_anchors, windows = _bitmap(often.select("key")), None
-    none = often.isEmpty()
-    if not none:
-        windows = stored(_hot_windows(rows, length, repeated, hot_anchors).filter("n > 1"), "hot-windows")
-    hot_windows = _bitmap((places.filter("false") if none else windows).select("key"))
-    fragments = stored(_fragments(rows, length, repeated, hot_anchors, hot_windows), "fragments")
-    drop(places, windows)
-    found, merged = fragments, None
-    if not none:
-        salted = fragments.filter("hot and bytes is not null").withColumn("salt", F.pmod(F.xxhash64("doc", "row"), F.lit(SALTS)))
-        salted = salted.repartition("key", "salt").sortWithinPartitions("key", "kind", "doc", "start", "row").drop("salt")
-        merged = stored(salted.mapInArrow(_merged, _FRAGMENTS), "hot-fragments")
-        found = fragments.filter("not hot or bytes is null").unionByName(merged)
+    places = stored(_anchor_places(rows, length).filter("n > 1").select("key"), "anchors")
+    fragments = stored(_fragments(rows, length, _bitmap(places)), "fragments")
+    drop(places)
+    ready, tables = fragments, [fragments]
+    for merge in (lambda df, often: _merged(df, "key", "kind"), lambda df, often: _split(df, often, length)):
+        often = stored(ready.filter("bytes is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot), "hot-anchors")
+        if often.isEmpty():
+            break
+        is_hot = keyed_in(often.select("key"), _bits(often.count()))(F.col("key"))
+        marked = ready.withColumn("hot", F.col("bytes").isNotNull() & is_hot)
+        merged = stored(merge(marked.filter("hot").drop("hot"), often), "hot-fragments")
+        ready = marked.filter("not hot").drop("hot").unionByName(merged)
+        tables.append(merged)
+        drop(often)
+    found = ready
     gone = found.filter("bytes is null").select("doc", "row", F.col("start").alias("lo"), (F.col("start") + F.col("n")).alias("hi"))
     spans = gone.unionByName(_array_repeats(found.filter("bytes is not null"), length))
     spans = stored(spans.groupBy(F.col("doc").alias("s_doc"), F.col("row").alias("s_row")).agg(F.collect_set(F.struct("lo", "hi")).alias("__spans")), "spans")
-    drop(fragments, merged)
+    drop(*tables)
     touched = _bitmap(spans.select(F.xxhash64("s_doc", "s_row")))
 
     whole = docs.select(*keep, F.xxhash64(ids, F.xxhash64(text)).alias("__touch"), ids.alias("__doc"), F.xxhash64(text).alias("__row"), text.alias("__text"))
