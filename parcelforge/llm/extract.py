@@ -51,6 +51,8 @@ ENDS_PARAGRAPH = frozenset("address article aside blockquote center details dial
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 BAD_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus discussion footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification outbrain pager pagination popup promo promotion recommend recommended related replies reply respond search share sharing sidebar signin signup skip social sponsor sponsored subscribe subscription taboola toolbar widget".split())
+#: Those of them that articles use for their own text too: they alone drop no prose inside an article.
+DOUBTFUL_WORDS = frozenset("discussion header login menu navigation notice notices notification related reply respond search share sharing social skip".split())
 GOOD_WORDS = frozenset("article body content entry main post story text".split())
 
 
@@ -65,7 +67,7 @@ class _Page:
     """Nodes in document order, and blocks of text that belong to them."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.certain, self.by_class = ["#root"], [-1], [False], [False]
+        self.tag, self.parent, self.certain, self.by_class, self.doubtful = ["#root"], [-1], [False], [False], [False]
         self.blocks: list[tuple[int, str, int, int]] = []  # owner, text, characters in links, links
         self._open, self._text, self._linked, self._links = [0], [], 0, 0
         self._places: dict[str, list[int]] = {}  # places in the stack of open elements, by tag
@@ -185,7 +187,7 @@ class _Page:
 
     def _node(self, tag: str, attrs: str) -> int:
         parent = self._open[-1]
-        certain, by_class = tag in DROPPED, False
+        certain, by_class, doubtful = tag in DROPPED, False, False
         if tag == "header" and not self._top(("article", "main")):
             certain = True
         if attrs and not certain and not attrs.isspace() and tag not in ("html", "body"):
@@ -195,11 +197,13 @@ class _Page:
             if "class" in a or "id" in a:
                 words = set(_WORD.findall(f"{a.get('class', '')} {a.get('id', '')}".lower()))
                 by_class = tag not in INLINE | HEADINGS | {"article", "main"} and bool(words & BAD_WORDS) and not words & GOOD_WORDS
+                doubtful = by_class and words & BAD_WORDS <= DOUBTFUL_WORDS
                 by_class = by_class or tag == "article" and bool(words & {"comment", "comments", "reply", "ad", "promo", "related"}) or bool(tag in INLINE and words & {"ad", "ads", "advert", "sponsored"})
         self.tag.append(tag)
         self.parent.append(parent)
         self.certain.append(certain)
         self.by_class.append(by_class)
+        self.doubtful.append(doubtful)
         return len(self.tag) - 1
 
 
@@ -228,11 +232,27 @@ def main_blocks(source: str) -> list[str]:
     return _chosen(page, True) or _chosen(page, False)
 
 
+def _prose(page: _Page) -> list[bool]:
+    """Elements of doubtful classes inside an article whose text is a paragraph or more, with few links."""
+    n = len(page.tag)
+    within, size, linked = [False] * n, [0] * n, [0] * n
+    for owner, text, in_links, _ in page.blocks:
+        size[owner] += len(text)
+        linked[owner] += in_links
+    for i in range(n - 1, 0, -1):
+        size[page.parent[i]] += size[i]
+        linked[page.parent[i]] += linked[i]
+    for i in range(1, n):
+        within[i] = within[page.parent[i]] or page.tag[i] in ("article", "main")
+    return [page.doubtful[i] and within[i] and size[i] >= 80 and linked[i] < 0.25 * size[i] for i in range(n)]
+
+
 def _chosen(page: _Page, classes: bool) -> list[str]:
     n, tag, parent = len(page.tag), page.tag, page.parent
+    prose = _prose(page) if classes and any(page.doubtful) else [False] * n
     gone = [False] * n
     for i in range(1, n):
-        gone[i] = gone[parent[i]] or page.certain[i] or (classes and page.by_class[i])
+        gone[i] = gone[parent[i]] or page.certain[i] or (classes and page.by_class[i] and not prose[i])
     blocks = [b for b in page.blocks if not gone[b[0]]]
     if not blocks:
         return []
@@ -266,6 +286,15 @@ def _chosen(page: _Page, classes: bool) -> list[str]:
     best = up if up > 0 else best
     bar = 0.2 * total[best]
     kept = [best]
+    titled = [0] * n  # characters in headings
+    for owner, text, _, _ in blocks:
+        if tag[owner] in HEADINGS:
+            titled[owner] += len(text)
+    for i in range(n - 1, 0, -1):
+        titled[parent[i]] += titled[i]
+    own_title = any(tag[i] == "h1" and size[i] for i in range(best, page.last[best] + 1))
+    if tag[best] == "article" and not own_title:  # its title may stand before it
+        kept += [i for i in children[parent[best]] if i < best and not gone[i] and size[i] and titled[i] == size[i] and linked[i] < 0.25 * size[i]]
     while best:
         up = parent[best]
         alone = tag[best] == "article"

@@ -71,3 +71,18 @@ def test_whole_pages(spark):
     got = {(r.page_id, r.n_chars): r.text for r in extract(df, keep=["page_id", "url", "n_chars"]).collect()}
     assert got[1, 5] == "" and got[2, 7] == "x" and got[2, 6].count("\n\n") == 4999
     assert extract(df.limit(0)).count() == 0
+
+
+def test_doubtful_classes_inside_an_article():
+    long = "Stock prices rose for the third day in a row, as investors judged the quarter's results, and banks led the gains."
+    blocks = lambda html: main_blocks(html)
+    assert blocks(f'<article><p class="share">{long}</p><p>{long}</p></article>') == [long, long]
+    assert blocks(f'<article><section id="notice"><p>Legal {long}</p></section><p>{long}</p></article>') == ["Legal " + long, long]
+    assert blocks(f'<article><p>{long}</p><div class="share">Share this</div><div class="cookie-notice">{long}</div><div class="related"><a href="x">{long}</a></div></article>') == [long]
+
+
+def test_a_title_before_its_article():
+    long = "Stock prices rose for the third day in a row, as investors judged the quarter's results, and banks led the gains."
+    assert main_blocks(f"<div><h1>Title</h1></div><article><p>{long}</p></article>") == ["Title", long]
+    assert main_blocks(f"<div><h1>Site</h1></div><article><h1>Own</h1><p>{long}</p></article>") == ["Own", long]
+    assert main_blocks(f'<div class="masthead"><h1>Site</h1></div><article><p>{long}</p></article>') == [long]
