@@ -1,4 +1,4 @@
-"""The bundle engine on literal cases, and its relational parts over the driver's tables."""
+"""Literal cases of the bundle engine for the tests, and its relational parts over the driver's tables."""
 
 from __future__ import annotations
 
@@ -88,60 +88,6 @@ def reports(spark: SparkSession) -> DataFrame:
     return bundle.validate(spark.createDataFrame(cases(), bundle.CASE))
 
 
-def _rows(rows) -> str:
-    return ", ".join("(" + ", ".join(repr(x) if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
-
-
-@query("sx17_outcomes", f"SELECT case_id, outcome, risk_level, CAST(risk_score AS DOUBLE) AS risk_score FROM (VALUES {_rows(EXPECTED)}) t(case_id, outcome, risk_level, risk_score)")
-def sx17(spark: SparkSession, d: str) -> DataFrame:
-    return reports(spark).select("case_id", "outcome", "risk_level", "risk_score")
-
-
-@query("sx_checks")
-def sx_checks(spark: SparkSession, d: str) -> DataFrame:
-    return reports(spark).select("case_id", F.posexplode("checks").alias("place", "c")).select("case_id", "place", "c.*")
-
-
-@query("sx16_timeline")
-def sx16(spark: SparkSession, d: str) -> DataFrame:
-    return bundle.ownership_events(reports(spark))
-
-
-@query("sx18_actions", f"SELECT case_id, CASE outcome WHEN 'validated' THEN 'accept_record' WHEN 'incomplete' THEN 'obtain_additional_documents' WHEN 'review_required' THEN 'human_review' ELSE 'refer_to_revenue_authority' END AS recommended_action FROM (VALUES {_rows((a, b) for a, b, _, _ in EXPECTED)}) t(case_id, outcome)")
-def sx18(spark: SparkSession, d: str) -> DataFrame:
-    return reports(spark).select("case_id", "recommended_action")
-
-
-@query("ag12_case_summary", f"SELECT count(*) AS total, count(CASE WHEN outcome <> 'validated' THEN 1 END) AS open FROM (VALUES {_rows((a, b) for a, b, _, _ in EXPECTED)}) t(case_id, outcome)")
-def ag12(spark: SparkSession, d: str) -> DataFrame:
-    return bundle.summary(reports(spark)).select("total", "open")
-
-
-@query("ag20_check_status_counts")
-def ag20(spark: SparkSession, d: str) -> DataFrame:
-    return bundle.status_counts(reports(spark))
-
-
-@query("rd6_history")
-def rd6(spark: SparkSession, d: str) -> DataFrame:
-    return bundle.history(bundle.ownership_events(reports(spark)), "key")
-
-
-_DIFF = _rows((c, 0, 0, 1) if c == "not_updated" else (c, 0, 0, 0) if c == "empty" else (c, 1, 1, 0) for c, *_ in EXPECTED)
-_HEIRS = _rows((c, {"sole_heir": 1, "approximate": 1, "chain": 0, "empty": 0}.get(c, 3)) for c, *_ in EXPECTED)
-
-
-@query("jn11_owner_diff", f"SELECT * FROM (VALUES {_DIFF}) t(case_id, departed, arrived, retained)")
-def jn11(spark: SparkSession, d: str) -> DataFrame:
-    rows = bundle.prepared(spark.createDataFrame(cases(), bundle.CASE))
-    return rows.select("case_id", F.size("__diff.gone").alias("departed"), F.size("__diff.left").alias("arrived"), F.size("__diff.kept").alias("retained"))
-
-
-@query("sx0b_heir_merge", f"SELECT * FROM (VALUES {_HEIRS}) t(case_id, heirs)")
-def sx0b(spark: SparkSession, d: str) -> DataFrame:
-    return reports(spark).select("case_id", F.size("heirs").alias("heirs"))
-
-
 @query("jn12_identifier_intersection", "SELECT a.l_orderkey AS left_key, count(*) AS shared FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_linestatus = 'O') a JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_linestatus = 'F') b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey = b.l_suppkey GROUP BY 1")
 def jn12(spark: SparkSession, d: str) -> DataFrame:
     t = spark.read.parquet(f"{d}/lineitem.parquet").filter("l_linestatus in ('O', 'F')")

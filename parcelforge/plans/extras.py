@@ -9,17 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import display, names, numerals
-from ..operators import bundle, reads, rules, triage
+from ..operators import reads, rules, triage
 from ..session import shared_folder
 from ..sources import exports, files
-from .bundles import EXPECTED, reports
 from .engine import records, shaped
 from .office import BAND, SCORE
 from .registry import Registry
 from .views import AS_OF, EVENTS, PARCELS, SUBS, as_of, parcels, review_events, sub_divisions
 
 query = Registry()
-_CASES = "(VALUES " + ", ".join(f"('{a}', '{b}', '{c}', CAST({d} AS DOUBLE))" for a, b, c, d in EXPECTED) + ") c(case_id, outcome, risk_level, risk_score)"
 
 
 @query("sc4_numeric_text", "SELECT event_id, concat('1,', user_id, '  ', user_id) AS raw, concat('1', user_id, ' ', user_id) AS out FROM events")
@@ -73,32 +71,6 @@ def sc47(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(1,), (3,), (20,), (70,), (0,)], "v int").select("v", display.nice_step(F.col("v").cast("double")).alias("step"))
 
 
-@query("fl8_case_filters", f"SELECT case_id, risk_score FROM {_CASES} WHERE outcome <> 'validated' AND risk_score >= 60 AND risk_level = 'critical'")
-def fl8(spark: SparkSession, d: str) -> DataFrame:
-    r = reports(spark)
-    return r.filter(bundle.case_filter(r.columns, open_only=True, min_risk=60, risk_level="critical")).select("case_id", "risk_score")
-
-
-@query("rd5_case_list", f"SELECT case_id, risk_score FROM {_CASES} ORDER BY risk_score DESC, case_id LIMIT 6")
-def rd5(spark: SparkSession, d: str) -> DataFrame:
-    return reads.page(reports(spark), "risk_score", limit=6, tie="case_id").select("case_id", "risk_score")
-
-
-@query("rd8_cases_of_a_parcel", f"SELECT case_id FROM {_CASES}")
-def rd8(spark: SparkSession, d: str) -> DataFrame:
-    return reports(spark).filter("parcel_key = 'key'").orderBy("case_id").select("case_id")
-
-
-@query("rd9_explain", f"SELECT case_id, risk_score AS points FROM {_CASES} WHERE risk_score > 0")
-def rd9(spark: SparkSession, d: str) -> DataFrame:
-    return bundle.explained(reports(spark)).groupBy("case_id").agg(F.least(F.lit(100.0), F.round(F.sum("points"), 2)).alias("points"))
-
-
-@query("rd15_check_order")
-def rd15(spark: SparkSession, d: str) -> DataFrame:
-    return bundle.sorted_checks(reports(spark)).select("case_id", "place", "rule", "status", "points")
-
-
 @query("rd19_top_reasons", f"WITH {PARCELS} SELECT id, CAST(least(3, greatest(1, CASE WHEN mismatch >= 15 THEN 1 ELSE 0 END + CASE WHEN severity IN ('critical','error') THEN 1 ELSE 0 END + CASE WHEN coalesce(confidence, CAST(0.5 AS DOUBLE)) < CAST(0.6 AS DOUBLE) THEN 1 ELSE 0 END + CASE WHEN issue_count >= 3 THEN 1 ELSE 0 END + CASE WHEN action IN ('reject_re_scan','field_verification') THEN 1 ELSE 0 END)) AS INT) AS n FROM parcels")
 def rd19(spark: SparkSession, d: str) -> DataFrame:
     return parcels(spark, d).select("id", F.size(triage.reasons()).alias("n"))
@@ -110,16 +82,6 @@ def rd21(spark: SparkSession, d: str) -> DataFrame:
     return t.select("conv_id", F.array_join("distinct", ",").alias("roles"))
 
 
-@query("sx21_summaries")
-def sx21(spark: SparkSession, d: str) -> DataFrame:
-    return bundle.summary_sentence(reports(spark))
-
-
-@query("sx22_checks_as_findings", f"SELECT case_id FROM {_CASES} WHERE outcome <> 'validated'")
-def sx22(spark: SparkSession, d: str) -> DataFrame:
-    return bundle.as_findings(reports(spark)).select("case_id").distinct()
-
-
 @query("jn8_orphan_serials", f"WITH {SUBS} SELECT parcel_id, number FROM sub_divisions WHERE number NOT IN (1, 2, 3)")
 def jn8(spark: SparkSession, d: str) -> DataFrame:
     known = spark.createDataFrame([(1,), (2,), (3,)], "serial int")

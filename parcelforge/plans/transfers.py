@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bundle, readers
+from ..operators import bundle, readers, reads
 from .registry import Registry
 from .views import table
 
@@ -125,6 +125,116 @@ def sx_register_reports(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("case_id", "risk_score", "risk_level", "outcome", "event_type", "death_verified", "heirs", "events", F.size("issues").alias("issues"))
 
 
+# What the office asks of the reports
+
+_LEVEL = "CASE WHEN risk >= 70 THEN 'critical' WHEN risk >= 40 THEN 'high' WHEN risk >= 15 THEN 'medium' ELSE 'low' END"
+_OUTCOME = "CASE worst WHEN 4 THEN 'inconsistent' WHEN 3 THEN 'review_required' WHEN 2 THEN 'incomplete' ELSE 'validated' END"
+_KIND = "CASE WHEN shots = 0 AND muts = 0 THEN 'insufficient_documents' WHEN NOT changed THEN 'no_transition_detected' WHEN linked THEN 'owner_death_succession' ELSE 'ownership_transition' END"
+_REPORTS = f"{_CHECKS}, r AS ({_RISK}), reports AS (SELECT k, CAST(k AS VARCHAR) AS case_id, risk, {_LEVEL} AS risk_level, {_OUTCOME} AS outcome, {_KIND} AS kind, linked, heirs FROM r JOIN f USING (k))"
+_DOMAIN = "(VALUES (0, 'not_applicable'), (1, 'pass'), (2, 'warning'), (3, 'review_required'), (4, 'fail')) v(ord, status)"
+_POINTS_OF = f"round(CASE rule_code {_POINTS} ELSE 20 END * CASE status WHEN 'fail' THEN CAST(1 AS DOUBLE) WHEN 'review_required' THEN CAST(0.85 AS DOUBLE) WHEN 'warning' THEN CAST(0.45 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END, 2)"
+
+
+def reports(spark: SparkSession, d: str) -> DataFrame:
+    return bundle.validate(cases(spark, d))
+
+
+@query("sx17_outcomes", f"WITH {_REPORTS} SELECT case_id, outcome, risk_level, risk AS risk_score FROM reports")
+def sx17(spark: SparkSession, d: str) -> DataFrame:
+    return reports(spark, d).select("case_id", "outcome", "risk_level", "risk_score")
+
+
+@query("sx18_actions", f"WITH {_REPORTS} SELECT case_id, CASE outcome WHEN 'validated' THEN 'accept_record' WHEN 'incomplete' THEN 'obtain_additional_documents' WHEN 'review_required' THEN 'human_review' ELSE 'refer_to_revenue_authority' END AS recommended_action FROM reports")
+def sx18(spark: SparkSession, d: str) -> DataFrame:
+    return reports(spark, d).select("case_id", "recommended_action")
+
+
+@query("ag12_case_summary", f"WITH {_REPORTS} SELECT count(*) AS total, count(CASE WHEN outcome <> 'validated' THEN 1 END) AS open, count(CASE WHEN linked THEN 1 END) AS deaths, round(CAST(sum(CAST(round(risk * 100) AS BIGINT)) AS DOUBLE) / 100 / count(*), 2) AS avg_risk FROM reports")
+def ag12(spark: SparkSession, d: str) -> DataFrame:
+    return bundle.summary(reports(spark, d))
+
+
+@query("ag20_check_status_counts", f"WITH {_CHECKS} SELECT CAST(v.ord AS INT) AS ord, v.status, count(c.k) AS n FROM {_DOMAIN} LEFT JOIN checks c ON c.status = v.status GROUP BY 1, 2")
+def ag20(spark: SparkSession, d: str) -> DataFrame:
+    return bundle.status_counts(reports(spark, d))
+
+
+@query("fl8_case_filters", f"WITH {_REPORTS} SELECT case_id, risk AS risk_score FROM reports WHERE outcome <> 'validated' AND risk >= 60 AND risk_level = 'critical'")
+def fl8(spark: SparkSession, d: str) -> DataFrame:
+    r = reports(spark, d)
+    return r.filter(bundle.case_filter(r.columns, open_only=True, min_risk=60, risk_level="critical")).select("case_id", "risk_score")
+
+
+@query("rd5_case_list", f"WITH {_REPORTS} SELECT case_id, risk AS risk_score FROM reports ORDER BY risk DESC, case_id LIMIT 50 OFFSET 100")
+def rd5(spark: SparkSession, d: str) -> DataFrame:
+    return reads.page(reports(spark, d), "risk_score", limit=50, offset=100, tie="case_id").select("case_id", "risk_score")
+
+
+@query("rd8_cases_of_a_parcel", f"WITH {_REPORTS} SELECT case_id, outcome FROM reports WHERE k % 50 = 7")
+def rd8(spark: SparkSession, d: str) -> DataFrame:
+    own = (F.col("case_id").cast("long") % 50).cast("string")
+    return bundle.validate(cases(spark, d).withColumn("parcel_key", own)).filter("parcel_key = '7'").select("case_id", "outcome")
+
+
+@query("rd9_explain", f"WITH {_CHECKS} SELECT CAST(k AS VARCHAR) AS case_id, rule, rule_code, status, {_POINTS_OF} AS points, count(*) AS n FROM checks WHERE status IN ('fail', 'review_required', 'warning') GROUP BY ALL")
+def rd9(spark: SparkSession, d: str) -> DataFrame:
+    return bundle.explained(reports(spark, d)).groupBy("case_id", "rule", "rule_code", "status", "points").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("rd15_check_order", f"WITH {_CHECKS}, p AS (SELECT k, rule, status, {_POINTS_OF} AS points FROM checks) SELECT CAST(k AS VARCHAR) AS case_id, CAST(row_number() OVER (PARTITION BY k ORDER BY CASE status WHEN 'fail' THEN 4 WHEN 'review_required' THEN 3 WHEN 'warning' THEN 2 WHEN 'pass' THEN 1 ELSE 0 END DESC, points DESC, rule) AS INT) AS place, rule, status, points FROM p")
+def rd15(spark: SparkSession, d: str) -> DataFrame:
+    return bundle.sorted_checks(reports(spark, d)).select("case_id", "place", "rule", "status", "points")
+
+
+@query("sx0b_heir_merge", f"WITH {_CHECKS} SELECT CAST(k AS VARCHAR) AS case_id, CAST(heirs AS INT) AS heirs FROM f")
+def sx0b(spark: SparkSession, d: str) -> DataFrame:
+    return reports(spark, d).select("case_id", F.size("heirs").alias("heirs"))
+
+
+@query("jn11_owner_diff", f"WITH {_CHECKS} SELECT CAST(f.k AS VARCHAR) AS case_id, CAST((SELECT count(*) FROM b WHERE b.k = f.k AND shots = 2 AND b.x NOT IN (SELECT a.x FROM a WHERE a.k = f.k)) AS INT) AS departed, CAST((SELECT count(*) FROM a WHERE a.k = f.k AND a.x NOT IN (SELECT b.x FROM b WHERE b.k = f.k)) AS INT) AS arrived, CAST((SELECT count(*) FROM a WHERE a.k = f.k AND a.x IN (SELECT b.x FROM b WHERE b.k = f.k)) AS INT) AS retained FROM f WHERE shots <> 1")
+def jn11(spark: SparkSession, d: str) -> DataFrame:
+    """Cases of two snapshots or none."""
+    rows = bundle.prepared(cases(spark, d).filter("size(snapshots) <> 1"))
+    return rows.select("case_id", F.size("__diff.gone").alias("departed"), F.size("__diff.left").alias("arrived"), F.size("__diff.kept").alias("retained"))
+
+
+_NAMED = "list_extract([" + ", ".join(f"'{n}'" for n in NAMES) + "], CAST({} AS INT) + 1)"
+
+
+@query("sx21_summaries", f"WITH {_REPORTS} SELECT case_id, CASE kind WHEN 'insufficient_documents' THEN 'There are too few documents to assess a transfer.' WHEN 'no_transition_detected' THEN 'The records show no change of ownership.' ELSE concat('Ownership changed.', CASE WHEN linked THEN ' A recorded owner has died.' ELSE '' END, CASE WHEN heirs > 1 THEN concat(' ', heirs, ' potential heirs are named.') WHEN heirs = 1 THEN concat(' One potential heir is named: ', {_NAMED.format('(SELECT min(h.x) FROM h WHERE h.k = reports.k)')}, '.') ELSE '' END, CASE outcome WHEN 'validated' THEN ' The documents account for the transfer.' WHEN 'inconsistent' THEN ' The documents contradict each other; the revenue authority must review them.' ELSE ' The documents do not establish the transfer; a review is required.' END) END AS summary FROM reports")
+def sx21(spark: SparkSession, d: str) -> DataFrame:
+    return bundle.summary_sentence(reports(spark, d))
+
+
+@query("sx22_checks_as_findings", f"WITH {_CHECKS} SELECT CAST(k AS VARCHAR) AS case_id, rule_code, CASE status WHEN 'fail' THEN 'error' ELSE 'warning' END AS severity, concat('$.succession.checks[', rule, ']') AS json_path, count(*) AS n FROM checks WHERE status IN ('fail', 'review_required', 'warning') GROUP BY ALL")
+def sx22(spark: SparkSession, d: str) -> DataFrame:
+    return bundle.as_findings(reports(spark, d)).groupBy("case_id", "rule_code", "severity", "json_path").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Events in the order of their sources, then by their dates; deeds have none
+_EVENTS = f"""
+ln AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_returnflag, l_linestatus) AS i FROM lineitem),
+ev AS (SELECT k, 0 AS part, 0 AS i, 'record_snapshot' AS event_type, DATE '1990-01-01' AS event_date, DATE '1990-01-01' AS anchor, NULL AS x FROM o WHERE shots > 0
+  UNION ALL SELECT k, 0, 1, 'record_snapshot', DATE '2000-01-01', DATE '2000-01-01', NULL FROM o WHERE shots = 2
+  UNION ALL SELECT k, 1, CASE WHEN seen = DATE '1996-06-01' THEN 1 ELSE 0 END, 'death', seen, seen, x FROM d
+  UNION ALL SELECT f.k, 2, 0, 'succession_claim', NULL, CASE WHEN f.k % 4 <> 3 THEN DATE '1995-06-01' END, CASE WHEN f.k % 4 = 2 THEN (c + 5) % 8 ELSE c END FROM f WHERE died AND heirs > 0
+  UNION ALL SELECT l_orderkey, 3, i, CASE l_suppkey % 3 WHEN 0 THEN 'relinquishment' WHEN 1 THEN 'other' ELSE 'court_order' END, NULL, NULL, NULL FROM ln WHERE l_returnflag = 'A' AND l_orderkey IN (SELECT k FROM o)
+  UNION ALL SELECT l_orderkey, 4, i, 'mutation', CASE WHEN l_partkey % 7 <> 0 THEN DATE '1994-01-01' + CAST(l_partkey % 1500 AS INT) END, CASE WHEN l_partkey % 7 <> 0 THEN DATE '1994-01-01' + CAST(l_partkey % 1500 AS INT) END, NULL FROM ln WHERE l_returnflag = 'R' AND l_orderkey IN (SELECT k FROM o)),
+events_ AS (SELECT CAST(k AS VARCHAR) AS case_id, k, CAST(row_number() OVER (PARTITION BY k ORDER BY coalesce(anchor, DATE '9999-12-31'), part, i) - 1 AS INT) AS sequence, event_type, CAST(event_date AS VARCHAR) AS event_date, event_date IS NOT NULL AS stated, {_NAMED.format('x')} AS person FROM ev)"""
+
+
+@query("sx16_timeline", f"WITH {_CHECKS}, {_EVENTS} SELECT case_id, sequence, event_type, event_date, stated, person FROM events_")
+def sx16(spark: SparkSession, d: str) -> DataFrame:
+    return bundle.ownership_events(reports(spark, d)).select("case_id", "sequence", "event_type", F.col("event_date").cast("string").alias("event_date"), "stated", "person")
+
+
+@query("rd6_history", f"WITH {_CHECKS}, {_EVENTS} SELECT case_id, sequence, event_type, event_date FROM events_ WHERE k % 50 = 7 ORDER BY event_date NULLS LAST, sequence, case_id LIMIT 200")
+def rd6(spark: SparkSession, d: str) -> DataFrame:
+    own = (F.col("case_id").cast("long") % 50).cast("string")
+    events = bundle.ownership_events(bundle.validate(cases(spark, d).withColumn("parcel_key", own)))
+    return bundle.history(events, "7").select("case_id", "sequence", "event_type", F.col("event_date").cast("string").alias("event_date"))
+
+
 _BUNDLE = """concat('{', CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN concat('"case_id":"', o_orderkey % 7, '",') ELSE concat('"case_id":"', o_orderkey, '","parcel_key":"p', o_orderkey % 5, '",') END, '"documents":[{"document_type":"RoR","as_of":"01/04/2015","land":{"khasra":" ', o_orderkey % 100, ' ","area":"', o_orderkey % 50, '","area_unit":"', CASE o_orderkey % 3 WHEN 0 THEN 'Hectare' WHEN 1 THEN 'are' ELSE 'bigha' END, '"},"owners":[{"name":"Owner ', o_custkey, '","share":"1/', 1 + o_orderkey % 4, '"},"Second"]},
 {"document_type":"new-jamabandi","revenue_year":"2019-20","owners":["Heir"]},{"document_type":"Death Certificate","deceased":"Owner ', o_custkey, '","date_of_death":"5 March 2020"},{"document_type":"Death Certificate","date_of_death":"5 March 2020"},
 {"document_type":"ferfar","number":"M', o_orderkey, '","status":"manjur","type":"varsa","order_date":"2021-02-01","entry_date":"', CASE WHEN o_orderkey % 2 = 0 THEN '01/01/2021' ELSE '01/03/2021' END, '","previous_owner":"Owner ', o_custkey, '","new_owners":["Heir",{"name":"  "}]},

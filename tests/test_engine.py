@@ -131,3 +131,13 @@ def test_assembly_puts_register_snapshots_first(spark):
     assert [s.label for s in r.snapshots] == ["register", "old", "new"] and list(r.document_ids) == ["d1", "d9"] and r.case_id == "base"
     alone = bundle.assembled(register.filter("false"), documents).first()
     assert [s.label for s in alone.snapshots] == ["old", "new"] and list(alone.document_ids) == ["d1", "d9"]
+
+
+def test_literal_cases_give_their_outcomes(spark):
+    rows = bundles.reports(spark).collect()
+    assert sorted((r.case_id, r.outcome, r.risk_level, r.risk_score) for r in rows) == sorted(bundles.EXPECTED)
+    assert {(r.outcome, r.recommended_action) for r in rows} <= set(bundle.ACTIONS.items())
+    diff = {r.case_id: (r.gone, r.left, r.kept) for r in bundle.prepared(spark.createDataFrame(bundles.cases(), bundle.CASE)).select("case_id", F.size("__diff.gone").alias("gone"), F.size("__diff.left").alias("left"), F.size("__diff.kept").alias("kept")).collect()}
+    assert diff["not_updated"] == (0, 0, 1) and diff["empty"] == (0, 0, 0) and diff["base"] == (1, 1, 0)
+    heirs = {r.case_id: len(r.heirs) for r in rows}
+    assert (heirs["base"], heirs["sole_heir"], heirs["chain"]) == (3, 1, 0)
