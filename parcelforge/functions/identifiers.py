@@ -10,17 +10,25 @@ from .numerals import ascii_digits
 PLACES = ("village", "tehsil", "district", "state")
 
 
+# Characters that part an identifier beside white space and the slash, and those that a place name does without
+JOINTS, MARKS = "-_\\.,", ".,-_/()[]'"
+_SPACE = r"[\s\p{Z}]+"
+
+
+def parts(text: Column, marks: str, also: str = "") -> Column:
+    """The text cut at white space and at any of ``marks``, without empty parts."""
+    spaced = F.translate(text, marks + also, " " * len(marks + also))
+    return F.filter(F.split(spaced, _SPACE), lambda x: x != "")
+
+
 def normalized(raw: Column) -> Column:
     """One separator, no leading zeros, lower case; blank is empty. Apply ``names.nfkc`` before for decomposed text."""
-    t = F.lower(F.trim(ascii_digits(F.coalesce(raw, F.lit("")))))
-    t = F.regexp_replace(F.regexp_replace(t, r"[\s\-_\\.,]+", "/"), r"/+", "/")
-    t = F.regexp_replace(t, r"^/+|/+$", "")
-    return F.regexp_replace(t, r"\b0+([0-9])", "$1")
+    own = parts(F.lower(ascii_digits(F.coalesce(raw, F.lit("")))), JOINTS, "/")
+    return F.array_join(F.transform(own, lambda x: F.regexp_replace(x, r"(?<![\p{L}\p{M}\p{N}_])0+(?=[0-9])", "")), "/")
 
 
 def place(raw: Column) -> Column:
-    t = F.regexp_replace(F.lower(F.trim(F.coalesce(raw, F.lit("")))), r"[.,\-_/()\[\]']+", " ")
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
+    return F.array_join(parts(F.lower(F.coalesce(raw, F.lit(""))), MARKS), " ")
 
 
 def compared(left: Column, right: Column, numeric: bool = True) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..enums import ROLES, STATUSES
 from ..functions import names
 from ..operators import docmap
-from ..sources import exports, files
+from ..sources import exports, files, replaced
 from ..session import shared_folder
 from ..streaming import audit, review
 from .registry import Registry
@@ -291,6 +291,21 @@ def io7(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("document", F.col("turn").alias("parcel"), F.length("text").cast("long").alias("n"))
 
 
+# Lines as the stored events of their orders; every third order is judged again and gets its larger lines only
+
+
+@query("sx26_replaced_rows", "SELECT l_orderkey AS case_id, l_partkey AS part, l_quantity AS n, CASE WHEN l_orderkey % 3 = 0 THEN 'again' ELSE 'first' END AS run FROM lineitem WHERE l_orderkey % 3 <> 0 OR l_quantity > 10")
+def sx26(spark: SparkSession, d: str) -> DataFrame:
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("case_id"), F.col("l_partkey").alias("part"), F.col("l_quantity").alias("n"))
+    at = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
+    first = lines.withColumn("run", F.lit("first"))
+    replaced.replace(first, first, at, "case_id")
+    again = lines.filter("case_id % 3 = 0")
+    for _ in range(2):  # the second time changes nothing
+        replaced.replace(again.filter("n > 10").withColumn("run", F.lit("again")), again, at, "case_id")
+    return replaced.read(spark, at)
+
+
 # Streams
 
 
