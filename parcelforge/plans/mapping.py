@@ -99,11 +99,6 @@ def dm3(spark: SparkSession, d: str) -> DataFrame:
     return docmap.reconcile(t).select("page", "seq", "engine", F.round("confidence", 4).alias("confidence"))
 
 
-@query("dm3_literal", "SELECT text, engine, CAST(c AS DOUBLE) AS confidence FROM (VALUES ('Survey', 'ensemble', 0.99), ('No', 'easy', 0.8), ('12S', 'ensemble', 0.6375), ('Ramesh', 'easy', 0.6), ('extra', 'tess', 0.9)) t(text, engine, c)")
-def dm3b(spark: SparkSession, d: str) -> DataFrame:
-    return docmap.reconcile(docmap.kept_tokens(tokens(spark))).select("text", "engine", "confidence")
-
-
 @query("rd20_lines", "SELECT * FROM (VALUES (0, 'Survey No 12S'), (1, 'Ramesh extra')) t(line, text)")
 def rd20(spark: SparkSession, d: str) -> DataFrame:
     return docmap.lines(docmap.reconcile(docmap.kept_tokens(tokens(spark)))).select("line", "text")

@@ -104,3 +104,10 @@ def test_pairs_in_rounds_equal_the_sequential_loop(spark):
     got = docmap.reconcile(spark.createDataFrame(rows, schema).repartition(4)).collect()
     assert sorted(map(tuple, got)) == sorted(want) and sum(x[7] == "ensemble" for x in want) > 50
     assert docmap.reconcile(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_literal_reads_of_two_engines(spark):
+    from parcelforge.plans.mapping import tokens
+
+    rows = docmap.reconcile(docmap.kept_tokens(tokens(spark))).select("text", "engine", "confidence").collect()
+    assert sorted(map(tuple, rows)) == sorted([("Survey", "ensemble", 0.99), ("No", "easy", 0.8), ("12S", "ensemble", 0.6375), ("Ramesh", "easy", 0.6), ("extra", "tess", 0.9)])
