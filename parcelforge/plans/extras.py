@@ -26,18 +26,22 @@ def sc4(spark: SparkSession, d: str) -> DataFrame:
     return t.select("event_id", "raw", numerals.numeric_text(F.col("raw")).alias("out"))
 
 
-@query("sc8_unit_words", "SELECT * FROM (VALUES (0, CAST(25 AS DOUBLE)), (1, CAST(2.5 AS DOUBLE)), (2, CAST(9.2903 AS DOUBLE)), (3, CAST(100 AS DOUBLE)), (4, CAST(8.3613 AS DOUBLE))) t(id, area)")
+@query("sc8_unit_words", "SELECT o_orderkey, round(CAST(o_custkey * CASE o_orderkey % 5 WHEN 2 THEN 0.09290304 WHEN 3 THEN 100 WHEN 4 THEN 0.83612736 ELSE 1 END AS DOUBLE), 1) AS area FROM orders")
 def sc8(spark: SparkSession, d: str) -> DataFrame:
     from ..functions import areas
 
-    t = spark.createDataFrame([(0, "25 Sq. Mtrs"), (1, "2.5 चौ.मी."), (2, "100 sq. ft"), (3, "1 आर"), (4, "10 Sq.Yds")], "id int, raw string")
-    return t.select("id", areas.parse(F.col("raw"))["sq_metre"].cast("double").alias("area"))
+    word = F.get(F.array(*(F.lit(w) for w in (" Sq. Mtrs", " चौ.मी.", " sq. ft", " आर", " Sq.Yds"))), (F.col("o_orderkey") % 5).cast("int"))
+    t = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.concat(F.col("o_custkey").cast("string"), word).alias("raw"))
+    return t.select("o_orderkey", F.round(areas.parse(F.col("raw"))["sq_metre"].cast("double"), 1).alias("area"))
 
 
-@query("sc29_token_similarity", "SELECT * FROM (VALUES (0, CAST(1 AS DOUBLE)), (1, CAST(0.92 AS DOUBLE)), (2, CAST(0.8433 AS DOUBLE)), (3, CAST(0 AS DOUBLE))) t(id, score)")
+@query("sc29_token_similarity", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN CAST(1 AS DOUBLE) WHEN 1 THEN CAST(0.92 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS score FROM part")
 def sc29(spark: SparkSession, d: str) -> DataFrame:
-    t = spark.createDataFrame([(0, "sharma ramesh", "ramesh sharma"), (1, "karthikeyan r", "karthikeyan ramasamy"), (2, "a b c", "a b"), (3, "", "x")], "id int, a string, b string")
-    return t.select("id", names.folded_similarity("a", "b").alias("score"))
+    """Words in another order, an initial for the second word, and nothing."""
+    a, b, k = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2)), F.col("p_partkey") % 3
+    other = F.when(k == 0, F.concat(b, F.lit(" "), a)).when(k == 1, F.concat(a, F.lit(" "), F.left(b, F.lit(1)))).otherwise("")
+    t = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.concat(a, F.lit(" "), b).alias("a"), other.alias("b"))
+    return t.select("p_partkey", names.folded_similarity("a", "b").alias("score"))
 
 
 @query("sc37_display_key", "SELECT o_orderkey, concat('Khasra ', o_orderkey, ' · ', o_orderpriority) AS key FROM orders")
@@ -52,13 +56,10 @@ def sc44(spark: SparkSession, d: str) -> DataFrame:
     return t.select("code", display.rule_group(F.col("code")).alias("family"))
 
 
-@query("sc45_formatters", "SELECT * FROM (VALUES ('1,23,456', '12%', '1.5 KB', 'in 3 days', 'Mutation date in future', 'RS', '1.2000 ha', '55.5 m²')) t(count, percent, size, due, title, initials, area, small)")
+@query("sc45_formatters", "WITH t AS (SELECT p_partkey, CAST(100000 + p_partkey % 900000 AS VARCHAR) AS n, p_partkey % 100 AS c, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part) SELECT p_partkey, concat(left(n, 1), ',', substr(n, 2, 2), ',', right(n, 3)) AS count, concat(c, '%') AS percent, upper(concat(left(a, 1), left(b, 1))) AS initials FROM t")
 def sc45(spark: SparkSession, d: str) -> DataFrame:
-    now = as_of()
-    return spark.range(1).select(
-        display.indian_count(F.lit(123456)).alias("count"), display.percent(F.lit(0.123)).alias("percent"), display.file_size(F.lit(1536)).alias("size"), display.relative(now + F.expr("INTERVAL 3 DAYS"), now).alias("due"),
-        display.rule_title(F.lit("MUTATION_DATE_IN_FUTURE")).alias("title"), display.initials(F.lit("ramesh  sharma k")).alias("initials"), display.area(F.lit(12000.0)).alias("area"), display.area(F.lit(55.5)).alias("small"),
-    )
+    k = F.col("p_partkey")
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", display.indian_count(100000 + k % 900000).alias("count"), display.percent((k % 100) / F.lit(100.0)).alias("percent"), display.initials(F.replace("p_name", F.lit(" "), F.lit("  "))).alias("initials"))
 
 
 @query("sc46_map_colours", f"WITH {PARCELS} SELECT CASE WHEN mismatch IS NULL THEN 'muted' WHEN mismatch < 5 THEN 'good' WHEN mismatch < 50 THEN 'warning' ELSE 'critical' END AS colour, count(*) AS n FROM parcels GROUP BY 1")
@@ -66,9 +67,10 @@ def sc46(spark: SparkSession, d: str) -> DataFrame:
     return parcels(spark, d).groupBy(display.map_colour(F.col("mismatch")).alias("colour")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("sc47_axis_steps", "SELECT * FROM (VALUES (1, CAST(1 AS DOUBLE)), (3, CAST(5 AS DOUBLE)), (20, CAST(20 AS DOUBLE)), (70, CAST(100 AS DOUBLE)), (0, CAST(1 AS DOUBLE))) t(v, step)")
+@query("sc47_axis_steps", "SELECT l_quantity AS v, CASE WHEN l_quantity <= 1 THEN CAST(1 AS DOUBLE) WHEN l_quantity <= 2 THEN CAST(2 AS DOUBLE) WHEN l_quantity <= 5 THEN CAST(5 AS DOUBLE) WHEN l_quantity <= 10 THEN CAST(10 AS DOUBLE) WHEN l_quantity <= 20 THEN CAST(20 AS DOUBLE) ELSE CAST(50 AS DOUBLE) END AS step, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def sc47(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(1,), (3,), (20,), (70,), (0,)], "v int").select("v", display.nice_step(F.col("v").cast("double")).alias("step"))
+    t = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_quantity").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    return t.select("v", display.nice_step(F.col("v").cast("double")).alias("step"), "n")
 
 
 @query("rd19_top_reasons", f"WITH {PARCELS} SELECT id, CAST(least(3, greatest(1, CASE WHEN mismatch >= 15 THEN 1 ELSE 0 END + CASE WHEN severity IN ('critical','error') THEN 1 ELSE 0 END + CASE WHEN coalesce(confidence, CAST(0.5 AS DOUBLE)) < CAST(0.6 AS DOUBLE) THEN 1 ELSE 0 END + CASE WHEN issue_count >= 3 THEN 1 ELSE 0 END + CASE WHEN action IN ('reject_re_scan','field_verification') THEN 1 ELSE 0 END)) AS INT) AS n FROM parcels")

@@ -56,9 +56,10 @@ def tokens(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TOKENS, docmap.TOKEN)
 
 
-@query("dm1_token_filter", "SELECT * FROM (VALUES ('easy', 4), ('tess', 3)) t(engine, n)")
+@query("dm1_token_filter", "SELECT l_linestatus AS engine, count(*) AS n FROM lineitem WHERE l_discount >= 0.03 AND l_returnflag <> 'N' GROUP BY 1".replace("0.03", "CAST(0.03 AS DOUBLE)"))
 def dm1(spark: SparkSession, d: str) -> DataFrame:
-    return docmap.kept_tokens(tokens(spark)).groupBy("engine").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    t = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_linestatus").alias("engine"), F.col("l_discount").alias("confidence"), F.when(F.col("l_returnflag") == "N", "  ").otherwise(F.col("l_returnflag")).alias("text"))
+    return docmap.kept_tokens(t, 0.03).groupBy("engine").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("dm2_engine_status", "SELECT user_id AS page, count(*) AS engines, count(CASE WHEN value <= 50 THEN 1 END) AS failed, CASE WHEN count(*) = count(CASE WHEN value <= 50 THEN 1 END) THEN 'failed' WHEN count(CASE WHEN value <= 50 THEN 1 END) > 0 THEN 'degraded' ELSE 'whole' END AS status FROM events GROUP BY 1")
@@ -111,9 +112,11 @@ def sc41(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", b["x0"].alias("x0"))
 
 
-@query("sc42_markdown", "SELECT 'p' AS page, concat('| a | b |', chr(10), '| --- | --- |', chr(10), '| 1 | x\\|y |') AS \"table\"")
+@query("sc42_markdown", "WITH t AS (SELECT o_custkey AS page, list(concat('| ', o_orderkey, ' | ', o_orderstatus, '\\|', o_orderpriority, ' |') ORDER BY o_orderkey) AS l FROM orders GROUP BY 1) SELECT page, array_to_string(list_concat([l[1], '| --- | --- |'], l[2:]), chr(10)) AS \"table\" FROM t")
 def sc42(spark: SparkSession, d: str) -> DataFrame:
-    return docmap.markdown(spark.createDataFrame([("p", 0, 0, "a"), ("p", 0, 1, "b"), ("p", 1, 0, "1"), ("p", 1, 1, "x|y")], "page string, row int, col int, text string"))
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    texts = F.array(F.col("o_orderkey").cast("string"), F.concat("o_orderstatus", F.lit("|"), "o_orderpriority"))
+    return docmap.markdown(o.select(F.col("o_custkey").alias("page"), F.col("o_orderkey").alias("row"), F.posexplode(texts).alias("col", "text")))
 
 
 # Lines of the documents' texts; told is the start of one of a document's lines, with its letters or spoiled beyond recognition
@@ -187,11 +190,14 @@ def sx23(spark: SparkSession, d: str) -> DataFrame:
     return t.select("raw", "kind", docmap.route(F.col("kind")).alias("part"))
 
 
-@query("sx25_labelled_text", "SELECT * FROM (VALUES (0, 'Ramesh Sharma', '01/05/2021', 0, CAST(1 AS DOUBLE)), (1, 'Ramesh', NULL, 2, CAST(1 AS DOUBLE)), (2, NULL, NULL, 0, CAST(0 AS DOUBLE))) t(id, name, died, heirs, confidence)")
+@query("sx25_labelled_text", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 3 THEN concat('Owner ', o_custkey) END AS name, CASE WHEN o_orderkey % 4 = 0 THEN strftime(o_orderdate, '%d/%m/%Y') END AS died, CAST(CASE WHEN o_orderkey % 4 IN (1, 2) THEN o_orderkey % 4 ELSE 0 END AS INT) AS heirs FROM orders")
 def sx25(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(0, "death_certificate", "GOVT\nName of the Deceased : Ramesh Sharma\nDate of Death: 01/05/2021\nName: other"), (1, "legal_heir_certificate", "Name: Ramesh\nWife : Sita\nSon 1: Amit"), (2, "death_certificate", "nothing here")]
-    t = spark.createDataFrame(rows, "id int, kind string, text string").withColumn("f", docmap.labelled_fields(F.col("text")))
-    return t.select("id", F.try_element_at("f.fields", F.lit("name")).alias("name"), F.try_element_at("f.fields", F.lit("date_of_death")).alias("died"), F.size("f.heirs").alias("heirs"), docmap.text_confidence(F.col("f"), F.col("kind")).cast("double").alias("confidence"))
+    k, owner = F.col("o_orderkey") % 4, F.concat(F.lit("Owner "), F.col("o_custkey").cast("string"))
+    dead = F.concat(F.lit("GOVT\nName of the Deceased : "), owner, F.lit("\nDate of Death: "), F.date_format("o_orderdate", "dd/MM/yyyy"))
+    heirs = F.concat(F.lit("Name: "), owner, F.lit("\nWife : Sita"), F.when(k == 2, "\nSon 1: Amit").otherwise(""))
+    text = F.when(k == 0, dead).when(k < 3, heirs).otherwise("nothing here")
+    t = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", text.alias("text")).withColumn("f", docmap.labelled_fields(F.col("text")))
+    return t.select("o_orderkey", F.try_element_at("f.fields", F.lit("name")).alias("name"), F.try_element_at("f.fields", F.lit("date_of_death")).alias("died"), F.size("f.heirs").alias("heirs"))
 
 
 @query("sc38_read_path", "SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(NULL AS VARCHAR) AS missing FROM events")
@@ -199,11 +205,13 @@ def sc38(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", docmap.read_path(F.col("props"), "$.k").alias("k"), docmap.read_path(F.col("props"), "$.x[3].y").alias("missing"))
 
 
-@query("sc39_write_path", "SELECT * FROM (VALUES (0, '9'), (1, NULL), (2, '5'), (3, NULL)) t(id, value)")
+@query("sc39_write_path", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 IN (0, 2) THEN CAST(o_custkey AS VARCHAR) END AS value FROM orders")
 def sc39(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(0, '{"a": [{"b": 1}]}', "$.a[0].b", "9", "$.a[0].b"), (1, '{"a": []}', "$.a[0].b", "9", "$.a[0].b"), (2, "{}", "$.n", "5", "$.n"), (3, "broken", "$.n", "5", "$.n")]
-    t = spark.createDataFrame(rows, "id int, json string, path string, value string, back string").withColumn("j", docmap.write_path("json", "path", "value"))
-    return t.select("id", F.coalesce(F.get_json_object("j", "$.a[0].b"), F.get_json_object("j", "$.n")).alias("value"))
+    k = F.col("o_orderkey") % 4
+    json_ = F.when(k == 0, F.concat(F.lit('{"a": [{"b": '), F.col("o_orderkey").cast("string"), F.lit("}]}"))).when(k == 1, '{"a": []}').when(k == 2, "{}").otherwise("broken")
+    t = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", json_.alias("json"), F.when(k < 2, "$.a[0].b").otherwise("$.n").alias("path"), F.col("o_custkey").cast("string").alias("value"))
+    t = t.withColumn("j", docmap.write_path("json", "path", "value"))
+    return t.select("o_orderkey", F.coalesce(F.get_json_object("j", "$.a[0].b"), F.get_json_object("j", "$.n")).alias("value"))
 
 
 @query("sc40_drop_computed", "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events")
@@ -227,10 +235,12 @@ def io2(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.regexp_extract("path", r"\.([a-z]+)$", 1).alias("kind"), (F.length("sha256") == 64).alias("hashed"))
 
 
-@query("io9_rekey_provenance", "SELECT * FROM (VALUES ('$.owners[0]', 'x')) t(path, value)")
+@query("io9_rekey_provenance", "SELECT o_orderkey, '$.n' AS path, o_orderpriority AS value FROM orders UNION ALL SELECT o_orderkey, concat('$.owners[', o_orderkey % 5, ']'), o_orderstatus FROM orders WHERE o_orderkey % 3 = 1")
 def io9(spark: SparkSession, d: str) -> DataFrame:
-    t = spark.range(1).select(F.create_map(F.lit("$.parcels[1].owners[0]"), F.lit("x"), F.lit("$.parcels[0].a"), F.lit("y")).alias("p"))
-    return t.select(F.explode(files.rekeyed(F.col("p"), 1)).alias("path", "value"))
+    k = F.col("o_orderkey")
+    own = F.concat(F.lit("$.parcels["), (k % 3).cast("string"), F.lit("].owners["), (k % 5).cast("string"), F.lit("]"))
+    t = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.create_map(own, F.col("o_orderstatus"), F.lit("$.parcels[1].n"), F.col("o_orderpriority")).alias("p"))
+    return t.select("o_orderkey", F.explode(files.rekeyed(F.col("p"), 1)).alias("path", "value"))
 
 
 @query("io12_parcel_csv", f"WITH {PARCELS} SELECT id, state, district, village, khata_number, survey_number, CAST(area AS DOUBLE) AS area_sq_metre, confidence, review_status FROM parcels WHERE state = 'ASIA' AND {'review_status IN'} ('pending','in_review','escalated') ORDER BY district NULLS FIRST, village, id LIMIT 500")
@@ -252,10 +262,11 @@ def io14(spark: SparkSession, d: str) -> DataFrame:
     return exports.artifact_json(spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id"))
 
 
-@query("io16_share_text", "SELECT * FROM (VALUES (0, '1/3'), (1, 'equal'), (2, NULL)) t(id, out)")
+@query("io16_share_text", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN concat(1 + o_orderkey % 5, '/', 6 + o_custkey % 9) WHEN 1 THEN o_orderpriority END AS out FROM orders")
 def io16(spark: SparkSession, d: str) -> DataFrame:
-    t = spark.createDataFrame([(0, (1, 3), "x"), (1, None, "equal"), (2, None, None)], "id int, s struct<num:bigint,den:bigint>, raw string")
-    return t.select("id", exports.share_text(F.col("s"), F.col("raw")).alias("out"))
+    k = F.col("o_orderkey")
+    share = F.when(k % 3 == 0, F.struct((1 + k % 5).alias("num"), (6 + F.col("o_custkey") % 9).alias("den")))
+    return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", exports.share_text(share, F.when(k % 3 == 1, F.col("o_orderpriority"))).alias("out"))
 
 
 @query("io17_geojson", f"WITH {PARCELS}, m AS (SELECT * FROM parcels) SELECT CAST(least(count(CASE WHEN has_geometry THEN 1 END), 100) AS INT) AS returned, count(*) AS total_matching FROM m")
