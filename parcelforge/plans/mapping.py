@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..enums import ROLES, STATUSES
 from ..functions import names
 from ..operators import docmap
-from ..sources import exports, files, replaced
+from ..sources import exports, files, pages, replaced
 from ..session import shared_folder
 from ..streaming import audit, review
 from .registry import Registry
@@ -312,6 +312,20 @@ def sx26(spark: SparkSession, d: str) -> DataFrame:
     return replaced.read(spark, at)
 
 
+# Each order's lines as the pages of a TIFF: a directory a line; every seventh file is cut short
+
+
+@query("io2_page_counts", "SELECT o_orderkey, 'image/tiff' AS media_type, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(1 + o_custkey % 9 AS INT) END AS page_count, o_orderkey % 7 = 0 AS failed FROM orders")
+def io2b(spark: SparkSession, d: str) -> DataFrame:
+    number = lambda n, width: F.unhex(F.concat(*(F.lpad(F.hex(F.shiftright(n.cast("int"), 8 * k).bitwiseAND(255)), 2, "0") for k in range(width))))
+    n = 1 + F.col("o_custkey") % 9
+    directories = F.transform(F.sequence(F.lit(1).cast("long"), n), lambda k: F.concat(number(F.lit(0), 2), number(F.when(k < n, 8 + 6 * k).otherwise(0), 4)))
+    content = F.concat(F.unhex(F.lit("49492A00")), number(F.lit(8), 4), F.unhex(F.array_join(F.transform(directories, lambda x: F.hex(x)), "")))
+    content = F.when(F.col("o_orderkey") % 7 == 0, F.substring(content, F.lit(1), F.length(content) - 3)).otherwise(content)
+    rows = pages.counted(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", content.alias("content")))
+    return rows.select("o_orderkey", "media_type", "page_count", F.col("error").isNotNull().alias("failed"))
+
+
 # Streams
 
 
