@@ -150,38 +150,47 @@ def _wire(spark: SparkSession) -> DataFrame:
     return docmap.read_wire(spark.createDataFrame(WIRES, "document string, json string"))
 
 
-@query("dm6_wire_parcels", "SELECT * FROM (VALUES ('good', 0, '125/2', CAST(12000 AS DOUBLE)), ('good', 1, '7', CAST(8005 AS DOUBLE))) t(document, parcel, survey, area)")
+# Wire JSON of an order each: an area, three owners, one mutation, one charge; every tenth is broken
+_WIRE = """concat('{"detected_record_format":"satbara_7_12","parcels":[{"survey_number":"S', o_orderkey, '","total_area":{"raw_text":"', o_orderkey % 9, '-', o_orderkey % 90, '-', o_custkey % 70, '"},"owners":[{"serial_number":"1","name":{"raw_name":"Owner ', o_custkey, '","relation_raw":"s/o"},"tenure_raw":"malik","share":{"raw_text":"1/', 2 + o_orderkey % 3, '"}},{"serial_number":"2","name":{"raw_name":" "}},{"serial_number":"3","name":{"raw_name":"Sita"},"tenure_raw":"qqqq","share":{"raw_text":"समान"}}],"mutations":[{"mutation_number":"', o_orderkey, '","type_raw":"varsa","status_raw":"manjur","entry_date_raw":"01/02/2020","order_date_raw":"01/0', 1 + o_orderkey % 2 * 2, '/2020"}],"encumbrances":[{"type_raw":"gahan","status_raw":"chalu"', IF(o_orderkey % 2 = 1, ',"discharged_on_raw":"1/1/2021"', ''), '}]}],"field_confidences":[{"field_path":"$.parcels[0].owners[0]","confidence":0.', 1 + o_orderkey % 9, '}]}')"""
+
+
+def wires(spark: SparkSession, d: str) -> DataFrame:
+    text = F.when(F.col("o_orderkey") % 10 == 3, F.concat(F.lit("{not json "), F.col("o_orderkey").cast("string"))).otherwise(F.expr(_WIRE))
+    return docmap.read_wire(spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("document"), text.alias("json")))
+
+
+@query("dm6_wire_parcels", "SELECT CAST(o_orderkey AS VARCHAR) AS document, 0 AS parcel, concat('S', o_orderkey) AS survey, CAST(o_orderkey % 9 * 10000 + o_orderkey % 90 * 100 + o_custkey % 70 AS DOUBLE) AS area FROM orders WHERE o_orderkey % 10 <> 3")
 def dm6(spark: SparkSession, d: str) -> DataFrame:
-    p = docmap.parcels(_wire(spark))
+    p = docmap.parcels(wires(spark, d))
     return p.select("document", "parcel", F.col("p.survey_number").alias("survey"), docmap.wire_area(F.col("p.total_area"), F.col("system"))["sq_metre"].cast("double").alias("area"))
 
 
-@query("io10_batch_isolation", "SELECT * FROM (VALUES ('bad', 'not readable')) t(document, reason)")
+@query("io10_batch_isolation", "SELECT CAST(o_orderkey AS VARCHAR) AS document, 'not readable' AS reason FROM orders WHERE o_orderkey % 10 = 3")
 def io10(spark: SparkSession, d: str) -> DataFrame:
-    _, failed = files.split_batch(_wire(spark), F.col("corrupt"), F.lit("not readable"))
+    _, failed = files.split_batch(wires(spark, d), F.col("corrupt"), F.lit("not readable"))
     return failed.select("document", "reason")
 
 
-@query("dm7_owners", "SELECT * FROM (VALUES (0, 'son_of', 'owner', CAST(1 AS BIGINT), CAST(3 AS BIGINT), NULL, true), (1, 'unknown', 'unknown', NULL, NULL, 'no name', false), (2, 'unknown', 'unknown', NULL, NULL, 'unresolved tenure', true)) t(i, relation, tenure, num, den, warning, kept)")
+@query("dm7_owners", "SELECT CAST(o_orderkey AS VARCHAR) AS document, i, CASE i WHEN 0 THEN 'son_of' ELSE 'unknown' END AS relation, CASE i WHEN 0 THEN 'owner' ELSE 'unknown' END AS tenure, CASE i WHEN 0 THEN CAST(1 AS BIGINT) END AS num, CASE i WHEN 0 THEN CAST(2 + o_orderkey % 3 AS BIGINT) END AS den, CASE i WHEN 1 THEN 'no name' WHEN 2 THEN 'unresolved tenure' END AS warning, i <> 1 AS kept FROM orders, (VALUES (0), (1), (2)) v(i) WHERE o_orderkey % 10 <> 3")
 def dm7(spark: SparkSession, d: str) -> DataFrame:
-    return docmap.owners(docmap.parcels(_wire(spark))).select("i", "relation", "tenure", "share.num", "share.den", "warning", "kept")
+    return docmap.owners(docmap.parcels(wires(spark, d))).select("document", "i", "relation", "tenure", "share.num", "share.den", "warning", "kept")
 
 
-@query("dm7_mutations", "SELECT * FROM (VALUES ('1', 'inheritance', 'sanctioned', 'order before entry', false), ('2', 'sale', 'pending', NULL, true)) t(number, mutation_type, status, warning, kept)")
+@query("dm7_mutations", "SELECT CAST(o_orderkey AS VARCHAR) AS number, 'inheritance' AS mutation_type, 'sanctioned' AS status, CASE WHEN o_orderkey % 2 = 0 THEN 'order before entry' END AS warning, o_orderkey % 2 = 1 AS kept FROM orders WHERE o_orderkey % 10 <> 3")
 def dm7b(spark: SparkSession, d: str) -> DataFrame:
-    return docmap.mutations(docmap.parcels(_wire(spark))).select("number", "mutation_type", "status", "warning", "kept")
+    return docmap.mutations(docmap.parcels(wires(spark, d))).select("number", "mutation_type", "status", "warning", "kept")
 
 
-@query("dm7_encumbrances", "SELECT * FROM (VALUES (0, 'mortgage', 'discharged'), (1, 'bank_charge', 'active')) t(i, encumbrance_type, status)")
+@query("dm7_encumbrances", "SELECT CAST(o_orderkey AS VARCHAR) AS document, 0 AS i, 'mortgage' AS encumbrance_type, CASE WHEN o_orderkey % 2 = 1 THEN 'discharged' ELSE 'active' END AS status FROM orders WHERE o_orderkey % 10 <> 3")
 def dm7c(spark: SparkSession, d: str) -> DataFrame:
-    return docmap.encumbrances(docmap.parcels(_wire(spark))).select("i", "encumbrance_type", "status")
+    return docmap.encumbrances(docmap.parcels(wires(spark, d))).select("document", "i", "encumbrance_type", "status")
 
 
-@query("dm8_field_confidence", "SELECT path, CAST(c AS DOUBLE) AS confidence FROM (VALUES ('$.parcels[0].owners[0]', 0.4), ('$.parcels[0].owners[2]', 0.95)) t(path, c)")
+@query("dm8_field_confidence", "SELECT CAST(o_orderkey AS VARCHAR) AS document, concat('$.parcels[0].owners[', i, ']') AS path, CASE i WHEN 0 THEN round((1 + o_orderkey % 9) / CAST(10 AS DOUBLE), 2) ELSE CAST(0.95 AS DOUBLE) END AS confidence FROM orders, (VALUES (0), (2)) v(i) WHERE o_orderkey % 10 <> 3")
 def dm8(spark: SparkSession, d: str) -> DataFrame:
-    w = _wire(spark)
+    w = wires(spark, d)
     paths = docmap.owners(docmap.parcels(w)).filter("kept").select("document", "path")
-    return docmap.field_confidence(w.filter(~F.col("corrupt")), paths).select("path", "confidence")
+    return docmap.field_confidence(w.filter(~F.col("corrupt")), paths).select("document", "path", F.round("confidence", 2).alias("confidence"))
 
 
 @query("sx23_route_documents", "SELECT * FROM (VALUES ('RoR', 'jamabandi', 'snapshot'), ('new-jamabandi', 'updated_jamabandi', 'snapshot'), ('Death Certificate', 'death_certificate', 'death'), ('ferfar', 'mutation_order', 'mutation'), ('legal heir', 'legal_heir_certificate', 'heirs'), ('haq tyag', 'relinquishment_deed', 'supporting'), ('tax bill', 'other', 'supporting')) t(raw, kind, part)")
