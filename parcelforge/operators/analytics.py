@@ -170,15 +170,13 @@ def medians(rows: DataFrame, key: str, value: str, places: int = 4, most: int =
     Equal values of a key are counted first, with map-side combine. Up to ``most`` different values of all keys together are sorted as
     they are, more by selection over histograms, so that no group is gathered in one task.
     """
+    counts = rows.groupBy(key, value).agg(F.count(F.lit(1)).alias("__n"))
+    if counts.count() <= most:
+        return counts.groupBy(key).agg(F.round(F.percentile(value, F.lit(0.5), F.col("__n")), places).alias(f"median_{value}"))
     shared_folder(rows.sparkSession)
-    counts = rows.groupBy(key, value).agg(F.count(F.lit(1)).alias("__n")).checkpoint()
-    keys = counts.select(key).distinct()
-    known = counts.filter(F.col(value).isNotNull())
-    if known.count() <= most:
-        mid = known.groupBy(F.col(key).alias("__key")).agg(F.percentile(value, F.lit(0.5), F.col("__n")).alias("__m"))
-    else:
-        mid = _selected(known, key, value).select("__key", ((F.col("__lo") + F.col("__hi")) / 2).alias("__m"))
-    return keys.join(mid, F.col(key).eqNullSafe(F.col("__key")), "left").select(key, F.round("__m", places).alias(f"median_{value}"))
+    counts = counts.checkpoint()
+    mid = _selected(counts.filter(F.col(value).isNotNull()), key, value).select("__key", ((F.col("__lo") + F.col("__hi")) / 2).alias("__m"))
+    return counts.select(key).distinct().join(mid, F.col(key).eqNullSafe(F.col("__key")), "left").select(key, F.round("__m", places).alias(f"median_{value}"))
 
 
 def reference_numbers(rows: DataFrame, prefix: str, form: str = "CASE/2001/%04d") -> DataFrame:

@@ -60,15 +60,19 @@ def vertices(parts: Column) -> Column:
     return F.aggregate(parts, F.lit(0), lambda n, rings: n + F.coalesce(F.size(F.get(rings, F.lit(0))), F.lit(0)))
 
 
-def plainly_valid(parts: Column) -> Column:
-    """True for one triangle or convex quadrangle, whose corners all turn the same way: no sweep is needed."""
-    ring = F.get(F.get(parts, F.lit(0)), F.lit(0))
+def plain_ring(ring: Column) -> Column:
+    """True for a closed convex quadrangle, whose corners all turn the same way."""
     p = lambda i: F.get(ring, F.lit(i))
     turn = lambda a, b, c: (p(b)["lon"] - p(a)["lon"]) * (p(c)["lat"] - p(a)["lat"]) - (p(b)["lat"] - p(a)["lat"]) * (p(c)["lon"] - p(a)["lon"])
-    four = F.array(turn(0, 1, 2), turn(1, 2, 3), turn(2, 3, 0), turn(3, 0, 1))
-    one_way = (F.array_min(four) > 0) | (F.array_max(four) < 0)
+    four = [turn(0, 1, 2), turn(1, 2, 3), turn(2, 3, 0), turn(3, 0, 1)]
+    one_way = (F.least(*four) > 0) | (F.greatest(*four) < 0)
     closed = (F.size(ring) == 5) & (p(0)["lon"] == p(4)["lon"]) & (p(0)["lat"] == p(4)["lat"])
-    return F.coalesce((F.size(parts) == 1) & (F.size(F.get(parts, F.lit(0))) == 1) & closed & one_way, F.lit(False))
+    return F.coalesce(closed & one_way, F.lit(False))
+
+
+def plainly_valid(parts: Column) -> Column:
+    """True for a shape of one plain ring: no sweep is needed."""
+    return F.coalesce((F.size(parts) == 1) & (F.size(F.get(parts, F.lit(0))) == 1), F.lit(False)) & plain_ring(F.get(F.get(parts, F.lit(0)), F.lit(0)))
 
 
 def _points(ring) -> np.ndarray:
