@@ -477,11 +477,20 @@ def _with_evidence(rows: DataFrame, k: Case) -> DataFrame:
     return settled(rows.withColumn("checks", F.transform("checks", one)).drop("__shown", "__told"))
 
 
-def issues(reports: DataFrame) -> DataFrame:
-    """``case_id, issues``: the messages of checks that are not clear, worst status first and in the registry's order, each once."""
-    rank = F.array(*(F.lit(s) for s in CHECK_STATUSES))
-    marked = F.transform("checks", lambda c, i: F.struct((-F.array_position(rank, c["status"])).alias("rank"), i.alias("i"), c["message"].alias("message")))
-    return reports.select("case_id", F.array_distinct(F.filter(F.transform(F.array_sort(marked), lambda x: x["message"]), lambda m: m.isNotNull())).alias("issues"))
+def _told(c: Column) -> Column:
+    """The sentences of a check that is not clear: its message, and before it the heirs and holders of a transfer that leaves heirs out."""
+    holders = F.coalesce(F.nullif(c["observed"], F.lit("")), F.lit("a single successor"))
+    facts = F.array(F.concat(F.size("heirs").cast("string"), F.lit(" potential heirs are named.")), F.concat(F.lit("The current record gives the land to "), holders, F.lit(".")), c["message"])
+    return F.when(c["rule"] == "EXCLUSIVE_TRANSFER_EVIDENCE", facts).otherwise(F.array(c["message"]))
+
+
+def issues(reports: DataFrame, risk_points: dict[str, float] | None = None) -> DataFrame:
+    """``case_id, issues``: the sentences of checks that are not clear, worst status first, then most points and the registry's order, each once."""
+    rank, points = F.array(*(F.lit(s) for s in CHECK_STATUSES)), _table(RISK_POINTS | (risk_points or {}))
+    weight = lambda c: F.coalesce(F.try_element_at(points, c["rule_code"]), F.lit(20.0))  # noqa: E731  the status, the first key, holds its multiplier
+    marked = F.transform("checks", lambda c, i: F.struct((-F.array_position(rank, c["status"])).alias("rank"), (-weight(c)).alias("points"), i.alias("i"), F.when(c["message"].isNotNull(), _told(c)).alias("told")))
+    told = F.filter(F.transform(F.array_sort(marked), lambda x: x["told"]), lambda t: t.isNotNull())
+    return reports.select("case_id", F.array_distinct(F.flatten(told)).alias("issues"))
 
 
 def report_rows(reports: DataFrame) -> DataFrame:

@@ -119,7 +119,7 @@ def sx_register_checks(spark: SparkSession, d: str) -> DataFrame:
 _SAID = " ".join(f"WHEN '{r}|{s}' THEN '{m}'" for r, by in bundle.MESSAGES.items() for s, m in by.items())
 
 
-@query("sx_register_reports", f"WITH {_CHECKS}, r AS ({_RISK}), s AS (SELECT k, count(DISTINCT CASE concat(rule, '|', status) {_SAID} END) AS n FROM checks GROUP BY 1) SELECT CAST(k AS VARCHAR) AS case_id, risk AS risk_score, CASE WHEN risk >= 70 THEN 'critical' WHEN risk >= 40 THEN 'high' WHEN risk >= 15 THEN 'medium' ELSE 'low' END AS risk_level, CASE worst WHEN 4 THEN 'inconsistent' WHEN 3 THEN 'review_required' WHEN 2 THEN 'incomplete' ELSE 'validated' END AS outcome, CASE WHEN shots = 0 AND muts = 0 THEN 'insufficient_documents' WHEN NOT changed THEN 'no_transition_detected' WHEN linked THEN 'owner_death_succession' ELSE 'ownership_transition' END AS event_type, linked AS death_verified, CAST(heirs AS INT) AS heirs, CAST(shots + (SELECT count(*) FROM d WHERE d.k = r.k) + CASE WHEN heirs > 0 AND died THEN 1 ELSE 0 END + muts + (SELECT count(*) FROM x WHERE x.k = r.k) AS INT) AS events, CAST(s.n AS INT) AS issues FROM r JOIN f USING (k) JOIN s USING (k)")
+@query("sx_register_reports", f"WITH {_CHECKS}, r AS ({_RISK}), s AS (SELECT k, count(DISTINCT CASE concat(rule, '|', status) {_SAID} END) + 2 * count(CASE WHEN rule = 'EXCLUSIVE_TRANSFER_EVIDENCE' AND status IN ('review_required', 'warning') THEN 1 END) AS n FROM checks GROUP BY 1) SELECT CAST(k AS VARCHAR) AS case_id, risk AS risk_score, CASE WHEN risk >= 70 THEN 'critical' WHEN risk >= 40 THEN 'high' WHEN risk >= 15 THEN 'medium' ELSE 'low' END AS risk_level, CASE worst WHEN 4 THEN 'inconsistent' WHEN 3 THEN 'review_required' WHEN 2 THEN 'incomplete' ELSE 'validated' END AS outcome, CASE WHEN shots = 0 AND muts = 0 THEN 'insufficient_documents' WHEN NOT changed THEN 'no_transition_detected' WHEN linked THEN 'owner_death_succession' ELSE 'ownership_transition' END AS event_type, linked AS death_verified, CAST(heirs AS INT) AS heirs, CAST(shots + (SELECT count(*) FROM d WHERE d.k = r.k) + CASE WHEN heirs > 0 AND died THEN 1 ELSE 0 END + muts + (SELECT count(*) FROM x WHERE x.k = r.k) AS INT) AS events, CAST(s.n AS INT) AS issues FROM r JOIN f USING (k) JOIN s USING (k)")
 def sx_register_reports(spark: SparkSession, d: str) -> DataFrame:
     rows = bundle.report_rows(bundle.validate(cases(spark, d)))
     return rows.select("case_id", "risk_score", "risk_level", "outcome", "event_type", "death_verified", "heirs", "events", F.size("issues").alias("issues"))
@@ -206,6 +206,22 @@ def sx21(spark: SparkSession, d: str) -> DataFrame:
     return bundle.summary_sentence(reports(spark, d))
 
 
+# Takers in their owners' or lines' order; a case has one check of transfers that leave heirs out
+_HOLDERS = f"""
+ln AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_returnflag, l_linestatus) AS i FROM lineitem),
+tk AS (SELECT a.k, a.x, (a.x - o.c + 8) % 8 AS i FROM a JOIN o USING (k) UNION ALL SELECT l_orderkey, l_partkey % 8, i FROM ln WHERE l_returnflag = 'R' AND l_orderkey IN (SELECT k FROM o) AND l_orderkey NOT IN (SELECT k FROM a)),
+holders AS (SELECT k, string_agg({_NAMED.format('x')}, ', ' ORDER BY i) AS names FROM tk GROUP BY 1)"""
+_ORDER = "CASE rule " + " ".join(f"WHEN '{r}' THEN {i}" for i, r in enumerate(dict.fromkeys(r for r, *_ in _RULES))) + " END"
+
+
+@query("sx19_issue_sentences", f"""WITH {_CHECKS}, {_HOLDERS}, w AS (SELECT k, rule, status, max({_POINTS_OF}) AS points FROM checks WHERE status IN ('fail', 'review_required', 'warning') GROUP BY ALL),
+s AS (SELECT w.*, part, CASE WHEN rule = 'EXCLUSIVE_TRANSFER_EVIDENCE' AND part = 0 THEN concat(heirs, ' potential heirs are named.') WHEN rule = 'EXCLUSIVE_TRANSFER_EVIDENCE' AND part = 1 THEN concat('The current record gives the land to ', coalesce(names, 'a single successor'), '.') ELSE CASE concat(rule, '|', status) {_SAID} END END AS sentence
+  FROM w JOIN f USING (k) LEFT JOIN holders USING (k), (VALUES (0), (1), (2)) v(part) WHERE part = 2 OR rule = 'EXCLUSIVE_TRANSFER_EVIDENCE')
+SELECT CAST(k AS VARCHAR) AS case_id, CAST(row_number() OVER (PARTITION BY k ORDER BY CASE status WHEN 'fail' THEN 0 WHEN 'review_required' THEN 1 ELSE 2 END, points DESC, {_ORDER}, part) - 1 AS INT) AS place, sentence FROM s""")
+def sx19(spark: SparkSession, d: str) -> DataFrame:
+    return bundle.issues(reports(spark, d)).select("case_id", F.posexplode("issues").alias("place", "sentence"))
+
+
 @query("sx22_checks_as_findings", f"WITH {_CHECKS} SELECT CAST(k AS VARCHAR) AS case_id, rule_code, CASE status WHEN 'fail' THEN 'error' ELSE 'warning' END AS severity, concat('$.succession.checks[', rule, ']') AS json_path, count(*) AS n FROM checks WHERE status IN ('fail', 'review_required', 'warning') GROUP BY ALL")
 def sx22(spark: SparkSession, d: str) -> DataFrame:
     return bundle.as_findings(reports(spark, d)).groupBy("case_id", "rule_code", "severity", "json_path").agg(F.count(F.lit(1)).alias("n"))
