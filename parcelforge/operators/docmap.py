@@ -237,13 +237,16 @@ def attach_boxes(provenance: DataFrame, page_lines: DataFrame) -> DataFrame:
 
 # Wire JSON
 
-_W_AREA = "struct<raw_text:string," + ",".join(f"{u}:string" for u in ("hectare", "are", "sq_metre", "acre", "guntha", "kanal", "marla", "bigha", "biswa", "biswansi")) + ">"
+# Unit fields of an area.
+UNITS = ("hectare", "are", "sq_metre", "acre", "guntha", "kanal", "marla", "bigha", "biswa", "biswansi")
+_W_AREA = "struct<raw_text:string," + ",".join(f"{u}:string" for u in UNITS) + ">"
 _W_PERSON = "struct<raw_name:string,transliterated:string,relation_raw:string,relation_name:string>"
 WIRE = (
-    "detected_record_format string, parcels array<struct<survey_number:string,khata_number:string,khasra_numbers:array<string>,total_area:" + _W_AREA + ","
+    "detected_record_format string, parcels array<struct<survey_number:string,khata_number:string,khasra_numbers:array<string>,assessment_amount:string,water_rate:string,total_area:" + _W_AREA + ","
     "jurisdiction:struct<state:string,district:string,tehsil:string,village:string>,"
-    "sub_divisions:array<struct<sub_division_number:string,area:" + _W_AREA + ",assessment_amount:string,owner_serial_numbers:array<string>>>,"
-    "classified_areas:array<struct<raw_label:string,area:" + _W_AREA + ">>,"
+    "sub_divisions:array<struct<sub_division_number:string,area:" + _W_AREA + ",classification_raw:string,assessment_amount:string,owner_serial_numbers:array<string>,remarks:string>>,"
+    "classified_areas:array<struct<raw_label:string,area:" + _W_AREA + ",irrigation_raw:string>>,"
+    "crops:array<struct<year:string,season_raw:string,crop_name:string,area:" + _W_AREA + ",irrigation_raw:string,remarks:string>>,"
     "owners:array<struct<serial_number:string,name:" + _W_PERSON + ",tenure_raw:string,share:struct<raw_text:string,numerator:string,denominator:string>>>,"
     "mutations:array<struct<mutation_number:string,type_raw:string,status_raw:string,entry_date_raw:string,order_date_raw:string,to_parties:array<" + _W_PERSON + ">,area_transacted:" + _W_AREA + ">>,"
     "encumbrances:array<struct<type_raw:string,status_raw:string,holder_name:string,discharged_on_raw:string>>>>, "
@@ -299,12 +302,49 @@ def encumbrances(parcels: DataFrame) -> DataFrame:
     return e.select("document", "parcel", "i", vocabulary.resolve(F.col("e.type_raw"), "encumbrance_type")["value"].alias("encumbrance_type"), F.when(gone, "discharged").otherwise(vocabulary.resolve(F.col("e.status_raw"), "encumbrance_status")["value"]).alias("status"), F.col("e.holder_name").alias("holder_name"))
 
 
+def _area_of(rows: DataFrame, area: str, path: Column) -> DataFrame:
+    """Rows with ``sq_metre`` and ``warning``: an area that states something unreadable is as absent as none, but says so."""
+    stated = F.exists(F.array(*(F.col(f"{area}.{f}") for f in ("raw_text", *UNITS))), lambda x: F.trim(F.coalesce(x, F.lit(""))) != "")
+    rows = rows.withColumns({"path": path, "sq_metre": wire_area(F.col(area), F.col("system"))["sq_metre"]})
+    return rows.withColumn("warning", F.when(F.col("sq_metre").isNotNull(), F.lit(None).cast("string")).when(stated, "unreadable area").otherwise("no area"))
+
+
+def _place(field: str) -> Column:
+    return F.concat(F.lit("$.parcels["), F.col("parcel").cast("string"), F.lit(f"].{field}["), F.col("i").cast("string"), F.lit("]"))
+
+
+def classified_areas(parcels: DataFrame) -> DataFrame:
+    """One row per classified area: without an area it is not kept; an unknown label stays with a warning and class ``unknown``."""
+    c = _area_of(parcels.select("document", "parcel", "system", F.posexplode("p.classified_areas").alias("i", "c")), "c.area", _place("classified_areas"))
+    c = settled(c.withColumns({"class": vocabulary.resolve(F.col("c.raw_label"), "classification"), "water": vocabulary.resolve(F.col("c.irrigation_raw"), "irrigation")}))
+    unknown = (F.trim(F.coalesce("c.raw_label", F.lit(""))) != "") & ~F.col("class.resolved")
+    kept = F.col("sq_metre").isNotNull()
+    return c.select("document", "parcel", "i", "path", F.col("c.raw_label").alias("raw_label"), F.col("class.value").alias("classification"), F.col("water.value").alias("irrigation"), "sq_metre", F.coalesce("warning", F.when(unknown, "unresolved classification")).alias("warning"), kept.alias("kept"))
+
+
+def sub_divisions(parcels: DataFrame) -> DataFrame:
+    """One row per sub-division: without an area it is not kept, without a number it is called by its place; money is a decimal with look-alikes repaired."""
+    s = _area_of(parcels.select("document", "parcel", "system", F.posexplode("p.sub_divisions").alias("i", "s")), "s.area", _place("sub_divisions"))
+    number = F.coalesce(F.nullif(F.col("s.sub_division_number"), F.lit("")), F.concat(F.lit("unnumbered-"), F.col("i").cast("string")))
+    return s.select("document", "parcel", "i", "path", number.alias("number"), vocabulary.resolve(F.col("s.classification_raw"), "classification")["value"].alias("classification"), "sq_metre", numerals.decimal_of(F.col("s.assessment_amount"), True).alias("assessment"), F.coalesce("s.owner_serial_numbers", F.array().cast("array<string>")).alias("owner_serial_numbers"), F.col("s.remarks").alias("remarks"), "warning", F.col("sq_metre").isNotNull().alias("kept"))
+
+
+def crops(parcels: DataFrame) -> DataFrame:
+    """One row per crop, all kept; its area may be absent."""
+    c = _area_of(parcels.select("document", "parcel", "system", F.posexplode("p.crops").alias("i", "c")), "c.area", _place("crops"))
+    return c.select("document", "parcel", "i", F.col("c.year").alias("year"), F.col("c.season_raw").alias("season"), F.col("c.crop_name").alias("crop"), "sq_metre", vocabulary.resolve(F.col("c.irrigation_raw"), "irrigation")["value"].alias("irrigation"), F.col("c.remarks").alias("remarks"), F.when(F.col("warning") == "unreadable area", F.col("warning")).alias("warning"))
+
+
+def assessments(parcels: DataFrame) -> DataFrame:
+    """``document, parcel, assessment, water_rate``: a parcel's money as decimals with look-alikes repaired, null where it says none."""
+    return parcels.select("document", "parcel", *(numerals.decimal_of(F.col(f"p.{f}"), True).alias(n) for f, n in (("assessment_amount", "assessment"), ("water_rate", "water_rate"))))
+
+
 def wire_area(area: Column, system: Column, region: Column | None = None) -> Column:
     """Area of a transcription: its filled components if there are any (look-alikes repaired), else its text."""
     none = F.lit(None).cast("string")
-    units = ("hectare", "are", "sq_metre", "acre", "guntha", "kanal", "marla", "bigha", "biswa", "biswansi")
     word = {"sq_metre": "sqm"}
-    parts = F.filter(F.array(*(F.when(numerals.decimal_of(area[u], True).isNotNull(), F.concat(numerals.decimal_of(area[u], True).cast("string"), F.lit(f" {word.get(u, u)}"))) for u in units)), lambda x: x.isNotNull())
+    parts = F.filter(F.array(*(F.when(numerals.decimal_of(area[u], True).isNotNull(), F.concat(numerals.decimal_of(area[u], True).cast("string"), F.lit(f" {word.get(u, u)}"))) for u in UNITS)), lambda x: x.isNotNull())
     text = F.when(F.size(parts) > 0, F.array_join(parts, " ")).otherwise(area["raw_text"])
     return areas.parse(text, system, none if region is None else region)
 

@@ -186,6 +186,35 @@ def dm7c(spark: SparkSession, d: str) -> DataFrame:
     return docmap.encumbrances(docmap.parcels(wires(spark, d))).select("document", "i", "encumbrance_type", "status")
 
 
+# Land of an order each: areas by class, sub-divisions, crops and money; every tenth is broken
+_LAND = """concat('{"detected_record_format":"satbara_7_12","parcels":[{"survey_number":"S', o_orderkey, '","assessment_amount":"1O', o_orderkey % 10, '.50"', IF(o_orderkey % 2 = 0, concat(',"water_rate":"', o_custkey, '"'), ''), ',"classified_areas":[{"raw_label":"चाही","area":{"raw_text":"', o_orderkey % 9, '-', o_orderkey % 90, '-', o_custkey % 70, '"},"irrigation_raw":"canal"},{"raw_label":"qqqq","area":{"hectare":"', o_orderkey % 7, '"}},{"raw_label":"barani","area":{}},{"area":{"raw_text":"torn"}}],"sub_divisions":[{"sub_division_number":"', o_orderkey % 4, '/A","area":{"are":"', o_orderkey % 90, '"},"classification_raw":"jirayat","assessment_amount":"', o_custkey, '","owner_serial_numbers":["1","2"]},{"area":{"are":"3","sq_metre":"', o_custkey % 70, '"}},{"sub_division_number":"9","remarks":"lost"}],"crops":[{"year":"2020-21","season_raw":"Rabi","crop_name":"wheat","area":{"are":"', o_orderkey % 50, '"},"irrigation_raw":"well"},{"crop_name":"gram","remarks":"', o_orderstatus, '"}]}]}')"""
+
+
+def land(spark: SparkSession, d: str) -> DataFrame:
+    text = F.when(F.col("o_orderkey") % 10 == 3, "[").otherwise(F.expr(_LAND))
+    return docmap.parcels(docmap.read_wire(spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("document"), text.alias("json"))))
+
+
+@query("dm7_classified_areas", "SELECT CAST(o_orderkey AS VARCHAR) AS document, concat('$.parcels[0].classified_areas[', i, ']') AS path, CASE i WHEN 0 THEN 'irrigated' WHEN 2 THEN 'unirrigated' ELSE 'unknown' END AS classification, CASE i WHEN 0 THEN 'canal' ELSE 'unknown' END AS irrigation, CASE i WHEN 0 THEN CAST(o_orderkey % 9 * 10000 + o_orderkey % 90 * 100 + o_custkey % 70 AS DOUBLE) WHEN 1 THEN CAST(o_orderkey % 7 * 10000 AS DOUBLE) END AS area, CASE i WHEN 1 THEN 'unresolved classification' WHEN 2 THEN 'no area' WHEN 3 THEN 'unreadable area' END AS warning, i < 2 AS kept FROM orders, (VALUES (0), (1), (2), (3)) v(i) WHERE o_orderkey % 10 <> 3")
+def dm7d(spark: SparkSession, d: str) -> DataFrame:
+    return docmap.classified_areas(land(spark, d)).select("document", "path", "classification", "irrigation", F.col("sq_metre").cast("double").alias("area"), "warning", "kept")
+
+
+@query("dm7_sub_divisions", "SELECT CAST(o_orderkey AS VARCHAR) AS document, CASE i WHEN 0 THEN concat(o_orderkey % 4, '/A') WHEN 1 THEN 'unnumbered-1' ELSE '9' END AS number, CASE i WHEN 0 THEN 'unirrigated' ELSE 'unknown' END AS classification, CASE i WHEN 0 THEN CAST(o_orderkey % 90 * 100 AS DOUBLE) WHEN 1 THEN CAST(300 + o_custkey % 70 AS DOUBLE) END AS area, CASE i WHEN 0 THEN CAST(o_custkey AS DOUBLE) END AS assessment, CASE i WHEN 0 THEN '1 2' ELSE '' END AS owners, CASE i WHEN 2 THEN 'lost' END AS remarks, CASE i WHEN 2 THEN 'no area' END AS warning, i < 2 AS kept FROM orders, (VALUES (0), (1), (2)) v(i) WHERE o_orderkey % 10 <> 3")
+def dm7e(spark: SparkSession, d: str) -> DataFrame:
+    return docmap.sub_divisions(land(spark, d)).select("document", "number", "classification", F.col("sq_metre").cast("double").alias("area"), F.col("assessment").cast("double").alias("assessment"), F.array_join("owner_serial_numbers", " ").alias("owners"), "remarks", "warning", "kept")
+
+
+@query("dm7_crops", "SELECT CAST(o_orderkey AS VARCHAR) AS document, i, CASE i WHEN 0 THEN '2020-21' END AS year, CASE i WHEN 0 THEN 'Rabi' END AS season, CASE i WHEN 0 THEN 'wheat' ELSE 'gram' END AS crop, CASE i WHEN 0 THEN CAST(o_orderkey % 50 * 100 AS DOUBLE) END AS area, CASE i WHEN 0 THEN 'well' ELSE 'unknown' END AS irrigation, CASE i WHEN 1 THEN o_orderstatus END AS remarks FROM orders, (VALUES (0), (1)) v(i) WHERE o_orderkey % 10 <> 3")
+def dm7f(spark: SparkSession, d: str) -> DataFrame:
+    return docmap.crops(land(spark, d)).select("document", "i", "year", "season", "crop", F.col("sq_metre").cast("double").alias("area"), "irrigation", "remarks")
+
+
+@query("dm7_assessments", "SELECT CAST(o_orderkey AS VARCHAR) AS document, CAST(100.5 AS DOUBLE) + o_orderkey % 10 AS assessment, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_custkey AS DOUBLE) END AS water_rate FROM orders WHERE o_orderkey % 10 <> 3")
+def dm7g(spark: SparkSession, d: str) -> DataFrame:
+    return docmap.assessments(land(spark, d)).select("document", F.col("assessment").cast("double").alias("assessment"), F.col("water_rate").cast("double").alias("water_rate"))
+
+
 @query("dm8_field_confidence", "SELECT CAST(o_orderkey AS VARCHAR) AS document, concat('$.parcels[0].owners[', i, ']') AS path, CASE i WHEN 0 THEN round((1 + o_orderkey % 9) / CAST(10 AS DOUBLE), 2) ELSE CAST(0.95 AS DOUBLE) END AS confidence FROM orders, (VALUES (0), (2)) v(i) WHERE o_orderkey % 10 <> 3")
 def dm8(spark: SparkSession, d: str) -> DataFrame:
     w = wires(spark, d)
