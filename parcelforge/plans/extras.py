@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from ..functions import display, names, numerals
 from ..operators import reads, rules, triage
 from ..session import shared_folder
-from ..sources import exports, files
+from ..sources import database, exports, files
 from .engine import records, shaped
 from .office import BAND, SCORE
 from .registry import Registry
-from .views import AS_OF, EVENTS, PARCELS, SUBS, as_of, parcels, review_events, sub_divisions
+from .views import AS_OF, EVENTS, PARCELS, SUBS, as_of, parcels, review_events, sub_divisions, table
 
 query = Registry()
 
@@ -100,6 +100,15 @@ def io1(spark: SparkSession, d: str) -> DataFrame:
     return files.scan(spark, f"{d}/orders.parquet", ("o_custkey",), F.col("o_totalprice") > 100000).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_custkey").alias("customers"))
 
 
+@query("io1_database_scan", "SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE o_totalprice > 100000 AND o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_custkey % 2 = 1")
+def io1b(spark: SparkSession, d: str) -> DataFrame:
+    """Orders stored in database files and scanned there; the remainder of the keys is Spark's part of the condition."""
+    at = f"{shared_folder(spark)}/database-{uuid.uuid4().hex}"
+    database.store_table(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", F.col("o_totalprice").cast("double").alias("o_totalprice")), at, "orders")
+    wanted = (F.col("o_totalprice") > 100000) & F.col("o_orderpriority").isin("1-URGENT", "2-HIGH") & (F.col("o_custkey") % 2 == 1)
+    return database.scan(spark, at, "orders", "o_orderkey long, o_custkey long, o_orderpriority string, o_totalprice double", wanted)[0].drop("o_totalprice")
+
+
 @query("io4_geojson", "SELECT CASE WHEN o_orderkey % 10 <> 9 THEN CAST(o_orderkey AS VARCHAR) END AS parcel_key, CASE WHEN o_orderkey % 9 <> 8 THEN CASE o_orderkey % 4 WHEN 0 THEN '5' WHEN 1 THEN '5 5' WHEN 2 THEN '5|5' ELSE '5 5|5' END END AS rings, CASE WHEN o_orderkey % 3 = 0 THEN 'drone_survey' ELSE 'unknown' END AS source, CASE WHEN o_orderkey % 9 = 8 THEN 'not_a_polygon' END AS reason FROM orders WHERE o_orderkey % 10 <> 9")
 def io4(spark: SparkSession, d: str) -> DataFrame:
     """Every shape is written as a GeoJSON feature and read back; some have no key, some are points."""
