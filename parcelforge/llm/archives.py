@@ -1,16 +1,21 @@
 """Archive directories as Spark data sources: rolling writers with commit, readers by byte range.
 
-Tasks write archives into ``<path>/_open-<job>`` under names of their own; commit moves
-the files of successful attempts into ``<path>``, abort deletes the rest.  Next to each
-archive lies an index of its members' offsets.  Readers plan byte ranges over the
-archives from file sizes alone; a range owns the members that start in it.  Paths are
+Tasks write archives straight to their final names in ``<path>``, which begin with the job's id; next to
+each lies an index of its members' offsets.  Commit writes the names of the successful attempts into
+one manifest and renames that once, so a job counts whole or not at all, wherever its driver is
+lost; files that no manifest names are not read.  Readers plan byte ranges over the archives from file
+sizes alone; a range owns the members that start in it.  Archives of other makers, without index or
+manifest, are read whole by one task each, if their format tells where members end.  Paths are
 URIs of any store that pyarrow opens (file, hdfs, s3, gs).
 """
 
 from __future__ import annotations
 
+import json
+import re
 import time
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,9 +25,9 @@ from pyarrow import fs as pafs
 from pyspark.sql.datasource import DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 #: Bytes after which a task begins another archive.
-ROLL = 64 << 20
+ROLL = 1 << 30
 #: Bytes of archive in one partition.
-RANGE = 8 << 20
+RANGE = 128 << 20
 #: Bytes of payload in one Arrow batch of a reader.
 BATCH = 4 << 20
 ATTEMPTS = 3
@@ -51,9 +56,8 @@ class ArchiveWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, root = opened(self.path)
-        root = f"{root}/_open-{self.job}"
         store.create_dir(root, recursive=True)
-        names, out, offsets, at = [], None, [], 0
+        names, out, offsets, at = [], None, array("q"), 0
 
         def close() -> None:
             out.close()
@@ -65,8 +69,8 @@ class ArchiveWriter(DataSourceArrowWriter):
                 if out is None or at >= self.roll:
                     if out is not None:
                         close()
-                    names.append(f"{uuid.uuid4().hex}{self.suffix}")
-                    out, offsets, at = store.open_output_stream(f"{root}/{names[-1]}", compression=None), [], 0
+                    names.append(f"{self.job}-{uuid.uuid4().hex}{self.suffix}")
+                    out, offsets, at = store.open_output_stream(f"{root}/{names[-1]}", compression=None), array("q"), 0
                 offsets.append(at)
                 out.write(member)
                 at += len(member)
@@ -77,18 +81,15 @@ class ArchiveWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         store, root = opened(self.path)
         store.create_dir(root, recursive=True)
-        for m in messages:
-            for name in m.names if m else ():
-                for x in (f"{name}.idx", name):
-                    store.move(f"{root}/_open-{self.job}/{x}", f"{root}/{x}")
-        self._clean(store, root)
+        with store.open_output_stream(f"{root}/{self.job}.open", compression=None) as f:
+            f.write(json.dumps([n for m in messages if m for n in m.names]).encode())
+        store.move(f"{root}/{self.job}.open", f"{root}/{self.job}.manifest")
 
     def abort(self, messages: list[Written | None]) -> None:
-        self._clean(*opened(self.path))
-
-    def _clean(self, store: pafs.FileSystem, root: str) -> None:
-        if store.get_file_info(f"{root}/_open-{self.job}").type != pafs.FileType.NotFound:
-            store.delete_dir(f"{root}/_open-{self.job}")
+        store, root = opened(self.path)
+        for f in store.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+            if f.base_name.startswith(self.job):
+                store.delete_file(f.path)
 
 
 class Range(InputPartition):
@@ -107,8 +108,18 @@ class RangeReader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         store, root = opened(self.path)
-        found = [f for f in store.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if f.is_file and f.base_name.endswith(self.suffix)]
-        return [Range(f.base_name, a, min(a + self.range, f.size)) for f in sorted(found, key=lambda f: f.base_name) for a in range(0, max(f.size, 1), self.range)] or [Range("", 0, 0)]
+        found = {f.base_name: f for f in store.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if f.is_file}
+        named: set[str] = set()
+        for name, f in found.items():
+            if name.endswith(".manifest"):
+                with store.open_input_stream(f.path, compression=None) as x:
+                    named.update(json.loads(x.read()))
+        own = re.compile(r"[0-9a-f]{32}-[0-9a-f]{32}" + re.escape(self.suffix))
+        ours = sorted(n for n in found if n.endswith(self.suffix) and (n in named or not own.fullmatch(n)))
+        if missing := sorted(named - set(found)):
+            raise FileNotFoundError(f"archives that a manifest names are gone: {missing[:3]}")
+        step = {n: self.range if f"{n}.idx" in found else max(found[n].size, 1) for n in ours}
+        return [Range(n, a, min(a + step[n], found[n].size)) for n in ours for a in range(0, max(found[n].size, 1), step[n])] or [Range("", 0, 0)]
 
     def rows(self, members: Iterator[tuple[str, int, bytes | None, str | None]]) -> Iterator[pa.RecordBatch]:
         raise NotImplementedError
@@ -118,8 +129,12 @@ class RangeReader(DataSourceReader):
 
     def _members(self, p: Range) -> Iterator[tuple[str, int, bytes | None, str | None]]:
         store, root = opened(self.path)
-        with store.open_input_stream(f"{root}/{p.name}.idx", compression=None) as f:
-            offsets = np.frombuffer(f.read(), "<i8")
+        if store.get_file_info(f"{root}/{p.name}.idx").is_file:
+            with store.open_input_stream(f"{root}/{p.name}.idx", compression=None) as f:
+                offsets = np.frombuffer(f.read(), "<i8")
+        else:
+            with store.open_input_stream(f"{root}/{p.name}", compression=None) as f:
+                offsets = np.array(self.boundaries(f), "<i8")
         first, last = np.searchsorted(offsets[:-1], [p.start, p.end])
         source = None
         for k in range(first, last):
@@ -135,6 +150,10 @@ class RangeReader(DataSourceReader):
                     time.sleep(0.05 * attempt)
             yield p.name, start, data, error
 
+    def boundaries(self, source: pa.NativeFile) -> array:
+        """Offsets of the members of an archive without an index, and its end."""
+        raise FileNotFoundError("the archive has no index")
+
     def checked(self, data: bytes) -> bytes:
         """The member, or ValueError if it is damaged."""
         return data

@@ -102,7 +102,7 @@ def test_warc_repeated_rows_clashing_names_and_chance_hits(spark, monkeypatch):
 
 
 def test_warc_headers_cannot_be_injected():
-    data = warc._record(1, "http://a/\r\nWARC-Type: revisit", "response", None, hashlib.sha1(b"p").hexdigest(), 1, b"p")
+    data = warc._record(1, "http://a/\r\nWARC-Type: revisit", "response", None, hashlib.sha1(b"p").hexdigest(), 1, b"p", None, "2024-01-01T00:00:00Z")
     assert warc.parse_record(data)["record_type"] == "response"
     with pytest.raises(ValueError):
         warc.parse_record(data[:-9])
@@ -111,3 +111,70 @@ def test_warc_headers_cannot_be_injected():
 def test_empty_tables(spark):
     assert warc.load(spark, warc.write_pages(pages(spark).limit(0))).count() == 0
     assert media.load(spark, media.store_texts(fixtures.empty(spark))).count() == 0
+
+
+def test_a_job_counts_whole_or_not_at_all(tmp_path):
+    """A driver lost before the manifest's rename leaves nothing to read; a named archive that is gone is no silent loss."""
+    import pyarrow as pa
+
+    one = lambda k: iter([pa.RecordBatch.from_arrays([pa.array([k]), pa.array([f"t{k}"])], ["doc_id", "text"])])
+    first, lost = (media.MediaWriter({"path": f"{tmp_path}/c"}) for _ in range(2))
+    first.write(one(9))  # an attempt that fails later
+    first.commit([first.write(one(1)), None])
+    lost.write(one(2))
+    Path(tmp_path, "c", f"{lost.job}.open").write_text("[]")
+    reader = media.MediaReader({"path": f"{tmp_path}/c"})
+    assert [r["doc_id"] for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()] == [1]
+    lost.abort([])
+    assert not list(Path(tmp_path, "c").glob(f"{lost.job}*"))
+    for f in Path(tmp_path, "c").glob("*.media"):
+        f.unlink()
+    with pytest.raises(FileNotFoundError):
+        reader.partitions()
+
+
+def by_hand(*records: bytes) -> bytes:
+    import gzip
+
+    return b"".join(gzip.compress(r) for r in records)
+
+
+def test_archives_of_other_makers(spark, tmp_path):
+    """No index, other header case and spacing, a folded line, base 32 digests, other record types, a damaged tail."""
+    import base64
+
+    body = b"<p>caf\xc3\xa9</p>" * 200
+    http = b"HTTP/1.0 200 OK\r\ncontent-type:text/html\r\n\r\n" + body
+    digest = base64.b32encode(hashlib.sha1(body).digest())
+    info = b"software: by hand\r\n"
+    records = [
+        b"WARC/1.0\r\nwarc-type: warcinfo\r\nWARC-Record-ID: <urn:uuid:1>\r\ncontent-length: %d\r\n\r\n%s\r\n\r\n" % (len(info), info),
+        b"WARC/1.0\r\nWARC-TYPE:response\r\nwarc-target-uri:  http://a/\r\nWarc-Payload-Digest: sha1:%s\r\nX-Note: folded\r\n over lines\r\nContent-type: application/http;msgtype=response\r\nCONTENT-LENGTH: %d\r\n\r\n%s\r\n\r\n" % (digest, len(http), http),
+        b"WARC/1.0\r\nWARC-Type: revisit\r\nWARC-Target-URI: http://b/\r\nWARC-Payload-Digest: sha1:%s\r\nContent-Length: 0\r\n\r\n\r\n\r\n" % digest,
+    ]
+    Path(tmp_path, "x").mkdir()
+    Path(tmp_path, "x", "crawl-1.warc.gz").write_bytes(by_hand(*records))
+    Path(tmp_path, "x", "crawl-2.warc.gz").write_bytes(by_hand(records[1]) + b"torn" * 50)
+    rows = warc.load(spark, f"file://{tmp_path}/x", range_bytes="50").collect()
+    said = sorted((r.record_type or "", r.url or "", r.payload_bytes or 0, r.payload_digest or "", r.error is None) for r in rows)
+    sha = hashlib.sha1(body).hexdigest()
+    assert said == sorted([("warcinfo", "", len(info), hashlib.sha1(info).hexdigest(), True), ("response", "http://a/", len(body), sha, True), ("revisit", "http://b/", 0, sha, True), ("response", "http://a/", len(body), sha, True), ("", "", 0, "", False)])
+    assert all(r.payload == body for r in rows if r.record_type == "response") and all(r.page_id is None for r in rows)
+
+
+def test_fresh_headers(spark, tmp_path):
+    """Ids of different records differ, revisits name their original's id, target and date."""
+    import gzip
+
+    at = Path(tmp_path, "w")
+    warc.write_pages(pages(spark), f"file://{at}")
+    heads = []
+    for f in at.glob("*.warc.gz"):
+        offsets = archives.np.frombuffer(Path(f"{f}.idx").read_bytes(), "<i8")
+        heads += [warc._fields(gzip.decompress(f.read_bytes()[a:b]).partition(b"\r\n\r\n")[0].decode().split("\r\n")[1:]) for a, b in zip(offsets, offsets[1:], strict=False)]
+    ids = {h["warc-record-id"]: h for h in heads}
+    revisits = [h for h in heads if h["warc-type"] == "revisit"]
+    assert len(ids) == 11 and len(revisits) == 4 and len({h["warc-date"] for h in heads}) == 1
+    for h in revisits:
+        first = ids[h["warc-refers-to"]]
+        assert first["warc-type"] == "response" and first["warc-target-uri"] == h["warc-refers-to-target-uri"] and first["warc-date"] == h["warc-refers-to-date"] and first["warc-payload-digest"] == h["warc-payload-digest"]
