@@ -22,8 +22,9 @@ Two documents link when 100 * intersection >= percent * union of their sets of
    one task, which verifies pairs until they are linked through others, and returns links only.
 
 Hot shingles: the sketch bounds the number of a shingle's nodes from above.  Where it exceeds ``limit`` (CHUNK, or
-three times the mean counter on large inputs), the nodes are salted into cells of about that
-many; in the last round, cells of groups that still span several components are
+three times the mean counter on large inputs), the nodes are dealt out before they meet; the nodes of other
+shingles are counted exactly where they meet.  Either way they are salted into cells of about
+CHUNK nodes, at any size of the input; in the last round, cells of groups that still span several components are
 paired.  So no task gets all nodes of a frequent shingle, and no link is lost.
 
 Cases: A-Z are lower-cased; texts of fewer words than ``n`` have one shingle, the whole
@@ -173,7 +174,12 @@ def _with_partner(token: np.ndarray, n: np.ndarray, most: np.ndarray, percent: i
     return high - low - (n <= most) > 0
 
 
-def _token_groups(rows: DataFrame, n: int, percent: int, sketch, limit: int, buckets: int) -> DataFrame:
+def _limit(counters: np.ndarray) -> int:
+    """Estimates up to this may be chance: such shingles' nodes are counted exactly."""
+    return max(CHUNK, 3 * int(counters.mean()))
+
+
+def _token_groups(rows: DataFrame, n: int, percent: int, sketch, limit: int, chunk: int, buckets: int) -> DataFrame:
     """``token, node, parts`` for prefix shingles of at least two nodes that may link; those of ``parts`` > 1 are hot and not looked at yet."""
     shift = _U(64 - buckets.bit_length() + 1)
 
@@ -210,7 +216,7 @@ def _token_groups(rows: DataFrame, n: int, percent: int, sketch, limit: int, buc
                 need = sizes - (percent * sizes + 99) // 100 + 1
                 at = np.arange(len(h)) - first[t]
                 own = at < need[t]
-                some.append((h[order][own], nodes[t[own]], sizes[t[own]], at[own], np.maximum(-(-often[order][own].astype(np.int64) // limit), 1)))
+                some.append((h[order][own], nodes[t[own]], sizes[t[own]], at[own], np.where(often[order][own] > limit, -(-often[order][own].astype(np.int64) // chunk), 1)))
                 size += int(own.sum())
                 if size >= FLUSH:
                     yield from flush()
@@ -231,7 +237,9 @@ def _token_groups(rows: DataFrame, n: int, percent: int, sketch, limit: int, buc
                 for _ in range(2):
                     own = _with_partner(h, m, most, percent)
                     h, v, m, most = h[own], v[own], m[own], most[own]
-                token, parts = (bucket << 32) | h.astype(np.int64), np.ones(len(h), np.int32)
+                starts = np.flatnonzero(np.diff(h, prepend=h[:1] ^ 1)) if len(h) else np.zeros(0, np.int64)
+                many = np.diff(starts, append=len(h))  # h is sorted
+                token, parts = (bucket << 32) | h.astype(np.int64), np.repeat(-(-many // chunk), many).astype(np.int32)
             else:
                 h, v, parts = (np.concatenate([np.frombuffer(x, kind, len(x) // 20, len(x) // 20 * skip) for x in blobs]) for kind, skip in (("<u8", 0), ("<i8", 8), ("<i4", 16)))
                 order = np.lexsort((v, h))
@@ -537,11 +545,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     summary = all_rows.filter("not sketch")
     counters = _sketch(all_rows)
     sketch = spark.sparkContext.broadcast(counters)
-    limit = max(CHUNK, 3 * int(counters.mean()))
+    limit = _limit(counters)
     total = summary.agg(F.coalesce(F.sum(F.col("n").cast("double")), F.lit(0.0))).first()[0]
     prefix = total * (100 - percent) / 100
     buckets = max(128, 1 << int(prefix / FLUSH * 2).bit_length())
-    tokens = stored(_token_groups(rows, n, percent, sketch, limit, buckets), "token-groups")
+    tokens = stored(_token_groups(rows, n, percent, sketch, limit, CHUNK, buckets), "token-groups")
     features = stored(summary.filter("n > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), *(F.first(f"b{k}").alias(f"b{k}") for k in range(len(TIERS)))), "nodes")
 
     links, roots, sets = None, None, None

@@ -114,3 +114,27 @@ def test_sets_of_all_tiers(spark, monkeypatch):
             rows.append((len(rows), " ".join(f"n{n}x{i}" for i in range(n - k)) + (f" end{k}" if k % 2 else "")))
     got = sorted(map(tuple, jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
     assert got == brute_force(rows)
+
+
+def test_cells_stay_small_where_the_sketch_says_nothing(spark, monkeypatch):
+    """With a limit above all counters, as on very large inputs, groups are split by their exact counts."""
+    monkeypatch.setattr(jaccard, "CHUNK", 3)
+    monkeypatch.setattr(jaccard, "_limit", lambda counters: 1 << 30)
+    seen = []
+    plain = jaccard._token_groups
+
+    def watched(*args):
+        seen.append(plain(*args))
+        return seen[-1]
+
+    monkeypatch.setattr(jaccard, "_token_groups", watched)
+    rng = random.Random(7)
+    rows = []
+    for i in range(60):
+        own = [f"w{k}" for k in range(60)]
+        own[rng.randrange(60)] = f"v{rng.randrange(9)}"
+        rows.append((i, " ".join(own) + (" tail" * (i % 4))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.groups(docs).collect()), key=repr) == brute_force(rows)
+    sizes = seen[0].groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("parts").alias("least"), F.max("parts").alias("most")).collect()
+    assert max(r.n for r in sizes) > 9 and all(r.least == r.most == -(-r.n // 3) for r in sizes)
