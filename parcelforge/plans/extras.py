@@ -31,8 +31,8 @@ def sc8(spark: SparkSession, d: str) -> DataFrame:
     from ..functions import areas
 
     word = F.get(F.array(*(F.lit(w) for w in (" Sq. Mtrs", " चौ.मी.", " sq. ft", " आर", " Sq.Yds"))), (F.col("o_orderkey") % 5).cast("int"))
-    t = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.concat(F.col("o_custkey").cast("string"), word).alias("raw"))
-    return t.select("o_orderkey", F.round(areas.parse(F.col("raw"))["sq_metre"].cast("double"), 1).alias("area"))
+    t = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", areas.parse(F.concat(F.col("o_custkey").cast("string"), word)).alias("parsed"))
+    return t.select("o_orderkey", F.round(areas.unrounded(F.col("parsed")).cast("double"), 1).alias("area"))
 
 
 @query("sc29_token_similarity", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN CAST(1 AS DOUBLE) WHEN 1 THEN CAST(0.92 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS score FROM part")

@@ -152,6 +152,21 @@ def sc34(spark: SparkSession, d: str) -> DataFrame:
     return t.select("id", identifiers.compared(F.col("a"), F.col("b")).alias("out"))
 
 
+def test_unit_words_are_rounded_once(spark, con, tmp_path):
+    """1366 square yards are 1142.14997 square metres, of which four places are 1142.1500."""
+    from parcelforge.plans import extras
+
+    spark.createDataFrame([(4, 1366), (9, 5291), (14, 2905), (2, 1366), (5, 7), (6, None)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.o_orderkey: r.area for r in extras.query.queries["sc8_unit_words"](spark, str(tmp_path)).collect()}
+    assert got == {4: 1142.1, 9: 4423.9, 14: 2428.9, 2: 126.9, 5: 7.0, 6: None}
+    assert compare.differences(extras.query.queries["sc8_unit_words"](spark, str(tmp_path)), extras.query.oracle["sc8_unit_words"], compare.oracle(str(tmp_path))) == ""
+
+
+def test_unrounded_area_knows_regions(spark):
+    t = _rows(spark, [("3 biswansi", "gujarat"), ("2 acre 1 guntha", None)], "id int, raw string, region string").select("id", areas.parse(F.col("raw"), region=F.col("region")).alias("a"))
+    assert [r.x for r in t.orderBy("id").select((areas.unrounded(F.col("a")).cast("double")).alias("x")).collect()] == [3 * 1936 * 0.83612736 / 400, 2 * 4046.8564224 + 101.17141056]
+
+
 @pytest.mark.parametrize("name", sorted(query.queries))
 def test_literal_cases(spark, small, con, name):
     assert compare.differences(query.queries[name](spark, small), query.oracle[name], con) == ""
