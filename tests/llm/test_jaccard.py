@@ -67,6 +67,29 @@ def test_components_of_chains_and_stars(spark):
     assert got == {i: 1 for i in range(1, 61)} | {i: 100 for i in range(100, 140)}
 
 
+def test_few_links_take_few_jobs(spark):
+    """A long chain once took a round of stars for each doubling, about ten shuffles a round."""
+    links = spark.createDataFrame([(i, i + 1) for i in range(3000)], "a long, b long").repartition(5)
+    spark.sparkContext.setJobGroup("components", "")
+    got = graphs.components(links)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("components"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {(r.node, r.root) for r in got.collect()} == {(i, 0) for i in range(3001)}
+    assert jobs <= 8
+
+
+def test_many_links_go_by_stars(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "EDGES", 4)
+    rng = random.Random(3)
+    links = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 140)] + [(a := rng.randrange(200, 300), a + 100 * rng.randrange(1, 4)) for _ in range(60)]
+    top = {x: x for e in links for x in e}
+    for _ in top:
+        for a, b in links:
+            top[a] = top[b] = min(top[a], top[b])
+    got = graphs.components(spark.createDataFrame(links, "a long, b long").repartition(7)).collect()
+    assert len(got) == len(top) and {r.node: r.root for r in got} == top
+
+
 def test_link_across_parts_only(spark, monkeypatch):
     """The only link lies across the parts of its token groups in rounds 0 and 1, and nothing else is proposed."""
     monkeypatch.setattr(jaccard, "CHUNK", 1)
