@@ -45,8 +45,10 @@ BITS = 1 << 26
 HOT_ROWS = 1 << 17
 #: Documents from which a window is hot, at least.
 HOT_LEAST = 256
-#: Windows in one block of a task.
-FLUSH = 1 << 20
+#: Windows of one bucket, about, and windows that a task gathers before it sends them: its memory does not grow with its rows.
+FLUSH, SEND = 1 << 20, 1 << 18
+#: Texts that are cut and sent on at once.
+ROWS = 1024
 LAST = (1 << 63) - 1
 
 OUT = "n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept string"
@@ -99,7 +101,7 @@ def _counted(rows: DataFrame, window: int, only: np.ndarray | None) -> DataFrame
                     keys, text = keys[own], text[own]
                 some.append((keys, ids[p.first + text]))
                 size += len(keys)
-                if size >= FLUSH:
+                if size >= SEND:
                     yield flush()
                     some, size = [], 0
         if size:
@@ -204,7 +206,7 @@ def _later_windows(rows: DataFrame, window: int, bitmap, hot, buckets: int) -> D
                 start, text, hashes = start[own], text[own], hashes[own]
                 some.append((hashes, ids[p.first + text], keys[p.first + text], start - p.offsets[text]))
                 size += len(hashes)
-                if size >= FLUSH:
+                if size >= SEND:
                     yield from flush()
                     some, size = [], 0
         if size:
@@ -306,7 +308,7 @@ def dedup(docs: DataFrame, keep: Sequence[str] = ("doc_id",), id_col: str = "doc
         yield from picked(batches, True)
 
     def remove(batches):
-        for b in batches:
+        for b in (whole_batch.slice(k, ROWS) for whole_batch in batches for k in range(0, whole_batch.num_rows, ROWS)):
             ids, blobs = b.column(b.num_columns - 3).to_numpy(), b.column(b.num_columns - 1)
             n, gone_n, spans, texts = [], [], [[]] * b.num_rows, []
             for p in pieces(b.column(b.num_columns - 2)):

@@ -45,3 +45,12 @@ def test_other_columns_pass_and_empty_tables(spark):
     docs = fixtures.documents(spark)
     out = substrings.dedup(docs, keep=["doc_id", "row", "hash", "doc", "bucket"])
     assert out.columns == ["doc_id", "row", "hash", "doc", "bucket", "n_words", "n_removed", "removed", "kept"] and out.count() == docs.count()
+
+
+def test_small_blocks_of_a_task_lose_nothing(spark, monkeypatch):
+    """Windows are sent in blocks of a few, texts cut three at a time."""
+    monkeypatch.setattr(substrings, "SEND", 40)
+    monkeypatch.setattr(substrings, "ROWS", 3)
+    docs = fixtures.documents(spark).coalesce(1)
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substrings.dedup(docs).collect()), key=repr)
+    assert got == brute_force([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
