@@ -95,3 +95,11 @@ def test_dedup_over_micro_batches(spark, tmp_path):
     found = {x.sha256: list(x.parts) for x in got}
     assert found["b"] == [0] and found["c"] == [1] and found["d"] == [2] and found["a"] == [0, 4] and found["f"] == [3]
     assert "e" not in found  # 88 hours behind
+
+
+def test_documents_in_a_folder_stream_as_those_of_one_file(spark, tmp_path):
+    from parcelforge.plans import mapping
+
+    rows = spark.createDataFrame([(1, "a", "x"), (2, "a", "x"), (3, "b", "x"), (4, "b", None), (5, "b", "")], "doc_id long, text string, source string")
+    rows.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.source: r.n for r in mapping.st5(spark, str(tmp_path)).collect()} == {"x": 2, None: 1, "": 1}
