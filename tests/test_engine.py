@@ -141,3 +141,31 @@ def test_literal_cases_give_their_outcomes(spark):
     assert diff["not_updated"] == (0, 0, 1) and diff["empty"] == (0, 0, 0) and diff["base"] == (1, 1, 0)
     heirs = {r.case_id: len(r.heirs) for r in rows}
     assert (heirs["base"], heirs["sole_heir"], heirs["chain"]) == (3, 1, 0)
+
+
+def test_python_folds_are_those_of_columns(spark):
+    from parcelforge.functions import identifiers, names
+
+    raw = ["Shri/Late Ramesh  Sharma", "Smt. सीता S/O Ram", "राम बिन हरि", "Ｒａｍ　K.", "क़मर १२३", "A B s/o C D", "", None, "  m/s X-Y ", "İstanbul Σ", "O'Neil\t(Late)", "W/O", "x wife of"]
+    plots = [" 0125 / 2 ", "१२५-०२", "a_007.00", "000", "é01/x010", None, "", "Angol (New)", "12 3"]
+    got = spark.createDataFrame([(x,) for x in raw], "t string").select("t", names.normalized(F.col("t")).alias("f")).collect()
+    assert [(r.t, r.f) for r in got] == [(r.t, names.folded_of(r.t)) for r in got]
+    got = spark.createDataFrame([(x,) for x in plots], "t string").select("t", identifiers.normalized(F.col("t")).alias("a"), identifiers.place(F.col("t")).alias("b")).collect()
+    assert [(r.t, r.a, r.b) for r in got] == [(r.t, identifiers.normalized_of(r.t), identifiers.place_of(r.t)) for r in got]
+
+
+def test_reports_work_out_what_is_asked_for(spark, monkeypatch):
+    from parcelforge.operators import casework
+
+    monkeypatch.setattr(casework, "timeline", None)
+    monkeypatch.setattr(casework, "evidence", None)
+    cases = spark.createDataFrame(bundles.cases(), bundle.CASE)
+    out = [x for b in casework.Reports(("case_id", "outcome", "checks"), ("rule", "status"), None, ())(iter(cases.toArrow().to_batches())) for x in b.to_pylist()]
+    assert {r["case_id"]: r["outcome"] for r in out} == {c: o for c, o, *_ in bundles.EXPECTED} and set(out[0]["checks"][0]) == {"rule", "status"}
+    assert bundle.validate(cases, columns=("case_id", "risk_score")).columns == ["case_id", "risk_score"]
+
+
+def test_rows_of_reports_keep_cases_of_one_id_apart(spark):
+    two = [("same", *c[1:]) for c in bundles.cases() if c[0] in ("base", "sole_heir")]
+    rows = bundle.report_rows(bundle.validate(spark.createDataFrame(two, bundle.CASE))).collect()
+    assert sorted((r.outcome, bool(r.issues)) for r in rows) == [("review_required", True), ("validated", False)]
