@@ -58,8 +58,8 @@ OW = f"ow AS (SELECT k, parcel_key, row_number() OVER (PARTITION BY k ORDER BY {
 
 
 def _found(spark: SparkSession, d: str, *codes: str) -> DataFrame:
-    """Findings of these codes among all that the whole registry gives."""
-    return rules.validate(records(spark, d), POLICY, F.lit(TODAY)).filter(F.col("rule_code").isin(*codes)).select("parcel_key", "rule_code", "severity", "json_path", "observed", "delta")
+    """Findings of these codes, by the rules that give them."""
+    return rules.validate(records(spark, d), POLICY, F.lit(TODAY), codes).select("parcel_key", "rule_code", "severity", "json_path", "observed", "delta")
 
 
 def _sql(head: str, *parts: str) -> str:

@@ -169,3 +169,27 @@ def test_rows_of_reports_keep_cases_of_one_id_apart(spark):
     two = [("same", *c[1:]) for c in bundles.cases() if c[0] in ("base", "sole_heir")]
     rows = bundle.report_rows(bundle.validate(spark.createDataFrame(two, bundle.CASE))).collect()
     assert sorted((r.outcome, bool(r.issues)) for r in rows) == [("review_required", True), ("validated", False)]
+
+
+def test_only_rules_that_give_a_code_are_run(spark, monkeypatch):
+    def never(policy, today):
+        raise AssertionError("run for nothing")
+
+    for code in rules.REGISTRY:
+        if code != "SHARE_SUM_NOT_UNITY":
+            monkeypatch.setitem(rules.REGISTRY, code, ("", never))
+    rows = rules.validate(engine.records(spark), rules.DEFAULT, F.lit(engine.TODAY), ("SHARE_SUM_EXCEEDS_UNITY",)).collect()
+    assert {(r.parcel_key, r.observed) for r in rows} == {("shares_over", "4/3")}
+
+
+def test_divisors_of_numbers_of_many_steps(spark):
+    from math import gcd
+
+    from parcelforge.functions import shares
+
+    f = [1, 1]
+    while len(f) < 86:
+        f.append(f[-1] + f[-2])
+    pairs = [(f[-1], f[-2]), (f[-2], f[-1]), (f[40], f[39] * 3), (0, 7), (7, 0), (0, 0), (9, 10**17), (12, -18)]
+    got = spark.createDataFrame(pairs, "a long, b long").select("a", "b", shares.gcd(F.col("a"), F.col("b")).alias("g")).collect()
+    assert [(r.a, r.b, r.g) for r in got] == [(a, b, gcd(a, b)) for a, b in pairs]
