@@ -193,3 +193,13 @@ def test_divisors_of_numbers_of_many_steps(spark):
     pairs = [(f[-1], f[-2]), (f[-2], f[-1]), (f[40], f[39] * 3), (0, 7), (7, 0), (0, 0), (9, 10**17), (12, -18)]
     got = spark.createDataFrame(pairs, "a long, b long").select("a", "b", shares.gcd(F.col("a"), F.col("b")).alias("g")).collect()
     assert [(r.a, r.b, r.g) for r in got] == [(a, b, gcd(a, b)) for a, b in pairs]
+
+
+def test_rates_are_written_as_sql_writes_them(spark):
+    import random
+
+    r = random.Random(5)
+    values = [(2 * k + 1) / 20000 for k in range(400)] + [-0.00015, 0.0, 0.03125, 0.09375, 1.00005, 123456.78905, 2e9, 11 / 20000] + [r.random() / 100 for _ in range(200)]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", rules.four_places(F.col("v")).alias("t"), F.format_string("%.4f", F.col("v")).alias("j")).collect()
+    assert [(x.v, x.t) for x in got] == [(v, f"{v:.4f}") for v in values]
+    assert any(x.t != x.j for x in got)
